@@ -1,11 +1,15 @@
 """The queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
-from tracelex.llm import decontaminate
+from tracelex.llm import decontaminate, fertility, shards, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op5_fertility": fertility.op5_fertility,
+    "op8_shards": shards.op8_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
