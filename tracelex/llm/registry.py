@@ -1,10 +1,12 @@
 """The queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
-from tracelex.llm import decontaminate, fertility, shards, warc
+from tracelex.llm import decontaminate, fertility, secrets, shards, toxicity, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_fertility": fertility.op5_fertility,
+    "op7_secrets": secrets.op7_secrets,
     "op8_shards": shards.op8_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
