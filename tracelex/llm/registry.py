@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
-from tracelex.llm import decontaminate, fertility, secrets, shards, toxicity, warc
+from tracelex.llm import decontaminate, fertility, pieces, secrets, shards, toxicity, warc
 
 QUERIES = {
+    "op1_pieces": pieces.op1_pieces,
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_fertility": fertility.op5_fertility,

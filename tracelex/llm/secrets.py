@@ -11,6 +11,7 @@ points with an exclusive end; repeated rows are scanned one by one; other column
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -78,17 +79,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], ratio: float = RATIO, least: int = BYTES) -> list[tuple[int, int, str]]:
-    out, done = [], 0
-    for m in _CONTEXT.finditer(text):
-        for c in _CANDIDATE.finditer(text, max(done, m.end()), m.end() + 4096):
-            if c.start() > m.end() + REACH:
-                break
-            done, size = c.end(), c.end() - c.start()
-            if any(a < c.end() and c.start() < b for a, b, _ in base):
-                continue
-            cost = marginal_bytes(text[max(0, c.start() - AROUND) : c.start()], c[0], text[c.end() : c.end() + AROUND])
-            if cost >= least and cost >= ratio * size:
-                out.append((c.start(), c.end(), "novel"))
+    contexts = [m.end() for m in _CONTEXT.finditer(text)]
+    if not contexts:
+        return []
+    runs = [m.span() for m in _CANDIDATE.finditer(text)]
+    starts, near = [a for a, _ in runs], set()
+    for at in contexts:
+        near.update(range(bisect.bisect_left(starts, at), bisect.bisect_right(starts, at + REACH)))
+    out, taken, k = [], sorted((a, b) for a, b, _ in base), 0
+    for a, b in (runs[i] for i in sorted(near)):
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if any(x < b and a < y for x, y in taken[k : k + 3]):
+            continue
+        cost = marginal_bytes(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])
+        if cost >= least and cost >= ratio * (b - a):
+            out.append((a, b, "novel"))
     return out
 
 
