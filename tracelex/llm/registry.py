@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
-from tracelex.llm import decontaminate, fertility, pieces, secrets, shards, toxicity, warc
+from tracelex.llm import decontaminate, fertility, jaccard, pieces, secrets, shards, toxicity, warc
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_fertility": fertility.op5_fertility,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_secrets": secrets.op7_secrets,
     "op8_shards": shards.op8_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
+    "op6_jaccard": jaccard.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }

@@ -49,6 +49,8 @@ your_password_here changeme placeholder xxxxxxxx example_token_value test_secret
 
 _CONTEXT = re.compile(rf"(?:{'|'.join(SENSITIVE.split())})[^\n]{{0,24}}?[\s:=\"'(\[]", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Words of one case with separators between them are no key, however rare.
+_PLAIN = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_.=-]+|$))+")
 AROUND, REACH = 200, 64
 #: Least share of a candidate's own length that it must cost, and least cost in bytes.
 RATIO, BYTES = 0.72, 12
@@ -90,7 +92,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], ratio: float = RATI
     for a, b in (runs[i] for i in sorted(near)):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if any(x < b and a < y for x, y in taken[k : k + 3]):
+        if _PLAIN.fullmatch(text, a, b) or any(x < b and a < y for x, y in taken[k : k + 3]):
             continue
         cost = marginal_bytes(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])
         if cost >= least and cost >= ratio * (b - a):
