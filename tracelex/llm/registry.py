@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
-from tracelex.llm import decontaminate, fertility, jaccard, pieces, secrets, shards, toxicity, warc
+from tracelex.llm import decontaminate, fertility, jaccard, pieces, secrets, shards, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_shards": shards.op8_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_suffixes": suffixes.op10_suffixes,
 }
 
 ORACLES = {
