@@ -10,8 +10,11 @@ segment. What is indexed is, for each segment, a hash of the subset that falls i
   first such segment on which two linked sets agree comes after at most H that differ, so both emit it. A set
   with too few such segments emits all it has. Empty segments, which would gather unrelated sets, thus cost nothing.
 - Equal sets are one class, and only one document of a class is joined. Documents that share a key are not paired
-  with each other: each is paired with the least of them, verified, and components are formed; then only pairs that
-  share a key across two components are verified as well. No link between different sets can be lost to a component.
+  with each other: each is paired with the least of them, verified, and components are formed. Then documents that
+  share a key across two components are compared by the counts of their shingles in 256 hash buckets: the sum of
+  the counts' differences is a lower bound of the symmetric difference, so that only pairs that may be linked become
+  rows, and are verified. Keys of more than 2 * BLOCK documents are compared block by block in different tasks. No
+  link between different sets is lost to a component.
 - Verification intersects the two sets of shingle hashes.
 
 Keys with many documents are aggregated before the shuffle, and the joins on them are plain ones that adaptive
@@ -39,6 +42,8 @@ WORDS, PERCENT = 4, 85
 RATIO, CACHE = 1.6, 400_000
 #: Candidate ids that are broadcast, at most; beyond, texts are joined by shuffling.
 BROADCAST_IDS = 2_000_000
+#: Documents of a key that meet others in one task.
+BLOCK = 2048
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -136,7 +141,12 @@ def keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-SKETCH = "n long, h1 long, h2 long, keys array<long>"
+def counts(tokens: np.ndarray) -> bytes:
+    """Shingles in each of 256 buckets; counts beyond 255 are cut, which makes differences no larger."""
+    return np.minimum(np.bincount((tokens >> np.uint64(7)).astype(np.int64) & 255, minlength=256), 255).astype(np.uint8).tobytes()
+
+
+SKETCH = "n long, h1 long, h2 long, keys array<long>, counts binary"
 
 
 def sketch(text: Column, words: int, percent: int) -> Column:
@@ -147,8 +157,8 @@ def sketch(text: Column, words: int, percent: int) -> Column:
             s = shingles(text, words)
             raw = s.tobytes()
             h1, h2 = (xxhash.xxh64_intdigest(raw, seed=k) - (1 << 63) for k in (1, 2))
-            rows.append((len(s), h1, h2, keys(s, percent).view(np.int64)))
-        return pd.DataFrame(rows, columns=["n", "h1", "h2", "keys"])
+            rows.append((len(s), h1, h2, keys(s, percent).view(np.int64), counts(s)))
+        return pd.DataFrame(rows, columns=["n", "h1", "h2", "keys", "counts"])
 
     return made(text)
 
@@ -161,6 +171,47 @@ def shingle_array(text: Column, words: int) -> Column:
     return made(text)
 
 
+def _near(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a block pair that lie in two components and may be linked."""
+    row, n, root, block = (group[c].to_numpy() for c in ("row", "n", "root", "block"))
+    vectors = np.frombuffer(b"".join(group["counts"]), np.uint8).reshape(len(group), 256).astype(np.int16)
+    two, out = group["i"].iloc[0] != group["j"].iloc[0], []
+    for x in range(len(group) - 1):
+        ok = (root[x + 1 :] != root[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
+        if two:
+            ok &= block[x + 1 :] != block[x]
+        y = np.flatnonzero(ok) + x + 1
+        if len(y):
+            apart = np.abs(vectors[y] - vectors[x]).sum(axis=1)
+            y = y[apart <= (n[y] + n[x]) * (100 - percent) // (100 + percent)]
+            out += [(min(row[x], r), max(row[x], r)) for r in row[y]]
+    return out
+
+
+def near_across(open_: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs with a common key and different roots that the counts don't rule out."""
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            name = held[["key", "i", "j"]].to_numpy()
+            cuts = np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1
+            if len(cuts):
+                bounds = np.concatenate([[0], cuts])
+                found = [p for a, b in zip(bounds[:-1], bounds[1:], strict=True) for p in _near(held.iloc[a:b], percent)]
+                held = held.iloc[cuts[-1] :].reset_index(drop=True)
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if held is not None and len(held):
+            yield pd.DataFrame(_near(held, percent), columns=["a", "b"], dtype="int64")
+
+    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = open_.join(sizes, "key").withColumn("block", F.pmod(F.hash("row"), "blocks"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    own = own.select("key", "row", "n", "root", "counts", "block", F.explode(met).alias("m")).select("*", "m.i", "m.j").drop("m")
+    return own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node reachable) of every node with an edge: alternating large and small stars, each round
     written to the shared folder."""
@@ -225,12 +276,8 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     roots = staged(components(links))
     placed = held.join(roots, held["row"] == roots["node"], "left").select("key", "row", "n", F.coalesce("root", "row").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = staged(placed.join(split, "key", "left_semi"))
-    x, y = (open_.toDF("key", f"{s}_row", f"{s}_n", f"{s}_root") for s in "xy")
-    # The pairs with the least document of a key have been verified above.
-    least = open_.groupBy("key").agg(F.min("row").alias("least"))
-    across = x.join(y, "key").where((F.col("x_row") < F.col("y_row")) & (F.col("x_root") != F.col("y_root")) & alike("x_n", "y_n"))
-    across = across.join(least, "key").where(F.col("x_row") > F.col("least")).select(F.col("x_row").alias("a"), F.col("y_row").alias("b"))
+    open_ = placed.join(split, "key", "left_semi").join(rows.select("row", "counts"), "row")
+    across = near_across(open_, percent)
     more = staged(verified(across))
     if more.limit(1).count():
         roots = staged(components(links.union(more)))

@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
-from tracelex.llm import decontaminate, fertility, jaccard, pieces, secrets, shards, suffixes, toxicity, warc
+from tracelex.llm import decontaminate, fertility, jaccard, pieces, quotes, secrets, shards, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
     "op2_warc": warc.op2_warc,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quotes": quotes.op4_quotes,
     "op5_fertility": fertility.op5_fertility,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_secrets": secrets.op7_secrets,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_warc": warc.OP2_SQL,
+    "op4_quotes": quotes.OP4_SQL,
     "op6_jaccard": jaccard.OP6_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
