@@ -163,7 +163,7 @@ def scan_metric_docs(s, d):
     return s.read.json(p).select("condition", "seed", "accuracy", "macro_f1", F.regexp_extract(F.col("_metadata.file_path"), r"\.(\w+)$", 1).alias("kind"))
 
 
-@query(f"WITH {TRACE}, t2 AS (SELECT *, row_number() OVER (ORDER BY id, feature) + 1 AS row FROM tm) SELECT id, feature, value FROM t2")
+@query(f"WITH {TRACE}, t2 AS (SELECT *, row_number() OVER (ORDER BY id, feature) + 1 AS row FROM tm) SELECT id, feature, round(value, 6) AS value FROM t2")
 def scan_trace(s, d):
     p = files.write_csv(trace(s, d).select("id", "feature", "value"), files.scratch(s))
     return s.read.schema("id string, feature string, value double").csv(p, header=True)
@@ -385,7 +385,7 @@ check("chk_pattern", lambda t, o: graph.chk_pattern(t, o, "identifier", "^[0-9]{
 check("chk_in", lambda t, o: graph.chk_in(t, o, "language", ["en", "es"]), REP(own("language") + " WHERE o NOT IN ('en', 'es')", "language", "in"))
 check("chk_node_kind", lambda t, o: graph.chk_node_kind(t, o, "language"), REP(own("language") + " WHERE o_kind <> 'iri'", "language", "nodeKind"))
 check("chk_class", lambda t, o: graph.chk_class(t, o, "label", f"{BASE}Sentiment"), REP(own("label"), "label", "class"))
-check("chk_range", lambda t, o: graph.chk_range(t, o, "length", 100, 10000), REP(own("length") + " WHERE CAST(o AS BIGINT) NOT BETWEEN 100 AND 10000", "length", "range"))
+check("chk_range", lambda t, o: graph.chk_range(t, o, "length", 100, 10000), REP(own("length") + " WHERE TRY_CAST(o AS BIGINT) NOT BETWEEN 100 AND 10000", "length", "range"))
 PROBS = FEAT + ", " + LAB + f""", pr AS (SELECT '{BASE}post_' || doc_id AS s, ont_alpha / (ont_alpha + ont_beta + 1) AS pp, ont_beta / (ont_alpha + ont_beta + 1) AS pn, CASE WHEN doc_id % 7 = 0 THEN 0.5 ELSE 1 / (ont_alpha + ont_beta + 1) END AS pg, label FROM feat JOIN lab USING (doc_id))"""
 
 
