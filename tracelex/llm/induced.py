@@ -72,12 +72,21 @@ class Queue:
             self.n += len(columns["pos"][at : at + BLOCK])
 
     def read(self, backwards: bool = False, keep: bool = False):
-        for block in reversed(self.blocks) if backwards else self.blocks:
-            yield {k: self.store.get(v) for k, v in block.items()}
-            if not keep:
+        """Blocks in order (or the last one first); what was appended in small parts comes together."""
+        some, n = [], 0
+        for block in [*(reversed(self.blocks) if backwards else self.blocks), None]:
+            size = len(self.store.get(block["pos"])) if block and isinstance(block["pos"], np.ndarray) else block["pos"][1] if block else 0
+            if some and (block is None or n + size > BLOCK):
+                some = some[::-1] if backwards else some
+                yield {k: np.concatenate([self.store.get(x[k]) for x in some]) for k in some[0]}
+                some, n = [], 0
+            if block is not None:
+                some.append(block)
+                n += size
+        if not keep:
+            for block in self.blocks:
                 for v in block.values():
                     self.store.drop(v)
-        if not keep:
             self.blocks = []
 
 
