@@ -17,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelex.llm.common import ascii_lower
+from tracelex.llm.common import ascii_lower, staged
 
 #: What separates words; words are runs of the ASCII digits, a-z and everything beyond ASCII.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BITS = 1 << 21
+#: Ids of contaminated documents that are broadcast, at most; beyond, documents are joined by shuffling.
+BROADCAST_IDS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -109,10 +111,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, what: str = "docu
     replaced by nothing, with the separators kept. Null ids match null ids. Rows that share a doc_id share its fate;
     for spans doc_id has to be a key."""
     bad = scan(docs, benchmark, n).where("contaminated").withColumnsRenamed({"doc_id": "_id"})
-    same = docs["doc_id"].eqNullSafe(bad["_id"])
     if what == "documents":
-        return docs.join(bad.select("_id"), same, "left_anti")
-    out = docs.join(bad.select("_id", "hits"), same, "left")
+        ids = staged(bad.select("_id").distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
+    out = docs.join(bad.select("_id", "hits"), docs["doc_id"].eqNullSafe(bad["_id"]), "left")
     # Pieces alternate between words and separators; the words are numbered in order.
     pieces = F.split(F.col("text"), r"(?<=[0-9A-Za-z\x{80}-\x{10FFFF}])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])|(?<=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[0-9A-Za-z\x{80}-\x{10FFFF}])")
     first = F.when(F.col("text").rlike(r"^[0-9A-Za-z\x{80}-\x{10FFFF}]"), 0).otherwise(1)

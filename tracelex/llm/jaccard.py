@@ -247,13 +247,9 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     by = ["n", "h1", "h2"]
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     classes = staged(some.groupBy(by).agg(first.alias("f")).select(*by, "f.doc_id", "f.row"))
-    index = some.select("row", "n", "keys").join(classes.select("row"), "row", "left_semi").select("row", "n", F.explode("keys").alias("key"))
-    shared = index.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("last"), F.min_by("n", "row").alias("size")).where("least < last")
-    held = staged(index.join(shared.select("key", "least", "size"), "key"))
-
-    def alike(a: str, b: str) -> Column:
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
+    index = some.select("row", "keys").join(classes.select("row"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
+    shared = index.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("last")).where("least < last")
+    held = staged(index.join(shared.select("key", "least"), "key"))
     ids = classes.select("row", "doc_id", *by)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -272,11 +268,11 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         common = F.size(F.array_intersect("x", "y"))
         return out.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    links = staged(verified(held.where((F.col("row") > F.col("least")) & alike("n", "size")).select(F.col("least").alias("a"), F.col("row").alias("b"))))
+    links = staged(verified(held.where("row > least").select(F.col("least").alias("a"), F.col("row").alias("b"))))
     roots = staged(components(links))
-    placed = held.join(roots, held["row"] == roots["node"], "left").select("key", "row", "n", F.coalesce("root", "row").alias("root"))
+    placed = held.join(roots, held["row"] == roots["node"], "left").select("key", "row", F.coalesce("root", "row").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(split, "key", "left_semi").join(rows.select("row", "counts"), "row")
+    open_ = placed.join(split, "key", "left_semi").join(rows.select("row", "n", "counts"), "row")
     across = near_across(open_, percent)
     more = staged(verified(across))
     if more.limit(1).count():
@@ -290,7 +286,8 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that are linked to one with a smaller id; rows that share an id are one document."""
-    gone = linked(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    gone = staged(linked(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
