@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
-
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +28,10 @@ def tfidf(train: DataFrame, size: int = 5000, text: str = "text"):
     counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=size)
     model = Pipeline(stages=[tokens, pairs, both, counts]).fit(train)
     vocabulary = model.stages[-1].vocabulary
-    seen = model.transform(train).select(F.explode(F.array_distinct("grams")).alias("g")).where(F.col("g").isin(vocabulary) if len(vocabulary) < 200 else F.lit(True))
-    df = {r.g: r.d for r in seen.join(F.broadcast(train.sparkSession.createDataFrame([(g,) for g in vocabulary] or [("",)], "g string")), "g").groupBy("g").agg(F.count("*").alias("d")).collect()}
+    known = train.sparkSession.createDataFrame([(g,) for g in vocabulary] or [("",)], "g string")
+    seen = model.transform(train).select(F.explode(F.array_distinct("grams")).alias("g")).join(F.broadcast(known), "g")
+    df = {r.g: r.d for r in seen.groupBy("g").agg(F.count("*").alias("d")).collect()}  # at most `size` rows
     n = train.count()
-    import math
-
-    from pyspark.ml.feature import ElementwiseProduct
-    from pyspark.ml.linalg import Vectors
-
     idf = Vectors.dense([math.log((1 + n) / (1 + df.get(g, 0))) + 1 for g in vocabulary])
     scale, unit = ElementwiseProduct(scalingVec=idf, inputCol="tf", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="tfidf")
 
