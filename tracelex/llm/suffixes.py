@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,12 +142,27 @@ def bitmap(anchors_twice: DataFrame) -> np.ndarray:
 PIECE = "anchor long, id long, th long, start long, bytes binary"
 
 
+def packed(text):
+    """Texts as they are shuffled: zstandard frames of their bytes."""
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series) -> pd.Series:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return texts.map(lambda t: squeeze(t.encode()))
+
+    return made(text)
+
+
+def unpacked(frame: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(frame)
+
+
 def cut_pieces(batches):
-    """mapInArrow function over (id, th, text, wanted): the bytes of each wanted context."""
+    """mapInArrow function over (id, th, z, wanted): the bytes of each wanted context."""
     for batch in batches:
         rows = []
-        for own, th, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "text", "wanted")), strict=True):
-            raw = text.encode()
+        for own, th, z, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "z", "wanted")), strict=True):
+            raw = unpacked(z)
             rows += [(w["anchor"], own, th, w["start"], raw[w["start"] : w["start"] + w["n"] - 1 + K]) for w in wanted]
         if rows:
             columns = list(zip(*rows, strict=True))
@@ -158,19 +174,19 @@ def sort_shard(batches):
     """mapInArrow function over the pieces of a shard in (id, th, start) order: spans that repeat an earlier place."""
     import tempfile
 
-    ids, ths, starts, lengths = [], [], [], []
+    ids, ths, starts, lengths, last = [], [], [], [], None
     with tempfile.TemporaryFile() as f:
         for batch in batches:
-            f.write(b"".join(x.as_py() + bytes([SEPARATOR]) for x in batch.column("bytes")))
-            ids += batch.column("id").to_pylist()
-            ths.append(batch.column("th").to_numpy())
-            starts.append(batch.column("start").to_numpy())
-            lengths.append(np.array([len(x.as_py()) for x in batch.column("bytes")]))
+            for own, th, start, piece in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "start", "bytes")), strict=True):
+                if (own, th, start) != last:  # else it is of a repeated row
+                    f.write(piece + bytes([SEPARATOR]))
+                    ids.append(own), ths.append(th), starts.append(start), lengths.append(len(piece))
+                last = own, th, start
         if not ids:
             return
         f.flush()
         flags = repeated(np.memmap(f, np.uint8, "r"), K, SHARD_MEMORY)
-    ths, starts, lengths = (np.concatenate(x) for x in (ths, starts, lengths))
+    ths, starts, lengths = (np.array(x, np.int64) for x in (ths, starts, lengths))
     begin = np.cumsum(lengths + 1) - lengths - 1
     at = np.flatnonzero(flags)
     if not len(at):
@@ -204,10 +220,11 @@ def spans(docs: DataFrame) -> DataFrame:
     copies = copies.select("id", "th", "start", (F.col("start") + F.col("n") - 1 + K).alias("end"))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     wanted = firsts.join(several, "anchor", "left_semi").select(F.col("place.id").alias("wid"), F.col("place.th").alias("wth"), F.struct("anchor", F.col("place.start").alias("start"), F.col("k").alias("n")).alias("w"))
-    wanted = wanted.groupBy("wid", "wth").agg(F.collect_list("w").alias("wanted"))
-    texts = long.join(wanted, long["id"].eqNullSafe(wanted["wid"]) & (long["th"] == wanted["wth"])).select("id", "th", "text", "wanted")
-    pieces = staged(texts.mapInArrow(cut_pieces, PIECE).dropDuplicates(["anchor", "id", "th", "start"]))
-    size = pieces.agg(F.sum(F.octet_length("bytes") + 1)).first()[0] or 0
+    wanted = staged(wanted.groupBy("wid", "wth").agg(F.collect_list("w").alias("wanted")))
+    size = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, w: a + w.n + K))).first()[0] or 0
+    texts = long.select("id", "th", packed(F.col("text")).alias("z"))
+    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["wid"]) & (texts["th"] == wanted["wth"])).select("id", "th", "z", "wanted")
+    pieces = texts.mapInArrow(cut_pieces, PIECE)
     shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     found = pieces.repartition(shards, "anchor").sortWithinPartitions("id", "th", "start").mapInArrow(sort_shard, "id long, th long, start long, end long")
     return copies.union(found)
@@ -231,23 +248,26 @@ def removed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     UTF-8 after the cuts become U+FFFD): one row for each row of docs."""
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    # Where ids are unique they name the documents, and 0 stands for the text's hash.
+    unique = not docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    own = docs.select(F.col("doc_id").alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("th"), text.alias("text"))
     found = spans(own).groupBy(F.col("id").alias("sid"), F.col("th").alias("sth")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    own = own.select("id", "th", packed(F.col("text")).alias("z"))
     whole = own.join(found, own["id"].eqNullSafe(found["sid"]) & (own["th"] == found["sth"]), "left")
-    whole = whole.select("id", "text", F.transform("spans", lambda s: s.start).alias("a"), F.transform("spans", lambda s: s.end).alias("b"))
+    whole = whole.select("id", "z", F.transform("spans", lambda s: s.start).alias("a"), F.transform("spans", lambda s: s.end).alias("b"))
 
     @F.pandas_udf(RESULT)
-    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    def cut(frames: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, a, b in zip(texts, starts, ends, strict=True):
-            raw = text.encode()
+        for z, a, b in zip(frames, starts, ends, strict=True):
+            raw = unpacked(z)
             gone = _merged(zip(a.tolist(), b.tolist(), strict=True)) if a is not None else []
             edges = [0, *(x for s in gone for x in s), len(raw)]
             kept = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if gone else raw
             rows.append((len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = whole.select(F.col("id").alias("doc_id"), cut("text", "a", "b").alias("r"))
+    out = whole.select(F.col("id").alias("doc_id"), cut("z", "a", "b").alias("r"))
     return out.select("doc_id", "r.*") if with_text else out.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256")
 
 
