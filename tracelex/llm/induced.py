@@ -19,7 +19,7 @@ import tempfile
 import numpy as np
 
 SEPARATOR = 0xFF  # no byte of UTF-8
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 KINDS = {"pos": np.int64, "lcp": np.uint8, "tail": np.uint64, "left": np.uint8}
 
 
@@ -231,7 +231,7 @@ def _common(words: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, k: int) ->
     return out
 
 
-def order_by(key: np.ndarray, store: Store, limit: int = 1 << 24) -> np.ndarray:
+def order_by(key: np.ndarray, store: Store, limit: int = 1 << 22) -> np.ndarray:
     """Stable order of non-negative keys; beyond `limit`, by dealing them to ranges that are sorted one at a time."""
     if len(key) <= limit:
         return np.argsort(key, kind="stable")

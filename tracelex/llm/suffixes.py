@@ -37,7 +37,7 @@ from tracelex.llm.induced import SEPARATOR, repeated
 K, GRAM = 100, 32
 CHUNK = 1 << 20
 BITS = 1 << 25
-SHARD_BYTES, SHARD_MEMORY = 32 << 20, 256 << 20
+SHARD_BYTES, SHARD_MEMORY = 6 << 20, 64 << 20
 
 _TABLE = np.random.default_rng(10).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -133,9 +133,9 @@ def bitmap(anchors_twice: DataFrame) -> np.ndarray:
     """BITS bits, whatever the number of anchors."""
     slot = F.col("anchor").bitwiseAND(F.lit(BITS - 1))
     words = anchors_twice.select(F.shiftright(slot, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out
 
 
