@@ -37,7 +37,7 @@ from tracelex.llm.induced import SEPARATOR, repeated
 K, GRAM = 100, 32
 CHUNK = 1 << 20
 BITS = 1 << 25
-SHARD_BYTES, SHARD_MEMORY = 6 << 20, 64 << 20
+SHARD_BYTES, SHARD_MEMORY = 2 << 20, 256 << 20
 
 _TABLE = np.random.default_rng(10).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
