@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,27 @@ def test_dropout_is_lossless_seeded_and_varied():
     assert len({tuple(a.encode("internationalisation", str(k))) for k in range(40)}) > 1
 
 
+def test_every_occurrence_draws_for_itself():
+    """A unit with one possible merge is skipped at the rate of the dropout, not at a multiple of a quarter; units with
+    several are cut as the agenda cuts each occurrence by its own key."""
+    own = pieces.Encoder(PATH, 0.1)
+    rates = []
+    for unit in [" " + c for c in "abcdefghijklmnop"]:
+        cuts = np.concatenate(own.encode_all([unit[1:] + unit * 499] * 8, [str(k) for k in range(8)]))
+        whole = own.vocabulary.ids.get(unit)
+        if whole is not None:
+            rates.append(1 - (cuts == whole).sum() / 4000)
+    assert len(rates) > 10 and all(0.07 < r < 0.13 for r in rates)
+    for dropout in (0.1, 0.5, 1.0):
+        own, rng = pieces.Encoder(PATH, dropout), np.random.default_rng(1)
+        names = [" internationalisation", "a", " é日x", " e" * 40, "-" * 40, " the", " qzxe" * 9]
+        which, keys = rng.integers(0, len(names), 600), rng.integers(0, 1 << 63, 600).astype(np.uint64)
+        flat, start, count = own._follow(names, which, keys)
+        for u, k, s, c in zip(which, keys, start, count, strict=True):
+            assert tuple(flat[s : s + c]) == own.vocabulary.segment(names[u], int(k), own.cut)
+    assert len({tuple(flat[s : s + c]) for u, s, c in zip(which, start, count, strict=True) if u == 0}) == 1
+
+
 def test_parts_do_not_change_the_ids(monkeypatch):
     text = " ".join(f"word{i}" for i in range(500))
     whole = pieces.Encoder(PATH, 0.2).encode(text, "k")

@@ -2,9 +2,10 @@
 
 A text is cut into units that no piece crosses (a run of spaces with the word after it; line breaks and tabs alone).
 In each unit an agenda holds the candidate merges by score; the best is taken, and is skipped if a keyed hash of
-(seed, variant, position, piece) falls below the dropout rate. The variant of a unit is a keyed hash of (seed, text
-key, place in the text), so that equal words are cut differently at different places while each (unit, variant) is
-worked out once in a batch of texts. Without dropout the ids are those of the public library. Spaces are kept as they are
+(seed, text key, place in the text, position, piece) falls below the dropout rate, so that every occurrence of a unit
+draws for itself. What a unit becomes depends on its draws only by which of them skip: the way of each (unit, skipped
+draws) is worked out once in a batch of texts, and each occurrence follows it until a draw of its own leaves
+it. Without dropout the ids are those of the public library. Spaces are kept as they are
 and only the one in front is added and removed; the mark U+2581 itself, which the library reads as a space, is
 spelled in bytes here, so that every text decodes to itself.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tracelex.llm.common import TOKENIZERS, small_batches
 
 MODEL = "piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 1, 4
+DROPOUT, SEED = 0.1, 1
 #: Characters that are worked on at a time.
 PART = 1_000_000
 INF = np.int32(2**31 - 1)
@@ -62,7 +63,7 @@ class Vocabulary:
         self.units = re.compile(rf" +[^ {alone}]*|[^ {alone}]+|[{alone}]" if alone else r" +[^ ]*|[^ ]+")
 
     def segment(self, unit: str, key: int, cut: int) -> tuple[int, ...]:
-        """Ids of a unit. key: the keyed state of (seed, variant); a merge is skipped if its hash is below cut."""
+        """Ids of a unit. key: the key of its occurrence; a merge is skipped if its hash is below cut."""
         score, ids, n = self.score, self.ids, len(unit)
         if not cut and unit in ids:
             return (ids[unit],)
@@ -170,17 +171,21 @@ class Pairs:
 
 
 class Encoder:
-    """Works out each distinct (unit, variant) of a batch of texts once, all units of like length in step: in each
-    round every unit takes the best candidate of its own agenda."""
+    """Works out each distinct way of a batch's units once, all units of like length in step: in each round every
+    unit takes the best candidate of its own agenda. A way is a unit with the rounds whose candidate is skipped."""
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    #: Rounds whose skips a way can name; an occurrence that skips a later one is worked out by itself.
+    ROUNDS = 64
+
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         self.vocabulary, self.seed = vocabulary(path), seed
         self.pairs = pairs(path)
         self.cut = min(MASK, int(dropout * 2**64))
-        self.keys = [xxhash.xxh64_intdigest(f"{seed}:{v}") for v in range(variants if dropout else 1)]
+        self.keys = [xxhash.xxh64_intdigest(f"{seed}:{v}") for v in range(4)]
 
-    def _in_step(self, units: list[str], keys: np.ndarray, length: int) -> list[np.ndarray]:
-        """Symbols of units of at most `length` characters, as one array, and how many each has."""
+    def _in_step(self, units: list[str], skips: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of units of at most `length` characters, as one array, and how many each has; what the draws of
+        their rounds add to a key, as one array, and how many each has."""
         n = np.fromiter(map(len, units), np.int64, len(units))
         width = np.arange(length)
         sym = np.full((len(units), length), -1, np.int32)
@@ -190,12 +195,13 @@ class Encoder:
         r, c = np.nonzero(width[None, 1:] < n[:, None])
         rank[r, c], made[r, c] = self.pairs.find(sym[r, c], sym[r, c + 1])
         done, row, size = sym.copy(), np.arange(len(units)), n.copy()
+        drawn, terms, at_round = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
         while len(row):
             j = rank.argmin(axis=1)
             live = rank[np.arange(len(row)), j] < INF
             if live.sum() < 0.8 * len(row):
                 done[row[~live]], size[row[~live]] = sym[~live], n[~live]
-                row, sym, pos, rank, made, n, keys, j = (x[live] for x in (row, sym, pos, rank, made, n, keys, j))
+                row, sym, pos, rank, made, n, skips, j = (x[live] for x in (row, sym, pos, rank, made, n, skips, j))
                 if not len(row):
                     break
                 live = np.ones(len(row), bool)
@@ -203,11 +209,13 @@ class Encoder:
             at = j[m]
             if self.cut:
                 with np.errstate(over="ignore"):
-                    h = keys[m] + pos[m, at] * np.uint64(_A) + made[m, at].astype(np.uint64) * np.uint64(_B)
-                    h = (h ^ (h >> np.uint64(30))) * np.uint64(_C)
-                skip = (h ^ (h >> np.uint64(31))) < np.uint64(self.cut)
-                rank[m[skip], at[skip]] = INF
-                m, at = m[~skip], at[~skip]
+                    terms.append(pos[m, at] * np.uint64(_A) + made[m, at].astype(np.uint64) * np.uint64(_B))
+                drawn.append(row[m])
+                if at_round < self.ROUNDS:
+                    skip = (skips[m] >> np.uint64(at_round)) & np.uint64(1) > 0
+                    rank[m[skip], at[skip]] = INF
+                    m, at = m[~skip], at[~skip]
+            at_round += 1
             sym[m, at] = made[m, at]
             after = np.minimum(width + (width > at[:, None]), length - 1)
             sym[m], pos[m] = np.take_along_axis(sym[m], after, 1), np.take_along_axis(pos[m], after, 1)
@@ -219,31 +227,81 @@ class Encoder:
                 x, y = m[ok], k[ok]
                 rank[x, y], made[x, y] = self.pairs.find(sym[x, y], sym[x, y + 1])
         done[row], size[row] = sym, n
-        return [done[width < size[:, None]], size]
+        drawn = np.concatenate(drawn)
+        return done[width < size[:, None]], size, np.concatenate(terms)[np.argsort(drawn, kind="stable")], np.bincount(drawn, minlength=len(units))
 
-    def _segments(self, units: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids of all units in one array, where each unit's begin, and how many."""
+    def _ways(self, units: list[str], skips: np.ndarray) -> tuple[np.ndarray, ...]:
+        """ids of all ways in one array, where each way's begin, and how many; the same of the terms of their draws."""
         n = np.fromiter(map(len, units), np.int64, len(units))
-        keys = np.array(self.keys, np.uint64)[variants]
-        flat, start, count, held = [], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
+        flat, start, count, held = [np.zeros(0, np.int32)], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
+        terms, first, draws, told = [np.zeros(0, np.uint64)], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
         for low, high in ((0, 2), (2, 6), (6, 9), (9, 14), (14, 24), (24, 48)):
             own = np.flatnonzero((n > low) & (n <= high))
             if len(own):
-                ids, size = self._in_step([units[i] for i in own], keys[own], high)
+                ids, size, term, rounds = self._in_step([units[i] for i in own], skips[own], high)
                 start[own], count[own] = held + np.cumsum(size) - size, size
+                first[own], draws[own] = told + np.cumsum(rounds) - rounds, rounds
                 flat.append(ids)
-                held += len(ids)
-        all_ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+                terms.append(term)
+                held, told = held + len(ids), told + len(term)
+        all_ids = np.concatenate(flat)
         made = np.flatnonzero(count)
         made = made[np.argsort(start[made])]
         odd = made[np.unique(np.searchsorted(start[made], np.flatnonzero(all_ids >= Pairs.FIRST), "right") - 1)]
-        odd = np.concatenate([odd, np.flatnonzero(n > 48)]).tolist()
-        for i in odd:  # characters without a piece, and very long units
-            ids = np.array(self.vocabulary.segment(units[i], int(keys[i]), self.cut), np.int32)
+        more = []
+        for i in odd.tolist():  # characters without a piece
+            ids = []
+            for x in all_ids[start[i] : start[i] + count[i]].tolist():
+                ids += [self.vocabulary.byte[b] for b in chr(x - Pairs.FIRST).encode()] if x >= Pairs.FIRST else [x]
+            start[i], count[i] = held, len(ids)
+            more.append(np.array(ids, np.int32))
+            held += len(ids)
+        return np.concatenate([all_ids, *more]), start, count, np.concatenate(terms), first, draws
+
+    def _follow(self, names: list[str], which: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For occurrences of units (places in names) with their keys: ids in one array, where each one's begin, and
+        how many."""
+        start, count = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+        flat, held, alone = [np.zeros(0, np.int32)], 0, [np.zeros(0, np.int64)]
+        long = np.fromiter((len(x) > 48 for x in names), bool, len(names))[which]
+        alone.append(np.flatnonzero(long))
+        left = np.flatnonzero(~long)
+        unit, way = np.unique(which[left], return_inverse=True)
+        skips, tested = np.zeros(len(unit), np.uint64), np.zeros(len(unit), np.int64)
+        while len(left):
+            ids, begin, size, terms, first, draws = self._ways([names[i] for i in unit.tolist()], skips)
+            # The draws up to a way's last skip are those that led to it.
+            n = (draws - tested)[way]
+            ends = np.cumsum(n)
+            owner = np.repeat(np.arange(len(left)), n)
+            step = np.arange(len(owner)) - np.repeat(ends - n, n)
+            with np.errstate(over="ignore"):
+                h = terms[np.repeat((first + tested)[way], n) + step] + keys[left][owner]
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(_C)
+            hit = np.flatnonzero((h ^ (h >> np.uint64(31))) < np.uint64(self.cut))
+            off, at = np.unique(owner[hit], return_index=True)
+            on = np.ones(len(left), bool)
+            on[off] = False
+            start[left[on]], count[left[on]] = held + begin[way[on]], size[way[on]]
+            flat.append(ids)
+            held += len(ids)
+            at_round = step[hit[at]] + tested[way[off]]
+            late = at_round >= self.ROUNDS
+            alone.append(left[off[late]])
+            off, at_round = off[~late], at_round[~late]
+            left, code, back = left[off], *np.unique(way[off] * self.ROUNDS + at_round, return_inverse=True)
+            unit, skips, tested = unit[code // self.ROUNDS], skips[code // self.ROUNDS] | np.uint64(1) << (code % self.ROUNDS).astype(np.uint64), code % self.ROUNDS + 1
+            way = back
+        for i in np.concatenate(alone).tolist():  # very long units, and very late skips
+            ids = np.array(self.vocabulary.segment(names[which[i]], int(keys[i]), self.cut), np.int32)
             start[i], count[i] = held, len(ids)
             flat.append(ids)
             held += len(ids)
-        return np.concatenate(flat) if flat else all_ids, start, count
+        return np.concatenate(flat), start, count
+
+    def _segments(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of units that have one of self.keys each."""
+        return self._follow(units, np.arange(len(units)), np.array(self.keys, np.uint64)[keys])
 
     def encode_all(self, texts: list[str | None], text_keys: list[str]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in texts]
@@ -255,13 +313,10 @@ class Encoder:
             nonlocal some, number, indexes
             if some:
                 lengths = np.array([len(v) for _, v in some])
-                code = np.fromiter((i for x in indexes for i in x), np.int64, int(lengths.sum())) * len(self.keys) + np.concatenate([v for _, v in some])
-                distinct, back = np.unique(code, return_inverse=True)
-                names = list(number)
-                flat, start, count = self._segments([names[i] for i in (distinct // len(self.keys)).tolist()], distinct % len(self.keys))
-                size = count[back]
+                which = np.fromiter((i for x in indexes for i in x), np.int64, int(lengths.sum()))
+                flat, start, size = self._follow(list(number), which, np.concatenate([v for _, v in some]))
                 ends = np.cumsum(size)
-                ids = flat[np.repeat(start[back] - (ends - size), size) + np.arange(int(size.sum()))]
+                ids = flat[np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))]
                 cuts = ends[np.cumsum(lengths) - 1]
                 for (i, _), piece in zip(some, np.split(ids, cuts[:-1]), strict=True):
                     out[i].append(piece)
@@ -275,7 +330,8 @@ class Encoder:
                 with np.errstate(over="ignore"):
                     h = np.arange(place, place + len(units), dtype=np.uint64) * np.uint64(_A) + seed
                     h = (h ^ (h >> np.uint64(30))) * np.uint64(_B)
-                some.append((i, ((h >> np.uint64(33)) % np.uint64(len(self.keys))).astype(np.int64)))
+                    h = (h ^ (h >> np.uint64(27))) * np.uint64(_C)
+                some.append((i, h ^ (h >> np.uint64(31))))
                 indexes.append([number.setdefault(u, len(number)) for u in units])
                 place, held = place + len(units), held + len(part)
                 if held > PART:
