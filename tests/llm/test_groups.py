@@ -80,6 +80,34 @@ def test_jaccard(make, monkeypatch, n, percent, block):
     assert [got[i] for i in range(len(texts))] == plain_components(texts, n, percent)
 
 
+@pytest.mark.parametrize("block", [2048, 5])
+def test_all_links_of_a_family(make, odd, empty, monkeypatch, block):
+    """Near copies in one component: every link between them is found, not only those that hold it together."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng, texts = random.Random(8), []
+    for size in (3, 40, 120):
+        base = [f"{rng.choice('abcdefgh')}{k}" for k in range(size)]
+        for _ in range(15):
+            copy = list(base)
+            copy[rng.randrange(size)] = f"z{rng.randrange(4)}"
+            texts.append(" ".join(copy[: size - rng.choice([0, 0, 1])]))
+    texts += [None, "", texts[20], texts[20]]
+    sets = []
+    for t in texts:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    near = lambda x, y: bool(x) and 100 * len(x & y) >= 85 * len(x | y)
+    want = [(len(x), sum(near(x, y) for j, y in enumerate(sets) if i != j)) for i, x in enumerate(sets)]
+    pairs, per = jaccard.links(make(texts))
+    got = {r.doc_id: (r.n_shingles, r.n_links) for r in per.collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(k for _, k in want) > 200
+    first = [i for i, x in enumerate(sets) if x and x not in sets[:i]]
+    want = sorted((i, j) for i in first for j in first if i < j and near(sets[i], sets[j]))
+    assert sorted((min(r), max(r)) for r in map(tuple, pairs.collect())) == want
+    if block == 5:
+        assert [r.n_links for r in jaccard.links(odd)[1].collect() if r.doc_id == 3] == [1, 1] and jaccard.links(empty)[1].count() == 0
+
+
 def test_linked_sets_share_a_key():
     """The pigeonhole argument, on random pairs at the threshold."""
     rng = np.random.default_rng(6)

@@ -16,6 +16,9 @@ segment. What is indexed is, for each segment, a hash of the subset that falls i
   rows, and are verified. Keys of more than 2 * BLOCK documents are compared block by block in different tasks. No
   link between different sets is lost to a component.
 - Verification intersects the two sets of shingle hashes.
+- links() also finds all links inside a component: documents that share a key are compared with each other, block by
+  block, a pair where it shares its least key, so that it is looked at once; the sets of a block's candidates are
+  brought to the block once, and no pair becomes a row before it is verified.
 
 Keys with many documents are aggregated before the shuffle, and the joins on them are plain ones that adaptive
 execution splits.
@@ -171,6 +174,34 @@ def shingle_array(text: Column, words: int) -> Column:
     return made(text)
 
 
+def _candidates(group: pd.DataFrame, percent: int) -> list[tuple[int, list[int]]]:
+    """Of a block pair, each row with its partners that share no lesser key and may be linked."""
+    row, n, block = (group[c].to_numpy() for c in ("row", "n", "block"))
+    vectors = np.frombuffer(b"".join(group["counts"]), np.uint8).reshape(len(group), 256).astype(np.int16)
+    key, two, out = group["key"].iloc[0], group["i"].iloc[0] != group["j"].iloc[0], []
+    lesser = [k[k < key] for k in group["keys"]]
+    flat, owner = np.concatenate(lesser), np.repeat(np.arange(len(row)), [len(k) for k in lesser])
+    order = np.argsort(flat, kind="stable")
+    names, begin = np.unique(flat[order], return_index=True)
+    members = np.split(owner[order], begin[1:]) if len(names) else []
+    places = [np.searchsorted(names, k) for k in lesser]
+    for x in range(len(row) - 1):
+        ok = 100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])
+        ok[: x + 1] = False
+        if two:
+            ok &= block != block[x]
+        for k in places[x]:
+            if len(members[k]) > 1:
+                ok[members[k]] = False
+        y = np.flatnonzero(ok)
+        if len(y):
+            apart = np.abs(vectors[y] - vectors[x]).sum(axis=1)
+            y = y[apart <= (n[y] + n[x]) * (100 - percent) // (100 + percent)]
+            if len(y):
+                out.append((row[x], row[y].tolist()))
+    return out
+
+
 def _near(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Pairs of a block pair that lie in two components and may be linked."""
     row, n, root, block = (group[c].to_numpy() for c in ("row", "n", "root", "block"))
@@ -188,6 +219,92 @@ def _near(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (key, row, others) as they meet: for each pair (i, j) of their key's blocks."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = rows.join(sizes, "key").withColumn("block", F.pmod(F.hash("row"), "blocks"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    return own.select(*rows.columns, "block", F.explode(met).alias("m")).select("*", "m.i", "m.j").drop("m")
+
+
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All links. First: a, b, the ids of the representatives of two linked classes of equal sets; each pair once.
+    Second: doc_id, n_shingles, n_links, the number of other rows that a row is linked with, copies among them; one row
+    for each row of docs."""
+    small_batches(docs.sparkSession)
+    rows, classes, held = indexed(docs, words, percent)
+    by = ["n", "h1", "h2"]
+    sizes = rows.where("n > 0").groupBy(by).agg(F.count("*").alias("size"))
+    # Keys that a document shares with none are of no use here, and the wide columns are shuffled by block only.
+    wide = rows.select("row", "n", "counts").join(held.groupBy("row").agg(F.collect_list("key").alias("keys")), "row")
+    own = in_blocks(held.select("key", "row")).join(wide, "row")
+
+    def run(frames):
+        for key, frame in whole_groups(frames):
+            found = _candidates(frame, percent)
+            if found:
+                met = [list({r for a, b in found for r in (a, *b)})] + [[] for _ in found[1:]]
+                yield pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "a": [a for a, _ in found], "bs": [b for _, b in found], "met": met})
+
+    own = own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = staged(own.mapInPandas(run, "key long, i int, j int, a long, bs array<long>, met array<long>"))
+    at = ["key", "i", "j"]
+    needed = near.select(*at, F.explode("met").alias("row"))
+    ids = classes.join(sizes, by).select("row", F.col("doc_id").alias("id"), F.col("h1").alias("k1"), "size")
+    ids = ids.join(needed.select("row").distinct(), "row")
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")))
+    # Rows that share an id but not the text are told apart by the hash of their set.
+    sets = texts.select("row", "k1", "size", shingle_array(F.col("text"), words).alias("set"))
+    sums = F.pandas_udf(lambda s: s.map(lambda x: xxhash.xxh64_intdigest(x.tobytes(), seed=1) - (1 << 63)), "long")
+    sets = staged(sets.where(sums("set") == F.col("k1")).groupBy("row").agg(F.first("set").alias("set"), F.first("size").alias("size")))
+
+    def verify(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        size = dict(zip(sets["row"], sets["size"], strict=True))
+        has = {r: x.view(np.uint64) for r, x in zip(sets["row"], sets["set"], strict=True)}
+        # Sets of a family share most hashes: as numbers of the block's distinct hashes, they are marks in one array.
+        distinct = np.unique(np.concatenate(list(has.values())))
+        has = {r: np.searchsorted(distinct, x) for r, x in has.items()}
+        mark, partners, n = np.zeros(len(distinct), bool), {}, {}
+        for a, bs in zip(pairs["a"], pairs["bs"], strict=True):
+            mark[has[a]] = True
+            for b in bs:
+                common = int(mark[has[b]].sum())
+                if 100 * common >= percent * (len(has[a]) + len(has[b]) - common):
+                    partners.setdefault(a, []).append(b)
+                    n[a], n[b] = n.get(a, 0) + size[b], n.get(b, 0) + size[a]
+            mark[has[a]] = False
+        rows = pd.DataFrame([(r, partners.get(r, []), k) for r, k in n.items()], columns=["row", "partners", "n"], dtype=object)
+        return rows.astype({"row": "int64", "n": "int64"})
+
+    sent = needed.join(sets, "row").select(*(F.col(c).alias(f"at_{c}") for c in at), "row", "size", "set")
+    found = near.groupBy(at).cogroup(sent.groupBy([f"at_{c}" for c in at])).applyInPandas(verify, "row long, partners array<long>, n long")
+    found = staged(found)
+    pairs = found.select("row", F.explode("partners").alias("other"))
+    name = classes.select(F.col("row").alias("r"), "doc_id")
+    pairs = pairs.join(name, F.col("row") == F.col("r")).select(F.col("doc_id").alias("a"), "other")
+    pairs = pairs.join(name, F.col("other") == F.col("r")).select("a", F.col("doc_id").alias("b"))
+    per = classes.join(sizes, by).join(found.groupBy("row").agg(F.sum("n").alias("far")), "row", "left")
+    per = per.select(*by, (F.coalesce("far", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    out = rows.select("doc_id", *by).join(per, by, "left")
+    return pairs, out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def whole_groups(frames):
+    """((key, i, j), rows) of each block pair, from frames in their order."""
+    held = None
+    for frame in frames:
+        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        name = held[["key", "i", "j"]].to_numpy()
+        cuts = np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1
+        if len(cuts):
+            bounds = np.concatenate([[0], cuts])
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield name[a], held.iloc[a:b]
+            held = held.iloc[cuts[-1] :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held[["key", "i", "j"]].to_numpy()[0], held
+
+
 def near_across(open_: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs with a common key and different roots that the counts don't rule out."""
 
@@ -205,10 +322,7 @@ def near_across(open_: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held):
             yield pd.DataFrame(_near(held, percent), columns=["a", "b"], dtype="int64")
 
-    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = open_.join(sizes, "key").withColumn("block", F.pmod(F.hash("row"), "blocks"))
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    own = own.select("key", "row", "n", "root", "counts", "block", F.explode(met).alias("m")).select("*", "m.i", "m.j").drop("m")
+    own = in_blocks(open_.select("key", "row", "n", "root", "counts"))
     return own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long")
 
 
@@ -238,9 +352,8 @@ def components(edges: DataFrame) -> DataFrame:
     return own.union(own.select(F.col("root").alias("node"), "root").distinct())
 
 
-def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of docs."""
-    small_batches(docs.sparkSession)
+def indexed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with their sketch; one row of each class of equal sets; key, row, least of the keys that several share."""
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), sketch(F.col("text"), words, percent).alias("s"))
     rows = staged(rows.select("doc_id", "row", "s.*"))
     some = rows.where("n > 0")
@@ -249,7 +362,14 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     classes = staged(some.groupBy(by).agg(first.alias("f")).select(*by, "f.doc_id", "f.row"))
     index = some.select("row", "keys").join(classes.select("row"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
     shared = index.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("last")).where("least < last")
-    held = staged(index.join(shared.select("key", "least"), "key"))
+    return rows, classes, staged(index.join(shared.select("key", "least"), "key"))
+
+
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of docs."""
+    small_batches(docs.sparkSession)
+    rows, classes, held = indexed(docs, words, percent)
+    by = ["n", "h1", "h2"]
     ids = classes.select("row", "doc_id", *by)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -297,6 +417,12 @@ def op6_jaccard(spark, sf_dir):
     return linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_links(spark, sf_dir):
+    from tracelex.llm.common import table
+
+    return links(table(spark, sf_dir, "documents").select("doc_id", "text"))[1]
+
+
 OP6_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -309,3 +435,14 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.b, r.root FROM
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
 """
+
+OP6_LINKS_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 3], ' ')) AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, count(*) AS k FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(e.k, 0)::BIGINT AS n_links FROM d LEFT JOIN n USING (doc_id) LEFT JOIN e ON e.a = d.doc_id
+"""

@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quotes": quotes.op4_quotes,
     "op5_fertility": fertility.op5_fertility,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op6_links": jaccard.op6_links,
     "op7_secrets": secrets.op7_secrets,
     "op8_shards": shards.op8_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
@@ -19,5 +20,6 @@ ORACLES = {
     "op2_warc": warc.OP2_SQL,
     "op4_quotes": quotes.OP4_SQL,
     "op6_jaccard": jaccard.OP6_SQL,
+    "op6_links": jaccard.OP6_LINKS_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
