@@ -134,6 +134,13 @@ def test_novelty_adds_spans_and_keeps_base_ones():
     assert not secrets.novel_spans("password reset_user_password_by_identifier and the token of ordinarysentences", [])
 
 
+@pytest.mark.parametrize("text", ["AWS_ACCESS_KEY=wJalrXUtnFEMI7K7MDENGbPxRfi", "x?signature=dGhpc0lzQVZlcnlTZWNyZXQx", "pwd=qZ7vK2mX9tR4wL8pB3nH",
+                                  "auth=qZ7vK2mX9tR4wL8pB3nH", "credential=qZ7vK2mX9tR4wL8pB3nH", "private_key=qZ7vK2mX9tR4wL8pB3nH"])
+def test_values_inside_a_run_are_measured(text):
+    value = text.split("=")[1]
+    assert [text[a:b] for a, b, _ in secrets.novel_spans(text, secrets.base_spans(text))] == [value]
+
+
 def test_redaction(make, odd, empty):
     docs = make(["x token = abcdefabcdef0 y", None, "plain"])
     rows = secrets.redact(docs).orderBy("doc_id").collect()

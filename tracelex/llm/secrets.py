@@ -2,7 +2,8 @@
 
 Base spans come from three patterns. The method adds spans of kind "novel": a run of key characters in a sensitive
 context is a candidate, and its marginal cost is the number of bytes by which it lengthens the zstandard frame of the
-text around it, with a dictionary of common code and identifiers behind both. Plain words and identifiers are cheap
+text around it, with a dictionary of common code and identifiers behind both. A run that a context ends in
+is a candidate from there on (KEY=value). Plain words and identifiers are cheap
 there; random strings cost nearly their own length, and are reported. One pandas UDF over whole texts, no shuffle.
 
 Cases: null is the empty text, which has no spans; candidates that overlap a base span add nothing; spans are code
@@ -87,12 +88,15 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], ratio: float = RATI
     runs = [m.span() for m in _CANDIDATE.finditer(text)]
     starts, near = [a for a, _ in runs], set()
     for at in contexts:
-        near.update(range(bisect.bisect_left(starts, at), bisect.bisect_right(starts, at + REACH)))
+        first = bisect.bisect_left(starts, at)
+        near.update(runs[first : bisect.bisect_right(starts, at + REACH)])
+        if first and runs[first - 1][1] - at >= 16:
+            near.add((at, runs[first - 1][1]))
     out, taken, k = [], sorted((a, b) for a, b, _ in base), 0
-    for a, b in (runs[i] for i in sorted(near)):
+    for a, b in sorted(near):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if _PLAIN.fullmatch(text, a, b) or any(x < b and a < y for x, y in taken[k : k + 3]):
+        if _PLAIN.fullmatch(text, a, b) or (out and out[-1][1] > a) or any(x < b and a < y for x, y in taken[k : k + 3]):
             continue
         cost = marginal_bytes(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])
         if cost >= least and cost >= ratio * (b - a):
