@@ -9,19 +9,21 @@ segment. What is indexed is, for each segment, a hash of the subset that falls i
 - A set of size n only emits its first H(n) + 1 segments that hold two shingles or more, in the scheme's order. The
   first such segment on which two linked sets agree comes after at most H that differ, so both emit it. A set
   with too few such segments emits all it has. Empty segments, which would gather unrelated sets, thus cost nothing.
-- Equal sets are one class, and only one document of a class is joined. Documents that share a key are not paired
-  with each other: each is paired with the least of them, verified, and components are formed. Then documents that
-  share a key across two components are compared by the counts of their shingles in 256 hash buckets: the sum of
-  the counts' differences is a lower bound of the symmetric difference, so that only pairs that may be linked become
-  rows, and are verified. Keys of more than 2 * BLOCK documents are compared block by block in different tasks. No
-  link between different sets is lost to a component.
+- Equal sets are one class, and only one document of a class is joined. Keys with the same documents are one key.
+  Documents that share a key are first each paired with the least of them, verified, and components are formed. Then
+  the documents of a key that lie in different components meet in the key's blocks, without becoming pairs of rows: a
+  task rules out what the sizes and the counts of shingles in 256 hash buckets rule out (the sum of the counts'
+  differences is a lower bound of the symmetric difference), the sets of what is left are brought to the block, and
+  the block verifies, unites, and returns the edges of a spanning forest of its components: fewer rows than the block
+  has documents. A component with more than a block's documents of a key has blocks of its own, which do not meet
+  each other. No link between different sets is lost to a component.
 - Verification intersects the two sets of shingle hashes.
 - links() also finds all links inside a component: documents that share a key are compared with each other, block by
   block, a pair where it shares its least key, so that it is looked at once; the sets of a block's candidates are
   brought to the block once, and no pair becomes a row before it is verified.
 
 Keys with many documents are aggregated before the shuffle, and the joins on them are plain ones that adaptive
-execution splits.
+execution splits. A block holds at most about BLOCK documents, or fewer whose sets take BLOCK_BYTES.
 
 Cases: null, empty and blank texts have empty sets and are linked with nothing; fewer than n words are one shingle of
 the whole sequence; null ids never become a component's id unless a whole component has none; repeated rows are
@@ -43,10 +45,10 @@ from tracelex.llm.common import small_batches, staged
 
 WORDS, PERCENT = 4, 85
 RATIO, CACHE = 1.6, 400_000
-#: Candidate ids that are broadcast, at most; beyond, texts are joined by shuffling.
-BROADCAST_IDS = 2_000_000
-#: Documents of a key that meet others in one task.
-BLOCK = 2048
+#: Bytes of ids that are broadcast, at most; beyond, documents are joined by shuffling.
+BROADCAST_BYTES = 32 << 20
+#: Documents of a key that meet others in one task, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 2048, 64 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -174,6 +176,22 @@ def shingle_array(text: Column, words: int) -> Column:
     return made(text)
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """needed (row, doc_id, th, and other columns) with the set of each row. Documents are found by id and the hash of
+    their text, so that rows that share an id, or have none, don't meet each other."""
+    near = staged(needed.withColumnsRenamed({"doc_id": "id", "th": "at"}))
+    known = F.broadcast(near) if near.count() * 16 * len(near.columns) <= BROADCAST_BYTES else near
+    own = docs.select("doc_id", "text", text_hash().alias("th"))
+    texts = own.join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("at")))
+    others = [c for c in near.columns if c not in ("id", "at", "row")]
+    sets = texts.select("row", *others, shingle_array(F.col("text"), words).alias("set"))
+    return staged(sets.groupBy("row").agg(*(F.first(c).alias(c) for c in [*others, "set"])))
+
+
 def _candidates(group: pd.DataFrame, percent: int) -> list[tuple[int, list[int]]]:
     """Of a block pair, each row with its partners that share no lesser key and may be linked."""
     row, n, block = (group[c].to_numpy() for c in ("row", "n", "block"))
@@ -202,12 +220,10 @@ def _candidates(group: pd.DataFrame, percent: int) -> list[tuple[int, list[int]]
     return out
 
 
-def _near(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a block pair that lie in two components and may be linked."""
-    row, n, root, block = (group[c].to_numpy() for c in ("row", "n", "root", "block"))
-    vectors = np.frombuffer(b"".join(group["counts"]), np.uint8).reshape(len(group), 256).astype(np.int16)
-    two, out = group["i"].iloc[0] != group["j"].iloc[0], []
-    for x in range(len(group) - 1):
+def _possible(n: np.ndarray, root: np.ndarray, block: np.ndarray, vectors: np.ndarray, two: bool, percent: int):
+    """For each row x of a block pair, the later rows of other components and (if there are two) of the other block
+    that sizes and counts don't rule out."""
+    for x in range(len(n) - 1):
         ok = (root[x + 1 :] != root[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
         if two:
             ok &= block[x + 1 :] != block[x]
@@ -215,18 +231,97 @@ def _near(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         if len(y):
             apart = np.abs(vectors[y] - vectors[x]).sum(axis=1)
             y = y[apart <= (n[y] + n[x]) * (100 - percent) // (100 + percent)]
-            out += [(min(row[x], r), max(row[x], r)) for r in row[y]]
+            if len(y):
+                yield x, y
+
+
+def _columns(group: pd.DataFrame) -> tuple:
+    vectors = np.frombuffer(b"".join(group["counts"]), np.uint8).reshape(len(group), 256).astype(np.int16)
+    n, root, block = (group[c].to_numpy() for c in ("n", "root", "block"))
+    return n, root, block, vectors, group["i"].iloc[0] != group["j"].iloc[0]
+
+
+def _spanning(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the components that links of this block pair unite."""
+    sets = [np.asarray(s).view(np.uint64) for s in group["set"]]
+    # The sets of a family share most hashes: as numbers of the distinct hashes, they are marks in one array.
+    distinct = np.unique(np.concatenate(sets))
+    sets = [np.searchsorted(distinct, s) for s in sets]
+    mark, up, out = np.zeros(len(distinct), bool), {}, []
+
+    def find(r: int) -> int:
+        while r in up:
+            r = up[r]
+        return r
+
+    n, root, block, vectors, two = _columns(group)
+    for x, ys in _possible(n, root, block, vectors, two, percent):
+        mark[sets[x]] = True
+        for y in ys.tolist():
+            a, b = find(root[x]), find(root[y])
+            if a != b:
+                common = int(mark[sets[y]].sum())
+                if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(root[x]), int(root[y])))
+        mark[sets[x]] = False
     return out
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """rows (key, row, others) as they meet: for each pair (i, j) of their key's blocks."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = rows.join(sizes, "key").withColumn("block", F.pmod(F.hash("row"), "blocks"))
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+def _weight() -> Column:
+    """Share of a block that a row takes: its set's bytes count if there are many."""
+    return F.greatest(F.lit(1.0), 8 * F.col("n") * BLOCK / BLOCK_BYTES)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """rows (key, row, n, root, others) as they meet, with block, i and j for each pair (i, j) of their key's blocks. A
+    root with more than a block of rows has blocks of its own; these meet all but each other."""
+    per = rows.groupBy("key", "root").agg(F.sum(_weight()).alias("w"))
+    big = F.collect_list(F.when(F.col("w") > BLOCK, F.struct("root", F.ceil(F.col("w") / BLOCK).cast("int").alias("k"))))
+    small = F.ceil(F.sum(F.when(F.col("w") <= BLOCK, F.col("w")).otherwise(0)) / BLOCK).cast("int")
+    plan = per.groupBy("key").agg(F.greatest(small, F.lit(1)).alias("small"), big.alias("big"))
+    owner = F.coalesce(F.array_position(F.transform("big", lambda b: b.root), F.col("root")), F.lit(0)).cast("int")
+    own = rows.join(plan, "key").withColumn("sizes", F.concat(F.array("small"), F.transform("big", lambda b: b.k))).withColumn("owner", owner)
+    name = lambda o, k: F.shiftleft(o.cast("long"), 32) + k
+    own = own.withColumn("block", name(F.col("owner"), F.pmod(F.hash("row"), F.get("sizes", F.col("owner")))))
+    others = F.filter(F.transform("sizes", lambda k, o: F.struct(o.alias("o"), k.alias("k"))), lambda s: (s.o != F.col("owner")) | (F.col("owner") == 0))
+    blocks = F.flatten(F.transform(others, lambda s: F.transform(F.sequence(F.lit(0), s.k - 1), lambda k: name(s.o, k))))
+    met = F.transform(blocks, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     return own.select(*rows.columns, "block", F.explode(met).alias("m")).select("*", "m.i", "m.j").drop("m")
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (key, row, n) as they meet: for each pair (i, j) of their key's blocks."""
+    return _met(rows.withColumn("root", F.lit(None).cast("long"))).drop("root")
+
+
+def by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def across(docs: DataFrame, open_: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: edges between roots, which span what the links between different roots unite. open_: key, row, n, root,
+    counts."""
+
+    def rest(frames):
+        for _, group in whole_groups(frames):
+            row, may = group["row"].to_numpy(), np.zeros(len(group), bool)
+            for x, y in _possible(*_columns(group), percent):
+                may[x] = may[y] = True
+            if may.any():
+                yield group.loc[may, ["key", "i", "j", "block", "row", "root"]]
+
+    def unite(frames):
+        for _, group in whole_groups(frames):
+            found = _spanning(group, percent)
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    left = staged(by_block(_met(open_)).mapInPandas(rest, "key long, i long, j long, block long, row long, root long"))
+    needed = ids.join(left.select("row").distinct(), "row").select("row", "doc_id", "th", "n", "counts")
+    return by_block(left.join(sets_of(docs, needed, words), "row")).mapInPandas(unite, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All links. First: a, b, the ids of the representatives of two linked classes of equal sets; each pair once.
     Second: doc_id, n_shingles, n_links, the number of other rows that a row is linked with, copies among them; one row
@@ -236,8 +331,8 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     by = ["n", "h1", "h2"]
     sizes = rows.where("n > 0").groupBy(by).agg(F.count("*").alias("size"))
     # Keys that a document shares with none are of no use here, and the wide columns are shuffled by block only.
-    wide = rows.select("row", "n", "counts").join(held.groupBy("row").agg(F.collect_list("key").alias("keys")), "row")
-    own = in_blocks(held.select("key", "row")).join(wide, "row")
+    wide = rows.select("row", "counts").join(held.groupBy("row").agg(F.collect_list("key").alias("keys")), "row")
+    own = in_blocks(held.select("key", "row").join(rows.select("row", "n"), "row")).join(wide, "row")
 
     def run(frames):
         for key, frame in whole_groups(frames):
@@ -246,17 +341,11 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
                 met = [list({r for a, b in found for r in (a, *b)})] + [[] for _ in found[1:]]
                 yield pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "a": [a for a, _ in found], "bs": [b for _, b in found], "met": met})
 
-    own = own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = staged(own.mapInPandas(run, "key long, i int, j int, a long, bs array<long>, met array<long>"))
+    near = staged(by_block(own).mapInPandas(run, "key long, i long, j long, a long, bs array<long>, met array<long>"))
     at = ["key", "i", "j"]
     needed = near.select(*at, F.explode("met").alias("row"))
-    ids = classes.join(sizes, by).select("row", F.col("doc_id").alias("id"), F.col("h1").alias("k1"), "size")
-    ids = ids.join(needed.select("row").distinct(), "row")
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")))
-    # Rows that share an id but not the text are told apart by the hash of their set.
-    sets = texts.select("row", "k1", "size", shingle_array(F.col("text"), words).alias("set"))
-    sums = F.pandas_udf(lambda s: s.map(lambda x: xxhash.xxh64_intdigest(x.tobytes(), seed=1) - (1 << 63)), "long")
-    sets = staged(sets.where(sums("set") == F.col("k1")).groupBy("row").agg(F.first("set").alias("set"), F.first("size").alias("size")))
+    ids = classes.join(sizes, by).select("row", "doc_id", "th", "size")
+    sets = sets_of(docs, ids.join(needed.select("row").distinct(), "row"), words)
 
     def verify(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         size = dict(zip(sets["row"], sets["size"], strict=True))
@@ -305,27 +394,6 @@ def whole_groups(frames):
         yield held[["key", "i", "j"]].to_numpy()[0], held
 
 
-def near_across(open_: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs with a common key and different roots that the counts don't rule out."""
-
-    def run(frames):
-        held = None
-        for frame in frames:
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            name = held[["key", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1
-            if len(cuts):
-                bounds = np.concatenate([[0], cuts])
-                found = [p for a, b in zip(bounds[:-1], bounds[1:], strict=True) for p in _near(held.iloc[a:b], percent)]
-                held = held.iloc[cuts[-1] :].reset_index(drop=True)
-                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if held is not None and len(held):
-            yield pd.DataFrame(_near(held, percent), columns=["a", "b"], dtype="int64")
-
-    own = in_blocks(open_.select("key", "row", "n", "root", "counts"))
-    return own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node reachable) of every node with an edge: alternating large and small stars, each round
     written to the shared folder."""
@@ -353,16 +421,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def indexed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows with their sketch; one row of each class of equal sets; key, row, least of the keys that several share."""
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), sketch(F.col("text"), words, percent).alias("s"))
-    rows = staged(rows.select("doc_id", "row", "s.*"))
+    """All rows with their sketch; one row of each class of equal sets; key, row, least of the keys that several share,
+    one key for each set of rows."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_hash().alias("th"), sketch(F.col("text"), words, percent).alias("s"))
+    rows = staged(rows.select("doc_id", "row", "th", "s.*"))
     some = rows.where("n > 0")
     by = ["n", "h1", "h2"]
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    classes = staged(some.groupBy(by).agg(first.alias("f")).select(*by, "f.doc_id", "f.row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "th"))
+    classes = staged(some.groupBy(by).agg(first.alias("f")).select(*by, "f.doc_id", "f.row", "f.th"))
     index = some.select("row", "keys").join(classes.select("row"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
     shared = index.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("last")).where("least < last")
-    return rows, classes, staged(index.join(shared.select("key", "least"), "key"))
+    held = staged(index.join(shared, "key"))
+    # Near copies share most of their keys: of keys with the same rows (their number and 128 bits of hashes say so), one is enough.
+    sums = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    alike = held.groupBy("key", "least", "last").agg(F.count("*").alias("c"), *sums).groupBy("least", "last", "c", "x1", "x2")
+    return rows, classes, staged(held.join(alike.agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select("key", "row", "least"))
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -370,31 +443,19 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     small_batches(docs.sparkSession)
     rows, classes, held = indexed(docs, words, percent)
     by = ["n", "h1", "h2"]
-    ids = classes.select("row", "doc_id", *by)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are linked."""
-        pairs = staged(pairs.distinct())
-        near = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        near = staged(ids.join(near, "row").select("row", F.col("doc_id").alias("id"), F.col("h1").alias("k1"), F.col("h2").alias("k2")))
-        known = F.broadcast(near) if near.count() <= BROADCAST_IDS else near
-        texts = docs.select("doc_id", "text").join(known, F.col("doc_id").eqNullSafe(F.col("id")))
-        # Rows that share an id but not the text are told apart by the hash of their set.
-        sets = texts.select("row", "k1", "k2", shingle_array(F.col("text"), words).alias("set"))
-        sums = F.pandas_udf(lambda s: s.map(lambda x: xxhash.xxh64_intdigest(x.tobytes(), seed=1) - (1 << 63)), "long")
-        sets = staged(sets.where(sums("set") == F.col("k1")).groupBy("row").agg(F.first("set").alias("set")))
-        out = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a")
-        out = out.join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return out.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-    links = staged(verified(held.where("row > least").select(F.col("least").alias("a"), F.col("row").alias("b"))))
+
+    pairs = staged(held.where("row > least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct())
+    near = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = sets_of(docs, classes.select("row", "doc_id", "th").join(near, "row"), words)
+    found = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a")
+    found = found.join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = staged(found.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
     roots = staged(components(links))
     placed = held.join(roots, held["row"] == roots["node"], "left").select("key", "row", F.coalesce("root", "row").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(split, "key", "left_semi").join(rows.select("row", "n", "counts"), "row")
-    across = near_across(open_, percent)
-    more = staged(verified(across))
+    open_ = staged(placed.join(split, "key", "left_semi").join(rows.select("row", "n", "counts"), "row"))
+    more = staged(across(docs, open_, rows.select("row", "doc_id", "th", "n", "counts"), words, percent))
     if more.limit(1).count():
         roots = staged(components(links.union(more)))
     named = classes.join(roots, classes["row"] == roots["node"], "left").select(*by, "doc_id", F.coalesce("root", "row").alias("root"))
@@ -405,9 +466,11 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are linked to one with a smaller id; rows that share an id are one document."""
-    gone = staged(linked(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    """docs without the documents that are linked to one with a smaller id; rows that share an id are one document. Null
+    ids stay, unless they are linked to a document with an id; columns of docs may have any names."""
+    own = linked(docs.select("doc_id", "text"), words, percent)
+    gone = staged(own.where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct())
+    gone = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
