@@ -33,6 +33,7 @@ copies; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -192,42 +193,33 @@ def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return staged(sets.groupBy("row").agg(*(F.first(c).alias(c) for c in [*others, "set"])))
 
 
-def _candidates(group: pd.DataFrame, percent: int) -> list[tuple[int, list[int]]]:
-    """Of a block pair, each row with its partners that share no lesser key and may be linked."""
-    row, n, block = (group[c].to_numpy() for c in ("row", "n", "block"))
-    vectors = np.frombuffer(b"".join(group["counts"]), np.uint8).reshape(len(group), 256).astype(np.int16)
-    key, two, out = group["key"].iloc[0], group["i"].iloc[0] != group["j"].iloc[0], []
-    lesser = [k[k < key] for k in group["keys"]]
-    flat, owner = np.concatenate(lesser), np.repeat(np.arange(len(row)), [len(k) for k in lesser])
-    order = np.argsort(flat, kind="stable")
-    names, begin = np.unique(flat[order], return_index=True)
-    members = np.split(owner[order], begin[1:]) if len(names) else []
-    places = [np.searchsorted(names, k) for k in lesser]
-    for x in range(len(row) - 1):
+def _candidates(g: dict, percent: int):
+    """Of the columns of a block pair, each place with the later ones that sizes and counts don't rule out, in another
+    component (where there is a root) and in the other block (where there are two). Where rows have their keys, a pair
+    that shares a lesser key is left to that key."""
+    n, block, two, m = g["n"], g["block"], g["i"][0] != g["j"][0], len(g["n"])
+    vectors = np.frombuffer(b"".join(g["counts"]), np.uint8).reshape(m, 256).astype(np.int16)
+    places, members = [()] * m, []
+    if "keys" in g:
+        lesser = [k[k < g["key"][0]] for k in g["keys"]]
+        flat, owner = np.concatenate(lesser), np.repeat(np.arange(m), [len(k) for k in lesser])
+        order = np.argsort(flat, kind="stable")
+        names, begin, times = np.unique(flat[order], return_index=True, return_counts=True)
+        members = [owner[order[b : b + t]] for b, t in zip(begin.tolist(), times.tolist(), strict=True) if t > 1]
+        places = [[] for _ in range(m)]
+        for c, own in enumerate(members):
+            for x in own.tolist():
+                places[x].append(c)
+    for x in range(m - 1):
         ok = 100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])
         ok[: x + 1] = False
+        if "root" in g:
+            ok &= g["root"] != g["root"][x]
         if two:
             ok &= block != block[x]
-        for k in places[x]:
-            if len(members[k]) > 1:
-                ok[members[k]] = False
+        for c in places[x]:
+            ok[members[c]] = False
         y = np.flatnonzero(ok)
-        if len(y):
-            apart = np.abs(vectors[y] - vectors[x]).sum(axis=1)
-            y = y[apart <= (n[y] + n[x]) * (100 - percent) // (100 + percent)]
-            if len(y):
-                out.append((row[x], row[y].tolist()))
-    return out
-
-
-def _possible(n: np.ndarray, root: np.ndarray, block: np.ndarray, vectors: np.ndarray, two: bool, percent: int):
-    """For each row x of a block pair, the later rows of other components and (if there are two) of the other block
-    that sizes and counts don't rule out."""
-    for x in range(len(n) - 1):
-        ok = (root[x + 1 :] != root[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
-        if two:
-            ok &= block[x + 1 :] != block[x]
-        y = np.flatnonzero(ok) + x + 1
         if len(y):
             apart = np.abs(vectors[y] - vectors[x]).sum(axis=1)
             y = y[apart <= (n[y] + n[x]) * (100 - percent) // (100 + percent)]
@@ -235,15 +227,9 @@ def _possible(n: np.ndarray, root: np.ndarray, block: np.ndarray, vectors: np.nd
                 yield x, y
 
 
-def _columns(group: pd.DataFrame) -> tuple:
-    vectors = np.frombuffer(b"".join(group["counts"]), np.uint8).reshape(len(group), 256).astype(np.int16)
-    n, root, block = (group[c].to_numpy() for c in ("n", "root", "block"))
-    return n, root, block, vectors, group["i"].iloc[0] != group["j"].iloc[0]
-
-
-def _spanning(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+def _spanning(g: dict, percent: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the components that links of this block pair unite."""
-    sets = [np.asarray(s).view(np.uint64) for s in group["set"]]
+    root, sets = g["root"], [np.asarray(s).view(np.uint64) for s in g["set"]]
     # The sets of a family share most hashes: as numbers of the distinct hashes, they are marks in one array.
     distinct = np.unique(np.concatenate(sets))
     sets = [np.searchsorted(distinct, s) for s in sets]
@@ -254,8 +240,7 @@ def _spanning(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
             r = up[r]
         return r
 
-    n, root, block, vectors, two = _columns(group)
-    for x, ys in _possible(n, root, block, vectors, two, percent):
+    for x, ys in _candidates(g, percent):
         mark[sets[x]] = True
         for y in ys.tolist():
             a, b = find(root[x]), find(root[y])
@@ -304,20 +289,22 @@ def across(docs: DataFrame, open_: DataFrame, ids: DataFrame, words: int, percen
     counts."""
 
     def rest(frames):
-        for _, group in whole_groups(frames):
-            row, may = group["row"].to_numpy(), np.zeros(len(group), bool)
-            for x, y in _possible(*_columns(group), percent):
+        for _, g in whole_groups(frames):
+            may = np.zeros(len(g["n"]), bool)
+            for x, y in _candidates(g, percent):
                 may[x] = may[y] = True
             if may.any():
-                yield group.loc[may, ["key", "i", "j", "block", "row", "root"]]
+                yield pd.DataFrame({c: g[c][may] for c in ("key", "i", "j", "block", "row", "root")})
 
     def unite(frames):
-        for _, group in whole_groups(frames):
-            found = _spanning(group, percent)
+        for _, g in whole_groups(frames):
+            found = _spanning(g, percent)
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    left = staged(by_block(_met(open_)).mapInPandas(rest, "key long, i long, j long, block long, row long, root long"))
+    wide = open_.groupBy("row").agg(F.collect_list("key").alias("keys"), F.first("counts").alias("counts"))
+    met = _met(open_.drop("counts")).join(wide, "row")
+    left = staged(by_block(met).mapInPandas(rest, "key long, i long, j long, block long, row long, root long"))
     needed = ids.join(left.select("row").distinct(), "row").select("row", "doc_id", "th", "n", "counts")
     return by_block(left.join(sets_of(docs, needed, words), "row")).mapInPandas(unite, "a long, b long").distinct()
 
@@ -335,8 +322,8 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     own = in_blocks(held.select("key", "row").join(rows.select("row", "n"), "row")).join(wide, "row")
 
     def run(frames):
-        for key, frame in whole_groups(frames):
-            found = _candidates(frame, percent)
+        for key, g in whole_groups(frames):
+            found = [(g["row"][x], g["row"][y].tolist()) for x, y in _candidates(g, percent)]
             if found:
                 met = [list({r for a, b in found for r in (a, *b)})] + [[] for _ in found[1:]]
                 yield pd.DataFrame({"key": key[0], "i": key[1], "j": key[2], "a": [a for a, _ in found], "bs": [b for _, b in found], "met": met})
@@ -379,19 +366,19 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
 
 
 def whole_groups(frames):
-    """((key, i, j), rows) of each block pair, from frames in their order."""
+    """((key, i, j), columns) of each block pair, from frames in their order."""
     held = None
-    for frame in frames:
-        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        name = held[["key", "i", "j"]].to_numpy()
-        cuts = np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1
-        if len(cuts):
-            bounds = np.concatenate([[0], cuts])
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                yield name[a], held.iloc[a:b]
-            held = held.iloc[cuts[-1] :].reset_index(drop=True)
-    if held is not None and len(held):
-        yield held[["key", "i", "j"]].to_numpy()[0], held
+    for frame in itertools.chain(frames, [None]):
+        if frame is not None:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if held is None or not len(held):
+            continue
+        columns = {c: held[c].to_numpy() for c in held.columns}
+        name = np.stack([columns[c] for c in ("key", "i", "j")], axis=1)
+        cuts = [0, *(np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1).tolist()]
+        for a, b in itertools.pairwise(cuts if frame is not None else [*cuts, len(held)]):
+            yield tuple(name[a].tolist()), {c: v[a:b] for c, v in columns.items()}
+        held = held.iloc[cuts[-1] :].reset_index(drop=True) if frame is not None else None
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -431,7 +418,7 @@ def indexed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     classes = staged(some.groupBy(by).agg(first.alias("f")).select(*by, "f.doc_id", "f.row", "f.th"))
     index = some.select("row", "keys").join(classes.select("row"), "row", "left_semi").select("row", F.explode("keys").alias("key"))
     shared = index.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("last")).where("least < last")
-    held = staged(index.join(shared, "key"))
+    held = index.join(shared, "key")
     # Near copies share most of their keys: of keys with the same rows (their number and 128 bits of hashes say so), one is enough.
     sums = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
     alike = held.groupBy("key", "least", "last").agg(F.count("*").alias("c"), *sums).groupBy("least", "last", "c", "x1", "x2")
