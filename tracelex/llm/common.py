@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,9 +28,12 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset (tests, a laptop), a temporary folder is taken and kept in the session's setting."""
+    Where that is unset and the master is local (tests, a laptop), a temporary folder is taken and kept in the session's
+    setting; on a cluster, whose executors couldn't see it, that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracelex.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-tracelex-", dir="/tmp")
         spark.conf.set("tracelex.shared.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -43,6 +47,13 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores in front as it takes for df to have no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
