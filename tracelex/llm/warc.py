@@ -2,7 +2,9 @@
 
 `write` makes WARC files (a gzip member per record) and the index: capture lines sorted by reversed-host URL key, cut
 into compressed blocks, and a sparse directory with one row for each block. `read_all` walks the directory, decodes
-each block and range-reads its records; `lookup` binary-searches the directory, then the block, for given URLs.
+each block and range-reads its records; `lookup` binary-searches the directory for given URLs, brings the keys to their
+blocks, decodes each block once, binary-searches it, and range-reads the records. A key that fills many blocks is read
+by as many tasks as these make. The query looks up the URLs of all pages.
 Files lie in the shared folder and are reached through pyarrow's file systems. A task names its file anew at each
 attempt and hands over what it wrote as rows, which are staged; what a lost attempt wrote is never pointed at.
 
@@ -12,7 +14,8 @@ that adaptive execution can split, after aggregation to one row for each digest;
 so that a host with a third of all pages spreads over many blocks.
 
 Cases: a null html is an empty payload; null or broken URLs get the key they can; null page_ids are kept as null;
-an empty table writes an empty archive; further columns are ignored.
+an empty table writes an empty archive; further columns, whatever their names, are ignored. `pages` has no capture times:
+WARC-Date is a parameter. Each file begins with a warcinfo record, which the index doesn't list.
 """
 
 from __future__ import annotations
@@ -67,11 +70,11 @@ def page_of(name: str) -> int | None:
     return int(number) if number else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
     body = b"" if revisit else payload
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"WARC-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(body)}",
     ]
@@ -80,6 +83,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n", 1, mtime=0)
 
 
+def info(date: str) -> bytes:
+    body = b"software: tracelex\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 1, mtime=0)
+
+
 def parse(member: bytes) -> dict:
     data = zlib.decompress(member, 31)
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -105,7 +114,7 @@ def _ints(frame: pd.DataFrame, *names: str) -> pd.DataFrame:
     return frame.astype({n: "Int64" for n in names})
 
 
-def _write_part(base: str):
+def _write_part(base: str, date: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, top = _at(base)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
@@ -113,10 +122,11 @@ def _write_part(base: str):
             rows = []
             for page_id, url, html, response in zip(*(frame[c] for c in ("page_id", "url", "html", "response")), strict=True):
                 own, best = (None if pd.isna(x) else int(x) for x in (page_id, response))
-                data = record(own, url, (html or "").encode(), best, own != best)
+                data = record(own, url, (html or "").encode(), best, own != best, date)
                 if out is None:
                     store.create_dir(top, recursive=True)
                     out = store.open_output_stream(f"{top}/{name}", compression=None)
+                    at = out.write(info(date))
                 out.write(data)
                 rows.append((url_key(url), own, name, at, len(data)))
                 at += len(data)
@@ -235,19 +245,28 @@ class Archive:
             return found.mapInPandas(fetch, RECORD)
         blocks = self.spark.sparkContext.broadcast(sorted(map(tuple, self.directory.collect())))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            reader, firsts, lasts = Reader(base), [b[0] for b in blocks.value], [b[1] for b in blocks.value]
+        def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            firsts, lasts = [b[0] for b in blocks.value], [b[1] for b in blocks.value]
+            for frame in frames:
+                rows = [(k, *b[2:5]) for k in frame["key"] for b in blocks.value[bisect.bisect_left(lasts, k) : bisect.bisect_right(firsts, k)]]
+                yield pd.DataFrame(rows, columns=["key", "file", "offset", "length"]).astype({"offset": "int64", "length": "int64"})
+
+        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            reader, at, entries, names = Reader(base), None, [], []
             for frame in frames:
-                for k in frame["key"]:
-                    for b in blocks.value[bisect.bisect_left(lasts, k) : bisect.bisect_right(firsts, k)]:
-                        entries = reader.block(*b[2:5])
+                wanted: list[list[str]] = []
+                for k, *block in zip(frame["key"], frame["file"], frame["offset"], frame["length"], strict=True):
+                    if block != at:
+                        at, entries = block, reader.block(*block)
                         names = [e[0] for e in entries]
-                        yield from _frames(reader.records(entries[bisect.bisect_left(names, k) : bisect.bisect_right(names, k)]))
+                    wanted += entries[bisect.bisect_left(names, k) : bisect.bisect_right(names, k)]
+                yield from _frames(reader.records(wanted))
 
-        return keys.mapInPandas(run, RECORD)
+        found = keys.mapInPandas(search, "key string, file string, offset long, length long")
+        return found.repartition("file", "offset").sortWithinPartitions("file", "offset", "key").mapInPandas(read, RECORD)
 
 
-def write(pages: DataFrame, base: str | None = None, block_lines: int = BLOCK_LINES) -> Archive:
+def write(pages: DataFrame, base: str | None = None, block_lines: int = BLOCK_LINES, date: str = DATE) -> Archive:
     """Write page_id, url, html as an indexed archive."""
     spark = pages.sparkSession
     small_batches(spark)
@@ -256,7 +275,7 @@ def write(pages: DataFrame, base: str | None = None, block_lines: int = BLOCK_LI
     own = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("sum"), F.octet_length(html).alias("n"))
     best = own.groupBy("sum", "n").agg(F.max("page_id").alias("response"))
     records = own.join(best, ["sum", "n"]).select("page_id", "url", "html", "response")
-    entries = staged(records.mapInPandas(_write_part(f"{base}/warc"), ENTRY).withColumn("file", F.concat(F.lit("warc/"), "file")))
+    entries = staged(records.mapInPandas(_write_part(f"{base}/warc", date), ENTRY).withColumn("file", F.concat(F.lit("warc/"), "file")))
     parts = spark.sparkContext.defaultParallelism
     ordered = entries.repartitionByRange(parts, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id")
     directory = ordered.mapInPandas(_write_blocks(f"{base}/index", block_lines), DIRECTORY)
@@ -266,7 +285,8 @@ def write(pages: DataFrame, base: str | None = None, block_lines: int = BLOCK_LI
 def op2_warc(spark, sf_dir):
     from tracelex.llm.common import table
 
-    out = write(table(spark, sf_dir, "pages").select("page_id", "url", "html")).read_all()
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = write(pages).lookup(pages.select("url"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
