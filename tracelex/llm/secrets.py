@@ -2,12 +2,18 @@
 
 Base spans come from three patterns. The method adds spans of kind "novel": a run of key characters in a sensitive
 context is a candidate, and its marginal cost is the number of bytes by which it lengthens the zstandard frame of the
-text around it, with a dictionary of common code and identifiers behind both. A run that a context ends in
-is a candidate from there on (KEY=value). Plain words and identifiers are cheap
-there; random strings cost nearly their own length, and are reported. One pandas UDF over whole texts, no shuffle.
+text around it, primed with a dictionary. A run that a context ends in is a candidate from there on (KEY=value). What the
+dictionary or the surroundings know is cheap; random strings cost nearly their own length, and are reported. Runs of
+words of one case, joined by separators or capitals, must cost more.
+
+The dictionary is trained (zstandard's own training) on the driver from a bounded source, the text of the modules of
+Python's library named below, 2 KB at a time. The `identifiers` most frequent names of the corpus (words joined by
+underscores or by capitals, without digits, so that no key enters), counted over all texts, are put behind it. It has
+`size` bytes, whatever the corpus. Apart from that count, one pandas UDF over whole texts, no shuffle.
 
 Cases: null is the empty text, which has no spans; candidates that overlap a base span add nothing; spans are code
-points with an exclusive end; repeated rows are scanned one by one; other columns are kept.
+points with an exclusive end; repeated rows are scanned one by one; an empty table gives an empty one; other columns,
+whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelex.llm.common import small_batches
+from tracelex.llm.common import small_batches, unused
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -37,38 +43,56 @@ _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
-# Words that make the text after them sensitive, and the code that primes the compressor.
+# Words that make the text after them sensitive, and modules of Python's library whose source is common code.
 SENSITIVE = "password passwd pwd secret token apikey api_key auth authorization bearer credential private_key client_secret access_key signature connection_string"
-CODE = """def class return import from self None True False public static void final private protected string int float const let var function async await
-export default require module config settings environment variable value name key id user username email address account service client server host
-port url path file folder data table index query select insert update delete where group order join http https localhost example.com www api v1 v2
-request response header content type application json xml html text plain charset utf-8 authorization bearer token secret password access credential
-session cookie cache database connection string driver version release build test debug error warning message logger handler manager factory builder
-controller repository interface abstract implements extends throws exception try catch finally while for if else switch case break continue
-DATABASE_URL API_KEY ACCESS_TOKEN CLIENT_ID CLIENT_SECRET get_user_by_id set_value update_config load_settings my_variable_name camelCaseIdentifier
-your_password_here changeme placeholder xxxxxxxx example_token_value test_secret_key abcdefghijklmnopqrstuvwxyz 0123456789 the and of to in that"""
+MODULES = "argparse ast base64 calendar configparser csv datetime decimal email.message ftplib functools getpass hashlib hmac http.client http.server imaplib json.decoder logging logging.config multiprocessing.pool netrc os pathlib pickle platform random secrets shutil smtplib socket sqlite3 ssl string subprocess tarfile tempfile threading typing unittest.case urllib.parse urllib.request uuid zipfile"
+#: Bytes of the dictionary, of a sample it is trained on, and how many of the corpus' identifiers are among the samples.
+DICTIONARY, CHUNK, IDENTIFIERS = 64 << 10, 2048, 1024
+IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[a-z]{2,}(?:_[a-z]{2,}){1,5}|[A-Z]{2,}(?:_[A-Z]{2,}){1,5}|[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,}){1,5})(?![A-Za-z0-9_])"
 
 _CONTEXT = re.compile(rf"(?:{'|'.join(SENSITIVE.split())})[^\n]{{0,24}}?[\s:=\"'(\[]", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Words of one case with separators between them are no key, however rare.
-_PLAIN = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_.=-]+|$))+")
-AROUND, REACH = 200, 64
-#: Least share of a candidate's own length that it must cost, and least cost in bytes.
-RATIO, BYTES = 0.72, 12
+#: Words of one case, joined by separators or capitals.
+_PLAIN = re.compile(r"(?:[A-Z]?[a-z]{2,}(?:[+/_.=-]+|(?=[A-Z])|$)|[A-Z]{2,}(?:[+/_.=-]+|$))+")
+#: Characters of the surroundings on either side, and how far after a sensitive word's end a candidate may begin.
+AROUND, REACH = (100, 200, 400), 128
+#: Least share of a candidate's own length that it must cost (a plain one more), and least cost in bytes.
+RATIO, PLAIN_RATIO, BYTES = 0.66, 0.85, 12
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY, identifiers: int = IDENTIFIERS) -> bytes:
+    """The trained dictionary; docs: text."""
+    import importlib
+    import inspect
+
+    import zstandard
+
+    found = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(IDENTIFIER), F.lit(0))).alias("name"))
+    ranked = found.groupBy("name").count().orderBy(F.desc("count"), "name").limit(identifiers)
+    names = "\n".join(r["name"] for r in ranked.collect()).encode()[: size // 4]
+    source = [inspect.getsource(importlib.import_module(m)) for m in MODULES.split()]
+    samples = [x[at : at + CHUNK].encode() for x in source for at in range(0, len(x), CHUNK)]
+    # What follows a trained dictionary's tables is plain content, the end of which is nearest to a frame.
+    return zstandard.train_dictionary(size - len(names), samples).as_bytes() + names
 
 
-@functools.lru_cache(maxsize=1)
-def compressor():
+@functools.lru_cache(maxsize=2)
+def compressor(primed: bytes):
     import zstandard
 
-    primed = zstandard.ZstdCompressionDict(CODE.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False)
+    own = zstandard.ZstdCompressionDict(primed)
+    own.precompute_compress(level=9)
+    return zstandard.ZstdCompressor(level=9, dict_data=own, write_checksum=False, write_content_size=False).compress
 
 
-def marginal_bytes(before: str, candidate: str, after: str) -> int:
-    around = (before + after).encode()
-    squeeze = compressor().compress
-    return len(squeeze(around + candidate.encode())) - len(squeeze(around))
+def marginal_bytes(text: str, start: int, end: int, primed: bytes) -> int:
+    """By how many bytes a span lengthens the frame of what is around it: the median over surroundings of three sizes,
+    since a frame's own coding changes in steps."""
+    squeeze, own, costs = compressor(primed), text[start:end].encode(), []
+    for n in AROUND:
+        around = (text[max(0, start - n) : start] + text[end : end + n]).encode()
+        costs.append(len(squeeze(around + own)) - len(squeeze(around)))
+    return sorted(costs)[len(costs) // 2]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -81,7 +105,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], ratio: float = RATIO, least: int = BYTES) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], primed: bytes, ratio: float = RATIO, plain: float = PLAIN_RATIO, least: int = BYTES) -> list[tuple[int, int, str]]:
     contexts = [m.end() for m in _CONTEXT.finditer(text)]
     if not contexts:
         return []
@@ -96,10 +120,10 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], ratio: float = RATI
     for a, b in sorted(near):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if _PLAIN.fullmatch(text, a, b) or (out and out[-1][1] > a) or any(x < b and a < y for x, y in taken[k : k + 3]):
+        if (out and out[-1][1] > a) or any(x < b and a < y for x, y in taken[k : k + 3]):
             continue
-        cost = marginal_bytes(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND])
-        if cost >= least and cost >= ratio * (b - a):
+        cost = marginal_bytes(text, a, b, primed)
+        if cost >= least and cost >= (plain if _PLAIN.fullmatch(text, a, b) else ratio) * (b - a):
             out.append((a, b, "novel"))
     return out
 
@@ -121,7 +145,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
 FIELDS = "n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, redacted string"
 
 
-def scan(text: Column, mark: str | None = None) -> Column:
+def scan(text: Column, primed: bytes, mark: str | None = None) -> Column:
     """A struct column of FIELDS; redacted is null without a mark, or if nothing was found."""
 
     @F.pandas_udf(FIELDS)
@@ -130,7 +154,7 @@ def scan(text: Column, mark: str | None = None) -> Column:
         for text in texts:
             text = text or ""
             base = base_spans(text)
-            novel = novel_spans(text, base)
+            novel = novel_spans(text, base, primed)
             spans = sorted(base + novel, key=lambda s: (s[0], KINDS.index(s[2])))
             counts = [sum(s[2] == kind for s in spans) for kind in KINDS]
             clean = redacted(text, spans, mark) if mark is not None and spans else None
@@ -140,13 +164,11 @@ def scan(text: Column, mark: str | None = None) -> Column:
     return made(text)
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", primed: bytes | None = None) -> DataFrame:
     """docs with every span replaced by mark; n_chars, where docs has it, follows the text."""
     small_batches(docs.sparkSession)
-    name = "found"
-    while name in docs.columns:
-        name = f"_{name}"
-    out = docs.withColumn(name, scan(F.col("text"), mark)["redacted"])
+    name = unused(docs, "found")
+    out = docs.withColumn(name, scan(F.col("text"), primed or dictionary(docs), mark)["redacted"])
     changed = {"text": F.coalesce(name, "text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length(name)).cast(docs.schema["n_chars"].dataType)
@@ -158,5 +180,5 @@ def op7_secrets(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     small_batches(spark)
-    out = docs.select("doc_id", scan(F.col("text")).alias("s"))
-    return out.select("doc_id", *(f"s.{c}" for c in ("n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans")))
+    out = docs.select("doc_id", scan(F.col("text"), dictionary(docs)).alias("s"))
+    return out.select("doc_id", *(f"s.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")))
