@@ -6,10 +6,12 @@ bytes; since suffixes reach each queue in order, a queue is a run on disk that i
 queue's tuples carry a suffix's position, the bytes before it (refilled eight at a time, so that the text is
 rarely read at random), and the length of the prefix it shares with the tuple before it. That length is 1 more than
 the least one between the two suffixes that induced the neighbours. The minima themselves are sorted by the same
-two passes over the strings between them, and then by doubling of their names up to K bytes.
+two passes over the strings between them, and then by doubling of their names up to K bytes: the names' alphabet is as
+large as the text, too large for queues of single bytes, and K bounds the rounds.
 
-What is held in memory is a few blocks; queues, text and ranks beyond `memory` bytes lie in an unnamed scratch file
-of the task, which goes away with it.
+What is held in memory is a few blocks and at most PART tuples of each queue. Queues beyond `memory` bytes, and arrays
+(text, minima, names, ranks, flags) beyond a quarter of it, lie in unnamed scratch files of the task, which go away with
+it; all passes over arrays go block by block.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ import tempfile
 import numpy as np
 
 SEPARATOR = 0xFF  # no byte of UTF-8
-BLOCK = 1 << 18
-KINDS = {"pos": np.int64, "lcp": np.uint8, "tail": np.uint64, "left": np.uint8}
+BLOCK, PART = 1 << 18, 1 << 12
 
 
 class Store:
-    """Arrays in memory up to a budget, and in a scratch file beyond."""
+    """Arrays in memory up to a budget, and in a scratch file beyond. The place of a dropped array is used again."""
 
     def __init__(self, memory: int):
-        self.memory, self.used, self.file, self.end = memory, 0, None, 0
+        self.memory, self.used, self.file, self.end, self.free = memory, 0, None, 0, {}
 
     def put(self, a: np.ndarray):
         if self.used + a.nbytes <= self.memory:
@@ -35,10 +36,14 @@ class Store:
             return a
         if self.file is None:
             self.file = tempfile.TemporaryFile()
-        self.file.seek(self.end)
+        room = max(4096, 1 << (a.nbytes - 1).bit_length())
+        if self.free.get(room):
+            at = self.free[room].pop()
+        else:
+            at, self.end = self.end, self.end + room
+        self.file.seek(at)
         a.tofile(self.file)
-        self.end += a.nbytes
-        return self.end - a.nbytes, len(a), a.dtype
+        return at, len(a), a.dtype, room
 
     def get(self, held) -> np.ndarray:
         if isinstance(held, np.ndarray):
@@ -49,6 +54,8 @@ class Store:
     def drop(self, held) -> None:
         if isinstance(held, np.ndarray):
             self.used -= held.nbytes
+        else:
+            self.free.setdefault(held[3], []).append(held[0])
 
     def array(self, n: int, dtype) -> np.ndarray:
         """A zeroed array to write at random; mapped from a file if it is too large."""
@@ -61,21 +68,32 @@ class Store:
 
 
 class Queue:
-    """Tuples in order."""
+    """Tuples in order. Small appends are gathered before they are put into the store."""
 
     def __init__(self, store: Store):
-        self.store, self.blocks, self.n = store, [], 0
+        self.store, self.blocks, self.pending, self.waiting, self.n = store, [], [], 0, 0
 
     def append(self, **columns: np.ndarray) -> None:
-        for at in range(0, len(columns["pos"]), BLOCK):
-            self.blocks.append({k: self.store.put(v[at : at + BLOCK].copy()) for k, v in columns.items()})
-            self.n += len(columns["pos"][at : at + BLOCK])
+        size = len(columns["pos"])
+        if size:
+            self.pending.append({k: v.copy() for k, v in columns.items()})
+            self.waiting += size
+            self.n += size
+            if self.waiting >= PART:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.pending:
+            whole = {k: np.concatenate([x[k] for x in self.pending]) for k in self.pending[0]}
+            for at in range(0, self.waiting, BLOCK):
+                self.blocks.append((min(BLOCK, self.waiting - at), {k: self.store.put(v[at : at + BLOCK]) for k, v in whole.items()}))
+            self.pending, self.waiting = [], 0
 
     def read(self, backwards: bool = False, keep: bool = False):
         """Blocks in order (or the last one first); what was appended in small parts comes together."""
+        self.flush()
         some, n = [], 0
-        for block in [*(reversed(self.blocks) if backwards else self.blocks), None]:
-            size = len(self.store.get(block["pos"])) if block and isinstance(block["pos"], np.ndarray) else block["pos"][1] if block else 0
+        for size, block in [*(reversed(self.blocks) if backwards else self.blocks), (0, None)]:
             if some and (block is None or n + size > BLOCK):
                 some = some[::-1] if backwards else some
                 yield {k: np.concatenate([self.store.get(x[k]) for x in some]) for k in some[0]}
@@ -84,7 +102,7 @@ class Queue:
                 some.append(block)
                 n += size
         if not keep:
-            for block in self.blocks:
+            for _, block in self.blocks:
                 for v in block.values():
                     self.store.drop(v)
             self.blocks = []
@@ -112,10 +130,11 @@ class Induction:
     def __init__(self, text: np.ndarray, k: int, store: Store):
         """text: bytes with 8 zero bytes in front, which aren't part of it."""
         self.text, self.n, self.k, self.store = text[8:], len(text) - 8, k, store
+        self.kind = np.int32 if self.n < 1 << 31 else np.int64
         self.before = np.ndarray((self.n + 1,), "<u8", text, strides=(1,))  # at p: the 8 bytes before p
 
     def tuples(self, pos: np.ndarray, lcp: np.ndarray) -> dict:
-        return {"pos": pos, "lcp": lcp, "tail": self.before[pos].copy(), "left": np.minimum(pos, 8).astype(np.uint8)}
+        return {"pos": pos.astype(self.kind), "lcp": lcp, "tail": self.before[pos].copy(), "left": np.minimum(pos, 8).astype(np.uint8)}
 
     def _push(self, block: dict, least: np.ndarray, queues: list[Queue], byte: int, up: bool, same: bool) -> None:
         """Induce what stands before each tuple of a block in scan order. least: for each queue, the least common
@@ -199,10 +218,10 @@ class Induction:
             found(c, done, back)
 
 
-def _types(text: np.ndarray) -> np.ndarray:
+def _types(text: np.ndarray, store: Store, kind) -> np.ndarray:
     """Positions whose suffix is smaller than the next one and comes after a larger one: the local minima."""
-    out, n = [], len(text)
-    smaller_next, step = False, 1 << 22  # the last suffix is larger than the empty one
+    parts, n, count = [], len(text), 0
+    smaller_next, step = False, BLOCK  # the last suffix is larger than the empty one
     for low in range((max(n - 1, 0) // step) * step, -1, -step):
         high = min(n, low + step)
         part = text[low : min(n, high + 1)].astype(np.int16)
@@ -212,10 +231,22 @@ def _types(text: np.ndarray) -> np.ndarray:
         small = np.where(nxt < len(change), d[change[np.minimum(nxt, len(change) - 1)]] > 0 if len(change) else False, smaller_next)
         first_small = bool(small[0])
         prev = text[low - 1 : high - 1] if low else np.concatenate([text[:1], text[: high - 1]])
-        is_min = small & (prev > text[low:high])
-        out.append(np.flatnonzero(is_min) + low)
+        own = (np.flatnonzero(small & (prev > text[low:high])) + low).astype(kind)
+        parts.append(store.put(own))
+        count += len(own)
         smaller_next = first_small
-    return np.concatenate(out[::-1]) if out else np.zeros(0, np.int64)
+    return _gathered(parts[::-1], count, store, kind)
+
+
+def _gathered(parts: list, count: int, store: Store, kind, backwards: bool = False) -> np.ndarray:
+    """One array of what the store holds in parts (each of them read backwards, if so)."""
+    out, at = store.array(count, kind), 0
+    for held in parts:
+        own = store.get(held)
+        out[at : at + len(own)] = own[::-1] if backwards else own
+        at += len(own)
+        store.drop(held)
+    return out
 
 
 def _common(words: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
@@ -231,11 +262,12 @@ def _common(words: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, k: int) ->
     return out
 
 
-def order_by(key: np.ndarray, store: Store, limit: int = 1 << 22) -> np.ndarray:
+def order_by(key: np.ndarray, store: Store, limit: int | None = None) -> np.ndarray:
     """Stable order of non-negative keys; beyond `limit`, by dealing them to ranges that are sorted one at a time."""
+    limit = limit or 16 * BLOCK
     if len(key) <= limit:
         return np.argsort(key, kind="stable")
-    sample = np.sort(np.random.default_rng(0).choice(key, 1 << 16))
+    sample = np.sort(key[np.random.default_rng(0).integers(0, len(key), 1 << 16)])
     cuts = np.unique(sample[:: max(1, len(sample) * limit // (4 * len(key)))])
     parts: list[list] = [[] for _ in range(len(cuts) + 1)]
     for at in range(0, len(key), limit):
@@ -252,71 +284,112 @@ def order_by(key: np.ndarray, store: Store, limit: int = 1 << 22) -> np.ndarray:
     return out
 
 
-def repeated(pieces: np.ndarray, k: int, memory: int = 256 << 20) -> np.ndarray:
-    """A flag for each byte of pieces (bytes; SEPARATOR ends each piece): a k-byte string that lies within a piece
-    starts here, and also at a smaller index."""
-    n = len(pieces)
-    flags = np.zeros(n, bool)
-    if n < k:
-        return flags
-    store = Store(memory)
-    padded = store.array(n + 16, np.uint8)
-    padded[8 : 8 + n] = pieces
-    text = padded[8 : 8 + n]
-    work = Induction(padded[: n + 8], k, store)
-    words = np.ndarray((n + 1,), "<u8", padded, offset=8, strides=(1,))
-    minima = _types(text)
-
-    def seeds(pos: np.ndarray, lcp: np.ndarray) -> tuple[list[Queue], np.ndarray]:
-        by, runs = [Queue(store) for _ in range(256)], np.zeros(256, np.int64)
-        first = text[pos]
-        cut = np.searchsorted(first, np.arange(257)) if (first[1:] >= first[:-1]).all() else None
-        for c in range(256):
-            own = pos[cut[c] : cut[c + 1]]
-            if len(own):
-                l = lcp[cut[c] : cut[c + 1]].copy()
-                by[c].append(**work.tuples(own, l))
-                run = text[own[0] : own[0] + k]
-                runs[c] = k if (run == c).all() else int((run != c).argmax())
+def _blocks(n: int):
+    return ((at, min(n, at + BLOCK)) for at in range(0, n, BLOCK))
+
+
+class Shard:
+    """The bytes of one shard, its local minima, and their order."""
+
+    def __init__(self, pieces: np.ndarray, k: int, memory: int):
+        self.n, self.k, self.store = len(pieces), k, Store(memory)
+        padded = self.store.array(self.n + 16, np.uint8)
+        for a, b in _blocks(self.n):
+            padded[8 + a : 8 + b] = pieces[a:b]
+        self.text = padded[8 : 8 + self.n]
+        self.work = Induction(padded[: self.n + 8], k, self.store)
+        self.words = np.ndarray((self.n + 1,), "<u8", padded, offset=8, strides=(1,))
+        self.minima = _types(self.text, self.store, self.work.kind)
+
+    def seeds(self, pos: np.ndarray, sorted_: bool) -> tuple[list[Queue], np.ndarray]:
+        """pos by first byte, each with the prefix it shares with the one before it (if they are sorted), and how often
+        the first byte repeats at the first of each."""
+        by, runs = [Queue(self.store) for _ in range(256)], np.zeros(256, np.int64)
+        for a, b in _blocks(len(pos)):
+            own, lcp = np.array(pos[a:b]), np.zeros(b - a, np.uint8)
+            if sorted_:
+                first = max(a, 1)
+                lcp[first - a :] = _common(self.words, self.n, np.array(pos[first - 1 : b - 1]), own[first - a :], self.k)
+            byte = self.text[own]
+            order = np.argsort(byte, kind="stable")
+            cut = np.searchsorted(byte[order], np.arange(257))
+            for c in np.unique(byte).tolist():
+                some = order[cut[c] : cut[c + 1]]
+                if not by[c].n:
+                    run = self.text[own[some[0]] : own[some[0]] + self.k]
+                    runs[c] = self.k if (run == c).all() else int((run != c).argmax())
+                by[c].append(**self.work.tuples(own[some], lcp[some]))
         return by, runs
 
-    if len(minima) > 1:
-        # Sort the strings between minima, name them, double the names.
-        some = minima[np.argsort(text[minima], kind="stable")]
-        large, longest = work.larger(*seeds(some, np.zeros(len(some), np.uint8)))
-        mark = store.array(n, np.uint8)
-        mark[minima] = 1
-        parts: list[np.ndarray] = []
+    def names(self) -> np.ndarray:
+        """For each minimum a number that orders the strings between minima; equal strings have equal numbers."""
+        n, minima, store = self.n, self.minima, self.store
+        mark, parts, count = store.array(n, np.uint8), [], 0
+        for a, b in _blocks(len(minima)):
+            mark[minima[a:b]] = 1
 
         def pick(c: int, small: Queue, _: Queue) -> None:
             for block in small.read():
-                parts.append(block["pos"][mark[block["pos"]] == 1])
-
-        work.smaller(large, longest, pick)
-        by = np.concatenate(parts)[::-1]
-        number = np.searchsorted(minima, by)
-        length = np.diff(np.append(minima, n))
-        cap = length[number] + 1
-        same = _common(words, n, by[:-1], by[1:], max(k, int(length.max()) + 1) if len(by) > 1 else k)
-        equal = (cap[:-1] == cap[1:]) & (same >= np.minimum(cap[:-1], n - np.maximum(by[:-1], by[1:])))
-        # The last string has no minimum behind it and equals no other.
-        equal &= (number[:-1] != len(minima) - 1) & (number[1:] != len(minima) - 1)
-        name = store.array(len(minima), np.int64)
-        name[number] = np.append(0, np.cumsum(~equal)) + 1
-        step = 1
-        while step <= k // 2 + 1 and name.max() < len(name):
-            behind = np.append(name[step:], np.zeros(min(step, len(name)), np.int64))[: len(name)]
-            key = name * (len(name) + 1) + behind
-            order = order_by(key, store)
-            sorted_key = key[order]
-            name[order] = np.append(0, np.cumsum(sorted_key[1:] != sorted_key[:-1])) + 1
+                parts.append(store.put(block["pos"][mark[block["pos"]] == 1]))
+
+        self.work.smaller(*self.work.larger(*self.seeds(minima, False)), pick)
+        by = _gathered(parts[::-1], len(minima), store, self.work.kind, backwards=True)
+        name, last = store.array(len(minima), np.int64), None
+        for a, b in _blocks(len(by)):
+            own = by[max(a - 1, 0) : b].astype(np.int64)
+            number = np.searchsorted(minima, own)
+            behind = np.where(number + 1 < len(minima), minima[np.minimum(number + 1, len(minima) - 1)], n)
+            cap = behind - own + 1
+            same = _common(self.words, n, own[:-1], own[1:], max(self.k, int(cap.max())))
+            equal = (cap[:-1] == cap[1:]) & (same >= np.minimum(cap[:-1], n - np.maximum(own[:-1], own[1:])))
+            # The last string has no minimum behind it and equals no other.
+            equal &= (number[:-1] != len(minima) - 1) & (number[1:] != len(minima) - 1)
+            steps = np.cumsum(~equal)
+            if a == 0:
+                name[number] = np.append(0, steps) + 1
+                last = 1 + (int(steps[-1]) if len(steps) else 0)
+            else:
+                name[number[1:]] = last + steps
+                last += int(steps[-1])
+            count = last
+        return self.doubled(name, count)
+
+    def doubled(self, name: np.ndarray, count: int) -> np.ndarray:
+        """Names of more and more strings in a row, until they differ or cover k bytes."""
+        store, m, step = self.store, len(name), 1
+        while step <= self.k // 2 + 1 and count < m:
+            key = store.array(m, np.int64)
+            for a, b in _blocks(m):
+                behind = np.array(name[a + step : b + step])
+                key[a:b] = name[a:b] * (m + 1) + np.append(behind, np.zeros(b - a - len(behind), np.int64))
+            order, count, was = order_by(key, store), 0, -1
+            for a, b in _blocks(m):
+                own = order[a:b]
+                ranked = key[own]
+                steps = np.cumsum(np.append(ranked[0] != was, ranked[1:] != ranked[:-1]))
+                name[own] = count + steps
+                count, was = count + int(steps[-1]), ranked[-1]
             step *= 2
-        minima = minima[order_by(name, store)]
-    lcp = np.zeros(len(minima), np.uint8)
-    for at in range(1, len(minima), BLOCK):
-        a, b = minima[at - 1 : at - 1 + BLOCK], minima[at : at + BLOCK]
-        lcp[at : at + BLOCK] = _common(words, n, a[: len(b)], b, k)
-    large, longest = work.larger(*seeds(minima, lcp))
+        return name
+
+    def sort(self) -> None:
+        if len(self.minima) > 1:
+            order = order_by(self.names(), self.store)
+            out = self.store.array(len(order), self.work.kind)
+            for a, b in _blocks(len(order)):
+                out[a:b] = self.minima[order[a:b]]
+            self.minima = out
+
+
+def repeated(pieces: np.ndarray, k: int, memory: int = 256 << 20) -> np.ndarray:
+    """A flag for each byte of pieces (bytes; SEPARATOR ends each piece): a k-byte string that lies within a piece
+    starts here, and also at a smaller index."""
+    n = len(pieces)
+    if n < k:
+        return np.zeros(n, bool)
+    shard = Shard(pieces, k, memory)
+    shard.sort()
+    flags = shard.store.array(n, np.bool_)
     state = {"least": -1, "size": 0}
 
     def close() -> None:
@@ -340,11 +413,11 @@ def repeated(pieces: np.ndarray, k: int, memory: int = 256 << 20) -> np.ndarray:
                 state["least"], state["size"] = int(least[-1]), 1
         close()
 
-    work.smaller(large, longest, group)
-    ends = np.flatnonzero(pieces == SEPARATOR)
+    shard.work.smaller(*shard.work.larger(*shard.seeds(shard.minima, True)), group)
     # A string of k bytes doesn't reach over the end of its piece.
-    at = np.flatnonzero(flags)
-    nearest = ends[np.minimum(np.searchsorted(ends, at), len(ends) - 1)] if len(ends) else np.full(len(at), n)
-    flags[at[(nearest - at < k) & (nearest >= at)]] = False
-    flags[at[at + k > n]] = False
+    for a, b in _blocks(n):
+        at = np.flatnonzero(flags[a:b])
+        ends = np.append(np.flatnonzero(np.asarray(pieces[a : b + k]) == SEPARATOR), b - a + k)
+        nearest = ends[np.searchsorted(ends, at)]
+        flags[a + at[(nearest - at < k) | (a + at + k > n)]] = False
     return flags

@@ -3,15 +3,18 @@
 A byte goes if a K-byte string that covers it also starts earlier (smaller doc_id, or earlier in the document).
 
 1. Anchors. In each K-byte string the 32-byte gram with the least hash is its anchor, so equal strings have equal
-   anchors at equal places. Consecutive strings with the same anchor are one row: anchor, hash of the bytes that the
+   anchors at equal places. Consecutive strings with the same anchor are one row: anchor, digest of the bytes that the
    strings span (the context), document, first start, how many starts. This is 3 rows in 100 bytes, whole texts.
 2. Anchors that occur twice are found by counting. A bit map of fixed size lets the second pass drop most others
    before the shuffle; an exact join drops the rest.
-3. Of rows with equal anchor and context, all but the first repeat an earlier text: all their strings go.
-4. Anchors with several contexts may still share strings. Their first contexts' bytes are dealt by anchor into shards;
-   each shard is suffix-sorted by external induced sorting (see induced.py), which may be far larger than memory,
-   and strings that start at a smaller place of the shard go.
-5. Spans are joined to the documents and cut out.
+3. Of rows with equal anchor and context, all but the first repeat an earlier text: all their strings go. The digest is
+   BLAKE2b of the bytes (64 bits), beside the anchor's own 64 bits and the number of starts.
+4. Anchors with several contexts may still share strings. Their first contexts' bytes are dealt by anchor into WAVES
+   shards for each core of the cluster; each shard is suffix-sorted by external induced sorting (see induced.py), which
+   may be far larger than memory, and strings that start at a smaller place of the shard go.
+5. An anchor with more than HOT contexts isn't left to one shard: its K-byte strings, one row each, are compared by
+   their 128-bit BLAKE2b digests in a plain aggregation and join.
+6. Spans are joined to the documents and cut out.
 
 A shard is read as a stream. Aggregations combine before the shuffle, so that a text or passage that a third of all
 documents have costs a row for each place where it stands, and no task gathers those rows as a group.
@@ -37,7 +40,9 @@ from tracelex.llm.induced import SEPARATOR, repeated
 K, GRAM = 100, 32
 CHUNK = 1 << 20
 BITS = 1 << 25
-SHARD_BYTES, SHARD_MEMORY = 2 << 20, 256 << 20
+#: Shards for each core, so that a part of the candidates' bytes is on scratch disks at a time; bytes of a shard's queues
+#: in memory; contexts of an anchor that may go to one shard.
+WAVES, SHARD_MEMORY, HOT = 24, 4 << 20, 4096
 
 _TABLE = np.random.default_rng(10).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -49,20 +54,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_POWER = np.ones(CHUNK + 4096, np.uint64)
-_BACK = np.ones(CHUNK + 4096, np.uint64)
-
-
-def _powers() -> None:
-    if _POWER[1] == 1:
-        with np.errstate(over="ignore"):
-            _POWER[1:] = np.multiply.accumulate(np.full(len(_POWER) - 1, _STEP))
-            _BACK[1:] = np.multiply.accumulate(np.full(len(_BACK) - 1, np.uint64(pow(int(_STEP), -1, 1 << 64))))
-
-
 def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """anchor, context, first start, how many starts. valid: starts of K-byte strings that lie within one text."""
-    _powers()
+    """anchor, first start, how many starts. valid: starts of K-byte strings that lie within one text."""
     with np.errstate(over="ignore"):
         h, width, power = _TABLE[data], 1, _STEP
         while width < GRAM:
@@ -80,29 +73,34 @@ def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
         new = np.append(True, (place[1:] != place[:-1]) | (valid[1:] != valid[:-1] + 1))
         first = np.flatnonzero(new)
         start, n = valid[first], np.diff(np.append(first, len(valid)))
-        p = place[first]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gram * _POWER[: len(gram)])])
-        end = start + n - 1 + K - GRAM + 1
-        context = mix((total[end] - total[start]) * _BACK[start] + n.astype(np.uint64) * _STEP)
-        return mix(gram[p] + _STEP).view(np.int64), context.view(np.int64), start, n
+        return mix(gram[place[first]] + _STEP).view(np.int64), start, n
+
+
+def contexts(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Digest of the bytes that n strings from each start span."""
+    raw, digest = memoryview(data), hashlib.blake2b
+    ends = (start + n - 1 + K).tolist()
+    return np.frombuffer(b"".join([digest(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), ends, strict=True)]), np.int64)
 
 
 OCCURRENCE = "anchor long, context long, id long, th long, start long, n int"
 
 
 def occurrences(bits: np.ndarray | None):
-    """mapInArrow function over (id, th, text): the rows of step 1, those in the bit map if there is one."""
+    """mapInArrow function over (id, th, text): the rows of step 1 that are in the bit map, or all anchors without one."""
 
     def rows_of(ids, ths, offsets, pieces):
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         starts = ends - [len(p) for p in pieces]
         valid = np.concatenate([np.arange(a, b - K + 1) for a, b in zip(starts, ends, strict=True)])
-        anchor, context, start, n = anchors(data, valid)
-        if bits is not None:
-            slot = anchor.view(np.uint64) & np.uint64(BITS - 1)
-            ok = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-            anchor, context, start, n = anchor[ok], context[ok], start[ok], n[ok]
+        anchor, start, n = anchors(data, valid)
+        if bits is None:
+            return pa.RecordBatch.from_arrays([pa.array(anchor)], names=["anchor"])
+        slot = anchor.view(np.uint64) & np.uint64(BITS - 1)
+        ok = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        anchor, start, n = anchor[ok], start[ok], n[ok]
+        context = contexts(data, start, n)
         doc = np.searchsorted(ends, start, "right")
         at = start - starts[doc] + np.array(offsets)[doc]
         own = pa.array(ids, pa.int64()).take(pa.array(doc))
@@ -158,18 +156,33 @@ def unpacked(frame: bytes) -> bytes:
 
 
 def cut_pieces(batches):
-    """mapInArrow function over (id, th, z, wanted): the bytes of each wanted context."""
+    """mapInArrow function over (id, th, z, wanted): the bytes of each wanted context whose anchor isn't hot."""
     for batch in batches:
         rows = []
         for own, th, z, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "z", "wanted")), strict=True):
             raw = unpacked(z)
-            rows += [(w["anchor"], own, th, w["start"], raw[w["start"] : w["start"] + w["n"] - 1 + K]) for w in wanted]
+            rows += [(w["anchor"], own, th, w["start"], raw[w["start"] : w["start"] + w["n"] - 1 + K]) for w in wanted if not w["hot"]]
         if rows:
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "id", "th", "start", "bytes"])
 
 
+STRING = "d1 long, d2 long, id long, th long, start long"
+
+
+def cut_strings(batches):
+    """mapInArrow function over (id, th, z, wanted): the digest of each K-byte string of the hot contexts."""
+    for batch in batches:
+        for own, th, z, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "z", "wanted")), strict=True):
+            at = [a for w in wanted if w["hot"] for a in range(w["start"], w["start"] + w["n"])]
+            if at:
+                raw = memoryview(unpacked(z))
+                d = np.frombuffer(b"".join([hashlib.blake2b(raw[a : a + K], digest_size=16).digest() for a in at]), np.int64).reshape(-1, 2)
+                columns = [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([own] * len(at), pa.int64()), pa.array([th] * len(at), pa.int64()), pa.array(at, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["d1", "d2", "id", "th", "start"])
+
+
 def sort_shard(batches):
     """mapInArrow function over the pieces of a shard in (id, th, start) order: spans that repeat an earlier place."""
     import tempfile
@@ -205,28 +218,34 @@ def spans(docs: DataFrame) -> DataFrame:
     """id, th, start, end: byte spans that repeat an earlier text; they may overlap. docs: id, th, text."""
     spark = docs.sparkSession
     long = docs.where(F.octet_length("text") >= K)
-    counted = long.mapInArrow(occurrences(None), OCCURRENCE).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    counted = long.mapInArrow(occurrences(None), "anchor long").groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     twice = staged(counted)
     sent = spark.sparkContext.broadcast(bitmap(twice))
 
-    def again(batches):
+    def second(batches):
         yield from occurrences(sent.value)(batches)
 
-    rows = staged(long.mapInArrow(again, OCCURRENCE).join(twice, "anchor"))
+    rows = staged(long.mapInArrow(second, OCCURRENCE).join(twice, "anchor"))
     place = F.struct("id", "th", "start")
     firsts = rows.groupBy("anchor", "context").agg(F.min(F.struct("id", "th", "start", "n")).alias("f"))
     firsts = staged(firsts.select("anchor", "context", F.struct("f.id", "f.th", "f.start").alias("place"), F.col("f.n").alias("k")))
     copies = rows.join(firsts.select("anchor", "context", "place"), ["anchor", "context"]).where(~place.eqNullSafe(F.col("place")))
     copies = copies.select("id", "th", "start", (F.col("start") + F.col("n") - 1 + K).alias("end"))
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    wanted = firsts.join(several, "anchor", "left_semi").select(F.col("place.id").alias("wid"), F.col("place.th").alias("wth"), F.struct("anchor", F.col("place.start").alias("start"), F.col("k").alias("n")).alias("w"))
+    several = firsts.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT).alias("hot"))
+    wanted = firsts.join(several, "anchor").select(F.col("place.id").alias("wid"), F.col("place.th").alias("wth"), F.struct("anchor", F.col("place.start").alias("start"), F.col("k").alias("n"), "hot").alias("w"))
     wanted = staged(wanted.groupBy("wid", "wth").agg(F.collect_list("w").alias("wanted")))
-    size = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, w: a + w.n + K))).first()[0] or 0
+    hot = wanted.agg(F.max(F.exists("wanted", lambda w: w.hot))).first()[0]
     texts = long.select("id", "th", packed(F.col("text")).alias("z"))
     texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["wid"]) & (texts["th"] == wanted["wth"])).select("id", "th", "z", "wanted")
+    texts = staged(texts) if hot else texts
     pieces = texts.mapInArrow(cut_pieces, PIECE)
-    shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    shards = WAVES * spark.sparkContext.defaultParallelism
     found = pieces.repartition(shards, "anchor").sortWithinPartitions("id", "th", "start").mapInArrow(sort_shard, "id long, th long, start long, end long")
+    if hot:
+        strings = staged(texts.where(F.exists("wanted", lambda w: w.hot)).mapInArrow(cut_strings, STRING))
+        least = strings.groupBy("d1", "d2").agg(F.min(place).alias("least"))
+        again = strings.join(least, ["d1", "d2"]).where(~place.eqNullSafe(F.col("least")))
+        found = found.union(again.select("id", "th", "start", (F.col("start") + K).alias("end")))
     return copies.union(found)
 
 
