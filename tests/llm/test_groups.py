@@ -47,6 +47,23 @@ def test_quotes(spark):
     assert quotes.linked(df.limit(0)).count() == 0 and len(got) == len(rows)
 
 
+def test_quoted_paragraphs_that_were_wrapped_anew(spark):
+    told = "One two three four five six.\nSeven eight nine.\n\nTen eleven twelve\nthirteen.\n\nUnquoted end."
+    rows = [(1, 0, "u", told), (1, 1, "u", "> One two three\n> four five six. Seven\n> eight nine.\n>\n> Ten\n> eleven twelve thirteen.\nYes.")]
+    got = {r.turn: r for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].parent_turn == 0 and got[1].n_links == 2 and got[1].thread_turn == 0
+
+
+def test_quotes_of_odd_rows(spark):
+    """Ties between parents go to the later one; repeated rows get equal results; names of further columns may clash; a
+    message of very many lines, blanks and marks is read in time in proportion to its length."""
+    long = "\n".join(f"> line {i}" if i % 2 else f"own {i}" for i in range(40_000)) + "\n" + " " * 500_000 + "x\n" + ">" * 100_000 + " deep"
+    rows = [(1, 0, "u", "same words"), (1, 1, "u", "other text"), (1, 2, "u", "> same words\n\n> other text"), (1, 2, "u", "> same words\n\n> other text"), (2, 0, "u", long), (2, 1, None, ""), (2, 2, "u", "> own 4")]
+    df = spark.createDataFrame([(*r, 1, "x", [1]) for r in rows], "conv_id long, turn long, role string, text string, level long, unit string, lines array<long>")
+    got = sorted(map(tuple, quotes.linked(df).drop("body", "role").collect()))
+    assert got == [(1, 0, 0, 0, 0, None, 0), (1, 1, 0, 0, 0, None, 1), (1, 2, 2, 1, 2, 1, 1), (1, 2, 2, 1, 2, 1, 1), (2, 0, 20_001, 100_000, 0, None, 0), (2, 1, 0, 0, 0, None, 1), (2, 2, 1, 1, 1, 0, 0)]
+
+
 # Operator 6.
 def plain_components(texts, n, percent):
     sets = []
@@ -168,6 +185,23 @@ def test_induced_sorting():
         assert (induced.repeated(data, k, rng.choice([1 << 10, 1 << 28])) == plain_repeats(data, k)).all()
 
 
+@pytest.mark.parametrize("kind", ["words", "runs", "copies"])
+def test_a_shard_of_several_times_the_memory(monkeypatch, kind):
+    """Text, queues, minima and names go to scratch files and are read in small blocks."""
+    monkeypatch.setattr(induced, "BLOCK", 1 << 10)
+    monkeypatch.setattr(induced, "PART", 1 << 6)
+    rng = random.Random(12)
+    word = {"words": lambda: bytes(rng.choices(b"abcde ", k=rng.randint(3, 9))), "runs": lambda: bytes([rng.choice(b"ab")]) * rng.randint(1, 300), "copies": lambda: passages[rng.randrange(9)]}[kind]
+    passages = [bytes(rng.choices(b"xyz", k=rng.randint(30, 400))) for _ in range(9)]
+    raw = b"".join(b"".join(word() for _ in range(rng.randint(1, 30))) + b"\xff" for _ in range(400))[:120_000] + b"\xff"
+    stores = []
+    real = induced.Store.__init__
+    monkeypatch.setattr(induced.Store, "__init__", lambda self, memory: (real(self, memory), stores.append(self))[0])
+    data = np.frombuffer(raw, np.uint8)
+    assert (induced.repeated(data, 40, len(raw) // 6) == plain_repeats(data, 40)).all()
+    assert stores[0].end > 4 * len(raw)
+
+
 def test_external_order():
     key = np.random.default_rng(1).integers(0, 50, 5000)
     assert (induced.order_by(key, induced.Store(100), limit=300) == np.argsort(key, kind="stable")).all()
@@ -187,13 +221,14 @@ def plain_removed(texts):
     return out
 
 
-def test_suffixes(make, monkeypatch):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffixes(make, monkeypatch, hot):
     rng = random.Random(10)
     passages = ["".join(rng.choices("abcdé ", k=rng.randint(90, 260))) for _ in range(6)] + ["ab" * 150, "z" * 400]
     texts = ["".join(rng.choice([*passages, "".join(rng.choices("xyzw ", k=rng.randint(1, 80)))]) for _ in range(rng.randrange(7))) for _ in range(60)]
     texts += [None, "", texts[3], "".join(rng.choices("abcdefgh ", k=9000))]
     texts += [texts[-1][:4000] + "!" + texts[-1][4001:]]
-    monkeypatch.setattr(suffixes, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "HOT", hot)
     got = {r.doc_id: tuple(r)[1:] for r in suffixes.removed(make(texts)).collect()}
     assert [got[i] for i in range(len(texts))] == plain_removed(texts)
 

@@ -110,6 +110,58 @@ def test_bands(make, odd, empty):
     assert fertility.keep(odd).columns == odd.columns
 
 
+def plain_merges(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        best = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best[0] == 1 << 30:
+            break
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_fertility_measures():
+    """Against merges by rank one at a time, the piece library's own byte pieces, and a counter."""
+    import base64
+    import math
+    from collections import Counter
+
+    import regex
+    import sentencepiece
+
+    folder = fertility.TOKENIZERS
+    ranks = {base64.b64decode(x.split()[0]): int(x.split()[1]) for x in open(f"{folder}/{fertility.BYTE_VOCABULARY}", "rb")}
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for text in ["plain words, it's 42 here", "  deux  mots\n\n\tet après ", "日本語 🙂 ∑𝔘 mix", "x" * 70 + " " * 9, "", "ſtrange\x1c\x85sp\u3000aces   end"]:
+        ids = [t for piece in regex.findall(fertility.SPLIT, text) for t in plain_merges(piece.encode(), ranks)]
+        odd = sum(sp.is_byte(i) for i in sp.encode(text)) if "\n" not in text and "\t" not in text else None
+        n, chars, share, entropy = fertility.fertility(text, folder)
+        want = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values()) if ids else 0
+        assert fertility.tokens(text, folder) == ids and n == len(ids) and abs(entropy - want) < 1e-9 and chars == (len(text) / n if n else 0)
+        assert odd is None or not text or round(share * len(text.encode())) == odd or "\x1c" in text
+
+
+def test_long_runs_are_tokenised(make):
+    """Runs that the pattern's look-ahead can't take, with the tokens that it would give; and the whole query on them."""
+    own, rng = fertility.encoding(fertility.TOKENIZERS), random.Random(5)
+    runs = ["a", "b ", "\n", " " * 511, " " * 512, " " * 513, "\u3000" * 600, "\t" * 600, "é.", "\x85", "\x1c", "12", " x", "\r\n" * 300]
+    for _ in range(200):
+        text = "".join(rng.choices(runs, k=rng.randrange(1, 12)))
+        assert fertility.tokens(text, fertility.TOKENIZERS) == own.encode_ordinary(text)
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = fertility.judge(make([words + c * 2_000_000 + end for c in " \nx" for end in ("", "end")])).select("doc_id", "measures.*").collect()
+    assert len(rows) == 6 and all(r.n_tokens > 60 and r.n_words in (30, 31) for r in rows)
+
+
+def test_bands_are_fitted(spark, make):
+    rng = random.Random(15)
+    docs = make([" ".join(rng.choices("the ordinary sentence tells what happened in town when it rained for hours".split(), k=rng.randint(25, 400))) for _ in range(60)])
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 1), (7, 0)], "doc_id long, quality int")
+    bands = fertility.fit_bands(docs, labels)
+    assert set(bands) == {"en", "Latin"} and fertility.judge(docs, bands=bands | {"other": (0, 0, 0, 0)}).where("measures.kept").count() == 60
+    assert fertility.fit_bands(docs.limit(0), labels) == {}
+
+
 # Operator 7.
 def plain_base(text):
     out = [(m.start(), m.end(), "assign") for m in re.finditer(secrets.ASSIGN, text, re.I | re.A) if len(m[2]) >= 12]
@@ -118,6 +170,11 @@ def plain_base(text):
     return sorted(out, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
 
 
+@pytest.fixture(scope="session")
+def primed(spark):
+    return secrets.dictionary(spark.createDataFrame([("my_rare_identifier_name " * 40,), (None,)], "text string"))
+
+
 def test_base_spans():
     rng = random.Random(7)
     bits = ["password", "PassWD", "api_key", "Apikey", "secret", "token", "=", ": ", "\"", " ", "AKIA", "ABCDEF0123456789", "deadbeefdeadbeef", "é", "ſecret", "\n", "0123456789abcdef0"]
@@ -126,19 +183,50 @@ def test_base_spans():
         assert secrets.base_spans(text) == plain_base(text)
 
 
-def test_novelty_adds_spans_and_keeps_base_ones():
+def test_novelty_adds_spans_and_keeps_base_ones(primed):
     text = "bearer: Zk9f8sKd02ljQWxcvb77Lmn0p and token = abcdefabcdef0"
     base = secrets.base_spans(text)
-    novel = secrets.novel_spans(text, base)
+    novel = secrets.novel_spans(text, base, primed)
     assert [text[a:b] for a, b, _ in novel] == ["Zk9f8sKd02ljQWxcvb77Lmn0p"] and base == plain_base(text)
-    assert not secrets.novel_spans("password reset_user_password_by_identifier and the token of ordinarysentences", [])
+    assert not secrets.novel_spans("password reset_user_password_by_identifier and the token of ordinarysentences", [], primed)
+    assert len(primed) <= secrets.DICTIONARY
+
+
+def test_the_corpus_identifiers_are_in_the_dictionary(spark):
+    rng = random.Random(27)
+    names = ["_".join("".join(rng.choices("bcdfghklmnprstvz", k=5)) for _ in range(3)) for _ in range(300)]
+    primed = secrets.dictionary(spark.createDataFrame([(" ".join(names),), (" ".join(names[:100]),), (None,)], "text string"))
+    assert sum(n.encode() in primed for n in names[:100]) >= 60
+    text = f"the secret is kept in {names[5]} and read once"
+    assert not secrets.novel_spans(text, [], primed)
 
 
 @pytest.mark.parametrize("text", ["AWS_ACCESS_KEY=wJalrXUtnFEMI7K7MDENGbPxRfi", "x?signature=dGhpc0lzQVZlcnlTZWNyZXQx", "pwd=qZ7vK2mX9tR4wL8pB3nH",
                                   "auth=qZ7vK2mX9tR4wL8pB3nH", "credential=qZ7vK2mX9tR4wL8pB3nH", "private_key=qZ7vK2mX9tR4wL8pB3nH"])
-def test_values_inside_a_run_are_measured(text):
+def test_values_inside_a_run_are_measured(text, primed):
     value = text.split("=")[1]
-    assert [text[a:b] for a, b, _ in secrets.novel_spans(text, secrets.base_spans(text))] == [value]
+    assert [text[a:b] for a, b, _ in secrets.novel_spans(text, secrets.base_spans(text), primed)] == [value]
+
+
+def novelty_recall(primed, make_value, distance, n=200):
+    """Share of planted values found, at so many characters after the word that makes them sensitive."""
+    rng, hit = random.Random(17), 0
+    words = "the ordinary sentence tells what happened in town when it rained for several hours and people stayed home".split()
+    for _ in range(n):
+        prose = lambda k: " ".join(rng.choices(words, k=k))
+        value, gap = make_value(rng), (prose(60) + " ")[:distance]
+        text = f"{prose(40)} credential: {gap} {value} {prose(40)}"
+        at = text.index(value)
+        hit += any(a < at + len(value) and at < b for a, b, _ in secrets.novel_spans(text, secrets.base_spans(text), primed))
+    return hit / n
+
+
+def test_recall_of_planted_values(primed):
+    mixed = lambda r: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=r.randint(18, 40)))
+    upper = lambda r: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=r.randint(18, 40)))
+    name = lambda r: "_".join(r.choices("get set user config value parse request client server default handler".split(), k=4))
+    assert all(novelty_recall(primed, mixed, d) >= 0.9 for d in (0, 20, 60, 120)) and novelty_recall(primed, mixed, 200) == 0
+    assert novelty_recall(primed, upper, 0) >= 0.8 and novelty_recall(primed, name, 0) <= 0.1
 
 
 def test_redaction(make, odd, empty):
@@ -146,6 +234,8 @@ def test_redaction(make, odd, empty):
     rows = secrets.redact(docs).orderBy("doc_id").collect()
     assert rows[0].text == "x [SECRET] y" and rows[0].n_chars == len(rows[0].text) and rows[1].text is None and rows[2].text == "plain"
     assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).count() == 7 and secrets.redact(empty).count() == 0
+    clash = docs.withColumnsRenamed({"lang": "found", "source": "_found"})
+    assert secrets.redact(clash).columns == clash.columns and secrets.redact(clash).where("text like '%[SECRET]%'").count() == 1
     assert secrets.redacted("aXXbYYc", [(1, 3, "hex"), (2, 3, "novel"), (4, 6, "hex")], "_") == "a_b_c"
 
 
@@ -171,6 +261,79 @@ def test_toxicity_learns_held_out_rows(spark):
     assert sum(p == t for p, t in held) / len(held) > 0.95
 
 
+def plain_score(m, text):
+    """The forward pass in loops: for each filter the largest value over all windows (past the end stands nothing), cut
+    at zero, weighted, and through the logistic function."""
+    import math
+    import zlib
+
+    ids = [zlib.crc32(w.encode()) % toxicity.BUCKETS for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+    known = {int(b): i + 1 for i, b in enumerate(m.seen)}
+    rows = [m.embed[known.get(b, 0)] for b in ids] + [m.embed[0]] * max(toxicity.WIDTHS)
+    total, column = m.offset, 0
+    for k in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for at in range(len(ids) + max(toxicity.WIDTHS) - k + 1):
+                best = max(best, float(m.bias[k][f]) + sum(float(rows[at + j][d]) * float(m.filters[k][j][d][f]) for j in range(k) for d in range(toxicity.DIM)))
+            total += best * float(m.weight[column])
+            column += 1
+    return 1 / (1 + math.exp(-total))
+
+
+def small_model():
+    rng = random.Random(23)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    texts = [" ".join(rng.choices(words, k=25) + (["vile", "rotten"] if i % 3 == 0 else [])) for i in range(240)]
+    return toxicity.fit([toxicity.bucket_ids(t, toxicity.Buckets()) for t in texts], [int(i % 3 == 0) for i in range(240)], [["en", "fr", None][i % 3 if i % 2 else 0] for i in range(240)]), texts
+
+
+def test_scores_are_those_of_loops():
+    m, texts = small_model()
+    some = [*texts[:12], "", None, "vile", "unknown words only", "wab vile rotten"]
+    assert np.allclose(m.score(some, toxicity.Buckets()), [plain_score(m, t) for t in some], atol=1e-4)
+
+
+def test_gradients_are_differences():
+    """The gradients of a batch against differences of the loss, for parameters of every kind."""
+    m, texts = small_model()
+    for name in ("embed", "weight"):
+        setattr(m, name, getattr(m, name).astype(np.float64))
+    m.filters, m.bias = ({k: v.astype(np.float64) for k, v in x.items()} for x in (m.filters, m.bias))
+    docs, y = [m.rows(toxicity.bucket_ids(t, toxicity.Buckets())) for t in texts[:9]], np.array([i % 3 == 0 for i in range(9)], float)
+    balance = np.array([1.0, 1.5])
+
+    def loss():
+        p = m.forward(docs)[0]
+        return float((balance[y.astype(int)] * -(y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+
+    grads, g0 = toxicity.gradients(m, docs, y, balance, decay=0.0)
+    step = 1e-5
+    params = {"e": m.embed, "w": m.weight} | {f"f{k}": m.filters[k] for k in toxicity.WIDTHS} | {f"b{k}": m.bias[k] for k in toxicity.WIDTHS}
+    for name, a in params.items():
+        for at in map(tuple, np.argwhere(np.abs(grads[name]) > 1e-4)[:6]):
+            was = a[at]
+            a[at] = was + step
+            up = loss()
+            a[at] = was - step
+            down = loss()
+            a[at] = was
+            assert abs((up - down) / (2 * step) - grads[name][at]) < 1e-4 + 0.02 * abs(grads[name][at]), (name, at)
+    m.offset += step
+    up = loss()
+    m.offset -= 2 * step
+    assert abs((up - loss()) / (2 * step) - g0) < 1e-4
+
+
+def test_thresholds_have_the_best_f1():
+    rows = [(0.1, 0.0), (0.3, 0.0), (0.35, 1.0), (0.6, 1.0), (0.62, 0.0), (0.9, 1.0)]
+    f1 = lambda c: 2 * sum(t for s, t in rows if s >= c) / max(1, sum(s >= c for s, _ in rows) + sum(t for _, t in rows))
+    cut = toxicity.threshold(rows)
+    assert f1(cut) == max(f1(c) for c in np.linspace(0.05, 0.95, 19)) and 0.3 < cut <= 0.35
+    m, _ = small_model()
+    assert set(m.thresholds) <= {"en", "fr"} and all(0.05 <= v <= 0.95 for v in m.thresholds.values())
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(3, 1), (4, 0), (0, None)], "doc_id long, toxic int")
@@ -181,7 +344,7 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
 
 
 def test_long_texts_are_scored_whole(monkeypatch):
-    m = toxicity.fit(["a b c d"] * 20 + ["a b bad d"] * 20, [0] * 20 + [1] * 20, [None] * 40)
+    m = toxicity.fit([toxicity.bucket_ids(t, toxicity.Buckets()) for t in ["a b c d"] * 20 + ["a b bad d"] * 20], [0] * 20 + [1] * 20, [None] * 40)
     text = "a b c d " * 300 + "a b bad d " + "a b c d " * 300
     whole = m.score([text, None, "", "a"], toxicity.Buckets())
     monkeypatch.setattr(toxicity, "CHUNK", 37)
@@ -228,6 +391,20 @@ def test_span_removal(spark, make):
     docs = make(["Start: One two, three four five six seven eight nine TEN! end", "clean text"])
     rows = decontaminate.remove(docs, bench, what="spans").orderBy("doc_id").collect()
     assert re.sub(r"\W+", " ", rows[0].text).strip() == "Start end" and rows[1].text == "clean text"
+    clash = docs.withColumnsRenamed({"lang": "hits", "source": "id", "n_chars": "_id"})
+    assert [r.text for r in decontaminate.remove(clash, bench, what="spans").orderBy("doc_id").collect()] == [r.text for r in rows]
+    assert decontaminate.remove(clash, bench).count() == 1 and decontaminate.remove(clash, bench, what="spans").columns == clash.columns
+
+
+def test_bit_map_follows_the_windows(spark, make, monkeypatch):
+    """A full map only makes more suspects: results are the same with one of 64 bits."""
+    rng = random.Random(19)
+    items = [(i, " ".join(rng.choices("abcdefgh", k=14))) for i in range(300)]
+    docs, bench = make([" ".join(rng.choices("abcdefgh", k=60)) for _ in range(20)] + [items[5][1]]), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontaminate.scan(docs, bench, n=4).collect()))
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 64)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 64)
+    assert sorted(map(str, decontaminate.scan(docs, bench, n=4).collect())) == want
 
 
 def test_sha_of_items_is_plain():
