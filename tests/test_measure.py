@@ -1,10 +1,14 @@
 """Measures against values worked out by hand or by other means."""
 
+import hashlib
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tracelex.operators import audit, graph, measure, tables
+from tracelex.operators import audit, graph, measure, sensitivity, tables
+from tracelex.sources import files
 
 
 def test_f_tail():
@@ -37,12 +41,66 @@ def test_cells_and_traces(spark):
     assert audit.trace_counts(audit.cell_trace(cells, bad)).first().mismatches == 1
 
 
-def test_sequence_hash_is_the_plain_one(spark):
-    import hashlib
+@pytest.mark.parametrize("block", [19, 20, 21, 7])
+def test_sequence_hash_is_the_blocks_hash(spark, block):
+    """The same rule on both sides of a block's size."""
+    sha = lambda x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    ids = [f"id{i}" for i in range(20)]
+    rows = spark.createDataFrame([("s", x, i) for i, x in enumerate(ids)], "split string, id string, pos int").repartition(3)
+    assert audit.sequence_sha256(rows, "split", "id", block=block).first().sha256 == sha([sha(ids[a : a + block]) for a in range(0, 20, block)])
+    assert audit.plain_sha256(rows, "split", "id").first().sha256 == sha(ids)
 
-    rows = spark.createDataFrame([("s", f"id{i}", i) for i in range(20)], "split string, id string, pos int").repartition(3)
-    assert audit.sequence_sha256(rows, "split", "id").first().sha256 == hashlib.sha256("\n".join(f"id{i}" for i in range(20)).encode()).hexdigest()
-    assert audit.sequence_sha256(rows, "split", "id", block=7).first().sha256 != ""
+
+def test_a_matrix_with_a_gap_has_no_shape(spark):
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 1.0), ("b", 2, 2.0), ("c", 0, 1.0), ("c", 0, 1.0)], "split string, pos int, x double")
+    got = {r.split: (r.n_rows, r.shape_ok) for r in audit.matrix_fingerprint(rows, ["x"], "split").collect()}
+    assert got == {"a": (2, True), "b": (2, False), "c": (2, False)}
+
+
+def test_quantiles_are_numpys(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.integers(0, 9, 200).astype(float), "b": rng.normal(size=101), "c": np.array([4.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("d", None)], "feature string, value double").repartition(5)
+    got = {r.feature: (r.q1, r.median, r.q9) for r in measure.quantiles(rows, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q9": 0.9}).collect()}
+    assert set(got) == {"a", "b", "c"} and all(np.allclose(got[k], np.quantile(v, [0.25, 0.5, 0.9])) for k, v in values.items())
+
+
+def test_places_over_ranges(spark):
+    names = [f"n{i % 50:02d}{i}" for i in range(300)]
+    rows = spark.createDataFrame([(x,) for x in names], "author string").repartition(7)
+    got = {r.author: r.before for r in tables.placed(rows, ["author"]).collect()}
+    assert got == {x: i for i, x in enumerate(sorted(names))}
+    assert tables.placed(rows.limit(0), ["author"]).count() == 0
+
+
+def test_missing_authors_and_texts_stay(spark):
+    posts = spark.createDataFrame([("1", "b", "x", "t", None, "train"), ("2", None, "y", "t", None, "val"), ("3", "a", None, None, None, "test")], "id string, author string, body string, topic string, created timestamp, split string")
+    got = {r.id: r.author_id for r in tables.project_release(posts, tables.pseudonym_authors(posts)).collect()}
+    assert got == {"1": "author_0002", "2": "author_0003", "3": "author_0001"}
+    docs = spark.createDataFrame([(1, "u v u"), (2, ""), (3, None)], "doc_id long, text string")
+    tokens = spark.createDataFrame([(1, "u", 0), (1, "v", 1), (1, "u", 2)], "doc_id long, token string, pos int")
+    ids = {r.doc_id: r.ids for r in tables.encode_tokens(tokens, tables.build_vocab(tokens), 4, docs).collect()}
+    assert ids == {1: [2, 1, 2, 0], 2: [0] * 4, 3: [0] * 4}
+
+
+def test_files_that_lack_something_are_errors(spark, tmp_path):
+    one = files.write_report(spark.createDataFrame([({"good": 1.0}, {})], "positive map<string,double>, negative map<string,double>"), f"{tmp_path}/lexicon")
+    with pytest.raises(ValueError, match="side of the lexicon"):
+        files.read_frozen_lexicon(spark, one)
+    rows = spark.createDataFrame([("1", "test", 0, 1, "lr", "BSL", 42)], files.PREDICTION)
+    p = files.write_csv(rows, f"{tmp_path}/predictions")
+    assert files.read_predictions(spark, p, [("lr", "BSL", 42)]).count() == 1
+    with pytest.raises(ValueError, match="123"):
+        files.read_predictions(spark, p, [("lr", "BSL", 42), ("lr", "BSL", 123)])
+    cells = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.1), ("b", 1, 0.2)], "module string, seed int, delta double")
+    with pytest.raises(ValueError, match="missing"):
+        tables.pivot_complete(cells, "module", "seed", [1, 2], "delta")
+
+
+def test_split_files_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "SPLIT_BLOCK", 3)
+    rows = spark.createDataFrame([(f"i{k}", "train" if k % 3 else "val", k // 3 if k % 3 == 0 else k - k // 3 - 1) for k in range(20)], "id string, split string, pos long")
+    assert sorted(tables.read_split(spark, tables.write_split(rows, f"{tmp_path}/split")).select("id", "split", "pos").collect()) == sorted(rows.collect())
 
 
 def test_jaccard_of_empty_sets(spark):
@@ -50,22 +108,49 @@ def test_jaccard_of_empty_sets(spark):
     assert [r.j for r in df.select(tables.jaccard(F.col("a"), F.col("b")).alias("j")).collect()] == [1.0, 0.0, 0.5]
 
 
-def test_conformance_of_an_invalid_resource(spark):
-    """Six triples that break the shapes six times, once as a warning."""
-    s, b = f"{graph.BASE}post_bad", graph.BASE
-    rows = [(s, "rdf:type", f"{b}Post", "iri", None), (s, "identifier", "invalid_missing_fields", "literal", "xsd:string"), (s, "language", "xx", "literal", "xsd:string"),
-            (s, "length", "8", "literal", "xsd:integer"), (s, "label", f"{b}Positive", "iri", None), (s, "about", f"{b}Alpha", "iri", None)]
+def test_conformance_counts_what_is_wrong(spark):
+    """Two posts: one in order, one with two topics, a label that is a literal, and a length that is no number."""
+    b = graph.BASE
+    rows = []
+    for name, topics, label, length in (("good", ["t1"], (f"{b}Neutral", "iri"), "120"), ("odd", ["t1", "t2"], ("neutral", "literal"), "long")):
+        s = f"{b}post_{name}"
+        rows += [(s, "rdf:type", f"{b}Post", "iri", None), (s, "author", f"{b}author_x", "iri", None), (s, "length", length, "literal", "xsd:integer"), (s, "label", *label, None)]
+        rows += [(s, "topic", f"{b}topic_{t}", "iri", None) for t in topics]
     t = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string")
     o = graph.targets(t, f"{b}Post")
-    checks = [graph.chk_count(t, o, "author", least=1), graph.chk_count(t, o, "topic", least=1), graph.chk_count(t, o, "created", least=1), graph.chk_in(t, o, "language", ["en", "es"]),
-              graph.chk_pattern(t, o, "identifier", "^[0-9a-z]+$"), graph.chk_range(t, o, "length", least=10, severity="Warning")]
+    checks = [graph.chk_count(t, o, "author", least=1), graph.chk_count(t, o, "topic", most=1), graph.chk_node_kind(t, o, "label"), graph.chk_pattern(t, o, "length", "^[0-9]+$")]
+    found = [sorted((r.focus.rsplit("_", 1)[1], r.component) for r in c.collect()) for c in checks]
+    assert found == [[], [("odd", "maxCount")], [("odd", "nodeKind")], [("odd", "pattern")]]
     r = graph.conformance(checks).first()
-    assert (r.conforms, r.results, r.violations, r.warnings) == (False, 6, 5, 1)
+    assert (r.conforms, r.results, r.violations, r.warnings) == (False, 3, 3, 0)
+    assert graph.conformance(checks[:1]).first().conforms
 
 
 def test_closure(spark):
     schema = spark.createDataFrame([("a", graph.SUBCLASS, "b"), ("b", graph.SUBCLASS, "c"), ("c", graph.SUBCLASS, "d")], "s string, p string, o string")
     assert graph.closure(schema, graph.SUBCLASS).count() == 6
+    with pytest.raises(ValueError, match="more than 4"):
+        graph.closure(schema, graph.SUBCLASS, most=4)
+
+
+def test_times_that_cannot_be_read_are_the_epoch(spark):
+    said = ["2024-05-06 07:08:09", "2024-05-06T07:08:09Z", "2024-05-06T09:08:09+02:00", "2024-05-06", " 2024-05-06T07:08:09.5 ", "soon", "", None, "2024-13-40"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string")
+    got = [r.t for r in df.orderBy("i").select(graph.datetime_literal(graph.parsed_time(F.col("t"))).alias("t")).collect()]
+    assert got == ["2024-05-06T07:08:09"] * 3 + ["2024-05-06T00:00:00", "2024-05-06T07:08:09"] + ["1970-01-01T00:00:00"] * 4
+
+
+def test_sensitivity_of_variants(spark):
+    grid = spark.createDataFrame([("all", 5, 1, 0.5), ("strong", 5, 1, 1.5), ("none", 5, 99, 0.5)], "variant string, window int, min_freq int, min_valence double")
+    counts = spark.createDataFrame([(5, "fine", 4), (5, "bad", 3), (5, "meh", 2)], "window int, term string, freq long")
+    valence = spark.createDataFrame([("fine", 2.0), ("bad", -1.6), ("meh", -0.6)], "term string, valence double")
+    found = sensitivity.lexicons(counts, valence, grid)
+    mentions = spark.createDataFrame([(1, "A", ["fine", "day"]), (1, "A", ["bad", "meh"]), (2, "A", ["meh"]), (3, "B", ["plain"])], "doc_id long, concept string, window array<string>")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 2)], "doc_id long, label int")
+    got = {r.variant: r for r in sensitivity.run_grid(found, {"fine": 2.0, "bad": -1.6, "meh": -0.6}, mentions, labels).collect()}
+    assert [(got[v].status, got[v]["size"], got[v].active_docs, got[v].positive_mentions, got[v].negative_mentions, got[v].assertions) for v in ("all", "strong", "none")] == [("valid", 3, 2, 1, 2, 2), ("valid", 2, 1, 1, 1, 1), ("invalid", 0, None, None, None, None)]
+    c = {r.variant: r for r in sensitivity.compare(sensitivity.run_grid(found, {"fine": 2.0, "bad": -1.6, "meh": -0.6}, mentions, labels), "strong").collect()}
+    assert c["all"].delta_size == 1 and math.isclose(c["all"].jaccard, 2 / 3) and c["strong"].jaccard == 1.0
 
 
 def test_manifest(spark):

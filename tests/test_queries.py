@@ -8,7 +8,11 @@ from tracelex.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
-SOME = ["entry_activation", "feature_vector", "top_concepts", "agg_feature_coverage", "trace_map", "triples_from_posts", "conformance_report", "metrics_overall", "sequence_sha256", "build_vocab", "anova_f", "run_grid"]
+SOME = [
+    "entry_activation", "feature_vector", "derived_features", "top_concepts", "mention_positions", "concept_polarity", "concept_windows", "agg_feature_coverage", "agg_numeric_summary", "trace_map", "triples_from_posts",
+    "conformance_report", "metrics_overall", "sequence_sha256_blocks", "matrix_fingerprint", "build_vocab", "encode_tokens", "project_release", "anova_f", "run_grid", "grid_collect", "link_runs", "reconcile_predictions",
+    "audit_traceability", "audit_model_inputs", "scan_split", "scan_trace", "scan_metric_docs", "manifest_verify", "tfidf_terms",
+]
 
 
 @pytest.fixture(scope="module")

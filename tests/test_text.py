@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
 
-# Must match the short term "ai", and must not.
-HITS = ["AI researcher working on NLP", "AI-powered chatbots are amazing", "modelo de AI para NLP", "(AI) and ai, then \"ai\""]
-MISSES = ["again and again I tried", "maintAIning the code is hard", "send email to test@ai.com2", "said something interesting"]
+# Each boundary rule of short terms: ends of the text, space, hyphen, brackets, quotes, punctuation; and what is none:
+# letters on a side, a slash, an at sign, a digit.
+HITS = ["ai", "Kitchens without AI", "pre-AI, post-ai", "[ai]{AI}(Ai)", "say 'ai' or \"AI\"", "ai;ai:ai!ai?ai.", "`ai`\tai\nai"]
+COUNTS = [1, 1, 2, 3, 2, 5, 3]
+MISSES = ["a rainy Thursday", "paid the bail", "ai2 and 2ai", "x/ai/y", "who@ai", "Hawaii", "a i"]
 
 
 def test_short_and_long_terms(spark):
     df = spark.createDataFrame([(t,) for t in HITS + MISSES], "text string")
     got = [r.n for r in df.select(T.short_hits(F.lower("text"), "ai").alias("n")).collect()]
-    assert got == [1, 1, 1, 3, 0, 0, 0, 0]
+    assert got == COUNTS + [0] * len(MISSES)
     df = spark.createDataFrame([("a nation ètion tion.",), ("ètion",), ("the tion",)], "text string")
     assert [r.n for r in df.select(T.long_hit(F.lower("text"), "tion").alias("n")).collect()] == [True, False, True]
 

@@ -38,9 +38,18 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def boundary_split(lower: Column) -> Column:
+    return F.split(lower, rf"(?U){BOUNDARY}")
+
+
+def short_count(parts: Column, term: str) -> Column:
+    """How often a term is one of the parts between boundary characters."""
+    return F.size(F.filter(parts, lambda x: x == term))
+
+
 def short_hits(lower: Column, term: str) -> Column:
     """How often a short term stands between boundary characters."""
-    return F.size(F.filter(F.split(lower, rf"(?U){BOUNDARY}"), lambda x: x == term))
+    return short_count(boundary_split(lower), term)
 
 
 def long_pattern(term: str) -> str:
@@ -65,10 +74,15 @@ def term_pattern(term: str) -> str:
     return long_pattern(term)
 
 
-def mention_positions(lower: Column, pattern: str) -> Column:
+def collapsed(lower: Column) -> Column:
+    """Words with one space between them, and without the mark."""
+    return F.trim(F.regexp_replace(F.translate(lower, MARK, ""), r"(?U)\s+", " "))
+
+
+def mention_positions(lower: Column, pattern: str, single: bool = False) -> Column:
     """Word index of each match of a pattern: the number of words left of it less one, at least 0. Linear in the text:
-    each match gets a mark in front, and the marks are found in the words."""
-    single = F.trim(F.regexp_replace(F.translate(lower, MARK, ""), r"(?U)\s+", " "))
+    each match gets a mark in front, and the marks are found in the words. single: white space is already collapsed."""
+    single = lower if single else collapsed(lower)
     marked = F.regexp_replace(single, f"({pattern})", f"{MARK}$1")
     found = F.transform(
         F.split(marked, " "),

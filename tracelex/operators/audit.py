@@ -21,20 +21,62 @@ def trace_counts(traced: DataFrame) -> DataFrame:
 
 
 def sequence_sha256(rows: DataFrame, by: str, value: str, pos: str = "pos", block: int = 100_000) -> DataFrame:
-    """by, sha256 of the values joined by newlines in order of pos. Of more than one block of values, it is the hash
-    of the blocks' hashes, so that no row holds a whole sequence."""
+    """by, sha256 of a sequence of any length: values are joined by newlines in order of pos in blocks of positions, and
+    the blocks' hashes are joined by newlines and hashed. Always so, whatever the length; no row holds a sequence."""
+    joined = lambda at, v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, v))), lambda x: x[v]), "\n")
+    blocks = rows.groupBy(by, F.floor(F.col(pos) / block).alias("_block")).agg(F.sha2(joined(pos, value), 256).alias("_sha"))
+    return blocks.groupBy(by).agg(F.sha2(joined("_block", "_sha"), 256).alias("sha256"))
+
+
+def plain_sha256(rows: DataFrame, by: str, value: str, pos: str = "pos") -> DataFrame:
+    """by, sha256 of the values joined by newlines in order of pos: for short sequences (feature orders, a few thousand
+    ids), which are one row each."""
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda x: x[value]), "\n")
-    blocks = rows.groupBy(by, F.floor(F.col(pos) / block).alias("block")).agg(ordered.alias("text"))
-    blocks = blocks.select(by, "block", F.sha2("text", 256).alias("sha"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "sha"))), lambda x: x.sha), "\n")
-    out = blocks.groupBy(by).agg(F.count("*").alias("n"), F.min("sha").alias("one"), joined.alias("all"))
-    return out.select(by, F.when(F.col("n") == 1, F.col("one")).otherwise(F.sha2("all", 256)).alias("sha256"))
+    return rows.groupBy(by).agg(F.sha2(ordered, 256).alias("sha256"))
 
 
 def matrix_fingerprint(features: DataFrame, names: list[str], by: str, pos: str = "pos") -> DataFrame:
-    """A hash of each row's canonical text, then of the rows in order."""
+    """by, n_rows, shape_ok, sha256. The hash is that of a header (names and rows) and of the sequence of the rows'
+    hashes, each over the row's canonical text; the shape is right if positions run from 0 without gaps."""
     row = F.sha2(F.concat_ws("|", *[F.format_number(F.col(n).cast("double"), 6) for n in names]), 256)
-    return sequence_sha256(features.select(by, pos, row.alias("row")), by, "row", pos)
+    rows = features.select(by, pos, row.alias("_row"))
+    shape = rows.groupBy(by).agg(F.count("*").alias("n_rows"), ((F.min(pos) == 0) & (F.max(pos) == F.count("*") - 1) & (F.count_distinct(pos) == F.count("*"))).alias("shape_ok"))
+    out = sequence_sha256(rows, by, "_row", pos).join(shape, by)
+    header = F.concat(F.lit(",".join(names) + "|"), F.col("n_rows").cast("string"), F.lit("\n"))
+    return out.select(by, "n_rows", "shape_ok", F.sha2(F.concat(header, "sha256"), 256).alias("sha256"))
+
+
+def model_inputs(selected: DataFrame, coverage: DataFrame, trace: DataFrame, scope: DataFrame) -> DataFrame:
+    """For each selected feature: exists (in coverage: feature, nonzero), nonzero, traced (rows of the trace), complete (all
+    non-zero cells are traced), in_train (its values in scope, the splits it was selected on: feature, split, are of the
+    training split alone)."""
+    traced = trace.groupBy("feature").agg(F.count("*").alias("traced"))
+    only = scope.groupBy("feature").agg(F.bool_and(F.col("split") == "train").alias("in_train"))
+    out = selected.select("feature").join(coverage.select("feature", "nonzero"), "feature", "left").join(traced, "feature", "left").join(only, "feature", "left")
+    n, t = F.coalesce("nonzero", F.lit(0)), F.coalesce("traced", F.lit(0))
+    return out.select("feature", F.col("nonzero").isNotNull().alias("exists"), n.alias("nonzero"), t.alias("traced"), (n == t).alias("complete"), F.coalesce("in_train", F.lit(False)).alias("in_train"))
+
+
+def link_runs(metrics: DataFrame, predictions: DataFrame, positions: DataFrame, fingerprints: DataFrame, features: list[str], part: str = "test") -> DataFrame:
+    """condition, seed, and for each run's metric document whether its dataset hash is the fingerprint of the part, its
+    feature order is the given one, its predictions name the part's ids in order, and its support counts its predictions.
+
+    metrics: read_metric_docs; predictions: condition, seed, id, y_true, pos (place in its file); positions: id, split, pos;
+    fingerprints: split, sha256."""
+    keys = ["condition", "seed"]
+    ids = positions.where(F.col("split") == part)
+    total = ids.agg(F.count("*").alias("_total"))
+    at = predictions.join(ids.select("id", F.col("pos").alias("_want")), "id", "left").groupBy(*keys).agg(
+        F.count("*").alias("_rows"), F.count_if(F.col("_want").eqNullSafe(F.col("pos"))).alias("_right"),
+        F.array(*[F.count_if(F.col("y_true") == k) for k in range(3)]).alias("_support"),
+    )
+    split = fingerprints.where(F.col("split") == part).agg(F.max("sha256").alias("_sha"))
+    out = metrics.join(at, keys, "left").join(F.broadcast(total), F.lit(True)).join(F.broadcast(split), F.lit(True))
+    return out.select(
+        *keys, F.coalesce("_rows", F.lit(0)).alias("rows"), F.col("provenance")["dataset_sha256"].eqNullSafe(F.col("_sha")).alias("dataset_match"),
+        F.col("feature_order").eqNullSafe(F.array(*[F.lit(f) for f in features])).alias("features_match"),
+        F.coalesce((F.col("_rows") == F.col("_total")) & (F.col("_right") == F.col("_total")), F.lit(False)).alias("order_match"), F.col("support").eqNullSafe(F.col("_support")).alias("support_match"),
+    )
 
 
 def traceability(posts: DataFrame, trace: DataFrame) -> DataFrame:
@@ -48,16 +90,21 @@ def traceability(posts: DataFrame, trace: DataFrame) -> DataFrame:
 
 
 def expectations(observed: DataFrame, expected: dict[str, int]) -> DataFrame:
-    """check, expected, observed, passed for columns of a one-row table."""
+    """check, expected, observed, passed, message for columns of a one-row table."""
     rows = F.array(*[F.struct(F.lit(k).alias("check"), F.lit(v).cast("long").alias("expected"), F.col(k).cast("long").alias("observed")) for k, v in expected.items()])
-    out = observed.select(F.explode(rows).alias("x")).select("x.*")
-    return out.withColumn("passed", F.col("expected") == F.col("observed"))
+    out = observed.select(F.explode(rows).alias("x")).select("x.*").withColumn("passed", F.col("expected") == F.col("observed"))
+    wrong = F.concat("check", F.lit(": "), F.col("observed").cast("string"), F.lit(" instead of "), F.col("expected").cast("string"))
+    return out.withColumn("message", F.when(F.col("passed"), F.concat("check", F.lit(": as expected"))).otherwise(wrong))
 
 
-def scan_files(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
-    """name, bytes, sha256 of the files below a folder."""
+def scan_files(spark: SparkSession, folder: str, suffix: str = "", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """path (below the folder), name, bytes, sha256 of the files below a folder whose path no pattern of exclude finds."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    own = F.substring_index("path", folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    out = files.select(own.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    for pattern in exclude:
+        out = out.where(~F.col("path").rlike(pattern))
+    return out
 
 
 def manifest_verify(declared: DataFrame, actual: DataFrame) -> DataFrame:

@@ -50,28 +50,57 @@ def top_concepts(concepts: DataFrame, n: int = 10, key: str = "doc_id") -> DataF
     return concepts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def mentions(docs: DataFrame, winners: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: dict[str, float], key: str = "doc_id") -> DataFrame:
-    """key, concept, at, polarity, kind: the mentions of each concept's winning term and of the compounds found."""
-    low = docs.select(key, F.lower(T.clean_code_blocks(F.col("text"))).alias("low"))
-    won = winners.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("concept", "term"))).alias("won"))
-    joined = low.join(won, key).withColumn("words", T.words(F.col("low")))
-    parts = []
-    for concept, term, _ in vocabulary:
-        patterns = [T.term_pattern(term)] + [T.long_pattern(c) for c in compounds.get(concept, [])]
-        found = F.concat(*[T.mention_positions(F.col("low"), p) for p in patterns])
-        own = F.when(F.try_element_at("won", F.lit(concept)) == term, found)
-        parts.append(F.transform(F.coalesce(own, F.array().cast("array<int>")), lambda at, c=concept: F.struct(F.lit(c).alias("concept"), at.alias("at"))))
-    rows = joined.select(key, "words", F.explode(F.concat(*parts)).alias("m")).select(key, "m.concept", "m.at", T.mention_window(F.col("words"), F.col("m.at")).alias("window"))
-    rows = rows.withColumn("polarity", T.window_polarity(F.col("window"), lexicon))
-    return rows.withColumn("kind", T.mention_class(F.col("polarity")))
+def in_row(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: dict[str, float], key: str = "doc_id", keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+    """Scores, winners and mentions of every concept, found in the row of the text: one scan, no shuffle. Returns the
+    rows (key, keep, clean, low, parts, single, words, and two columns for each concept), and for each concept the names
+    of its columns: score, and an array of (at, window, polarity) for the mentions of the last scoring term and of the
+    compounds. Null texts are empty."""
+    concepts = list(dict.fromkeys(c for c, _, _ in vocabulary))
+    base = docs.select(key, *keep, T.clean_code_blocks(F.col("text")).alias("clean")).withColumn("low", F.lower("clean"))
+    base = base.withColumns({"parts": T.boundary_split(F.col("low")), "single": T.collapsed(F.col("low"))})
+    terms = sorted(enumerate(vocabulary), key=lambda v: v[1][2])
+    hits = {f"h{i}": T.short_count(F.col("parts"), t).cast("double") if len(t) < T.LONG_FROM else T.long_hit(F.col("low"), t).cast("double") for i, (_, t, _) in terms}
+    bonus = {f"b{k}": compound_bonus(F.col("low"), compounds.get(c, [])) for k, c in enumerate(concepts)}
+    base = base.withColumns(hits | bonus | {"words": F.filter(F.split("single", " "), lambda w: w != "")})
+    found, names = {}, {}
+    for k, c in enumerate(concepts):
+        own = [(i, t) for i, (concept, t, _) in terms if concept == c]
+        found[f"s{k}"] = reduce(lambda x, y: x + y, [F.col(f"h{i}") for i, _ in own]) + F.col(f"b{k}") * len(own)
+        patterns = [T.long_pattern(x) for x in compounds.get(c, [])]
+        at = F.array().cast("array<int>")
+        for i, t in own:  # the last scoring term in vocabulary order supplies the mentions
+            places = F.concat(*[T.mention_positions(F.col("single"), p, True) for p in (T.term_pattern(t), *patterns)])
+            at = F.when(F.col(f"h{i}") + F.col(f"b{k}") > 0, places).otherwise(at)
+        found[f"at{k}"] = at
+        names[c] = (f"s{k}", f"m{k}")
+    base = base.withColumns(found)
+    window = lambda at: T.mention_window(F.col("words"), at)
+    seen = {f"m{k}": F.transform(f"at{k}", lambda at: F.struct(at.alias("at"), window(at).alias("window"), T.window_polarity(window(at), lexicon).alias("polarity"))) for k in range(len(concepts))}
+    return base.withColumns(seen), names
+
+
+def mentions(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: dict[str, float], key: str = "doc_id") -> DataFrame:
+    """key, concept, at, window, polarity, kind: the mentions of each concept's winning term and of the compounds found."""
+    rows, names = in_row(docs, vocabulary, compounds, lexicon, key)
+
+    def named(c: str, m: str) -> Column:
+        return F.transform(m, lambda x: F.struct(F.lit(c).alias("concept"), *[x[n].alias(n) for n in ("at", "window", "polarity")]))
+
+    every = F.concat(*[named(c, m) for c, (_, m) in names.items()])
+    return rows.select(key, F.explode(every).alias("x")).select(key, "x.*").withColumn("kind", T.mention_class(F.col("polarity")))
+
+
+def polarity_ratio(total: Column, n: Column) -> Column:
+    """Half the mean of the classified windows' polarities, within [-1, 1]; 0 without mentions."""
+    return F.when(n > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / F.greatest(n, F.lit(1)) / 2))).otherwise(0.0)
 
 
 def concept_polarity(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts, sums and the ratio (positive - negative) / all, per text and concept."""
-    n = lambda k: F.sum((F.col("kind") == k).cast("long")).alias(k)
-    out = found.groupBy(key, "concept").agg(n("positive"), n("negative"), n("neutral"), F.sum("polarity").alias("score"))
-    total = F.col("positive") + F.col("negative") + F.col("neutral")
-    return out.withColumn("ratio", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("positive") - F.col("negative")) / total)))
+    """Counts of each kind, sums over positive and over negative windows, and the ratio, per text and concept."""
+    n = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("polarity")).otherwise(0.0)).alias(f"{k}_score")
+    out = found.groupBy(key, "concept").agg(n("positive"), n("negative"), n("neutral"), total("positive"), total("negative"), F.count("*").alias("mentions"))
+    return out.withColumn("ratio", polarity_ratio(F.col("positive_score") + F.col("negative_score"), F.col("mentions"))).drop("mentions")
 
 
 def modifier_flags(docs: DataFrame, modifiers: dict[str, list[str]], factors: dict[str, float], most: int = 10, key: str = "doc_id") -> DataFrame:
@@ -90,15 +119,15 @@ def emotion_weights(docs: DataFrame, emotions: dict[str, dict[str, float]], key:
     return low.select(key, *[reduce(lambda a, b: a + b, [T.short_hits(F.col("low"), p) * F.lit(w) for p, w in ps.items()]).alias(e) for e, ps in emotions.items()])
 
 
-def feature_vector(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], concepts: list[str], key: str = "doc_id") -> DataFrame:
+def concept_features(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], concepts: list[str], key: str = "doc_id") -> DataFrame:
     """One row for each text: a score for each concept, how many matched, and their density per word. One pass: what a
     text needs is in its own row, so nothing is exploded or shuffled."""
     base = docs.select(key, T.clean_code_blocks(F.col("text")).alias("clean"))
-    base = base.select(key, "clean", F.lower("clean").alias("low"))
+    base = base.select(key, "clean", F.lower("clean").alias("low")).withColumn("parts", T.boundary_split(F.col("low")))
     out = []
     for c in concepts:
         terms = [t for k, t, _ in vocabulary if k == c]
-        hits = reduce(lambda a, b: a + b, [T.term_hits(F.col("low"), t) for t in terms])
+        hits = reduce(lambda a, b: a + b, [T.short_count(F.col("parts"), t).cast("double") if len(t) < T.LONG_FROM else T.long_hit(F.col("low"), t).cast("double") for t in terms])
         out.append((hits + compound_bonus(F.col("low"), compounds.get(c, [])) * len(terms)).alias(f"ont_{c.lower()}"))
     wide = base.select(key, T.word_count(F.col("clean")).alias("n_words"), *out)
     n = reduce(lambda a, b: a + b, [(F.col(f"ont_{c.lower()}") > 0).cast("double") for c in concepts])
@@ -106,10 +135,50 @@ def feature_vector(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str
     return wide.withColumn("ont_density", F.col("ont_count") / F.greatest(F.col("n_words"), F.lit(1)))
 
 
-def derived_features(features: DataFrame, emotions: DataFrame, concepts: list[str], key: str = "doc_id") -> DataFrame:
-    """Richness, emotion total, their product, and a composite of 0.4, 0.3 and 0.3 parts."""
-    total = reduce(lambda a, b: a + b, [F.col(c) for c in emotions.columns if c != key])
-    joined = features.join(emotions.select(key, total.alias("emotion")), key)
-    rich = F.col("ont_count") / len(concepts)
-    return joined.select(key, rich.alias("richness"), "emotion", (F.col("emotion") * F.col("ont_density")).alias("emotion_x_density"),
-                         (0.4 * rich + 0.3 * F.col("ont_density") + 0.3 * F.least(F.col("emotion"), F.lit(1.0))).alias("composite"))
+def feature_vector(
+    docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: dict[str, float], modifiers: dict[str, list[str]], factors: dict[str, float],
+    emotions: dict[str, dict[str, float]], valence: dict[str, int], key: str = "doc_id",
+) -> DataFrame:
+    """key, n_words and all features of a text, in one scan without a shuffle.
+
+    For each concept: found, score, positive, negative and neutral mentions, ratio. A flag and the product of factors for
+    modifiers; a flag and a weight for each emotion; counts and densities per word of the three; totals and the ratio of
+    mentions over all concepts; and what derives from these (`derived`). valence: 1 or -1 for each emotion."""
+    rows, names = in_row(docs, vocabulary, compounds, lexicon, key)
+    kind = lambda m, k: F.size(F.filter(m, lambda x: T.mention_class(x["polarity"]) == k)).cast("double")
+    strong = lambda m: F.aggregate(m, F.lit(0.0), lambda a, x: a + F.when(F.abs(x["polarity"]) > 0.5, x["polarity"]).otherwise(0.0))
+    cols: dict[str, Column] = {}
+    for c, (score, m) in names.items():
+        c = c.lower()
+        cols |= {f"ont_{c}": (F.col(score) > 0).cast("double"), f"ont_{c}_score": F.col(score)}
+        cols |= {f"ont_{c}_{k}": kind(m, k) for k in ("positive", "negative", "neutral")} | {f"ont_{c}_ratio": polarity_ratio(strong(m), F.size(m))}
+    hit = {p: T.short_count(F.col("parts"), p) for p in dict.fromkeys(p for ps in (*modifiers.values(), *emotions.values()) for p in ps)}
+    for k, ps in modifiers.items():
+        cols[f"ont_mod_{k}"] = F.greatest(F.lit(0), *[(hit[p] > 0).cast("int") for p in ps]).cast("double")
+    cols["ont_count_modifiers"] = reduce(lambda a, b: a + b, [(hit[p] > 0).cast("double") for ps in modifiers.values() for p in ps])
+    cols["ont_modifier_factor"] = reduce(lambda a, b: a * b, [F.when(hit[p] > 0, F.lit(factors[k])).otherwise(F.lit(1.0)) for k, ps in modifiers.items() for p in ps])
+    for e, ps in emotions.items():
+        cols[f"ont_weight_{e}"] = reduce(lambda a, b: a + b, [hit[p] * F.lit(w) for p, w in ps.items()])
+    wide = rows.select(key, T.word_count(F.col("clean")).cast("long").alias("n_words"), *[v.alias(k) for k, v in cols.items()])
+    return derived(wide, [c.lower() for c in names], list(emotions), valence)
+
+
+def derived(rows: DataFrame, concepts: list[str], emotions: list[str], valence: dict[str, int]) -> DataFrame:
+    """Adds flags, counts, densities, totals and composites to the features of concepts, modifiers and emotions."""
+    total = lambda names: reduce(lambda a, b: a + b, [F.col(n) for n in names])
+    rows = rows.withColumns({f"ont_emo_{e}": (F.col(f"ont_weight_{e}") > 0).cast("double") for e in emotions})
+    rows = rows.withColumns({
+        "ont_count_concepts": total([f"ont_{c}" for c in concepts]), "ont_count_emotions": total([f"ont_emo_{e}" for e in emotions]),
+        "ont_domain_score": total([f"ont_{c}_score" for c in concepts]), "ont_emotion_weight": total([f"ont_weight_{e}" for e in emotions]),
+        "ont_emotion_valence": reduce(lambda a, b: a + b, [F.col(f"ont_weight_{e}") * F.lit(float(valence[e])) for e in emotions]),
+    } | {f"ont_total_{k}": total([f"ont_{c}_{k}" for c in concepts]) for k in ("positive", "negative", "neutral")})
+    size = F.greatest(F.col("n_words"), F.lit(1))
+    mentions_, factor = total([f"ont_total_{k}" for k in ("positive", "negative", "neutral")]), F.abs(F.col("ont_modifier_factor"))
+    parts = [F.col(f"ont_count_{k}") for k in ("concepts", "modifiers", "emotions")]
+    return rows.withColumns({
+        "ont_domain_density": parts[0] / size, "ont_modifier_density": parts[1] / size, "ont_emotion_density": parts[2] / size,
+        "ont_emotion_x_polarity": parts[2] * factor, "ont_semantic_richness": parts[0] + parts[1] + parts[2], "ont_polarity_abs": factor,
+        "ont_emotion_concept_ratio": parts[2] / F.greatest(parts[0], F.lit(1.0)), "ont_has_elements": (parts[0] + parts[1] + parts[2] > 0).cast("double"),
+        "ont_composite": 0.4 * F.col("ont_domain_score") + 0.3 * factor + 0.3 * F.col("ont_emotion_weight"),
+        "ont_global_ratio": F.when(mentions_ > 0, (F.col("ont_total_positive") - F.col("ont_total_negative")) / F.greatest(mentions_, F.lit(1.0))).otherwise(0.0),
+    })

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelex.sources import files
+
 BASE = "http://example.org/tracelex#"
 RDF_TYPE, SUBCLASS, SUBPROPERTY, DOMAIN, RANGE = "rdf:type", "rdfs:subClassOf", "rdfs:subPropertyOf", "rdfs:domain", "rdfs:range"
 TRIPLE = ["s", "p", "o", "o_kind", "o_datatype"]
 
 
+# The characters that an IRI's local name keeps.
+LOCAL = r"[^A-Za-z0-9_\\-]"
+
+
 def sanitize_iri(value: Column) -> Column:
     """One underscore for each character that is no ASCII letter, digit, underscore, backslash or hyphen."""
-    clean = F.regexp_replace(value, r"[^A-Za-z0-9_\\-]", "_")
+    clean = F.regexp_replace(value, LOCAL, "_")
     return F.when(F.coalesce(clean, F.lit("")) == "", "missing").otherwise(clean)
 
 
@@ -24,14 +30,19 @@ def label_iri(label: Column) -> Column:
     return F.when(label == 0, f"{BASE}Negative").when(label == 1, f"{BASE}Neutral").when(label == 2, f"{BASE}Positive")
 
 
+def parsed_time(text: Column) -> Column:
+    """A time from text, with or without an offset, T or fraction, or from a date; null if it can't be read."""
+    return F.try_to_timestamp(F.trim(text))
+
+
 def datetime_literal(created: Column) -> Column:
     """ISO text of a time in UTC; the epoch for null."""
     return F.date_format(F.coalesce(created, F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def post_triples(posts: DataFrame) -> DataFrame:
-    """Eight triples for each post, and the types of authors and topics. posts: id, author, topic, lang, body, created,
-    label."""
+    """Eight triples for each post, and the types of authors and topics. posts: id (a key), author, topic, lang, body,
+    created, label; nulls have no triple, but for the time (the epoch), and author and topic (`unknown`)."""
     post, author = iri("post", F.col("id")), iri("author", F.coalesce(F.nullif("author", F.lit("")), F.lit("unknown")))
     topic = iri("topic", F.coalesce(F.nullif("topic", F.lit("")), F.lit("unknown")))
     row = lambda s, p, o, kind, dt=None: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_datatype"))
@@ -39,9 +50,12 @@ def post_triples(posts: DataFrame) -> DataFrame:
         row(post, RDF_TYPE, F.lit(f"{BASE}Post"), "iri"), row(post, "identifier", F.col("id"), "literal", "xsd:string"), row(post, "author", author, "iri"),
         row(post, "topic", topic, "iri"), row(post, "language", F.col("lang"), "literal", "xsd:string"), row(post, "created", datetime_literal(F.col("created")), "literal", "xsd:dateTime"),
         row(post, "length", F.length(F.trim("body")).cast("string"), "literal", "xsd:integer"), row(post, "label", label_iri(F.col("label")), "iri"),
-        row(author, RDF_TYPE, F.lit(f"{BASE}Author"), "iri"), row(topic, RDF_TYPE, F.lit(f"{BASE}Topic"), "iri"),
     )
-    return posts.select(F.explode(made).alias("t")).select("t.*").where("o is not null").dropDuplicates(["s", "p", "o"])
+    shared_types = F.array(row(author, RDF_TYPE, F.lit(f"{BASE}Author"), "iri"), row(topic, RDF_TYPE, F.lit(f"{BASE}Topic"), "iri"))
+    # Eight of the ten begin with the post, whose id is a key; only the types of authors and topics can repeat.
+    own = posts.select(F.explode(made).alias("t")).select("t.*").where("o is not null")
+    shared = posts.select("author", "topic").distinct().select(F.explode(shared_types).alias("t")).select("t.*").distinct()
+    return own.union(shared)
 
 
 def concept_assertions(rows: DataFrame) -> DataFrame:
@@ -56,21 +70,31 @@ def trace_map(posts: DataFrame, rows: DataFrame) -> DataFrame:
     return out.select("id", "split", iri("post", F.col("id")).alias("post_iri"), "feature", "module", "concept", "value")
 
 
+def trace_rows(features: DataFrame, names: list[str], modules: DataFrame) -> DataFrame:
+    """The same from feature columns (with id and split) and the modules of features, a small table, in the row of the post:
+    nothing is joined but the modules' names."""
+    cells = F.filter(F.array(*[F.struct(F.lit(n).alias("feature"), F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("value")) for n in names]), lambda c: c.value != 0)
+    out = features.select("id", "split", F.explode_outer(cells).alias("c")).select("id", "split", iri("post", F.col("id")).alias("post_iri"), "c.feature", "c.value")
+    module = F.when(F.col("feature").isNotNull(), F.coalesce("module", F.lit("unmapped"))).alias("module")
+    return out.join(modules, "feature", "left").select("id", "split", "post_iri", "feature", module, "concept", "value")
+
+
 def ntriples(triples: DataFrame) -> DataFrame:
     full = lambda c: F.when(F.col(c).startswith("http"), F.col(c)).otherwise(F.concat(F.lit(BASE), F.replace(F.col(c), F.lit(":"), F.lit("_"))))
     text = F.concat(F.lit('"'), F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     return triples.select(F.concat(F.lit("<"), full("s"), F.lit("> <"), full("p"), F.lit("> "), F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), full("o"), F.lit(">"))).otherwise(text), F.lit(" .")).alias("line"))
 
 
-def closure(schema: DataFrame, predicate: str) -> DataFrame:
-    """s, o of the transitive closure of a predicate of a schema, which is a few hundred rows."""
-    out = schema.where(F.col("p") == predicate).select("s", "o").distinct()
-    n = -1
+def closure(schema: DataFrame, predicate: str, most: int = 100_000) -> DataFrame:
+    """s, o of the transitive closure of a predicate of a schema, by doubling; each round is written to the shared folder.
+    A schema is a small table: ValueError beyond `most` pairs."""
+    scratch = lambda df: files.through_parquet(df, files.scratch(schema.sparkSession))
+    out, n = scratch(schema.where(F.col("p") == predicate).select("s", "o").distinct()), -1
     while (m := out.count()) != n:
-        n = m
-        step = out.select("s", F.col("o").alias("m")).join(out.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
-        rows = out.union(step).distinct().collect()
-        out = schema.sparkSession.createDataFrame(rows, "s string, o string")
+        if m > most:
+            raise ValueError(f"the closure of {predicate} has more than {most} pairs")
+        n, step = m, out.select("s", F.col("o").alias("m")).join(out.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+        out = scratch(out.union(step).distinct())
     return out
 
 
@@ -78,13 +102,13 @@ def domain_range(triples: DataFrame, schema: DataFrame) -> DataFrame:
     """Type triples that the domains and ranges of predicates imply."""
     d = schema.where(F.col("p") == DOMAIN).select(F.col("s").alias("p"), F.col("o").alias("cls"))
     r = schema.where(F.col("p") == RANGE).select(F.col("s").alias("p"), F.col("o").alias("cls"))
-    a = triples.join(F.broadcast(d), "p").select("s", "cls")
-    b = triples.where("o_kind = 'iri'").join(F.broadcast(r), "p").select(F.col("o").alias("s"), "cls")
+    a = triples.join(d, "p").select("s", "cls")
+    b = triples.where("o_kind = 'iri'").join(r, "p").select(F.col("o").alias("s"), "cls")
     return a.union(b).distinct().select("s", F.lit(RDF_TYPE).alias("p"), F.col("cls").alias("o"))
 
 
 def inherit_types(types: DataFrame, subclasses: DataFrame) -> DataFrame:
-    up = types.join(F.broadcast(subclasses.toDF("o", "super")), "o").select("s", "p", F.col("super").alias("o"))
+    up = types.join(subclasses.toDF("o", "super"), "o").select("s", "p", F.col("super").alias("o"))
     return types.select("s", "p", "o").union(up).distinct()
 
 

@@ -11,14 +11,26 @@ from tracelex.functions import text as T
 def concept_windows(docs: DataFrame, anchors: list[str], stopwords: list[str], window: int = 5, key: str = "doc_id") -> DataFrame:
     """key, token: tokens around each anchor. The position counts words between white space, the slice counts word
     tokens; overlapping windows repeat tokens. Stopwords and tokens of two characters or fewer are left out."""
-    low = docs.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    at = F.concat(*[T.mention_positions(F.col("low"), T.long_pattern(a)) for a in anchors])
+    return windows_grid(docs, anchors, stopwords, [window], key).drop("window")
+
+
+def windows_grid(docs: DataFrame, anchors: list[str], stopwords: list[str], windows: list[int], key: str = "doc_id") -> DataFrame:
+    """window, key, token: the same for each of several window sizes, in one scan."""
+    low = docs.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("low")).withColumn("single", T.collapsed(F.col("low")))
+    at = F.concat(*[T.mention_positions(F.col("single"), T.long_pattern(a), True) for a in anchors])
     low = low.select(key, F.regexp_extract_all("low", F.lit(r"(?U)\b\w+\b"), 0).alias("tokens"), F.explode(at).alias("at"))
-    first = F.greatest(F.col("at") - window, F.lit(0))
-    rows = low.select(key, F.explode(F.slice("tokens", first + 1, F.col("at") + window + 1 - first)).alias("token"))
+    first = lambda w: F.greatest(F.col("at") - w, F.lit(0))
+    each = F.array(*[F.struct(F.lit(w).alias("window"), F.slice("tokens", first(w) + 1, F.col("at") + w + 1 - first(w)).alias("tokens")) for w in windows])
+    rows = low.select(key, F.explode(each).alias("x")).select("x.window", key, F.explode("x.tokens").alias("token"))
     return rows.where((F.length("token") > 2) & ~F.col("token").isin(*stopwords))
 
 
+def leaked(induced_on: DataFrame, split: DataFrame) -> DataFrame:
+    """split, n: ids of the induction set that are not in the training split, and ids in no split at all (split null)."""
+    out = induced_on.select("id").distinct().join(split.select("id", "split"), "id", "left")
+    return out.where("split is null or split <> 'train'").groupBy("split").agg(F.count("*").alias("n"))
+
+
 def induce_lexicon(windows: DataFrame, valence: DataFrame, least: int = 3, strong: float = 1.0, clamp: float = 2.0) -> DataFrame:
     """term, freq, valence, weight, polarity of the frequent terms with a strong valence. valence: a small table."""
     counts = windows.groupBy(F.col("token").alias("term")).agg(F.count("*").alias("freq"))

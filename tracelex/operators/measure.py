@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelex.operators import tables
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """by, and exact quantiles (linear between neighbours) by name: equal values are counted first, placed by ranges, and
+    the two rows that a quantile lies between are picked. Nulls are left out. No task holds a whole group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    own = tables.placed(counts, [*by, value], F.col("_c"), "_before")
+    size = own.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_before").alias("_first"))
+    own = own.join(size, by).withColumn("_start", F.col("_before") - F.col("_first"))
+    holds = lambda i: F.max(F.when((F.col("_start") <= i) & (i < F.col("_start") + F.col("_c")), F.col(value)))
+    place = {k: F.lit(q) * (F.col("_n") - 1) for k, q in at.items()}
+    picked = own.groupBy(*by).agg(F.max("_n").alias("_n"), *[e for k, h in place.items() for e in (holds(F.floor(h)).alias(f"_low_{k}"), holds(F.ceil(h)).alias(f"_high_{k}"))])
+    return picked.select(*by, *[(F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * (h - F.floor(h))).alias(k) for k, h in place.items()])
+
 
 def feature_coverage(rows: DataFrame) -> DataFrame:
     """rows: feature, value."""
     hit = F.count_if(F.col("value") != 0)
-    return rows.groupBy("feature").agg(
-        hit.alias("nonzero"), (100 * hit / F.count("*")).alias("percent"), F.avg("value").alias("mean"),
-        F.percentile("value", F.lit(0.5)).alias("median"), F.max("value").alias("max"), F.count_if(F.col("value").isNull()).alias("missing"),
-    )
+    out = rows.groupBy("feature").agg(hit.alias("nonzero"), (100 * hit / F.count("*")).alias("percent"), F.avg("value").alias("mean"), F.max("value").alias("max"), F.count_if(F.col("value").isNull()).alias("missing"))
+    return out.join(quantiles(rows, ["feature"], "value", {"median": 0.5}), "feature", "left")
 
 
 def module_coverage(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -30,11 +45,8 @@ def label_entropy(rows: DataFrame, by: str) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.min(value).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), F.avg(value).alias("mean"), q(0.75).alias("q3"), F.max(value).alias("max"),
-        F.stddev_pop(value).alias("std"),
-    )
+    out = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"))
+    return out.join(quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), by)
 
 
 def confusion_matrix(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -94,8 +106,6 @@ def anova_f(rows: DataFrame) -> DataFrame:
 
 def f_tail(f: float, d1: float, d2: float) -> float:
     """Upper tail of the F distribution: the incomplete beta function as a continued fraction (modified Lentz)."""
-    import math
-
     if f is None or not f >= 0:
         return float("nan")
     x, a, b = d2 / (d2 + d1 * f), d2 / 2, d1 / 2
@@ -107,8 +117,6 @@ def f_tail(f: float, d1: float, d2: float) -> float:
 
 
 def _beta(x: float, a: float, b: float) -> float:
-    import math
-
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     value = c = 1.0
     d = 1 / (1 - (a + b) * x / (a + 1))
@@ -123,9 +131,17 @@ def _beta(x: float, a: float, b: float) -> float:
 
 
 def anova_p(f: DataFrame) -> DataFrame:
-    """Adds p; one row for each feature, so a small table in every case."""
-    tail = F.udf(lambda x, k, n: None if x is None else f_tail(x, k - 1, n - k), "double")
-    return f.withColumn("p", tail("f", "k", "n"))
+    """Adds p. f has one row for each feature, a few hundred at most; they are worked out on the driver."""
+    rows = [(*r, None if r.f is None else f_tail(r.f, r.k - 1, r.n - r.k)) for r in f.collect()]
+    return f.sparkSession.createDataFrame(rows, f.schema.add("p", "double"))
+
+
+def support_check(predictions: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
+    """by, label, n, expected, ok: rows of each class in each run against the same support for all. expected: label, n."""
+    runs = predictions.select(*by).distinct().join(F.broadcast(expected.select("label", F.col("n").alias("expected"))), F.lit(True))  # one row for each run, three classes
+    n = predictions.groupBy(*by, F.col("y_true").alias("label")).agg(F.count("*").alias("n"))
+    out = runs.join(n, [*by, "label"], "full_outer").select(*by, "label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("expected", F.lit(0)).alias("expected"))
+    return out.withColumn("ok", F.col("n") == F.col("expected"))
 
 
 def select_features(f: DataFrame, level: float = 0.05) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelex.sources import files
+
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """label, weight: n / (k * n of the class)."""
@@ -45,13 +47,20 @@ def stack_semantic(df: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=["tfidf", *names], outputCol="features", handleInvalid="keep").transform(df)
 
 
-def classifier(kind: str, seed: int = 42, rounds: int = 50):
+#: Sizes of the models: iterations, trees or rounds, and depth.
+SIZES = {"lr": (1000, None), "rf": (300, 20), "gbt": (300, 6)}
+
+
+def classifier(kind: str, seed: int = 42, rounds: int | None = None, depth: int | None = None, weights: float = 1000.0):
+    """lr: multinomial, penalty C = 1, which is 1 / (sum of the training weights) here. rf: at least two rows in a leaf.
+    gbt: rate 0.1, 0.8 of rows and columns, one against the rest (Spark ML's booster has two classes)."""
+    rounds, depth = rounds or SIZES[kind][0], depth or SIZES[kind][1]
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if kind == "lr":
-        return LogisticRegression(maxIter=rounds, regParam=0.001, standardization=False, family="multinomial", **common)
+        return LogisticRegression(maxIter=rounds, regParam=1 / weights, standardization=False, family="multinomial", **common)
     if kind == "rf":
-        return RandomForestClassifier(numTrees=rounds, maxDepth=8, minInstancesPerNode=2, seed=seed, **common)
-    base = GBTClassifier(maxIter=max(2, rounds // 10), maxDepth=4, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+        return RandomForestClassifier(numTrees=rounds, maxDepth=depth, minInstancesPerNode=2, seed=seed, **common)
+    base = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     return OneVsRest(classifier=base, featuresCol="features", labelCol="label", weightCol="weight")
 
 
@@ -60,16 +69,33 @@ def predict_table(model, rows: DataFrame, kind: str, condition: str, seed: int)
     return out.select("id", "split", F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"), F.lit(kind).alias("model"), F.lit(condition).alias("condition"), F.lit(seed).alias("seed"))
 
 
-def ablation_grid(rows: DataFrame, conditions: dict[str, list[str]], kinds: list[str], seeds: list[int], size: int = 500, rounds: int = 20) -> DataFrame:
-    """Predictions on the test rows for every model, seed and condition; the text features are fitted once."""
+def ablation_grid(
+    rows: DataFrame, conditions: dict[str, list[str]], kinds: tuple[str, ...] = ("lr", "rf", "gbt"), seeds: tuple[int, ...] = (42, 123, 2024), size: int = 5000,
+    sizes: dict[str, tuple[int, int | None]] | None = None,
+) -> DataFrame:
+    """Predictions on the test rows for every model, seed and condition; the text features are fitted and written once.
+    sizes: (iterations or trees, depth) by kind, where not those of SIZES."""
     train = rows.where("split = 'train'")
-    text = tfidf(train, size)(rows.join(F.broadcast(class_weights(train)), "label")).cache()
+    text = tfidf(train, size)(rows.join(F.broadcast(class_weights(train)), "label"))  # one row for each label
+    text = files.through_parquet(text, files.scratch(rows.sparkSession))
+    weights = text.where("split = 'train'").agg(F.sum("weight")).first()[0] or 1.0
     out = None
     for condition, names in conditions.items():
         stacked = stack_semantic(text, names)
         for kind in kinds:
+            rounds, depth = (sizes or {}).get(kind, SIZES[kind])
             for seed in seeds:
-                model = classifier(kind, seed, rounds).fit(stacked.where("split = 'train'"))
+                model = classifier(kind, seed, rounds, depth, weights).fit(stacked.where("split = 'train'"))
                 p = predict_table(model, stacked.where("split = 'test'"), kind, condition, seed)
                 out = p if out is None else out.unionByName(p)
     return out
+
+
+def term_table(rows: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """g, tf, df, idf: word 1- and 2-grams with their counts, numbers of texts, and ln((1 + n) / (1 + df)) + 1."""
+    own = rows.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0).alias("one"))
+    pairs = F.zip_with("one", F.slice("one", 2, F.greatest(F.size("one") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    own = own.select(key, F.explode(F.concat("one", F.filter(pairs, lambda x: x.isNotNull()))).alias("g"))
+    counts = own.groupBy(key, "g").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+    n = rows.agg(F.count("*").alias("n"))  # one row
+    return counts.join(F.broadcast(n), F.lit(True)).select("g", "tf", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelex.sources import files
+
+#: Ids on one line of a split file.
+SPLIT_BLOCK = 10_000
+
 
 def columns_by_prefix(df: DataFrame, prefix: str) -> list[str]:
     return [c for c, t in df.dtypes if c.startswith(prefix) and t in ("double", "float", "int", "bigint")]
@@ -16,19 +21,42 @@ def unpivot(features: DataFrame, names: list[str], key: str = "doc_id") -> DataF
     return features.select(key, F.explode(F.array(*pairs)).alias("x")).select(key, "x.*")
 
 
+def placed(df: DataFrame, order: list, weight: Column | None = None, name: str = "before") -> DataFrame:
+    """df with the sum of the weights (1 each) of all rows that come before a row in a total order: sums inside range
+    partitions, plus the sums of the partitions before. No task holds more than a range. The ranges are written to the
+    shared folder, so that every later step sees the same ones."""
+    weight = F.lit(1) if weight is None else weight
+    own = df.repartitionByRange(*order).withColumn("_weight", weight.cast("long")).withColumn("_part", F.spark_partition_id())
+    own = files.through_parquet(own, files.scratch(df.sparkSession))
+    parts = own.groupBy("_part").agg(F.sum("_weight").alias("_sum"))  # one row for each partition
+    parts = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_base"))
+    inside = F.sum("_weight").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return own.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(parts, "_part").withColumn(name, F.col("_inside") + F.col("_base")).drop("_weight", "_part", "_inside", "_base")
+
+
 def project_release(posts: DataFrame, pseudonyms: DataFrame) -> DataFrame:
-    return posts.join(pseudonyms, "author").select("id", "author_id", "body", "topic", "created", "split")
+    """Null authors are `unknown`, as in the pseudonyms."""
+    named = posts.withColumn("author", F.coalesce("author", F.lit("unknown")))
+    return named.join(pseudonyms, "author").select("id", "author_id", "body", "topic", "created", "split")
 
 
 def pseudonym_authors(posts: DataFrame) -> DataFrame:
-    """author, author_id: ordinals over the sorted distinct authors, by a range partitioning with offsets per
-    partition, so that no task sorts them all."""
+    """author, author_id: ordinals over the sorted distinct authors (null: `unknown`)."""
     names = posts.select(F.coalesce("author", F.lit("unknown")).alias("author")).distinct()
-    ranked = names.withColumn("bucket", F.substring("author", 1, 2))
-    before = ranked.groupBy("bucket").count()
-    before = before.select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("before"))
-    own = ranked.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("author")))
-    return own.join(before, "bucket").select("author", F.format_string("author_%04d", F.col("n") + F.col("before")).alias("author_id"))
+    return placed(names, ["author"]).select("author", F.format_string("author_%04d", F.col("before") + 1).alias("author_id"))
+
+
+def write_split(positions: DataFrame, path: str) -> str:
+    """positions (id, split, pos) as JSON lines: the split, the first position, and up to SPLIT_BLOCK ids in order."""
+    block = F.floor(F.col("pos") / SPLIT_BLOCK)
+    rows = positions.groupBy("split", block.alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x.id).alias("ids"))
+    return files.write_report(rows.select("split", (F.col("block") * SPLIT_BLOCK).alias("first"), "ids"), path)
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """id, split, pos of what write_split wrote."""
+    rows = spark.read.schema("split string, first long, ids array<string>").json(path)
+    return rows.select("split", "first", F.posexplode("ids").alias("at", "id")).select("id", "split", (F.col("first") + F.col("at")).alias("pos"))
 
 
 def split_table(spark: SparkSession, path: str) -> DataFrame:
@@ -42,13 +70,11 @@ def split_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_positions(posts: DataFrame) -> DataFrame:
-    """id, split, pos: place in the split's order (by doc_id), counted per block of ids, then summed over blocks."""
-    block = F.floor(F.col("doc_id") / 4096)
-    own = posts.select("doc_id", "id", "split", block.alias("block"))
-    before = own.groupBy("split", "block").count()
-    before = before.select("split", "block", (F.sum("count").over(Window.partitionBy("split").orderBy("block")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("split", "block").orderBy("doc_id")) - 1
-    return own.withColumn("rank", rank).join(before, ["split", "block"]).select("doc_id", "id", "split", (F.col("rank") + F.col("before")).alias("pos"))
+    """doc_id, id, split, pos: place in the split's order (by doc_id)."""
+    sizes = posts.groupBy("split").agg(F.count("*").alias("n"))  # one row for each split
+    bases = sizes.select(F.col("split").alias("_split"), (F.sum("n").over(Window.orderBy("split")) - F.col("n")).alias("_first"))
+    own = placed(posts.select("doc_id", "id", "split"), ["split", "doc_id"])
+    return own.join(bases, F.col("split").eqNullSafe(F.col("_split"))).select("doc_id", "id", "split", (F.col("before") - F.col("_first")).alias("pos"))
 
 
 def check_split_disjoint(split: DataFrame) -> DataFrame:
@@ -97,18 +123,32 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def subset(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """subset, missing: whether all keys of a are in b, and how many are not."""
+    return a.select(key).distinct().join(b.select(key), key, "left_anti").agg((F.count("*") == 0).alias("subset"), F.count("*").alias("missing"))
+
+
 def build_vocab(tokens: DataFrame, least: int = 2, cap: int | None = None) -> DataFrame:
-    """token, freq, index from 2: frequent tokens first, ties by token. Ranked per frequency, with offsets."""
+    """token, freq, index from 2: frequent tokens first, ties by token."""
     counts = tokens.groupBy("token").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
-    before = counts.groupBy("freq").agg(F.count("*").alias("n"))
-    before = before.select("freq", (F.sum("n").over(Window.orderBy(F.desc("freq"))) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("freq").orderBy("token"))
-    out = counts.withColumn("rank", rank).join(before, "freq").select("token", "freq", (F.col("rank") + F.col("before") + 1).alias("index"))
+    out = placed(counts, [F.desc("freq"), F.asc("token")]).select("token", "freq", (F.col("before") + 2).alias("index"))
     return out.where(F.col("index") < cap + 2) if cap else out
 
 
-def encode_tokens(tokens: DataFrame, vocab: DataFrame, length: int, key: str = "doc_id") -> DataFrame:
-    """key, ids: token ids in order, 1 for unknown ones, cut and padded with 0 to a length."""
+def encode_tokens(tokens: DataFrame, vocab: DataFrame, length: int, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ids: token ids in order, 1 for unknown ones, cut and padded with 0 to a length; one row for each row of keys,
+    also for texts without tokens."""
     kept = tokens.where(F.col("pos") < length).join(vocab.select("token", "index"), "token", "left")
     ids = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("index", F.lit(1)).alias("i")))), lambda x: x.i.cast("int")).alias("ids"))
+    ids = keys.select(key).join(ids, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return ids.select(key, F.concat("ids", F.array_repeat(F.lit(0), F.lit(length) - F.size("ids"))).alias("ids"))
+
+
+def pivot_complete(rows: DataFrame, index: str, column: str, values: list, value: str) -> DataFrame:
+    """index x column matrix of the mean of value; ValueError if a cell is missing."""
+    out = rows.groupBy(index).pivot(column, values).agg(F.avg(value))
+    out = files.through_parquet(out, files.scratch(rows.sparkSession))
+    missing = out.agg(*[F.count_if(F.col(f"`{v}`").isNull()).alias(str(v)) for v in values]).first().asDict()
+    if any(missing.values()):
+        raise ValueError(f"cells of the {index} x {column} matrix are missing: {missing}")
+    return out

@@ -16,6 +16,8 @@ LEXICON = {"thing": 1.7, "thon": -1.4, "thou": 2.0, "ered": -2.0, "thin": 1.0, "
 ANCHORS = ["that", "with", "from", "this", "than", "then", "thing"]
 STOPWORDS = ["the", "and", "for", "was", "are"]
 MODIFIERS = {"intensifier": ["the", "all"], "negation": ["no", "nicht", "pas", "not"], "attenuator": ["of", "un"]}
+FACTORS = {"intensifier": 1.3, "negation": -0.8, "attenuator": 0.7}
+EMOTION_VALENCE = {"joy": 1, "anger": -1, "fear": -1, "trust": 1}
 EMOTIONS = {"joy": {"thou": 1.0, "heon": 0.5}, "anger": {"ered": 1.2, "trash": 2.0}, "fear": {"enth": 0.7}, "trust": {"from": 0.3, "with": 0.4}}
 FEATURES = [f"ont_{c.lower()}" for c in CONCEPTS] + ["ont_count", "ont_density"]
 MODULES = {f"ont_{c.lower()}": (c.lower(), c) for c in CONCEPTS} | {"ont_count": ("global_counts", None), "ont_density": ("global_counts", None)}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
-from tracelex.operators import audit, enrich, graph, lexicon, measure, models, tables
+from tracelex.operators import audit, enrich, graph, lexicon, measure, models, sensitivity, tables
 from tracelex.plans import fixtures as X
 from tracelex.sources import files
 
@@ -18,6 +19,10 @@ ORACLES: dict = {}
 B_SQL = r"""[\s\-\(\)\[\]\{\}\.,;:!\?"''`]"""
 
 
+def _marked(p):
+    return re.sub(r"(\W)", "\4\\1\3", p).replace("\4", "' || chr(4) || '").replace("\3", "' || chr(3) || '")
+
+
 def _short(t):
     return f"len(list_filter(sp, lambda x: x = '{t}'))"
 
@@ -43,6 +48,23 @@ FEAT = LOW + r""", f0 AS (SELECT doc_id, len(list_filter(regexp_split_to_array(c
     "(" + " + ".join(_hit(t) for k, t, _ in X.VOCABULARY if k == c) + f") + ({_bonus(c)}) * {sum(k == c for k, _, _ in X.VOCABULARY)} AS ont_{c.lower()}" for c in X.CONCEPTS
 ) + " FROM low), f1 AS (SELECT *, " + " + ".join(f"(ont_{c.lower()} > 0)::INTEGER::DOUBLE" for c in X.CONCEPTS) + """ AS ont_count FROM f0),
 feat AS (SELECT *, ont_count / greatest(n_words, 1) AS ont_density FROM f1)"""
+# Matches get a mark (1) where they begin; boundary characters stand between 4 and 3 before, so that matches don't overlap.
+_PATTERNS = [(c, f"'{t}'", t, len(t) < T.LONG_FROM) for c, t, _ in X.VOCABULARY] + [(c, "NULL", x, False) for c, xs in X.COMPOUNDS.items() for x in xs]
+MENTIONS = SCORES + r""", won AS (SELECT doc_id, concept, arg_max(term, term_pos) AS wt FROM sc GROUP BY ALL),
+pat(concept, term, p, short) AS (VALUES """ + ", ".join(f"('{c}', {t}, '{_marked(x)}', {short})" for c, t, x, short in _PATTERNS) + rf"""),
+sg AS (SELECT doc_id, trim(regexp_replace(low, '\s+', ' ', 'g')) AS sg FROM low),
+sb AS (SELECT doc_id, list_filter(string_split(sg, ' '), lambda x: x <> '') AS words, regexp_replace(sg, '({B_SQL})', chr(4) || '\1' || chr(3), 'g') AS b,
+  regexp_replace(sg, '([^\p{{L}}\p{{N}}_])', chr(4) || '\1' || chr(3), 'g') AS l FROM sg),
+mk AS (SELECT doc_id, concept, short, words, string_split(replace(replace(regexp_replace(CASE WHEN short THEN b ELSE l END, '(^|' || chr(3) || ')' || p || '(' || chr(4) || '|$)', '\1' || chr(1) || p || '\2', 'g'), chr(3), ''), chr(4), ''), chr(1)) AS ps
+  FROM won JOIN pat USING (concept) JOIN sb USING (doc_id) WHERE pat.term IS NULL OR pat.term = wt),
+pre AS (SELECT doc_id, concept, words, CASE WHEN short THEN left(t, greatest(length(t) - 1, 0)) ELSE t END AS t FROM (SELECT *, array_to_string(ps[1:k], '') AS t FROM (SELECT *, unnest(range(1, len(ps))) AS k FROM mk))),
+mat AS (SELECT doc_id, concept, words, greatest(len(list_filter(string_split(t, ' '), lambda x: x <> '')) - 1, 0)::INTEGER AS "at" FROM pre),
+mw AS (SELECT doc_id, concept, "at", words[greatest("at" - 5, 0) + 1:"at" + 6] AS words FROM mat),
+mp AS (SELECT *, list_sum(list_transform(words, lambda x: CASE regexp_replace(x, '[^\p{{L}}\p{{N}}_\s]', '', 'g') """ + " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in X.LEXICON.items()) + """ ELSE 0.0::DOUBLE END)) AS polarity FROM mw),
+mn AS (SELECT *, CASE WHEN polarity > 0.5 THEN 'positive' WHEN polarity < -0.5 THEN 'negative' ELSE 'neutral' END AS kind FROM mp),
+cp AS (SELECT doc_id, concept, count(*) FILTER (kind = 'positive') AS positive, count(*) FILTER (kind = 'negative') AS negative, count(*) FILTER (kind = 'neutral') AS neutral,
+  coalesce(sum(polarity) FILTER (kind = 'positive'), 0.0) AS positive_score, coalesce(sum(polarity) FILTER (kind = 'negative'), 0.0) AS negative_score, count(*) AS n FROM mn GROUP BY ALL),
+cr AS (SELECT *, greatest(-1.0, least(1.0, (positive_score + negative_score) / n / 2)) AS ratio FROM cp)"""
 CELLS = FEAT + ", cells AS (" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS feature, {f}::DOUBLE AS value FROM feat" for f in X.FEATURES) + ")"
 MODS = "mods(feature, module, concept) AS (VALUES " + ", ".join(f"('{f}', '{m}', {repr(c) if c else 'NULL'})" for f, (m, c) in X.MODULES.items()) + ")"
 SEL = "sel(feature, ord) AS (VALUES " + ", ".join(f"('{f}', {i})" for i, f in enumerate(X.SELECTED)) + ")"
@@ -81,7 +103,7 @@ VOC = FREQ + ", vo AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC
 
 # What the queries below have in common.
 docs = lambda s, d: X.table(s, d, "documents")
-features = lambda s, d: enrich.feature_vector(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.CONCEPTS)
+features = lambda s, d: enrich.concept_features(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.CONCEPTS)
 cells = lambda s, d: tables.unpivot(features(s, d), X.FEATURES)
 scores = lambda s, d: enrich.term_scores(docs(s, d), X.VOCABULARY, X.COMPOUNDS)
 mapped = lambda s, d: tables.join_module_map(cells(s, d), X.modules(s))
@@ -90,7 +112,8 @@ labelled = lambda s, d: cells(s, d).join(X.labels(s, d), "doc_id")
 triples = lambda s, d: graph.post_triples(X.posts(s, d).join(X.labels(s, d), "doc_id", "left"))
 focus = lambda t: graph.targets(t, f"{BASE}Post")
 id_cells = lambda s, d: mapped(s, d).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
-trace = lambda s, d: graph.trace_map(X.posts(s, d), id_cells(s, d))
+stage = lambda s, df: files.through_parquet(df, files.scratch(s))
+trace = lambda s, d: graph.trace_rows(features(s, d).withColumns({"id": F.col("doc_id").cast("string"), "split": X.split_of(F.col("doc_id"))}), X.FEATURES, X.modules(s))
 positions = lambda s, d: tables.split_positions(X.posts(s, d))
 valence = lambda s: s.createDataFrame(list(X.VALENCE.items()), "term string, valence double")
 tokens = lambda s, d: docs(s, d).select("doc_id", F.posexplode(T.words(F.lower("text"))).alias("pos", "token"))
@@ -137,43 +160,18 @@ add("entry_activation", lambda s, d: rounded(
 add("scan_documents", lambda s, d: docs(s, d).select("doc_id", "lang", "source", "n_chars"), "SELECT doc_id, lang, source, n_chars FROM documents")
 
 
-@query(f"WITH {POS} SELECT id, split, pos FROM pos")
-def scan_split(s, d):
-    p = files.scratch(s)
-    own = positions(s, d).groupBy("split").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x.id).alias("ids"))
-    files.write_report(own.agg(*[F.max(F.when(F.col("split") == k, F.col("ids"))).alias(k) for k in ("train", "val", "test")]), p)
-    return tables.split_table(s, p)
 
 
 add("scan_lexicon", lambda s, d: tokens(s, d).select("token").distinct().join(F.broadcast(valence(s)), F.col("token") == F.col("term")).select("term", "valence"),
     f"WITH {VAL}, {TOK} SELECT DISTINCT term, valence FROM val JOIN tok ON token = term")
-add("scan_vocabulary", lambda s, d: docs(s, d).groupBy("lang").count().withColumnRenamed("count", "n").join(F.broadcast(X.vocabulary(s)), F.lit(True)).select("lang", "concept", "term", "term_pos", "n"),
-    "SELECT lang, concept, term, term_pos, n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1), (VALUES " + ", ".join(f"('{c}', '{t}', {p})" for c, t, p in X.VOCABULARY) + ") v(concept, term, term_pos)")
 
 
-@query(f"WITH {PRED} SELECT id, split, y_true, y_pred, condition, seed FROM pred")
-def scan_predictions(s, d):
-    p = files.write_csv(predictions(s, d).withColumn("model", F.lit("rule")).select("id", "split", "y_true", "y_pred", "model", "condition", "seed"), files.scratch(s))
-    return files.read_predictions(s, p).drop("model")
 
 
-@query()
-def scan_metric_docs(s, d):
-    p = files.write_report(overall(s, d), files.scratch(s))
-    return s.read.json(p).select("condition", "seed", "accuracy", "macro_f1", F.regexp_extract(F.col("_metadata.file_path"), r"\.(\w+)$", 1).alias("kind"))
 
 
-@query(f"WITH {TRACE}, t2 AS (SELECT *, row_number() OVER (ORDER BY id, feature) + 1 AS row FROM tm) SELECT id, feature, round(value, 6) AS value FROM t2")
-def scan_trace(s, d):
-    p = files.write_csv(trace(s, d).select("id", "feature", "value"), files.scratch(s))
-    return s.read.schema("id string, feature string, value double").csv(p, header=True)
 
 
-@query()
-def scan_files(s, d):
-    p = files.scratch(s)
-    docs(s, d).select("doc_id", "source").repartition("source").write.partitionBy("source").parquet(p)
-    return audit.scan_files(s, p, ".parquet").select(F.length("sha256").alias("sha_length"), (F.col("bytes") > 0).alias("filled"))
 
 
 add("sink_parquet", lambda s, d: rounded(files.through_parquet(features(s, d), files.scratch(s))), f"WITH {FEAT} SELECT doc_id, n_words, " + ", ".join(f"round({f}, 6) AS {f}" for f in X.FEATURES) + " FROM feat")
@@ -187,8 +185,6 @@ add("sink_ntriples", lambda s, d: s.read.text(files.write_lines(graph.ntriples(t
     f"""WITH {TRIPLES} SELECT '<' || {FULL('s')} || '> <' || {FULL('p')} || '> ' || CASE WHEN o_kind = 'iri' THEN '<' || {FULL('o')} || '>' ELSE '"' || replace(replace(o, '\\', '\\\\'), '"', '\\"') || '"' END || ' .' AS line FROM tr""".replace("'\\\\\\\\'", "'\\\\\\\\'"))
 
 # Projections and filters.
-add("project_release", lambda s, d: tables.project_release(X.posts(s, d), tables.pseudonym_authors(X.posts(s, d))),
-    f"WITH {POSTS}, a AS (SELECT author, 'author_' || lpad(CAST(dense_rank() OVER (ORDER BY author) AS VARCHAR), 4, '0') AS author_id FROM (SELECT DISTINCT author FROM posts)) SELECT id, author_id, body, topic, created, split FROM posts JOIN a USING (author)")
 add("combine_text_space", lambda s, d: X.posts(s, d).select("id", T.combine(F.col("topic"), F.col("body")).alias("text")), f"WITH {POSTS} SELECT id, trim(coalesce(topic, '') || ' ' || coalesce(body, '')) AS text FROM posts")
 add("combine_text_sentence", lambda s, d: X.posts(s, d).select("id", T.combine(F.col("title"), F.col("body"), sep=". ").alias("text")), f"WITH {POSTS} SELECT id, trim(coalesce(title, '') || '. ' || coalesce(body, '')) AS text FROM posts")
 add("rdf_text_length", lambda s, d: X.posts(s, d).select("id", F.length(T.combine(F.col("title"), F.col("body"))).alias("n")), f"WITH {POSTS} SELECT id, length(trim(title || ' ' || body)) AS n FROM posts")
@@ -216,8 +212,13 @@ query(f"WITH {OVERALL} SELECT condition, seed, round(macro_f1, 6) AS macro_f1, r
 CELLTRACE = TRACE + """, ct AS (SELECT CAST(doc_id AS VARCHAR) AS id, c.feature, c.value, t.value AS trace_value, c.value <> 0 AS trace_expected,
   CASE WHEN c.value <> 0 THEN coalesce(abs(c.value - t.value) <= 1e-12, false) ELSE t.value IS NULL END AS cell_match FROM cells c LEFT JOIN tm t ON t.id = CAST(c.doc_id AS VARCHAR) AND t.feature = c.feature)"""
 celltrace = lambda s, d: audit.cell_trace(id_cells(s, d).select("id", "feature", "value"), trace(s, d))
-for _n in ("join_cell_trace", "cell_trace"):
-    query(f"WITH {CELLTRACE} SELECT id, feature, round(value, 6) AS value, round(trace_value, 6) AS trace_value, trace_expected, cell_match FROM ct", _n)(celltrace)
+query(f"WITH {CELLTRACE} SELECT id, feature, round(value, 6) AS value, round(trace_value, 6) AS trace_value FROM ct", "join_cell_trace")(lambda s, d: celltrace(s, d).select("id", "feature", "value", "trace_value"))
+# A trace with other values for some posts, without the rows of some, and with rows of zero cells for others.
+FAULTS = CELLS + """, ft AS (SELECT CAST(doc_id AS VARCHAR) AS id, feature, CASE WHEN doc_id % 50 = 1 THEN value + 0.5 ELSE value END AS v FROM cells WHERE (value <> 0 AND doc_id % 50 <> 2) OR doc_id % 50 = 3),
+cf AS (SELECT CAST(doc_id AS VARCHAR) AS id, cells.feature, value, v AS trace_value, value <> 0 AS trace_expected, CASE WHEN value <> 0 THEN coalesce(abs(value - v) <= 1e-12, false) ELSE v IS NULL END AS cell_match FROM cells LEFT JOIN ft ON ft.id = CAST(doc_id AS VARCHAR) AND ft.feature = cells.feature)"""
+query(f"WITH {FAULTS} SELECT id, feature, round(value, 6) AS value, round(trace_value, 6) AS trace_value, trace_expected, cell_match FROM cf", "cell_trace")(
+    lambda s, d: (lambda c: audit.cell_trace(c.select("id", "feature", "value"), c.where(((F.col("value") != 0) & (F.col("doc_id") % 50 != 2)) | (F.col("doc_id") % 50 == 3)).select("id", "feature", F.when(F.col("doc_id") % 50 == 1, F.col("value") + 0.5).otherwise(F.col("value")).alias("value"))))(
+        cells(s, d).withColumn("id", F.col("doc_id").cast("string"))))
 query(f"WITH {CELLTRACE} SELECT count(*) AS cells, count(*) FILTER (trace_expected) AS nonzero, count(trace_value) AS traced, count(*) FILTER (NOT cell_match) AS mismatches FROM ct", "agg_trace_counts")(lambda s, d: audit.trace_counts(celltrace(s, d)))
 GRID_SQL = "gr AS (SELECT 'f' || f || '_v' || v AS variant, f AS min_freq, v AS min_valence FROM (VALUES (1), (3), (50)) a(f), (VALUES (0.5::DOUBLE), (1.0), (2.0)) b(v))"
 small_grid = lambda s: s.createDataFrame([(f"f{f}_v{v}", f, v) for f in (1, 3, 50) for v in (0.5, 1.0, 2.0)], "variant string, min_freq int, min_valence double")
@@ -225,8 +226,13 @@ add("theta_lexicon_grid", lambda s, d: tables.theta_lexicon_grid(QUERIES["join_l
 add("cross_variants", lambda s, d: docs(s, d).select("doc_id").join(F.broadcast(s.createDataFrame([(2,), (5,), (10,)], "window int")), F.lit(True)), 'SELECT doc_id, "window" FROM documents, (VALUES (2), (5), (10)) w("window")')
 add("anti_concept_membership", lambda s, d: graph.chk_scheme(triples(s, d), ["topic"], triples(s, d).where("p = 'topic'").groupBy("o").agg(F.count("*").alias("n")).where("n >= 51").select("o")),
     f"WITH {TRIPLES} SELECT s AS focus, 'topic' AS path, o AS value, 'scheme' AS component, 'Violation' AS severity, 'scheme of topic' AS message FROM tr WHERE p = 'topic' AND o NOT IN (SELECT o FROM tr WHERE p = 'topic' GROUP BY o HAVING count(*) >= 51)")
-for _n in ("self_duplicate_identifier", "chk_unique_identifier"):
-    add(_n, lambda s, d: graph.chk_unique(triples(s, d), "author"), f"WITH {TRIPLES} SELECT s AS focus, 'author' AS path, o AS value, 'unique' AS component, 'Violation' AS severity, 'unique of author' AS message FROM (SELECT *, count(*) OVER (PARTITION BY o) AS n FROM tr WHERE p = 'author') WHERE n > 1")
+SHORT = "u7 AS (SELECT s, p, CASE WHEN o LIKE '_%7' THEN left(o, length(o) - 1) ELSE o END AS o FROM tr WHERE p = 'identifier')"
+# Identifiers that end in 7 lose that digit, so that some are had twice.
+shortened = lambda s, d: triples(s, d).where("p = 'identifier'").withColumn("o", F.when(F.col("o").like("_%7"), F.expr("left(o, length(o) - 1)")).otherwise(F.col("o")))
+add("chk_unique_identifier", lambda s, d: graph.chk_unique(shortened(s, d), "identifier"),
+    f"WITH {TRIPLES}, {SHORT} SELECT s AS focus, 'identifier' AS path, o AS value, 'unique' AS component, 'Violation' AS severity, 'unique of identifier' AS message FROM (SELECT *, count(*) OVER (PARTITION BY o) AS n FROM u7) WHERE n > 1")
+add("self_duplicate_identifier", lambda s, d: shortened(s, d).groupBy(F.col("o").alias("identifier")).agg(F.count("*").alias("n"), F.min("s").alias("first")).where("n > 1"),
+    f"WITH {TRIPLES}, {SHORT} SELECT o AS identifier, count(*) AS n, min(s) AS first FROM u7 GROUP BY 1 HAVING count(*) > 1")
 
 # Enrichment.
 LABELS_V = [("A", "Alpha", "prefLabel", "en"), ("A", "Alfa", "prefLabel", "es"), ("A", "AI", "altLabel", "fr"), ("B", "Beta", "prefLabel", "de"), ("C", "Gamma", "prefLabel", "en")]
@@ -248,42 +254,54 @@ query(f"WITH {SCORES} SELECT doc_id, concept, round(sum(score), 6) AS score FROM
 query(f"WITH {SCORES} SELECT doc_id, concept, arg_max(term, term_pos) AS term FROM sc GROUP BY ALL", "concept_winner")(lambda s, d: enrich.concept_winner(scores(s, d)))
 query(f"WITH {SCORES} SELECT * FROM (SELECT doc_id, concept, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(concept) DESC, concept) AS rank FROM (SELECT doc_id, concept, sum(score) AS score FROM sc GROUP BY ALL)) WHERE rank <= 2", "top_concepts")(
     lambda s, d: enrich.top_concepts(enrich.concept_scores(scores(s, d)), 2))
-mention_rows = lambda s, d: enrich.mentions(docs(s, d), enrich.concept_winner(scores(s, d)), X.VOCABULARY, X.COMPOUNDS, X.LEXICON)
-query(None, "mention_positions")(lambda s, d: mention_rows(s, d).select("doc_id", "concept", "at"))
-query(None, "mention_window")(lambda s, d: mention_rows(s, d).select("doc_id", "concept", "at", F.array_join("window", " ").alias("words")))
-query(None, "window_polarity")(lambda s, d: mention_rows(s, d).select("doc_id", "concept", "at", "polarity"))
-query(None, "mention_class")(lambda s, d: mention_rows(s, d).groupBy("concept", "kind").agg(F.count("*").alias("n")))
-query(None, "concept_polarity")(lambda s, d: enrich.concept_polarity(mention_rows(s, d)))
-FACTORS = {"intensifier": 1.3, "negation": -0.8, "attenuator": 0.7}
+mention_rows = lambda s, d: enrich.mentions(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.LEXICON)
+query(f"WITH {MENTIONS} SELECT doc_id, concept, \"at\" FROM mn", "mention_positions")(lambda s, d: mention_rows(s, d).select("doc_id", "concept", "at"))
+query(f"WITH {MENTIONS} SELECT doc_id, concept, \"at\", array_to_string(words, ' ') AS words FROM mn", "mention_window")(lambda s, d: mention_rows(s, d).select("doc_id", "concept", "at", F.array_join("window", " ").alias("words")))
+query(f"WITH {MENTIONS} SELECT doc_id, concept, \"at\", round(polarity, 6) AS polarity FROM mn", "window_polarity")(lambda s, d: mention_rows(s, d).select("doc_id", "concept", "at", "polarity"))
+query(f"WITH {MENTIONS} SELECT concept, kind, count(*) AS n FROM mn GROUP BY ALL", "mention_class")(lambda s, d: mention_rows(s, d).groupBy("concept", "kind").agg(F.count("*").alias("n")))
+query(f"WITH {MENTIONS} SELECT doc_id, concept, positive, negative, neutral, round(positive_score, 6) AS positive_score, round(negative_score, 6) AS negative_score, round(ratio, 6) AS ratio FROM cr", "concept_polarity")(
+    lambda s, d: enrich.concept_polarity(mention_rows(s, d)))
+FACTORS = X.FACTORS
 _flag = lambda k: "greatest(" + ", ".join(f"({_short(p)} > 0)::INTEGER" for p in X.MODIFIERS[k]) + ")"
 query(f"WITH {LOW} SELECT doc_id, {', '.join(f'{_flag(k)} AS {k}' for k in X.MODIFIERS)}, least(10, {' + '.join(f'({_short(p)} > 0)::INTEGER' for ps in X.MODIFIERS.values() for p in ps)}) AS n_patterns, round({' * '.join(f'CASE WHEN {_short(p)} > 0 THEN {FACTORS[k]}::DOUBLE ELSE 1 END' for k, ps in X.MODIFIERS.items() for p in ps)}, 6) AS factor FROM low", "modifier_flags")(
     lambda s, d: enrich.modifier_flags(docs(s, d), X.MODIFIERS, FACTORS))
 _emo = {e: " + ".join(f"{_short(p)} * {w}::DOUBLE" for p, w in ps.items()) for e, ps in X.EMOTIONS.items()}
 query(f"WITH {LOW} SELECT doc_id, {', '.join(f'round({x}, 6) AS {e}' for e, x in _emo.items())} FROM low", "emotion_weights")(lambda s, d: enrich.emotion_weights(docs(s, d), X.EMOTIONS))
 add("text_word_count", lambda s, d: docs(s, d).select("doc_id", T.word_count(T.clean_code_blocks(F.col("text"))).alias("n")), f"WITH {FEAT} SELECT doc_id, n_words AS n FROM feat")
-query(f"WITH {FEAT} SELECT doc_id, n_words, {', '.join(f'round({f}, 6) AS {f}' for f in X.FEATURES)} FROM feat", "feature_vector")(features)
-query(f"WITH {FEAT}, em AS (SELECT doc_id, {' + '.join(_emo.values())} AS emotion FROM low) SELECT doc_id, round(ont_count / 4, 6) AS richness, round(emotion, 6) AS emotion, round(emotion * ont_density, 6) AS emotion_x_density, round(0.4::DOUBLE * ont_count / 4 + 0.3::DOUBLE * ont_density + 0.3::DOUBLE * least(emotion, 1.0), 6) AS composite FROM feat JOIN em USING (doc_id)", "derived_features")(
-    lambda s, d: enrich.derived_features(features(s, d), enrich.emotion_weights(docs(s, d), X.EMOTIONS), X.CONCEPTS))
-query(None, "concept_windows")(lambda s, d: windows(s, d).groupBy("token").agg(F.count("*").alias("n")))
+query(f"WITH {FEAT} SELECT doc_id, n_words, {', '.join(f'round({f}, 6) AS {f}' for f in X.FEATURES)} FROM feat", "concept_features")(features)
+_low = [c.lower() for c in X.CONCEPTS]
+_sum = lambda xs: "(" + " + ".join(xs) + ")"
+_mods = [(k, p) for k, ps in X.MODIFIERS.items() for p in ps]
+VECTOR = MENTIONS + FEAT[len(LOW):] + ", px AS (SELECT doc_id, " + ", ".join(f"max({k}) FILTER (concept = '{c}') AS {c.lower()}_{k}" for c in X.CONCEPTS for k in ("positive", "negative", "neutral", "ratio")) + " FROM cr GROUP BY 1), v0 AS (SELECT low.doc_id, feat.n_words, " + ", ".join(
+    [f"(feat.ont_{c} > 0)::INTEGER::DOUBLE AS ont_{c}, feat.ont_{c} AS ont_{c}_score" for c in _low]
+    + [f"coalesce({c}_{k}, 0)::DOUBLE AS ont_{c}_{k}" for c in _low for k in ("positive", "negative", "neutral", "ratio")]
+    + [f"greatest({', '.join(f'({_short(p)} > 0)::INTEGER' for p in ps)})::DOUBLE AS ont_mod_{k}" for k, ps in X.MODIFIERS.items()]
+    + [_sum(f"({_short(p)} > 0)::INTEGER::DOUBLE" for _, p in _mods) + " AS ont_count_modifiers", " * ".join(f"CASE WHEN {_short(p)} > 0 THEN {X.FACTORS[k]}::DOUBLE ELSE 1 END" for k, p in _mods) + " AS ont_modifier_factor"]
+    + [_sum(f"{_short(p)} * {w}::DOUBLE" for p, w in ps.items()) + f" AS ont_weight_{e}" for e, ps in X.EMOTIONS.items()]
+) + " FROM low JOIN feat USING (doc_id) LEFT JOIN px USING (doc_id)), v1 AS (SELECT *, " + ", ".join(
+    [f"(ont_weight_{e} > 0)::INTEGER::DOUBLE AS ont_emo_{e}" for e in X.EMOTIONS]
+    + [_sum(f"ont_{c}" for c in _low) + " AS ont_count_concepts", _sum(f"(ont_weight_{e} > 0)::INTEGER::DOUBLE" for e in X.EMOTIONS) + " AS ont_count_emotions", _sum(f"ont_{c}_score" for c in _low) + " AS ont_domain_score",
+       _sum(f"ont_weight_{e}" for e in X.EMOTIONS) + " AS ont_emotion_weight", _sum(f"ont_weight_{e} * {v}::DOUBLE" for e, v in X.EMOTION_VALENCE.items()) + " AS ont_emotion_valence"]
+    + [_sum(f"ont_{c}_{k}" for c in _low) + f" AS ont_total_{k}" for k in ("positive", "negative", "neutral")]
+) + """ FROM v0), v2 AS (SELECT *, ont_count_concepts / greatest(n_words, 1) AS ont_domain_density, ont_count_modifiers / greatest(n_words, 1) AS ont_modifier_density, ont_count_emotions / greatest(n_words, 1) AS ont_emotion_density,
+  ont_count_emotions * abs(ont_modifier_factor) AS ont_emotion_x_polarity, ont_count_concepts + ont_count_modifiers + ont_count_emotions AS ont_semantic_richness, abs(ont_modifier_factor) AS ont_polarity_abs,
+  ont_count_emotions / greatest(ont_count_concepts, 1.0) AS ont_emotion_concept_ratio, (ont_count_concepts + ont_count_modifiers + ont_count_emotions > 0)::INTEGER::DOUBLE AS ont_has_elements,
+  0.4::DOUBLE * ont_domain_score + 0.3::DOUBLE * abs(ont_modifier_factor) + 0.3::DOUBLE * ont_emotion_weight AS ont_composite,
+  CASE WHEN ont_total_positive + ont_total_negative + ont_total_neutral > 0 THEN (ont_total_positive - ont_total_negative) / (ont_total_positive + ont_total_negative + ont_total_neutral) ELSE 0.0 END AS ont_global_ratio FROM v1)"""
+vector = lambda s, d: enrich.feature_vector(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.LEXICON, X.MODIFIERS, X.FACTORS, X.EMOTIONS, X.EMOTION_VALENCE)
+ALL_FEATURES = list(dict.fromkeys(re.findall(r" AS (ont_\w+)", VECTOR[VECTOR.index(", v0 AS") :])))
+query(f"WITH {VECTOR} SELECT doc_id, n_words, {', '.join(f'round({f}, 6) AS {f}' for f in ALL_FEATURES)} FROM v2", "feature_vector")(vector)
+DERIVED = ["ont_domain_density", "ont_modifier_density", "ont_emotion_density", "ont_emotion_x_polarity", "ont_semantic_richness", "ont_polarity_abs", "ont_emotion_valence", "ont_emotion_concept_ratio", "ont_has_elements", "ont_composite", "ont_global_ratio"]
+query(f"WITH {VECTOR} SELECT doc_id, {', '.join(f'round({f}, 6) AS {f}' for f in DERIVED)} FROM v2", "derived_features")(lambda s, d: vector(s, d).select("doc_id", *DERIVED))
 query(f"WITH {VAL}, {FREQ} SELECT term, freq, valence, greatest(-2.0::DOUBLE, least(2.0::DOUBLE, valence)) AS weight, CASE WHEN valence > 0 THEN 'positive' ELSE 'negative' END AS polarity FROM fq JOIN val ON token = term WHERE freq >= 3 AND abs(valence) >= 1", "induce_lexicon")(
     lambda s, d: lexicon.induce_lexicon(tokens(s, d), valence(s)))
-query(None, "induce_lexicon_windows")(lambda s, d: lexicon.induce_lexicon(windows(s, d), valence(s)))
 LEXS = f"{VAL}, {FREQ}, lx AS (SELECT * FROM fq JOIN val ON token = term WHERE freq >= 3 AND abs(valence) >= 1)"
 add("lexicon_stats", lambda s, d: lexicon.lexicon_stats(tokens(s, d), lexicon.induce_lexicon(tokens(s, d), valence(s))),
     f"WITH {LEXS} SELECT (SELECT count(*) FROM tok) AS tokens, (SELECT count(*) FROM fq) AS vocabulary, count(*) AS kept, count(*) FILTER (valence > 0) AS positive, count(*) FILTER (valence < 0) AS negative, CASE WHEN count(*) FILTER (valence > 0) > 0 AND count(*) FILTER (valence < 0) > 0 THEN 'valid' ELSE 'invalid' END AS status FROM lx")
 
 
-@query(f"WITH {LEXS} SELECT term, greatest(-2.0::DOUBLE, least(2.0::DOUBLE, valence)) AS weight FROM lx")
-def scan_frozen_lexicon(s, d):
-    """The lexicon as a JSON document with one map for each side, read back to rows."""
-    lex = lexicon.induce_lexicon(tokens(s, d), valence(s))
-    side = lambda k: F.map_from_entries(F.collect_list(F.when(F.col("polarity") == k, F.struct("term", "weight")))).alias(k)
-    p = files.write_report(lex.agg(side("positive"), side("negative")), files.scratch(s))
-    doc = s.read.text(p).select(F.from_json("value", "positive map<string,double>, negative map<string,double>").alias("j"))
-    return doc.select(F.explode(F.map_concat("j.positive", "j.negative")).alias("term", "weight"))
 
 
-add("induction_leak_check", lambda s, d: X.posts(s, d).where("split <> 'train'").join(X.posts(s, d).where("split = 'train'").select("id"), "id", "left_semi").agg(F.count("*").alias("leaked")), "SELECT 0::BIGINT AS leaked FROM documents LIMIT 1")
 
 # Aggregations.
 query(f"WITH {CELLS} SELECT feature, count(*) FILTER (value <> 0) AS nonzero, round(100.0::DOUBLE * count(*) FILTER (value <> 0) / count(*), 6) AS percent, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS max, count(*) FILTER (value IS NULL) AS missing FROM cells GROUP BY 1", "agg_feature_coverage")(lambda s, d: measure.feature_coverage(cells(s, d)))
@@ -323,8 +341,6 @@ query(f"WITH {OVERALL}, x AS (SELECT seed, condition, macro_f1 - max(CASE WHEN c
 query(f"WITH {VAL}, {FREQ}, {GRID_SQL}, k AS (SELECT term, count(*) AS n FROM fq JOIN val ON token = term JOIN gr ON freq >= min_freq AND abs(valence) >= min_valence GROUP BY 1) SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rank FROM k", "rank_stability")(
     lambda s, d: QUERIES["theta_lexicon_grid"](s, d).groupBy("term").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "term"))))
 add("build_vocab", lambda s, d: tables.build_vocab(tokens(s, d)), f"WITH {VOC} SELECT token, freq, index FROM vo")
-query(f"WITH {VOC}, e AS (SELECT doc_id, list(coalesce(index, 1) ORDER BY pos) AS l FROM tok LEFT JOIN vo USING (token) WHERE pos < 32 GROUP BY 1) SELECT doc_id, array_to_string(list_concat(l, list_transform(range(32 - len(l)), lambda x: 0)), ' ') AS ids FROM e", "encode_tokens")(
-    lambda s, d: tables.encode_tokens(tokens(s, d), tables.build_vocab(tokens(s, d)), 32).select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")))
 add("max_len_p95", lambda s, d: docs(s, d).select(T.word_count(F.lower("text")).alias("n")).agg(F.percentile("n", F.lit(0.95)).cast("int").alias("max_len")), f"WITH {FEAT} SELECT trunc(quantile_cont(n_words, 0.95))::INTEGER AS max_len FROM feat")
 add("trace_row_number", lambda s, d: (lambda t: t.select("id", "feature", (F.row_number().over(Window.partitionBy("id").orderBy("feature"))).alias("row")))(trace(s, d).where("feature is not null")), f"WITH {TRACE} SELECT id, feature, row_number() OVER (PARTITION BY id ORDER BY feature) AS row FROM tm WHERE feature IS NOT NULL")
 add("limit_examples", lambda s, d: QUERIES["anti_missing_ids"](s, d).orderBy("id").limit(20), f"WITH {POSTS} SELECT id FROM posts WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels) ORDER BY id LIMIT 20")
@@ -335,21 +351,12 @@ alpha = lambda s, d: features(s, d).where("ont_alpha > 0").select("doc_id")  # n
 gamma = lambda s, d: features(s, d).where("ont_gamma > 0").select("doc_id")
 add("set_symmetric_diff", lambda s, d: tables.set_symmetric_diff(alpha(s, d), gamma(s, d), "doc_id"), f"WITH {FEAT} SELECT doc_id, 'left' AS side FROM ({A_SQL} EXCEPT {B2_SQL}) UNION ALL SELECT doc_id, 'right' FROM ({B2_SQL} EXCEPT {A_SQL})")
 add("set_except", lambda s, d: alpha(s, d).exceptAll(gamma(s, d)), f"WITH {FEAT} {A_SQL} EXCEPT ALL {B2_SQL}")
-add("set_subset", lambda s, d: alpha(s, d).join(docs(s, d).select("doc_id"), "doc_id", "left_anti").agg((F.count("*") == 0).alias("subset")), "SELECT count(*) > 0 AS subset FROM documents")
-query(f"WITH {FEAT}, a AS (SELECT source, list(doc_id) FILTER (ont_alpha > 0) AS x, list(doc_id) FILTER (ont_gamma > 0) AS y, count(*) FILTER (ont_alpha > 0 AND ont_gamma > 0) AS i, count(*) FILTER (ont_alpha > 0 OR ont_gamma > 0) AS u FROM feat JOIN documents USING (doc_id) GROUP BY 1) SELECT source, round(CASE WHEN u = 0 THEN 1 ELSE i::DOUBLE / u END, 6) AS jaccard FROM a", "set_jaccard")(
-    lambda s, d: features(s, d).join(docs(s, d).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count_if((F.col("ont_alpha") > 0) & (F.col("ont_gamma") > 0)).alias("i"), F.count_if((F.col("ont_alpha") > 0) | (F.col("ont_gamma") > 0)).alias("u")).select("source", F.when(F.col("u") == 0, 1.0).otherwise(F.col("i") / F.col("u")).alias("jaccard")))
 add("union_frames", lambda s, d: files.union_rows([docs(s, d).select("doc_id", "lang"), X.labels(s, d)]), f"WITH {LAB} SELECT doc_id, lang, NULL::INTEGER AS label FROM documents UNION ALL SELECT doc_id, NULL, label FROM lab")
 add("distinct_triples", lambda s, d: triples(s, d).groupBy("p").agg(F.count("*").alias("n")), f"WITH {TRIPLES} SELECT p, count(*) AS n FROM tr GROUP BY 1")
-query(f"WITH {CELLS}, {MODS}, x AS (SELECT module, lang, avg(value) AS v FROM cells JOIN mods USING (feature) JOIN documents USING (doc_id) GROUP BY ALL) SELECT module, {', '.join(f'''round(max(v) FILTER (lang = '{k}'), 6) AS {k}''' for k in ('en', 'fr', 'de', 'es'))} FROM x GROUP BY 1", "pivot_delta")(
-    lambda s, d: mapped(s, d).join(docs(s, d).select("doc_id", "lang"), "doc_id").groupBy("module").pivot("lang", ["en", "fr", "de", "es"]).agg(F.avg("value")))
-query(f"WITH {FEAT} SELECT lang, {', '.join(f'''round(quantile_cont(ont_alpha, 0.5) FILTER (doc_id % 5 = {k}), 6) AS \"{k}\"''' for k in range(5))} FROM feat JOIN documents USING (doc_id) GROUP BY 1", "pivot_median_jaccard")(
-    lambda s, d: features(s, d).join(docs(s, d).select("doc_id", "lang"), "doc_id").withColumn("m", F.col("doc_id") % 5).groupBy("lang").pivot("m", list(range(5))).agg(F.percentile("ont_alpha", F.lit(0.5))))
 
 # Graph.
-add("sanitize_iri", lambda s, d: docs(s, d).select("doc_id", graph.sanitize_iri(F.substring("text", 1, 40)).alias("fragment")), f"SELECT doc_id, {SAN.format('substr(text, 1, 40)')} AS fragment FROM documents")
 add("post_iri", lambda s, d: X.posts(s, d).select("id", graph.iri("post", F.col("id")).alias("iri")), f"WITH {POSTS} SELECT id, {IRI('post', 'id')} AS iri FROM posts")
 add("label_iri", lambda s, d: X.labels(s, d).select("doc_id", graph.label_iri(F.col("label")).alias("iri")), f"WITH {LAB} SELECT doc_id, '{BASE}' || CASE label WHEN 0 THEN 'Negative' WHEN 1 THEN 'Neutral' ELSE 'Positive' END AS iri FROM lab")
-add("datetime_literal", lambda s, d: X.posts(s, d).select("id", graph.datetime_literal(F.col("created")).alias("t")), f"WITH {POSTS} SELECT id, strftime(coalesce(created, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%S') AS t FROM posts")
 add("triples_from_posts", triples, f"WITH {TRIPLES} SELECT * FROM tr")
 ASSERT = CELLS + ", " + MODS + f", ca AS (SELECT DISTINCT {IRI('post', 'CAST(doc_id AS VARCHAR)')} AS s, 'about' AS p, '{BASE}' || concept AS o, 'iri' AS o_kind, NULL AS o_datatype FROM cells JOIN mods USING (feature) WHERE value <> 0 AND concept IS NOT NULL)"
 assertions = lambda s, d: graph.concept_assertions(id_cells(s, d))
@@ -402,44 +409,24 @@ add("chk_label_argmax", lambda s, d: graph.chk_label_argmax(probs(s, d)).select(
 check("chk_implies", lambda t, o: graph.chk_implies(t, "identifier", "label"), REP("(SELECT s, NULL AS o FROM fo WHERE s NOT IN (SELECT s FROM tr WHERE p = 'label'))", "label", "implies"))
 add("chk_concept_scheme", lambda s, d: graph.chk_scheme(assertions(s, d), ["about"], s.createDataFrame([(f"{BASE}{c}",) for c in X.CONCEPTS[:3]], "o string")), f"WITH {ASSERT} SELECT s AS focus, 'about' AS path, o AS value, 'scheme' AS component, 'Violation' AS severity, 'scheme of about' AS message FROM ca WHERE o = '{BASE}Delta'")
 check("chk_concept_has_scheme", lambda t, o: graph.chk_count(t, o, "topic", least=1).unionByName(graph.chk_node_kind(t, o, "created")), REP(own("created"), "created", "nodeKind"))
-add("conformance_report", lambda s, d: (lambda t: graph.conformance([graph.chk_count(t, focus(t), "label", least=1, severity="Warning"), graph.chk_in(t, focus(t), "language", ["en", "es"])]))(triples(s, d)),
+add("conformance_report", lambda s, d: (lambda t: graph.conformance([graph.chk_count(t, focus(t), "label", least=1, severity="Warning"), graph.chk_in(t, focus(t), "language", ["en", "es"])]))(stage(s, triples(s, d))),
     f"WITH {FOCUS}, a AS (SELECT count(*) AS w FROM {cnt('label')} WHERE n < 1), b AS (SELECT count(*) AS v FROM {own('language')} WHERE o NOT IN ('en', 'es')) SELECT w + v = 0 AS conforms, w + v AS results, v AS violations, w AS warnings FROM a, b")
 
 # Audits.
-query(f"WITH {TRACE} SELECT count(DISTINCT posts.id) AS posts, (SELECT count(feature) FROM tm) AS traced_cells, (SELECT count(DISTINCT id) FROM tm) AS posts_traced, 0::BIGINT AS posts_untraced, 0::BIGINT AS rows_without_post, round(100.0::DOUBLE * (SELECT count(DISTINCT id) FROM tm) / count(*), 6) AS percent FROM posts", "audit_traceability")(lambda s, d: audit.traceability(X.posts(s, d), trace(s, d)))
-query(f"WITH {TRACE}, {SEL} SELECT feature, count(*) FILTER (value <> 0) AS nonzero, (SELECT count(*) FROM tm WHERE tm.feature = sel.feature) AS traced FROM sel LEFT JOIN cells USING (feature) GROUP BY feature", "audit_model_inputs")(
-    lambda s, d: X.selection(s).select("feature").join(cells(s, d).groupBy("feature").agg(F.count_if(F.col("value") != 0).alias("nonzero")), "feature", "left").join(trace(s, d).groupBy("feature").agg(F.count("*").alias("traced")), "feature", "left"))
 query(f"WITH {FEAT}, {POS} SELECT split, pos, {', '.join(f'round({f}, 6) AS {f}' for f in X.SELECTED)} FROM feat JOIN pos USING (doc_id)", "input_matrix")(lambda s, d: features(s, d).join(positions(s, d), "doc_id").select("split", "pos", *X.SELECTED))
 query(f"WITH {CELLS}, t AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS sd FROM cells WHERE doc_id % 5 < 3 GROUP BY 1) SELECT doc_id, feature, round((value - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS z FROM cells JOIN t USING (feature)", "standardize_train")(lambda s, d: measure.standardize(cells(s, d).withColumn("split", X.split_of(F.col("doc_id")))).select("doc_id", "feature", "z"))
-add("sequence_sha256", lambda s, d: audit.sequence_sha256(positions(s, d), "split", "id"), f"WITH {POS} SELECT split, sha256(string_agg(id, chr(10) ORDER BY pos)) AS sha256 FROM pos GROUP BY 1")
-add("matrix_fingerprint", lambda s, d: audit.matrix_fingerprint(features(s, d).join(positions(s, d).select("doc_id", "split", "pos"), "doc_id"), ["ont_alpha", "ont_beta"], "split"),
-    f"WITH {FEAT}, {POS} SELECT split, sha256(string_agg(sha256(format('{{:,.6f}}', ont_alpha) || '|' || format('{{:,.6f}}', ont_beta)), chr(10) ORDER BY pos)) AS sha256 FROM feat JOIN pos USING (doc_id) GROUP BY 1")
-query(None, "link_runs")(lambda s, d: predictions(s, d).withColumn("pos", F.col("id").cast("long")).transform(lambda p: audit.sequence_sha256(p.withColumn("run", F.concat_ws("_", "condition", "seed")), "run", "id")))
-query(None, "join_run_predictions")(lambda s, d: QUERIES["link_runs"](s, d).withColumn("linked", F.col("sha256") == F.max("sha256").over(Window.partitionBy(F.lit(1)))))
-add("reconcile_predictions", lambda s, d: audit.reconcile_predictions(predictions(s, d), positions(s, d).select("id", "split"), X.labels(s, d).select(F.col("doc_id").cast("string").alias("id"), "label")),
-    f"WITH {PRED} SELECT condition, seed, count(*) AS rows, 0::BIGINT AS duplicates, 0::BIGINT AS outside, 0::BIGINT AS label_differs, 0::BIGINT AS missing FROM pred GROUP BY ALL")
 
 
 @query(f"WITH {TRACE}, {SEL} SELECT unnest(['posts', 'cells', 'selected']) AS relation, unnest([(SELECT count(*) FROM posts), (SELECT count(*) FROM cells WHERE value <> 0), (SELECT count(*) FROM sel)]) AS expected, unnest([(SELECT count(DISTINCT id) FROM tm), (SELECT count(feature) FROM tm), (SELECT count(DISTINCT feature) FROM tm SEMI JOIN sel USING (feature))]) AS verified")
 def reconcile_chain(s, d):
-    t, n = trace(s, d), lambda df: df.agg(F.count("*").alias("x"))
+    t, n = stage(s, trace(s, d)), lambda df: df.agg(F.count("*").alias("x"))
     one = lambda name, a, b: n(a).select(F.lit(name).alias("relation"), F.col("x").alias("expected")).join(n(b).select(F.col("x").alias("verified")), F.lit(True))
     return one("posts", X.posts(s, d), t.select("id").distinct()).union(one("cells", cells(s, d).where("value <> 0"), t.where("feature is not null"))).union(
         one("selected", X.selection(s), t.join(X.selection(s), "feature", "left_semi").select("feature").distinct()))
 
 
-add("expectation_suite", lambda s, d: audit.expectations(docs(s, d).agg(F.count_if(F.col("doc_id").isNull()).alias("null_ids"), F.count_if(F.col("text").isNull()).alias("null_texts"), F.count_distinct("lang").alias("languages")), {"null_ids": 0, "null_texts": 0, "languages": 5}),
-    """SELECT unnest(['null_ids', 'null_texts', 'languages']) AS "check", unnest([0, 0, 5])::BIGINT AS expected, unnest([count(*) - count(doc_id), count(*) - count(text), count(DISTINCT lang)])::BIGINT AS observed, unnest([count(doc_id) = count(*), count(text) = count(*), count(DISTINCT lang) = 5]) AS passed FROM documents""")
-query(None, "file_hashes")(lambda s, d: QUERIES["scan_files"](s, d))
 
 
-@query()
-def manifest_verify(s, d):
-    p = files.scratch(s)
-    docs(s, d).select("doc_id", "lang").repartition(3, "doc_id").write.parquet(p)
-    actual = audit.scan_files(s, p, ".parquet")
-    declared = actual.select(F.concat("sha256", F.lit("  "), "name").alias("line")).union(s.createDataFrame([("0" * 64 + "  gone.parquet",), ("no hash",)], "line string"))
-    return audit.manifest_verify(declared, actual.select("name", "sha256")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 # Evaluation.
@@ -447,9 +434,6 @@ add("confusion_matrix", matrix, f"WITH {MATRIX} SELECT condition, seed, y_true::
 query(f"WITH {CLASSES} SELECT condition, seed, label::INTEGER AS label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM pc", "metrics_per_class")(lambda s, d: per_class(s, d).drop("said", "hit"))
 query(f"WITH {OVERALL} SELECT condition, seed, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1 FROM ov", "metrics_overall")(overall)
 query(f"WITH {MATRIX}, sh AS (SELECT *, coalesce(100.0::DOUBLE * n / nullif(sum(n) OVER (PARTITION BY condition, seed, y_true), 0), 0) AS s FROM cm) SELECT y_true::INTEGER AS y_true, y_pred::INTEGER AS y_pred, round(avg(s) FILTER (condition = 'ENR') - avg(s) FILTER (condition = 'BSL'), 6) AS delta FROM sh GROUP BY 1, 2", "confusion_delta")(lambda s, d: measure.confusion_delta(matrix(s, d)))
-add("support_check", lambda s, d: predictions(s, d).groupBy(*KEYS, "y_true").agg(F.count("*").alias("n")), f"WITH {PRED} SELECT condition, seed, y_true, count(*) AS n FROM pred GROUP BY ALL")
-add("summary_complete", lambda s, d: s.createDataFrame([(c,) for c in ("BSL", "ENR", "FULL")], "condition string").join(predictions(s, d).groupBy("condition").agg(F.count_distinct("seed").alias("n")).where("n = 3"), "condition", "left_anti"),
-    f"WITH {PRED} SELECT 'FULL' AS condition FROM pred LIMIT 1")
 
 # Sensitivity.
 GRIDS = {"grid_small": ([5, 10], [3], [1.0, 2.0]), "grid_expanded": ([2, 3, 5, 7, 10], [1, 2, 3, 5, 8], [0.25, 0.5, 1.0, 1.5, 2.0])}
@@ -458,26 +442,10 @@ for _n, (_w, _f, _v) in GRIDS.items():
         f"""SELECT "window", min_freq, min_valence, 'w' || "window" || '_f' || min_freq || '_v' || min_valence AS variant, (SELECT count(*) FROM documents) AS docs FROM (SELECT unnest({_w})::INTEGER AS "window"), (SELECT unnest({_f})::INTEGER AS min_freq), (SELECT unnest({_v})::DOUBLE AS min_valence)""")
 
 
-def variants(s, d):
-    """variant, size, status of every variant of the grid, in one plan: each keeps its terms from the same counts."""
-    kept = tables.theta_lexicon_grid(QUERIES["join_lexicon"](s, d), small_grid(s)).join(F.broadcast(valence(s)), "term")
-    per = kept.groupBy("variant").agg(F.count("*").alias("size"), F.count_if(F.col("valence") > 0).alias("positive"), F.count_if(F.col("valence") < 0).alias("negative"), F.collect_set("term").alias("terms"))
-    out = small_grid(s).select("variant").join(per, "variant", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    return out.withColumn("status", F.when((F.col("positive") > 0) & (F.col("negative") > 0), "valid").otherwise("invalid"))
 
 
-VARIANTS = f"""{VAL}, {FREQ}, {GRID_SQL}, k AS (SELECT variant, list(term) AS terms, count(*) AS size, count(*) FILTER (valence > 0) AS pos, count(*) FILTER (valence < 0) AS neg FROM fq JOIN val ON token = term JOIN gr ON freq >= min_freq AND abs(valence) >= min_valence GROUP BY 1),
-va AS (SELECT gr.variant, coalesce(size, 0) AS size, CASE WHEN pos > 0 AND neg > 0 THEN 'valid' ELSE 'invalid' END AS status, terms FROM gr LEFT JOIN k USING (variant))"""
-add("run_grid", lambda s, d: variants(s, d).select("variant", "size", "status"), f"WITH {VARIANTS} SELECT variant, size, status FROM va")
-query(f"WITH {VARIANTS}, c AS (SELECT size AS cs, terms AS ct FROM va WHERE variant = 'f3_v1.0') SELECT variant, size - cs AS delta, round(len(list_intersect(coalesce(terms, []), ct))::DOUBLE / len(list_distinct(list_concat(coalesce(terms, []), ct))), 6) AS jaccard FROM va, c", "grid_compare")(
-    lambda s, d: (lambda v: v.join(F.broadcast(v.where("variant = 'f3_v1.0'").select(F.col("size").alias("cs"), F.col("terms").alias("ct"))), F.lit(True)).select("variant", (F.col("size") - F.col("cs")).alias("delta"), tables.jaccard(F.coalesce("terms", F.array().cast("array<string>")), F.col("ct")).alias("jaccard")))(variants(s, d)))
-query(f"WITH {VARIANTS}, n AS (SELECT {NUM.format('size')} FROM va WHERE status = 'valid') SELECT min, round(q1, 6) AS q1, round(median, 6) AS median, round(mean, 6) AS mean, round(q3, 6) AS q3, max, round(std, 6) AS std FROM n", "grid_aggregate")(lambda s, d: measure.numeric_summary(variants(s, d).where("status = 'valid'").withColumn("all", F.lit(1)), "size", ["all"]).drop("all"))
 
 
-@query(f"WITH {VARIANTS} SELECT status, count(*) AS n FROM va GROUP BY 1")
-def grid_collect(s, d):
-    p = files.write_report(variants(s, d).select("variant", "size", "status"), files.scratch(s))
-    return s.read.schema("variant string, size long, status string").json(p).groupBy("status").agg(F.count("*").alias("n"))
 
 
 # Models.
@@ -485,22 +453,304 @@ def model_rows(s, d):
     return features(s, d).join(docs(s, d).select("doc_id", "text"), "doc_id").join(X.labels(s, d), "doc_id").withColumn("split", X.split_of(F.col("doc_id"))).withColumn("id", F.col("doc_id").cast("string"))
 
 
+# Files in and out, read back.
+query(f"WITH {POS} SELECT id, split, pos FROM pos", "scan_split")(lambda s, d: tables.read_split(s, tables.write_split(positions(s, d), files.scratch(s))))
+
+
+@query(f"WITH {SCORES}, vo AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}', {p})" for c, t, p in X.VOCABULARY) + ") v(concept, term, term_pos)) SELECT vo.concept, vo.term, vo.term_pos, count(doc_id) FILTER (hits > 0) AS texts FROM vo LEFT JOIN sc USING (concept, term) GROUP BY ALL")
+def scan_vocabulary(s, d):
+    """A vocabulary file, and in how many texts each of its terms stands."""
+    p = files.write_csv(X.vocabulary(s), files.scratch(s))
+    terms = s.read.schema("concept string, term string, term_pos int").csv(p, header=True)
+    hits = enrich.term_scores(docs(s, d), [tuple(r) for r in terms.orderBy("term_pos").collect()], {}).where("hits > 0")
+    return terms.join(hits.groupBy("concept", "term").agg(F.count("*").alias("texts")), ["concept", "term"], "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+
+
+RUNS = [("rule", c, n) for c in ("BSL", "ENR") for n in (42, 123, 2024)]
+
+
+@query(f"WITH {PRED} SELECT id, split, y_true, y_pred, condition, seed FROM pred")
+def scan_predictions(s, d):
+    """One folder for each run; every run has to be there."""
+    p = files.scratch(s)
+    rows = predictions(s, d).withColumn("model", F.lit("rule")).select("id", "split", "y_true", "y_pred", "model", "condition", "seed")
+    rows.withColumn("run", F.concat_ws("_", "model", "condition", "seed")).write.option("header", True).partitionBy("run").csv(p)
+    return files.read_predictions(s, p, RUNS).drop("model")
+
+
+# Runs with faults: rows dropped (ENR, 123), labels changed (BSL, 2024), rows repeated (ENR, 2024), unknown ids (BSL, 42).
+def damaged(s, d):
+    p = predictions(s, d).withColumn("n", F.col("id").cast("long"))
+    at = lambda c, n, r: (F.col("condition") == c) & (F.col("seed") == n) & (F.col("n") % 50 == r)
+    p = p.where(~at("ENR", 123, 4)).withColumn("y_true", F.when(at("BSL", 2024, 9), (F.col("y_true") + 1) % 3).otherwise(F.col("y_true")))
+    return p.union(p.where(at("ENR", 2024, 14))).withColumn("id", F.when(at("BSL", 42, 19), F.concat(F.lit("x"), "id")).otherwise(F.col("id"))).drop("n")
+
+
+DPRED = PRED + """, d1 AS (SELECT id, split, CASE WHEN condition = 'BSL' AND seed = 2024 AND id::BIGINT % 50 = 9 THEN (y_true + 1) % 3 ELSE y_true END AS y_true, condition, seed, y_pred FROM pred WHERE NOT (condition = 'ENR' AND seed = 123 AND id::BIGINT % 50 = 4)),
+d2 AS (SELECT * FROM d1 UNION ALL SELECT * FROM d1 WHERE condition = 'ENR' AND seed = 2024 AND id::BIGINT % 50 = 14),
+dp AS (SELECT CASE WHEN condition = 'BSL' AND seed = 42 AND id::BIGINT % 50 = 19 THEN 'x' || id ELSE id END AS id, split, y_true, condition, seed, y_pred FROM d2)"""
+wanted = lambda s, d: positions(s, d).select("id", "split").join(X.labels(s, d).select(F.col("doc_id").cast("string").alias("id")), "id", "left_semi")
+add("reconcile_predictions", lambda s, d: audit.reconcile_predictions(damaged(s, d), wanted(s, d), X.labels(s, d).select(F.col("doc_id").cast("string").alias("id"), "label")),
+    f"WITH {DPRED}, tx AS (SELECT CAST(doc_id AS VARCHAR) AS id, label FROM lab WHERE doc_id % 5 = 4) SELECT condition, seed, count(*) AS rows, count(*) - count(DISTINCT dp.id) AS duplicates, count(*) FILTER (tx.id IS NULL) AS outside, count(*) FILTER (label IS DISTINCT FROM y_true) AS label_differs, (SELECT count(*) FROM tx) - count(DISTINCT tx.id) AS missing FROM dp LEFT JOIN tx ON dp.id = tx.id GROUP BY ALL")
+add("support_check", lambda s, d: measure.support_check(damaged(s, d), X.labels(s, d).where("doc_id % 5 = 4").groupBy("label").agg(F.count("*").alias("n")), KEYS),
+    f"WITH {DPRED}, ex AS (SELECT label, count(*) AS n FROM lab WHERE doc_id % 5 = 4 GROUP BY 1), ru AS (SELECT DISTINCT condition, seed, label, ex.n AS expected FROM dp, ex), ob AS (SELECT condition, seed, y_true AS label, count(*) AS n FROM dp GROUP BY ALL) SELECT condition, seed, label, coalesce(n, 0) AS n, coalesce(expected, 0) AS expected, coalesce(n, 0) = coalesce(expected, 0) AS ok FROM ru FULL JOIN ob USING (condition, seed, label)")
+add("summary_complete", lambda s, d: s.createDataFrame([(c, n) for c in ("BSL", "ENR", "FULL") for n in (42, 123, 2024)], "condition string, seed int").join(damaged(s, d).where("y_true <> y_pred").groupBy(*KEYS).agg(F.count("*").alias("errors")), KEYS, "left").withColumn("there", F.col("errors").isNotNull()),
+    f"WITH {DPRED}, er AS (SELECT condition, seed, count(*) AS errors FROM dp WHERE y_true <> y_pred GROUP BY ALL), wa AS (SELECT * FROM (VALUES ('BSL'), ('ENR'), ('FULL')) a(condition), (VALUES (42), (123), (2024)) b(seed)) SELECT condition, seed, errors, errors IS NOT NULL AS there FROM wa LEFT JOIN er USING (condition, seed)")
+SPLIT_SHA = "sequence of the ids, in blocks of 100000 positions"
+TREE = lambda rows, by, v, block=100000: f"(SELECT {by}, sha256(string_agg(sha, chr(10) ORDER BY b)) AS sha256 FROM (SELECT {by}, pos // {block} AS b, sha256(string_agg({v}, chr(10) ORDER BY pos)) AS sha FROM {rows} GROUP BY ALL) GROUP BY {by})"
+query(f"WITH {POS} SELECT split, sha256 FROM {TREE('pos', 'split', 'id')}", "sequence_sha256")(lambda s, d: audit.sequence_sha256(positions(s, d), "split", "id"))
+query(f"WITH {POS} SELECT split, sha256 FROM {TREE('pos', 'split', 'id', 100)}", "sequence_sha256_blocks")(lambda s, d: audit.sequence_sha256(positions(s, d), "split", "id", block=100))
+FPRINT = FEAT + ", " + POS + """, fr AS (SELECT split, pos, sha256(format('{:,.6f}', ont_alpha) || '|' || format('{:,.6f}', ont_beta)) AS row FROM feat JOIN pos USING (doc_id)), """
+FPRINT += "fp AS (SELECT split, n_rows, shape_ok, sha256('ont_alpha,ont_beta|' || n_rows || chr(10) || sha256) AS sha256 FROM " + TREE("fr", "split", "row") + " JOIN (SELECT split, count(*) AS n_rows, min(pos) = 0 AND max(pos) = count(*) - 1 AND count(DISTINCT pos) = count(*) AS shape_ok FROM fr GROUP BY 1) USING (split))"
+prints = lambda s, d: audit.matrix_fingerprint(features(s, d).join(positions(s, d).select("doc_id", "split", "pos"), "doc_id"), ["ont_alpha", "ont_beta"], "split")
+query(f"WITH {FPRINT} SELECT split, n_rows, shape_ok, sha256 FROM fp", "matrix_fingerprint")(prints)
+
+
+def metric_docs(s, d):
+    """A metric document for each damaged run, written and read. The one of (BSL, 123) has another dataset's hash, the one
+    of (ENR, 42) its features in another order."""
+    m = measure.confusion_matrix(damaged(s, d), KEYS)
+    c = measure.metrics_per_class(m, KEYS)
+    grid = m.groupBy(*KEYS, "y_true").agg(F.array_sort(F.collect_list(F.struct("y_pred", "n"))).alias("r")).select(*KEYS, "y_true", F.transform("r", lambda x: x.n).alias("r"))
+    grid = grid.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("y_true", "r"))), lambda x: x.r).alias("confusion_matrix"))
+    report = c.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("string"), F.struct("precision", "recall", "f1")))).alias("report"),
+                                  F.transform(F.array_sort(F.collect_list(F.struct("label", "support"))), lambda x: x.support).alias("support"))
+    sha = prints(s, d).where("split = 'test'").select(F.col("sha256").alias("sha"))
+    rows = measure.metrics_overall(c, KEYS).drop("weighted_f1").join(grid, KEYS).join(report, KEYS).join(F.broadcast(sha), F.lit(True))  # one row
+    other, turned = (F.col("condition") == "BSL") & (F.col("seed") == 123), (F.col("condition") == "ENR") & (F.col("seed") == 42)
+    rows = rows.withColumn("provenance", F.create_map(F.lit("dataset_sha256"), F.when(other, F.lit("0" * 64)).otherwise(F.col("sha")), F.lit("split"), F.lit("test"))).drop("sha")
+    names = [F.lit(f) for f in X.SELECTED]
+    rows = rows.withColumn("feature_order", F.when(turned, F.array(*names[::-1])).otherwise(F.array(*names))).withColumn("model", F.lit("rule"))
+    p = files.scratch(s)
+    rows.withColumn("run", F.concat_ws("_", "model", *KEYS)).write.partitionBy("run").json(p)
+    return files.read_metric_docs(s, p)
+
+
+DCLASS = DPRED + """, g2 AS (SELECT a AS y_true, b AS y_pred FROM range(3) x(a), range(3) y(b)), dm AS (SELECT r.condition, r.seed, g2.y_true, g2.y_pred, count(p.id) AS n FROM (SELECT DISTINCT condition, seed FROM dp) r CROSS JOIN g2
+  LEFT JOIN dp p ON p.condition = r.condition AND p.seed = r.seed AND p.y_true = g2.y_true AND p.y_pred = g2.y_pred GROUP BY ALL),
+dc AS (SELECT condition, seed, l AS label, coalesce(sum(n) FILTER (y_true = l AND y_pred = l), 0) AS hit, coalesce(sum(n) FILTER (y_true = l), 0) AS support, coalesce(sum(n) FILTER (y_pred = l), 0) AS said FROM dm, range(3) x(l) GROUP BY ALL)"""
+query(f"WITH {DCLASS}, rc AS (SELECT *, CASE WHEN support = 0 THEN 0 ELSE hit::DOUBLE / support END AS recall FROM dc) SELECT dm.condition, dm.seed, y_true::INTEGER AS y_true, y_pred::INTEGER AS y_pred, n::BIGINT AS n, support::BIGINT AS support, round(recall, 6) AS recall, 'rule_' || dm.condition || '_' || dm.seed AS run FROM dm JOIN rc ON rc.condition = dm.condition AND rc.seed = dm.seed AND rc.label = y_true", "scan_metric_docs")(
+    lambda s, d: metric_docs(s, d).select(*KEYS, "support", "report", F.regexp_extract("path", "run=([^/]+)", 1).alias("run"), F.posexplode("confusion_matrix").alias("y_true", "r")).select(*KEYS, "support", "report", "run", "y_true", F.posexplode("r").alias("y_pred", "n")).select(
+        *KEYS, "y_true", "y_pred", "n", F.get("support", F.col("y_true")).alias("support"), F.try_element_at("report", F.col("y_true").cast("string"))["recall"].alias("recall"), "run"))
+# The order of a run's rows in its file: by id, as the test list has them.
+in_file = lambda s, d: damaged(s, d).withColumn("pos", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.regexp_replace("id", "x", "").cast("long"), "id")) - 1)
+labelled_positions = lambda s, d: tables.split_positions(X.posts(s, d).join(X.labels(s, d).select("doc_id"), "doc_id", "left_semi"))
+LINKED = DPRED + """, ip AS (SELECT *, row_number() OVER (PARTITION BY condition, seed ORDER BY replace(id, 'x', '')::BIGINT, id) - 1 AS pos FROM dp),
+tl AS (SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY doc_id) - 1 AS want FROM lab WHERE doc_id % 5 = 4),
+lr AS (SELECT condition, seed, count(*) AS rows, count(*) FILTER (want IS NOT DISTINCT FROM pos) AS hit, (SELECT count(*) FROM tl) AS total FROM ip LEFT JOIN tl USING (id) GROUP BY ALL)"""
+query(f"WITH {LINKED} SELECT condition, seed, rows, NOT (condition = 'BSL' AND seed = 123) AS dataset_match, NOT (condition = 'ENR' AND seed = 42) AS features_match, rows = total AND hit = total AS order_match, true AS support_match FROM lr", "link_runs")(
+    lambda s, d: audit.link_runs(metric_docs(s, d), in_file(s, d), labelled_positions(s, d), prints(s, d), X.SELECTED))
+query(f"WITH {LINKED} SELECT condition, seed, pos, ip.id, tl.id AS expected, ip.id IS NOT DISTINCT FROM tl.id AS same FROM ip LEFT JOIN tl ON tl.want = ip.pos", "join_run_predictions")(
+    lambda s, d: (lambda p: p.join(labelled_positions(s, d).where("split = 'test'").select(F.col("id").alias("expected"), "pos"), "pos", "left").select(*KEYS, "pos", "id", "expected", F.col("id").eqNullSafe(F.col("expected")).alias("same")))(
+        in_file(s, d).join(metric_docs(s, d).select(*KEYS), KEYS, "left_semi")))
+
+
+@query(f"WITH {TRACE}, t1 AS (SELECT id, feature, value FROM tm UNION ALL SELECT id, feature, value FROM tm WHERE feature = 'ont_count' AND id::BIGINT % 50 = 0), t2 AS (SELECT *, row_number() OVER (ORDER BY id, feature NULLS FIRST) + 1 AS row, count(*) OVER (PARTITION BY id, feature) AS same FROM t1) SELECT id, feature, round(value, 6) AS value, row, same FROM t2")
+def scan_trace(s, d):
+    """The trace as CSV with its physical row numbers (the header is row 1), and how many rows share a key; some are
+    written twice."""
+    t = trace(s, d).select("id", "feature", "value")
+    t = t.union(t.where((F.col("feature") == "ont_count") & (F.col("id").cast("long") % 50 == 0)))
+    p = files.write_csv(tables.placed(t, ["id", F.asc_nulls_first("feature")], name="row").withColumn("row", F.col("row") + 2), files.scratch(s))
+    rows = s.read.schema("id string, feature string, value double, row long").csv(p, header=True)
+    same = rows.groupBy(F.col("id").alias("i"), F.col("feature").alias("f")).agg(F.count("*").alias("same"))
+    return rows.join(same, F.col("id").eqNullSafe(F.col("i")) & F.col("feature").eqNullSafe(F.col("f"))).drop("i", "f")
+
+
+def source_files(s, d):
+    """A file of ids for each source, below source=NAME."""
+    p = files.scratch(s)
+    docs(s, d).select("source", F.col("doc_id").cast("string").alias("value"), "doc_id").repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(p)
+    return audit.scan_files(s, p, ".txt", exclude=("source=[^/]*0/",)).withColumn("folder", F.substring_index("path", "/", 1))
+
+
+FILES = "sf AS (SELECT 'source=' || source AS folder, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS bytes, sha256(string_agg(doc_id::VARCHAR || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents WHERE source NOT LIKE '%0' GROUP BY source)"
+add("scan_files", lambda s, d: source_files(s, d).select("folder", "bytes", "sha256"), f"WITH {FILES} SELECT folder, bytes, sha256 FROM sf")
+add("file_hashes", lambda s, d: source_files(s, d).select(F.concat("sha256", F.lit("  "), "folder").alias("line"), (F.col("bytes") == 0).alias("empty")), f"WITH {FILES} SELECT sha256 || '  ' || folder AS line, bytes = 0 AS empty FROM sf")
+
+
+@query(f"WITH {FILES}, st AS (SELECT folder AS name, CASE WHEN folder LIKE '%3' THEN 'undeclared' WHEN folder LIKE '%7' THEN 'mismatch' ELSE 'ok' END AS status FROM sf) SELECT name, status FROM st UNION ALL SELECT 'gone', 'missing' UNION ALL SELECT 'no hash', 'malformed'")
+def manifest_verify(s, d):
+    """A manifest that leaves out the files of sources that end in 3, has wrong hashes for those in 7, and two bad lines."""
+    actual = source_files(s, d).select(F.col("folder").alias("name"), "sha256")
+    line = F.concat(F.when(F.col("name").endswith("7"), F.reverse("sha256")).otherwise(F.col("sha256")), F.lit("  "), "name")
+    declared = actual.where(~F.col("name").endswith("3")).select(line.alias("line")).union(s.createDataFrame([("0" * 64 + "  gone",), ("no hash",)], "line string"))
+    return audit.manifest_verify(declared, actual)
+
+
+LEXW = f"{VAL}, {FREQ}, lx AS (SELECT * FROM fq JOIN val ON token = term WHERE freq >= 3 AND abs(valence) >= 1)"
+
+
+@query(f"WITH {LEXW} SELECT term, greatest(-2.0::DOUBLE, least(2.0::DOUBLE, valence)) AS weight FROM lx")
+def scan_frozen_lexicon(s, d):
+    """The lexicon as a JSON document with one map for each side, read back to rows; neither may be empty."""
+    lex = lexicon.induce_lexicon(tokens(s, d), valence(s))
+    side = lambda k: F.map_from_entries(F.collect_list(F.when(F.col("polarity") == k, F.struct("term", "weight")))).alias(k)
+    return files.read_frozen_lexicon(s, files.write_report(lex.agg(side("positive"), side("negative")), files.scratch(s)))
+
+
+# Authors that are missing in the source.
+orphans = lambda s, d: X.posts(s, d).withColumn("author", F.when(F.col("doc_id") % 97 != 5, F.col("author")))
+add("project_release", lambda s, d: tables.project_release(orphans(s, d), tables.pseudonym_authors(orphans(s, d))),
+    f"WITH {POSTS}, pa AS (SELECT * REPLACE (CASE WHEN doc_id % 97 = 5 THEN 'unknown' ELSE author END AS author) FROM posts), a AS (SELECT author, 'author_' || lpad(CAST(row_number() OVER (ORDER BY author) AS VARCHAR), 4, '0') AS author_id FROM (SELECT DISTINCT author FROM pa)) SELECT id, author_id, body, topic, created, split FROM pa JOIN a USING (author)")
+
+
+# Windows around anchors.
+def windowed(where, sizes):
+    """SQL: cw (w, doc_id, token)."""
+    anchors = ", ".join(f"('{a}')" for a in X.ANCHORS)
+    return rf"""cw0 AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents WHERE {where}), anc(p) AS (VALUES {anchors}), wins(w) AS (VALUES {", ".join(f"({w})" for w in sizes)}),
+cw1 AS (SELECT doc_id, regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+') AS toks, regexp_replace(trim(regexp_replace(low, '\s+', ' ', 'g')), '([^\p{{L}}\p{{N}}_])', chr(4) || '\1' || chr(3), 'g') AS l FROM cw0),
+cw2 AS (SELECT doc_id, toks, string_split(replace(replace(regexp_replace(l, '(^|' || chr(3) || ')' || p || '(' || chr(4) || '|$)', '\1' || chr(1) || p || '\2', 'g'), chr(3), ''), chr(4), ''), chr(1)) AS ps FROM cw1, anc),
+cw3 AS (SELECT doc_id, toks, greatest(len(list_filter(string_split(array_to_string(ps[1:k], ''), ' '), lambda x: x <> '')) - 1, 0) AS c FROM (SELECT *, unnest(range(1, len(ps))) AS k FROM cw2)),
+cw AS (SELECT w, doc_id, token FROM (SELECT w, doc_id, unnest(toks[greatest(c - w, 0) + 1:c + w + 1]) AS token FROM cw3, wins) WHERE length(token) > 2 AND token NOT IN ({", ".join(f"'{x}'" for x in X.STOPWORDS)}))"""
+
+
+WIN = windowed("doc_id % 5 < 3", [5])
+query(f"WITH {WIN} SELECT token, count(*) AS n FROM cw GROUP BY 1", "concept_windows")(lambda s, d: windows(s, d).groupBy("token").agg(F.count("*").alias("n")))
+query(f"WITH {WIN}, {VAL}, wf AS (SELECT token AS term, count(*) AS freq FROM cw GROUP BY 1) SELECT term, freq, valence, greatest(-2.0::DOUBLE, least(2.0::DOUBLE, valence)) AS weight, CASE WHEN valence > 0 THEN 'positive' ELSE 'negative' END AS polarity FROM wf JOIN val USING (term) WHERE freq >= 3 AND abs(valence) >= 1", "induce_lexicon_windows")(
+    lambda s, d: lexicon.induce_lexicon(windows(s, d), valence(s)))
+# The induction set of a careless run: the training texts and some of the validation texts that have windows.
+careless = lambda s, d: lexicon.concept_windows(docs(s, d).where((F.col("doc_id") % 5 < 3) | (F.col("doc_id") % 50 == 3)), X.ANCHORS, X.STOPWORDS).select(F.col("doc_id").cast("string").alias("id"))
+query(f"WITH {windowed('doc_id % 5 < 3 OR doc_id % 50 = 3', [5])} SELECT 'val' AS split, count(DISTINCT doc_id) AS n FROM cw WHERE doc_id % 5 = 3 HAVING count(*) > 0", "induction_leak_check")(lambda s, d: lexicon.leaked(careless(s, d), X.posts(s, d)))
+
+
+# Texts without tokens are padded too; the length is the corpus' 95th percentile.
+@query(f"WITH {VOC}, ml AS (SELECT greatest(trunc(quantile_cont(n, 0.95))::INTEGER, 1) AS m FROM (SELECT count(token) AS n FROM documents LEFT JOIN tok USING (doc_id) GROUP BY doc_id)), e AS (SELECT doc_id, list(coalesce(index, 1) ORDER BY pos) AS l FROM tok LEFT JOIN vo USING (token), ml WHERE pos < m GROUP BY 1) SELECT doc_id, md5(array_to_string(list_concat(coalesce(l, []), list_transform(range(m - len(coalesce(l, []))), lambda x: 0)), ' ')) AS ids, m AS length FROM documents LEFT JOIN e USING (doc_id), ml")
+def encode_tokens(s, d):
+    sizes = docs(s, d).select(F.lit(1).alias("all"), T.word_count(F.lower(F.coalesce("text", F.lit("")))).alias("n"))
+    length = max(1, int(measure.quantiles(sizes, ["all"], "n", {"q": 0.95}).first().q))
+    out = tables.encode_tokens(tokens(s, d), tables.build_vocab(tokens(s, d)), length, docs(s, d))
+    return out.select("doc_id", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids"), F.lit(length).alias("length"))
+
+
+# Sets.
+query(f"WITH {TRACE}, {LAB}, ex AS (SELECT '{BASE}post_' || doc_id AS i FROM lab EXCEPT SELECT post_iri FROM tm WHERE feature IS NOT NULL) SELECT count(*) = 0 AS subset, count(*) AS missing FROM ex", "set_subset")(
+    lambda s, d: tables.subset(X.labels(s, d).select(graph.iri("post", F.col("doc_id").cast("string")).alias("iri")), trace(s, d).where("feature is not null").select(F.col("post_iri").alias("iri")), "iri"))
+query(f"WITH {CELLS}, x AS (SELECT source, list(DISTINCT feature) FILTER (doc_id % 5 < 3) AS a, list(DISTINCT feature) FILTER (doc_id % 5 = 4) AS b FROM cells JOIN documents USING (doc_id) WHERE value <> 0 GROUP BY 1), y AS (SELECT source, coalesce(a, []) AS a, coalesce(b, []) AS b FROM x) SELECT source, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM y", "set_jaccard")(
+    lambda s, d: cells(s, d).where("value <> 0").join(docs(s, d).select("doc_id", "source"), "doc_id").groupBy("source").agg(  # sets of at most six features
+        F.collect_set(F.when(F.col("doc_id") % 5 < 3, F.col("feature"))).alias("a"), F.collect_set(F.when(F.col("doc_id") % 5 == 4, F.col("feature"))).alias("b")).select("source", tables.jaccard(F.col("a"), F.col("b")).alias("jaccard")))
+query(f"WITH {CLASSES}, dl AS (SELECT label, seed, f1 - (SELECT b.f1 FROM pc b WHERE b.condition = 'BSL' AND b.seed = pc.seed AND b.label = pc.label) AS v FROM pc WHERE condition = 'ENR') SELECT label::INTEGER AS label, {', '.join(f'round(max(v) FILTER (seed = {k}), 6) AS "{k}"' for k in (42, 123, 2024))} FROM dl GROUP BY 1", "pivot_delta")(
+    lambda s, d: tables.pivot_complete(per_class(s, d).select("label", "seed", "condition", (F.col("f1") - F.max(F.when(F.col("condition") == "BSL", F.col("f1"))).over(Window.partitionBy("label", "seed"))).alias("delta")).where("condition = 'ENR'"), "label", "seed", [42, 123, 2024], "delta"))
+
+# Literals.
+query(f"SELECT doc_id, md5({SAN.format('text')}) AS fragment FROM documents", "sanitize_iri")(lambda s, d: docs(s, d).select("doc_id", F.md5(graph.sanitize_iri(F.col("text"))).alias("fragment")))
+# Times as text in several forms, some of which are none.
+TIMES = """CASE doc_id % 6 WHEN 0 THEN strftime(created, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(created, '%Y-%m-%dT%H:%M:%S') || 'Z' WHEN 2 THEN strftime(created, '%Y-%m-%d') WHEN 3 THEN 'yesterday' WHEN 4 THEN strftime(created, '%Y-%m-%dT%H:%M:%S') || '+02:00' ELSE '' END"""
+query(f"WITH {POSTS} SELECT id, strftime(coalesce(CASE doc_id % 6 WHEN 0 THEN created WHEN 1 THEN created WHEN 2 THEN date_trunc('day', created) WHEN 4 THEN created - INTERVAL 2 HOURS END, TIMESTAMP '1970-01-01'), '%Y-%m-%dT%H:%M:%S') AS t FROM posts", "datetime_literal")(
+    lambda s, d: (lambda p: p.select("id", graph.datetime_literal(graph.parsed_time(p["said"])).alias("t")))(X.posts(s, d).withColumn("said", F.when(F.col("doc_id") % 6 == 0, F.date_format("created", "yyyy-MM-dd HH:mm:ss")).when(F.col("doc_id") % 6 == 1, F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(F.col("doc_id") % 6 == 2, F.date_format("created", "yyyy-MM-dd")).when(F.col("doc_id") % 6 == 3, "yesterday").when(F.col("doc_id") % 6 == 4, F.concat(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(""))))
+
+# Audits of damaged traces: posts that are divisible by 50 are missing, those by 35 have rows under an unknown id.
+DTRACE = TRACE + ", dt AS (SELECT CASE WHEN id::BIGINT % 35 = 0 THEN 'z' || id ELSE id END AS id, feature, value FROM tm WHERE id::BIGINT % 50 <> 0)"
+gaps = lambda s, d: trace(s, d).where(F.col("id").cast("long") % 50 != 0).withColumn("id", F.when(F.col("id").cast("long") % 35 == 0, F.concat(F.lit("z"), "id")).otherwise(F.col("id")))
+query(f"WITH {DTRACE} SELECT (SELECT count(*) FROM posts) AS posts, count(feature) AS traced_cells, count(DISTINCT id) AS posts_traced, (SELECT count(*) FROM posts WHERE id NOT IN (SELECT id FROM dt)) AS posts_untraced, count(*) FILTER (id NOT IN (SELECT id FROM posts)) AS rows_without_post, round(100.0::DOUBLE * count(DISTINCT id) / (SELECT count(*) FROM posts), 6) AS percent FROM dt", "audit_traceability")(
+    lambda s, d: audit.traceability(X.posts(s, d), stage(s, gaps(s, d))))
+query(f"WITH {DTRACE}, sl(feature) AS (VALUES ('ont_alpha'), ('ont_gamma'), ('ont_density'), ('ont_gone')), cv AS (SELECT feature, count(*) FILTER (value <> 0) AS nonzero FROM cells GROUP BY 1), tc AS (SELECT feature, count(*) AS traced FROM dt GROUP BY 1) SELECT sl.feature, cv.feature IS NOT NULL AS exists, coalesce(nonzero, 0) AS nonzero, coalesce(traced, 0) AS traced, coalesce(nonzero, 0) = coalesce(traced, 0) AS complete, sl.feature IN ('ont_alpha', 'ont_density') AS in_train FROM sl LEFT JOIN cv USING (feature) LEFT JOIN tc USING (feature)", "audit_model_inputs")(
+    lambda s, d: audit.model_inputs(s.createDataFrame([(f,) for f in (*X.SELECTED, "ont_gone")], "feature string"), cells(s, d).groupBy("feature").agg(F.count_if(F.col("value") != 0).alias("nonzero")), gaps(s, d),
+        with_split(s, d).where((F.col("split") == "train") | ((F.col("feature") == "ont_gamma") & (F.col("split") == "val"))).select("feature", "split").distinct()))
+EXPECT = {"null_ids": 0, "null_texts": 0, "languages": 5, "sources": 50, "duplicate_ids": 0, "unlabelled": 0, "test_share_percent": 20, "empty_texts": 0, "wrong_lengths": 0, "unknown_labels": 0}
+query("WITH o AS (SELECT count(*) - count(doc_id) AS null_ids, count(*) - count(text) AS null_texts, count(DISTINCT lang) AS languages, count(DISTINCT source) AS sources, count(*) - count(DISTINCT doc_id) AS duplicate_ids, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS unlabelled, 100 * count(*) FILTER (doc_id % 5 = 4) // count(*) AS test_share_percent, count(*) FILTER (text = '') AS empty_texts, count(*) FILTER (n_chars <> length(text)) AS wrong_lengths, (SELECT count(*) FROM labels WHERE quality NOT IN (0, 1)) AS unknown_labels FROM documents) "
+      + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", {v}::BIGINT AS expected, {k}::BIGINT AS observed, {k} = {v} AS passed, CASE WHEN {k} = {v} THEN '{k}: as expected' ELSE '{k}: ' || {k} || ' instead of {v}' END AS message FROM o" for k, v in EXPECT.items()), "expectation_suite")(
+    lambda s, d: audit.expectations(docs(s, d).join(X.table(s, d, "labels").select("doc_id", F.lit(1).alias("l")).distinct(), "doc_id", "left").agg(
+        F.count_if(F.col("doc_id").isNull()).alias("null_ids"), F.count_if(F.col("text").isNull()).alias("null_texts"), F.count_distinct("lang").alias("languages"), F.count_distinct("source").alias("sources"),
+        (F.count("*") - F.count_distinct("doc_id")).alias("duplicate_ids"), F.count_if(F.col("l").isNull()).alias("unlabelled"), F.floor(100 * F.count_if(F.col("doc_id") % 5 == 4) / F.count("*")).alias("test_share_percent"),
+        F.count_if(F.col("text") == "").alias("empty_texts"), F.count_if(F.col("n_chars") != F.length("text")).alias("wrong_lengths")).join(X.table(s, d, "labels").agg(F.count_if(~F.col("quality").isin(0, 1)).alias("unknown_labels")), F.lit(True)), EXPECT))
+
+# Sensitivity: every variant of the expanded grid, window included.
+_w, _f, _v = GRIDS["grid_expanded"]
+CANONICAL = "w5_f3_v1.0"
+_m = ", ".join
+_clean = r"regexp_replace(x, '[^\p{L}\p{N}_\s]', '', 'g')"
+_weight = "CASE " + _clean + " " + " ".join(f"WHEN '{t}' THEN {max(-2.0, min(2.0, v))}::DOUBLE" for t, v in X.VALENCE.items()) + " ELSE 0 END"
+VARIANTS = MENTIONS + ", " + windowed("doc_id % 5 < 3", _w) + f""", {VAL}, {LAB}, gx AS (SELECT w, mf, mv, 'w' || w || '_f' || mf || '_v' || mv AS variant FROM (SELECT unnest({_w})::INTEGER AS w), (SELECT unnest({_f})::INTEGER AS mf), (SELECT unnest({_v})::DOUBLE AS mv)),
+kx AS (SELECT variant, list(term ORDER BY term) AS terms, count(*) AS size, count(*) FILTER (valence > 0) AS np, count(*) FILTER (valence < 0) AS nn FROM (SELECT w, token AS term, count(*) AS freq FROM cw GROUP BY ALL) c JOIN val USING (term) JOIN gx ON gx.w = c.w AND freq >= mf AND abs(valence) >= mv GROUP BY 1),
+vx AS (SELECT gx.*, coalesce(size, 0) AS size, coalesce(np, 0) AS np, coalesce(nn, 0) AS nn, coalesce(terms, []) AS terms, CASE WHEN np > 0 AND nn > 0 THEN 'valid' ELSE 'invalid' END AS status FROM gx LEFT JOIN kx USING (variant)),
+lex AS (SELECT DISTINCT terms FROM vx WHERE status = 'valid'),
+lp AS (SELECT terms, doc_id, concept, list_sum(list_transform(words, lambda x: CASE WHEN list_contains(terms, {_clean}) THEN {_weight} ELSE 0 END)) AS p FROM mw, lex),
+pd AS (SELECT terms, concept, doc_id, count(*) FILTER (p > 0.5) AS a, count(*) FILTER (p < -0.5) AS b FROM lp WHERE abs(p) > 0.5 GROUP BY ALL),
+ac AS (SELECT terms, count(DISTINCT doc_id) AS active_docs, sum(a)::BIGINT AS positive_mentions, sum(b)::BIGINT AS negative_mentions, count(*) AS assertions FROM pd GROUP BY 1),
+cl AS (SELECT label, count(*) AS c FROM lab WHERE doc_id % 5 < 3 GROUP BY 1),
+sm AS (SELECT terms, concept, label, sum(a - b)::DOUBLE AS s, sum((a - b) * (a - b))::DOUBLE AS q FROM pd JOIN lab USING (doc_id) WHERE doc_id % 5 < 3 GROUP BY ALL),
+fx AS (SELECT terms, concept, sum(s) AS s, sum(q) AS q, sum(s * s / c) AS b FROM sm JOIN cl USING (label) GROUP BY ALL),
+fv AS (SELECT terms, ((b - s * s / n) / (k - 1)) / nullif((q - b) / (n - k), 0) AS f FROM fx, (SELECT sum(c) AS n, count(*) AS k FROM cl)),
+se AS (SELECT terms, count(*) FILTER (f > 3) AS selected FROM fv GROUP BY 1),
+rx AS (SELECT vx.*, CASE WHEN status = 'valid' THEN coalesce(active_docs, 0) END AS active_docs, CASE WHEN status = 'valid' THEN coalesce(positive_mentions, 0) END AS positive_mentions, CASE WHEN status = 'valid' THEN coalesce(negative_mentions, 0) END AS negative_mentions,
+  CASE WHEN status = 'valid' THEN coalesce(assertions, 0) END AS assertions, CASE WHEN status = 'valid' THEN coalesce(selected, 0) END AS selected FROM vx LEFT JOIN ac USING (terms) LEFT JOIN se USING (terms))"""
+BASE_ROW = "ba AS (SELECT " + _m(f"{m} AS b_{m}" for m in sensitivity.METRICS) + f", terms AS b_terms FROM rx WHERE variant = '{CANONICAL}')"
+JAC = "round(CASE WHEN len(list_distinct(list_concat(terms, b_terms))) = 0 THEN 1 ELSE len(list_intersect(terms, b_terms))::DOUBLE / len(list_distinct(list_concat(terms, b_terms))) END, 6)"
+expanded = lambda s: measure.grid(s, _w, _f, _v)
+
+
+def grid_results(s, d):
+    train = docs(s, d).where(X.split_of(F.col("doc_id")) == "train")
+    counts = lexicon.windows_grid(train, X.ANCHORS, X.STOPWORDS, _w).groupBy("window", F.col("token").alias("term")).agg(F.count("*").alias("freq"))
+    found = files.through_parquet(sensitivity.lexicons(counts, valence(s), expanded(s)), files.scratch(s))
+    weights = {t: max(-2.0, min(2.0, v)) for t, v in X.VALENCE.items()}
+    return sensitivity.run_grid(found, weights, mention_rows(s, d).select("doc_id", "concept", "window"), X.labels(s, d).where("doc_id % 5 < 3"))
+
+
+add("run_grid", lambda s, d: grid_results(s, d).select("variant", "status", *sensitivity.METRICS), f"WITH {VARIANTS} SELECT variant, status, {_m(sensitivity.METRICS)} FROM rx")
+query(f"WITH {VARIANTS}, {BASE_ROW} SELECT variant, {_m(f'{m} - b_{m} AS delta_{m}' for m in sensitivity.METRICS)}, {JAC} AS jaccard FROM rx, ba", "grid_compare")(lambda s, d: sensitivity.compare(grid_results(s, d), CANONICAL).drop("window", "min_freq", "min_valence"))
+LONG = "lo AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}::DOUBLE AS value FROM rx WHERE status = 'valid'" for m in sensitivity.METRICS) + ")"
+query(f"WITH {VARIANTS}, {LONG} SELECT metric, min, round(q1, 6) AS q1, round(median, 6) AS median, round(mean, 6) AS mean, round(q3, 6) AS q3, max, round(std, 6) AS std FROM (SELECT metric, {NUM.format('value')} FROM lo GROUP BY 1)", "grid_aggregate")(
+    lambda s, d: measure.numeric_summary(tables.unpivot(grid_results(s, d).where("status = 'valid'"), sensitivity.METRICS, "variant").withColumnRenamed("feature", "metric"), "value", ["metric"]))
+
+
+@query(f"WITH {VARIANTS} SELECT variant, CASE WHEN w = 2 AND mf = 8 THEN 'missing' WHEN w = 3 AND mf = 8 THEN 'repeated' ELSE status END AS status, {_m(f'CASE WHEN w <> 2 OR mf <> 8 THEN {m} END AS {m}' for m in sensitivity.METRICS)} FROM rx")
+def grid_collect(s, d):
+    """A report for each variant; those of window 2 and frequency 8 are lost, those of window 3 and frequency 8 are there
+    twice."""
+    rows, p = grid_results(s, d).where("not (window = 2 and min_freq = 8)"), files.scratch(s)
+    rows = rows.withColumn("n", F.explode(F.when((F.col("window") == 3) & (F.col("min_freq") == 8), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    rows.select("variant", "status", *sensitivity.METRICS, F.concat_ws("_", "variant", "n").alias("run")).write.partitionBy("run").json(p)
+    return sensitivity.collected(s, p, expanded(s))
+
+
+query(f"WITH {VARIANTS}, {BASE_ROW}, jx AS (SELECT w, mf, {JAC} AS j FROM rx, ba) SELECT w AS \"window\", {_m(f'round(quantile_cont(j, 0.5) FILTER (mf = {k}), 6) AS "{k}"' for k in _f)} FROM jx GROUP BY 1", "pivot_median_jaccard")(
+    lambda s, d: sensitivity.compare(grid_results(s, d), CANONICAL).groupBy("window").pivot("min_freq", _f).agg(F.percentile("jaccard", F.lit(0.5))))  # 125 rows
+
+# Models. Registered below their stated sizes (models.SIZES), which take hours on a laptop: rounds and trees are parameters.
+FEWER = {"lr": (100, None), "rf": (60, 12), "gbt": (5, 4)}
+
+
+def conditions():
+    """The features of every condition: none, all, the selected ones, all but a module, a module alone."""
+    modules = sorted({m for m, _ in X.MODULES.values()})
+    own = lambda m: [f for f in X.FEATURES if X.MODULES[f][0] == m]
+    return {"BSL": [], "full": X.FEATURES, "selected": X.SELECTED} | {f"drop_{m}": [f for f in X.FEATURES if f not in own(m)] for m in modules} | {f"module_only_{m}": own(m) for m in modules}
+
+
 def fitted(kind):
-    return lambda s, d: models.ablation_grid(model_rows(s, d), {"selected": X.SELECTED}, [kind], [42], rounds=20)
+    return lambda s, d: models.ablation_grid(model_rows(s, d), {"selected": X.SELECTED}, (kind,), (42,), size=1000, sizes=FEWER)
+
+
+TERMS = r"""tt AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS t FROM documents WHERE doc_id % 5 < 3),
+gr AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS g FROM tt), gc AS (SELECT g, count(*) AS tf, count(DISTINCT doc_id) AS df FROM gr GROUP BY 1)"""
+query(f"WITH {TERMS} SELECT g, tf, df, round(ln((1 + (SELECT count(*) FROM tt)) / (1 + df)::DOUBLE) + 1, 6) AS idf FROM gc WHERE df >= 20", "tfidf_terms")(lambda s, d: models.term_table(docs(s, d).where("doc_id % 5 < 3")).where("df >= 20"))
 
 
 @query()
 def tfidf(s, d):
     rows = model_rows(s, d)
-    out = models.tfidf(rows.where("split = 'train'"), 500)(rows)
+    out = models.tfidf(rows.where("split = 'train'"))(rows)
     from pyspark.ml.functions import vector_to_array
 
     a = vector_to_array("tfidf")
     return out.select("id", F.size(F.filter(a, lambda x: x > 0)).alias("n"), F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, x: t + x * x)).alias("norm"))
 
 
-query(None, "stack_semantic")(lambda s, d: (lambda r: models.stack_semantic(models.tfidf(r.where("split = 'train'"), 200)(r), X.SELECTED).select("id", F.length(F.col("features").cast("string")).alias("n")))(model_rows(s, d)))
+@query()
+def stack_semantic(s, d):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = model_rows(s, d)
+    a = vector_to_array("features")
+    out = models.stack_semantic(models.tfidf(rows.where("split = 'train'"), 200)(rows), X.SELECTED)
+    return out.select("id", *[F.get(a, F.size(a) - len(X.SELECTED) + i).alias(f) for i, f in enumerate(X.SELECTED)])
+
+
 for _k in ("lr", "rf", "gbt"):
-    query(None, f"fit_{_k}")(fitted(_k))
-query(None, "predict_table")(lambda s, d: measure.metrics_overall(measure.metrics_per_class(measure.confusion_matrix(fitted("lr")(s, d), KEYS), KEYS), KEYS))
-query(None, "ablation_grid")(lambda s, d: models.ablation_grid(model_rows(s, d), {"BSL": [], "selected": X.SELECTED, "full": X.FEATURES}, ["lr"], [42], size=200, rounds=10))
+    query(None, f"fit_{_k}")(lambda s, d, k=_k: (lambda p: measure.metrics_overall(measure.metrics_per_class(measure.confusion_matrix(p, ["model", *KEYS]), ["model", *KEYS]), ["model", *KEYS]))(fitted(k)(s, d)))
+query(None, "predict_table")(fitted("lr"))
+query(None, "ablation_grid")(lambda s, d: models.ablation_grid(model_rows(s, d), conditions(), ("lr",), (42,), size=500, sizes={"lr": (20, None)}))
