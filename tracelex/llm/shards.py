@@ -10,6 +10,8 @@ A uniform shuffle of all rows into shards whose row counts are fixed beforehand
 4. rows are exchanged by (shard, block), where a block is a class of a second keyed hash, and ranked in their block;
    adding the sizes of the blocks before gives gapless slots. No task holds more than a block.
 
+`assign` returns the places; `write` moves the whole rows there.
+
 Cases: null texts have 0 bytes and checksum 0; null and repeated ids are rows like others; an empty table gives an
 empty result; columns named like the new ones are ignored by `assign`.
 """
@@ -20,10 +22,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelex.llm.common import staged
+from tracelex.llm.common import staged, unused
 
 BLOCK_ROWS = 20_000
 
@@ -67,20 +69,19 @@ def matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def assign(docs: DataFrame, shards: int = 24, seed: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: one row for each row of docs."""
-    spark = docs.sparkSession
+def _narrow(docs: DataFrame, row: Column) -> DataFrame:
+    """doc_id, size, text_crc32, row, part (of the row)."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = staged(
-        docs.select(
-            "doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-            F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"),
-        )
-    )
+    narrow = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), row.alias("row"))
+    return narrow.withColumn("part", F.shiftrightunsigned("row", 33).cast("int"))
+
+
+def _placed(rows: DataFrame, shards: int, seed: int, block_rows: int) -> DataFrame:
+    """Staged narrow rows with shard, block and slot."""
     counts = rows.groupBy("part").count().orderBy("part").toPandas()
     sent = matrix(counts["count"].tolist(), shards, seed)
     ends = pd.DataFrame({"part": counts["part"], "ends": np.cumsum(sent, axis=1).tolist()})
-    ends = spark.createDataFrame(ends, "part int, ends array<bigint>")
+    ends = rows.sparkSession.createDataFrame(ends, "part int, ends array<bigint>")
     key = lambda k: F.xxhash64(F.lit(seed), F.lit(k), F.col("row"))
     local = F.row_number().over(Window.partitionBy("part").orderBy(key("local"), "row"))
     dealt = rows.withColumn("rank", local).join(ends, "part")
@@ -96,7 +97,27 @@ def assign(docs: DataFrame, shards: int = 24, seed: int = 8, block_rows: int = B
     )
     rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("order", "row")) - 1
     out = dealt.withColumn("rank", rank).join(before, ["shard", "block"])
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
+    return out.withColumn("slot", (F.col("before") + F.col("rank")).cast("long")).drop("before", "rank", "order")
+
+
+def assign(docs: DataFrame, shards: int = 24, seed: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot: one row for each row of docs."""
+    rows = staged(_narrow(docs.select("doc_id", "text"), F.monotonically_increasing_id()))
+    return _placed(rows, shards, seed, block_rows).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def write(docs: DataFrame, path: str, shards: int = 24, seed: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Write docs, all columns, as Parquet below path in folders shard=0, shard=1, ..., each shard in files of a block in the
+    order of its slots; the column of slots has a name that docs doesn't have. Returns what was written, read again. The
+    rows are exchanged by (shard, block) and never gathered by shard."""
+    row, shard, slot = (unused(docs, n) for n in ("row", "shard", "slot"))
+    own = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = staged(_narrow(own.select("doc_id", "text", F.col(row).alias("row")), F.col("row")))
+    places = _placed(rows, shards, seed, block_rows).select(F.col("row").alias(row), F.col("shard").alias(shard), F.col("slot").alias(slot), F.col("block").alias("_b"))
+    block = unused(own, "block")
+    out = own.join(places.withColumnRenamed("_b", block), row).repartition(shard, block).sortWithinPartitions(shard, slot)
+    out.drop(row, block).write.partitionBy(shard).parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def op8_shards(spark, sf_dir):
