@@ -243,7 +243,8 @@ def spans(docs: DataFrame) -> DataFrame:
     found = pieces.repartition(shards, "anchor").sortWithinPartitions("id", "th", "start").mapInArrow(sort_shard, "id long, th long, start long, end long")
     if hot:
         strings = staged(texts.where(F.exists("wanted", lambda w: w.hot)).mapInArrow(cut_strings, STRING))
-        least = strings.groupBy("d1", "d2").agg(F.min(place).alias("least"))
+        # Written first, so that the join's two sides are plain shuffles, which adaptive execution can split.
+        least = staged(strings.groupBy("d1", "d2").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1").drop("c"))
         again = strings.join(least, ["d1", "d2"]).where(~place.eqNullSafe(F.col("least")))
         found = found.union(again.select("id", "th", "start", (F.col("start") + K).alias("end")))
     return copies.union(found)
