@@ -30,6 +30,17 @@ def test_warc(spark):
     assert warc.write(spark.createDataFrame([], "page_id long, url string, html string")).read_all().count() == 0
 
 
+def test_warc_of_odd_pages(spark):
+    """Very long payloads, one key with several blocks of captures, and columns named like the index' own."""
+    long = "<p>é" * 400_000
+    rows = [(i, "http://example.com/same", f"page {i % 5}") for i in range(60)] + [(100, "http://example.com/long", long), (101, None, long), (None, None, None)]
+    pages = spark.createDataFrame([(*r, 1, "f", 2) for r in rows], "page_id long, url string, html string, key long, file string, offset long")
+    found = warc.write(pages, block_lines=7).lookup(pages.select("url"))
+    got = {r.page_id: r for r in found.collect()}
+    assert found.count() == len(rows) and all(got[i].record_type == ("response" if i >= 55 else "revisit") for i in range(60))
+    assert got[101].payload == long.encode() and got[100].refers_to == 101 and got[100].payload_bytes == len(long.encode()) and got[None].payload_bytes == 0
+
+
 def test_url_keys():
     assert warc.url_key("http://A.b.example.com/x?y=1#z") == "com,example,b,a)/x?y=1"
     assert " " not in warc.url_key("http://a b/c d")
@@ -156,6 +167,34 @@ def test_shards(make, odd, empty):
     assert len(shards.assign(odd).collect()) == 7 and shards.assign(empty).count() == 0
 
 
+def test_shuffle_is_uniform_and_checksums_are_zlibs(make):
+    """Chi-square of where each part's rows go, and of the slots that they get in their shard."""
+    import zlib
+
+    texts = [f"täxt {i} " * (i % 3) for i in range(6000)]
+    docs = make(texts).repartitionByRange(6, "doc_id").cache()
+    rows = shards.assign(docs, 8, block_rows=300).collect()
+    assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 8 for r in rows)
+    at = {r.doc_id: (r.shard, r.slot) for r in rows}
+    table = lambda cells, a, b: np.array([[sum(1 for i, j in cells if (i, j) == (x, y)) for y in range(b)] for x in range(a)], float)
+    for cells, a, b in (([(i // 1000, at[i][0]) for i in at], 6, 8), ([(i // 1000, at[i][1] // 150) for i in at], 6, 5), ([(at[i][0], at[i + 1][0]) for i in range(0, 5999, 2)], 8, 8)):
+        t = table(cells, a, b)
+        want = np.outer(t.sum(axis=1), t.sum(axis=0)) / t.sum()
+        dof = (a - 1) * (b - 1)
+        assert ((t - want) ** 2 / want).sum() < dof + 4.5 * (2 * dof) ** 0.5
+
+
+def test_shards_are_written_whole(make, odd, tmp_path):
+    docs = make([f"text {i}" for i in range(500)]).repartition(5)
+    out = shards.write(docs, f"{tmp_path}/a", 6, block_rows=20)
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(500)) and all(r.text == f"text {r.doc_id}" for r in rows)
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in Counter(r.shard for r in rows).items())
+    assert max(Counter(r.shard for r in rows).values()) - min(Counter(r.shard for r in rows).values()) <= 1
+    clash = odd.withColumnsRenamed({"lang": "shard", "source": "slot", "measures": "block"})
+    assert shards.write(clash, f"{tmp_path}/b", 3).select(clash.columns).exceptAll(clash).count() == 0
+
+
 def test_communication_matrix():
     m = shards.matrix([5, 0, 100, 37], 24, 1)
     assert m.sum(axis=1).tolist() == [5, 0, 100, 37] and set(m.sum(axis=0).tolist()) == {5, 6}
@@ -257,3 +296,26 @@ def test_pipeline(spark, tmp_path):
     decoded = {i: pieces.vocabulary("/opt/tokenizers/piece_bpe_32k.model").decode(r.ids) for i, r in rows.items()}
     assert decoded[0] == base and "[SECRET]" in decoded[4] and "abcdefabcdef" not in decoded[4] and decoded[8] == texts[8]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "SentencePiece encoding"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, blanks without end, further columns with names that the stages use; and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    words = "the ordinary sentence tells what happened in town yesterday when it rained for several hours and people stayed home because fields were dry rivers low nobody complained".split()
+    text = lambda: " ".join(rng.choices(words, k=90))
+    twice, blank, copied = text(), text() + " " * 600_000 + text(), text()
+    rows = [(0, twice, "en"), (0, twice, "en"), (1, blank, None), (2, None, "en"), (3, "", "en"), (4, copied, "fr"), (5, copied, "fr"), (None, text(), "xx"), (6, text() + " \0\u2581 \U0001F642", "de")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, found string, measures long, hits string, _id long, component_id long, ids array<int>"
+    for name, some in (("odd", rows), ("none", [])):
+        spark.createDataFrame([(*r, "s", len(r[1] or ""), 1, "f", 2, "h", 3, 4, [5]) for r in some], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(0, "an item that no document has in it at all anywhere here")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # 1 goes: a text that is nearly all blanks has next to no entropy.
+    assert sorted((r.doc_id for r in got), key=lambda x: -1 if x is None else x) == [None, 0, 0, 4, 6]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/odd")
+        assert [c for c in docs.columns] == [f.split()[0] for f in schema.split(", ")]
