@@ -79,6 +79,24 @@ def test_pieces_of_odd_rows(spark, odd, empty):
     assert pieces.tokenized(empty).count() == 0
 
 
+def test_the_query_sums_up_the_ids(spark, odd, tmp_path):
+    """Counts and hash of op1_pieces against the ids that the operator returns and the library's own list of byte pieces."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    more = spark.createDataFrame([(9, "日本 🙂 ∑𝔘 ▁ x" + chr(0), "en", "s")], "doc_id long, text string, lang string, source string")
+    docs = odd.select("doc_id", "text", "lang", "source").union(more)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = pieces.op1_pieces(spark, str(tmp_path)).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = []
+    for r in pieces.tokenized(docs).collect():
+        t = texts[r.doc_id]
+        assert sp.decode([]) == "" and pieces.vocabulary(PATH).decode(r.ids) == t
+        want.append((r.doc_id, len(r.ids), sum(sp.is_byte(i) for i in r.ids), len(t), hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest(), True))
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want)) and max(r.n_byte_tokens for r in rows) > 3
+
+
 # Operator 5.
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
