@@ -119,17 +119,17 @@ def emotion_weights(docs: DataFrame, emotions: dict[str, dict[str, float]], key:
     return low.select(key, *[reduce(lambda a, b: a + b, [T.short_hits(F.col("low"), p) * F.lit(w) for p, w in ps.items()]).alias(e) for e, ps in emotions.items()])
 
 
-def concept_features(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], concepts: list[str], key: str = "doc_id") -> DataFrame:
+def concept_features(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], concepts: list[str], key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each text: a score for each concept, how many matched, and their density per word. One pass: what a
-    text needs is in its own row, so nothing is exploded or shuffled."""
-    base = docs.select(key, T.clean_code_blocks(F.col("text")).alias("clean"))
-    base = base.select(key, "clean", F.lower("clean").alias("low")).withColumn("parts", T.boundary_split(F.col("low")))
+    text needs is in its own row, so nothing is exploded or shuffled. keep: further columns of docs."""
+    base = docs.select(key, *keep, T.clean_code_blocks(F.col("text")).alias("clean"))
+    base = base.select(key, *keep, "clean", F.lower("clean").alias("low")).withColumn("parts", T.boundary_split(F.col("low")))
     out = []
     for c in concepts:
         terms = [t for k, t, _ in vocabulary if k == c]
         hits = reduce(lambda a, b: a + b, [T.short_count(F.col("parts"), t).cast("double") if len(t) < T.LONG_FROM else T.long_hit(F.col("low"), t).cast("double") for t in terms])
         out.append((hits + compound_bonus(F.col("low"), compounds.get(c, [])) * len(terms)).alias(f"ont_{c.lower()}"))
-    wide = base.select(key, T.word_count(F.col("clean")).alias("n_words"), *out)
+    wide = base.select(key, *keep, T.word_count(F.col("clean")).alias("n_words"), *out)
     n = reduce(lambda a, b: a + b, [(F.col(f"ont_{c.lower()}") > 0).cast("double") for c in concepts])
     wide = wide.withColumn("ont_count", n)
     return wide.withColumn("ont_density", F.col("ont_count") / F.greatest(F.col("n_words"), F.lit(1)))

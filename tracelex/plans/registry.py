@@ -450,7 +450,11 @@ for _n, (_w, _f, _v) in GRIDS.items():
 
 # Models.
 def model_rows(s, d):
-    return features(s, d).join(docs(s, d).select("doc_id", "text"), "doc_id").join(X.labels(s, d), "doc_id").withColumn("split", X.split_of(F.col("doc_id"))).withColumn("id", F.col("doc_id").cast("string"))
+    """Written once, in a part for each core: fitting reads its rows many times."""
+    rows = docs(s, d).select("doc_id", "text").join(X.labels(s, d), "doc_id")
+    rows = enrich.concept_features(rows, X.VOCABULARY, X.COMPOUNDS, X.CONCEPTS, keep=("text", "label"))
+    rows = rows.repartition(s.sparkContext.defaultParallelism)
+    return stage(s, rows.withColumn("split", X.split_of(F.col("doc_id"))).withColumn("id", F.col("doc_id").cast("string")))
 
 
 # Files in and out, read back.
