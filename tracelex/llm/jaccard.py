@@ -303,7 +303,7 @@ def across(docs: DataFrame, open_: DataFrame, ids: DataFrame, words: int, percen
                 yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     wide = open_.groupBy("row").agg(F.collect_list("key").alias("keys"), F.first("counts").alias("counts"))
-    met = _met(open_.drop("counts")).join(wide, "row")
+    met = _met(open_.drop("counts")).join(wide, "row").withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
     left = staged(by_block(met).mapInPandas(rest, "key long, i long, j long, block long, row long, root long"))
     needed = ids.join(left.select("row").distinct(), "row").select("row", "doc_id", "th", "n", "counts")
     return by_block(left.join(sets_of(docs, needed, words), "row")).mapInPandas(unite, "a long, b long").distinct()
@@ -320,6 +320,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[
     # Keys that a document shares with none are of no use here, and the wide columns are shuffled by block only.
     wide = rows.select("row", "counts").join(held.groupBy("row").agg(F.collect_list("key").alias("keys")), "row")
     own = in_blocks(held.select("key", "row").join(rows.select("row", "n"), "row")).join(wide, "row")
+    own = own.withColumn("keys", F.filter("keys", lambda k: k < F.col("key")))
 
     def run(frames):
         for key, g in whole_groups(frames):
