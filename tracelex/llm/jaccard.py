@@ -260,10 +260,12 @@ def _weight() -> Column:
 
 def _met(rows: DataFrame) -> DataFrame:
     """rows (key, row, n, root, others) as they meet, with block, i and j for each pair (i, j) of their key's blocks. A
-    root with more than a block of rows has blocks of its own; these meet all but each other."""
+    root with more than a block of rows has blocks of its own; these meet all but each other. Rows without a root all
+    meet."""
     per = rows.groupBy("key", "root").agg(F.sum(_weight()).alias("w"))
-    big = F.collect_list(F.when(F.col("w") > BLOCK, F.struct("root", F.ceil(F.col("w") / BLOCK).cast("int").alias("k"))))
-    small = F.ceil(F.sum(F.when(F.col("w") <= BLOCK, F.col("w")).otherwise(0)) / BLOCK).cast("int")
+    alone = F.col("root").isNotNull() & (F.col("w") > BLOCK)
+    big = F.collect_list(F.when(alone, F.struct("root", F.ceil(F.col("w") / BLOCK).cast("int").alias("k"))))
+    small = F.ceil(F.sum(F.when(alone, 0.0).otherwise(F.col("w"))) / BLOCK).cast("int")
     plan = per.groupBy("key").agg(F.greatest(small, F.lit(1)).alias("small"), big.alias("big"))
     owner = F.coalesce(F.array_position(F.transform("big", lambda b: b.root), F.col("root")), F.lit(0)).cast("int")
     own = rows.join(plan, "key").withColumn("sizes", F.concat(F.array("small"), F.transform("big", lambda b: b.k))).withColumn("owner", owner)
