@@ -136,6 +136,21 @@ def test_all_links_of_a_family(make, odd, empty, monkeypatch, block):
         assert [r.n_links for r in jaccard.links(odd)[1].collect() if r.doc_id == 3] == [1, 1] and jaccard.links(empty)[1].count() == 0
 
 
+def test_blocks_of_a_hot_key(spark, monkeypatch):
+    """Every pair of rows meets in exactly one block pair, but for those of one large root; no block is much too large."""
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    rows = [(1, i, 5, 7 if i < 60 else (8 if i < 75 else i)) for i in range(100)] + [(2, i, 5, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "key long, row long, n long, root long")
+    root = {(k, r): x for k, r, _, x in rows}
+    for made, free in ((jaccard._met(df), True), (jaccard.in_blocks(df.drop("root")), False)):
+        groups = {}
+        for r in made.collect():
+            groups.setdefault((r.key, r.i, r.j), []).append((r.row, r.block))
+        met = Counter((k, min(a, b), max(a, b)) for (k, i, j), own in groups.items() for n, (a, x) in enumerate(own) for b, y in own[n + 1 :] if i == j or x != y)
+        want = {(k, a, b) for k, a in root for l, b in root if k == l and a < b and not (free and root[k, a] == root[k, b])}
+        assert want <= set(met) and all(met[p] == 1 for p in want) and max(map(len, groups.values())) < 50
+
+
 def test_linked_sets_share_a_key():
     """The pigeonhole argument, on random pairs at the threshold."""
     rng = np.random.default_rng(6)
