@@ -1,6 +1,6 @@
 """A stream of documents gets the features that a table of them gets."""
 
-from tracelex.operators.enrich import feature_vector
+from tracelex.operators.enrich import concept_features
 from tracelex.plans import fixtures as X
 from tracelex.streaming import enriched_stream
 
@@ -12,4 +12,4 @@ def test_stream_equals_batch(spark, tmp_path):
     q = enriched_stream(stream, X.VOCABULARY, X.COMPOUNDS, X.CONCEPTS).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
     q.awaitTermination(60)
     got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
-    assert got == sorted(map(tuple, feature_vector(df, X.VOCABULARY, X.COMPOUNDS, X.CONCEPTS).collect())) and len(got) == 3
+    assert got == sorted(map(tuple, concept_features(df, X.VOCABULARY, X.COMPOUNDS, X.CONCEPTS).collect())) and len(got) == 3
