@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them, where SQL can express them."""
 
-from tracelex.llm import decontaminate, fertility, jaccard, pieces, quotes, secrets, shards, suffixes, toxicity, warc
+from tracelex.llm import alignment, decontaminate, fertility, jaccard, pieces, quotes, secrets, shards, suffixes, topk, toxicity, warc, whitening
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_shards": shards.op8_shards,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_suffixes": suffixes.op10_suffixes,
+    "op11_topk": topk.op11_topk,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op6_jaccard": jaccard.OP6_SQL,
     "op6_links": jaccard.OP6_LINKS_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op11_topk": topk.OP11_SQL,
 }
