@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
+from tracelex.operators import dictionary, enrich
 
 # Each boundary rule of short terms: ends of the text, space, hyphen, brackets, quotes, punctuation; and what is none:
 # letters on a side, a slash, an at sign, a digit.
@@ -43,10 +44,69 @@ def test_mention_positions(spark, term):
     assert [sorted(got[i]) for i in range(len(TEXTS))] == [sorted(plain(" ".join(t.split()))) for t in TEXTS]
 
 
-def test_window_polarity(spark):
-    lexicon = {"good": 1.5, "bad": -1.0}
-    df = spark.createDataFrame([("w1 w2 good, w4 w5 hit bad! w8 w9 w10 w11 good",)], "text string")
-    window = T.mention_window(T.words(F.col("text")), F.lit(5))
-    row = df.select(window.alias("w"), T.window_polarity(window, lexicon).alias("p"), T.mention_class(T.window_polarity(window, lexicon)).alias("k")).first()
-    words = df.first().text.split()
-    assert row.w == words[0:11] and row.p == 0.5 and row.k == "neutral"
+def test_window_polarity(spark, monkeypatch):
+    """By the hash table, and by the join for lexicons beyond its size."""
+    lexicon = spark.createDataFrame([("good", 1.5), ("bad", -1.0), ("bad", -2.0), (None, 9.0), ("none", None)], "term string, valence double")
+    df = spark.createDataFrame([("w1 w2 good, w4 w5 hit bad! w8 w9 w10 w11 good",), ("",), ("good",)], "text string").select(T.words(F.col("text")).alias("words"))
+    for most in (dictionary.MOST, 2):
+        monkeypatch.setattr(dictionary, "MOST", most)
+        at = F.least(F.lit(5), F.greatest(F.size("words") - 1, F.lit(0)))
+        polarity = dictionary.windowed(F.col("values"), at)
+        rows = dictionary.valences(df, lexicon).select("words", T.mention_window(F.col("words"), at).alias("w"), polarity.alias("p"), T.mention_class(polarity).alias("k")).collect()
+        rows = {len(r.words): r for r in rows}
+        assert rows[12].w == rows[12].words[:11] and (rows[12].p, rows[12].k) == (0.5, "neutral")
+        assert (rows[1].p, rows[1].k) == (1.5, "positive") and (rows[0].p, rows[0].k) == (0.0, "neutral")
+
+
+WILD = ["node.js and c++ code", "C++, c--", "a naïve café; e\u0301te", "#tag x#tag (#tag) tag#", "end of the line.", "over-the-top the top", "日本 語 日本語", "x_y x y", "ai AI-ai (ai) .ai. ai2", "well known  well known", "", None, "who's who"]
+WILD_TERMS = ["node.js", "c++", "c++ code", "naïve", "café", "ete", "e\u0301te", "#tag", "tag#", "line.", "the top", "over-the-top", "日本", "日本語", "x_y", "x y", "ai", "well known", "who's", "who", "top", "x#tag", " the "]
+
+
+def plain_hits(text, term):
+    low = re.sub(r"`[^`]+`|```[\s\S]+?```", " ", text or "").lower()
+    return sum(x == term for x in re.split(T.BOUNDARY, low))
+
+
+def test_terms_by_table_are_the_patterns(spark):
+    """Words with other characters inside, at either end, combining marks, and compounds."""
+    terms = spark.createDataFrame([("C" if i % 2 else "D", t, i) for i, t in enumerate(WILD_TERMS)] + [("C", "", 99)], "concept string, term string, term_pos int")
+    compounds = spark.createDataFrame([("C", "own  w"), ("C", "++"), ("D", "absent")], "concept string, compound string")
+    docs = spark.createDataFrame(list(enumerate(WILD)), "doc_id int, text string").withColumn("term", F.lit("x")).withColumn("toks", F.lit(1))
+    rows = dictionary.term_matches(docs, terms, compounds).collect()
+    long = [t for t in WILD_TERMS if len(t) >= T.LONG_FROM]  # the patterns themselves, run by the engine that runs them elsewhere
+    low = F.lower(T.clean_code_blocks(F.col("text")))
+    found = {r.doc_id: dict(zip(long, r[1:], strict=True)) for r in docs.select("doc_id", *[T.long_hit(low, t).alias(f"h{k}") for k, t in enumerate(long)]).collect()}
+    got = {(r.doc_id, r.term): (r.hits, r.score) for r in rows}
+    want = {}
+    for i, text in enumerate(WILD):
+        for k, t in enumerate(WILD_TERMS):
+            bonus = sum(0.5 for x in ("own  w", "++") if k % 2 and x in (text or "").lower())
+            n = int(found[i][t]) if t in long else plain_hits(text, t)
+            if n + bonus:
+                want[i, t] = (n, n + bonus)
+    # A concept's bonus falls to its rows whatever their term, the empty one included.
+    assert {k: v for k, v in got.items() if k[1]} == want
+
+
+def test_vocabulary_of_a_hundred_thousand_terms(spark):
+    """Plans are as long as for one term, and every planted term is found."""
+    def plan(n):
+        terms = spark.range(n).select(F.lit("C").alias("concept"), F.concat(F.lit("term"), F.col("id")).alias("term"), F.col("id").cast("int").alias("term_pos"))
+        docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("a term"), F.col("id") * 499, F.lit(", more")).alias("text"))
+        found = dictionary.term_matches(docs, terms)
+        return found, len(found._jdf.queryExecution().optimizedPlan().toString())
+
+    (many, size), (_, less) = plan(100_000), plan(10)
+    assert abs(size - less) < 100 and sorted(r.term for r in many.collect()) == sorted(f"term{i * 499}" for i in range(200))
+
+
+def test_mentions_by_table_are_those_by_columns(spark):
+    vocabulary = [("A", "ai", 0), ("A", "thing", 1), ("B", "that", 2), ("B", "c+d", 3)]
+    compounds = {"A": ["that thing"], "B": []}
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, "good thing, AI that bad thing is (ai) ai", None, "c+d then c+d"])), "doc_id int, text string")
+    lexicon = spark.createDataFrame([("good", 1.5), ("bad", -1.0)], "term string, valence double")
+    one = enrich.mentions(docs, vocabulary, compounds, lexicon)
+    terms, more = spark.createDataFrame(vocabulary, "concept string, term string, term_pos int"), spark.createDataFrame([("A", "that thing")], "concept string, compound string")
+    two = enrich.mentions_by_table(docs, terms, more, lexicon)
+    rows = lambda df: sorted(map(str, df.select("doc_id", "concept", "at", "window", "polarity", "kind").collect()))
+    assert rows(one) == rows(two) and len(rows(one)) > 20

@@ -68,6 +68,20 @@ def term_hits(lower: Column, term: str) -> Column:
     return long_hit(lower, term).cast("double")
 
 
+def quoted(term: Column) -> Column:
+    return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def long_pattern_of(term: Column) -> Column:
+    return F.concat(F.lit(r"(?U)\b"), quoted(term), F.lit(r"\b"))
+
+
+def term_pattern_of(term: Column) -> Column:
+    """term_pattern for a column of terms."""
+    short = F.concat(F.lit(rf"(?U)(?:^|{BOUNDARY})"), quoted(term), F.lit(rf"(?={BOUNDARY}|$)"))
+    return F.when(F.length(term) < LONG_FROM, short).otherwise(long_pattern_of(term))
+
+
 def term_pattern(term: str) -> str:
     if len(term) < LONG_FROM:
         return rf"(?U)(?:^|{BOUNDARY}){re.escape(term)}(?={BOUNDARY}|$)"
@@ -82,8 +96,12 @@ def collapsed(lower: Column) -> Column:
 def mention_positions(lower: Column, pattern: str, single: bool = False) -> Column:
     """Word index of each match of a pattern: the number of words left of it less one, at least 0. Linear in the text:
     each match gets a mark in front, and the marks are found in the words. single: white space is already collapsed."""
-    single = lower if single else collapsed(lower)
-    marked = F.regexp_replace(single, f"({pattern})", f"{MARK}$1")
+    return mention_positions_of(lower if single else collapsed(lower), F.lit(pattern))
+
+
+def mention_positions_of(single: Column, pattern: Column) -> Column:
+    """The same for a column of patterns, over texts whose white space is collapsed."""
+    marked = F.regexp_replace(single, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(f"{MARK}$1"))
     found = F.transform(
         F.split(marked, " "),
         lambda w, i: F.when(F.contains(w, F.lit(MARK)), F.transform(
@@ -100,14 +118,5 @@ def mention_window(word_list: Column, at: Column, window: int = WINDOW) -> Colum
     return F.slice(word_list, first + 1, at + window + 1 - first)
 
 
-def window_polarity(window: Column, lexicon: dict[str, float]) -> Column:
-    """Sum of the words' valences from left to right, punctuation removed."""
-    if not lexicon:
-        return F.lit(0.0)
-    table = F.create_map(*[F.lit(x) for kv in sorted(lexicon.items()) for x in kv])
-    values = F.transform(window, lambda w: F.coalesce(F.try_element_at(table, F.regexp_replace(w, r"(?U)[^\w\s]", "")), F.lit(0.0)))
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
-
 def mention_class(polarity: Column) -> Column:
     return F.when(polarity > 0.5, "positive").when(polarity < -0.5, "negative").otherwise("neutral")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
+from tracelex.operators import dictionary
 
 
 def vocab_terms(concepts: DataFrame, labels: DataFrame, scheme: str, languages: tuple[str, ...] = ("es", "en")) -> DataFrame:
@@ -22,19 +23,6 @@ def compound_bonus(lower: Column, compounds: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [F.contains(lower, F.lit(c)).cast("double") * 0.5 for c in compounds], F.lit(0.0))
 
 
-def term_scores(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], key: str = "doc_id") -> DataFrame:
-    """key, concept, term, term_pos, hits, score: one row for each scoring term of each text. The vocabulary is a small
-    dictionary; its terms become expressions over one scan of the texts."""
-    low = docs.select(key, F.lower(T.clean_code_blocks(F.col("text"))).alias("low"))
-    bonus = {c: compound_bonus(F.col("low"), compounds.get(c, [])) for c in {v[0] for v in vocabulary}}
-    rows = [
-        F.struct(F.lit(c).alias("concept"), F.lit(t).alias("term"), F.lit(p).alias("term_pos"), T.term_hits(F.col("low"), t).alias("hits"), bonus[c].alias("bonus"))
-        for c, t, p in vocabulary
-    ]
-    out = low.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*")
-    return out.withColumn("score", F.col("hits") + F.col("bonus")).where("score > 0").drop("bonus")
-
-
 def concept_scores(scores: DataFrame, key: str = "doc_id") -> DataFrame:
     return scores.groupBy(key, "concept").agg(F.sum("score").alias("score"))
 
@@ -50,11 +38,12 @@ def top_concepts(concepts: DataFrame, n: int = 10, key: str = "doc_id") -> DataF
     return concepts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def in_row(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: dict[str, float], key: str = "doc_id", keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+def in_row(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
     """Scores, winners and mentions of every concept, found in the row of the text: one scan, no shuffle. Returns the
-    rows (key, keep, clean, low, parts, single, words, and two columns for each concept), and for each concept the names
-    of its columns: score, and an array of (at, window, polarity) for the mentions of the last scoring term and of the
-    compounds. Null texts are empty."""
+    rows (key, keep, clean, low, parts, single, words, values, and three columns for each concept), and for each concept the
+    names of two: score, and an array of (at, window, polarity) for the mentions of the last scoring term and of the
+    compounds. The k-th concept's column at{k} has the places alone. Every word is looked up in the lexicon (term, valence) once; windows add the values. The vocabulary is that
+    of the feature columns; `dictionary.term_matches` takes one of any size. Null texts are empty."""
     concepts = list(dict.fromkeys(c for c, _, _ in vocabulary))
     base = docs.select(key, *keep, T.clean_code_blocks(F.col("text")).alias("clean")).withColumn("low", F.lower("clean"))
     base = base.withColumns({"parts": T.boundary_split(F.col("low")), "single": T.collapsed(F.col("low"))})
@@ -73,13 +62,13 @@ def in_row(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[s
             at = F.when(F.col(f"h{i}") + F.col(f"b{k}") > 0, places).otherwise(at)
         found[f"at{k}"] = at
         names[c] = (f"s{k}", f"m{k}")
-    base = base.withColumns(found)
+    base = dictionary.valences(base.withColumns(found), lexicon)
     window = lambda at: T.mention_window(F.col("words"), at)
-    seen = {f"m{k}": F.transform(f"at{k}", lambda at: F.struct(at.alias("at"), window(at).alias("window"), T.window_polarity(window(at), lexicon).alias("polarity"))) for k in range(len(concepts))}
+    seen = {f"m{k}": F.transform(f"at{k}", lambda at: F.struct(at.alias("at"), window(at).alias("window"), dictionary.windowed(F.col("values"), at).alias("polarity"))) for k in range(len(concepts))}
     return base.withColumns(seen), names
 
 
-def mentions(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: dict[str, float], key: str = "doc_id") -> DataFrame:
+def mentions(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, concept, at, window, polarity, kind: the mentions of each concept's winning term and of the compounds found."""
     rows, names = in_row(docs, vocabulary, compounds, lexicon, key)
 
@@ -90,6 +79,20 @@ def mentions(docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list
     return rows.select(key, F.explode(every).alias("x")).select(key, "x.*").withColumn("kind", T.mention_class(F.col("polarity")))
 
 
+def mentions_by_table(docs: DataFrame, terms: DataFrame, compounds: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same rows for vocabularies of any size, given as tables (terms: concept, term, term_pos; compounds: concept,
+    compound): texts meet the winning terms and the compounds found in a join, and each pair's pattern is a column."""
+    scores = dictionary.term_matches(docs, terms, compounds, key)
+    won = concept_winner(scores, key)
+    texts = docs.select(key, T.collapsed(F.lower(T.clean_code_blocks(F.col("text")))).alias("single"))
+    texts = dictionary.valences(texts.withColumn("words", F.filter(F.split("single", " "), lambda w: w != "")), lexicon)
+    winners = won.select(key, "concept", T.term_pattern_of(F.col("term")).alias("pattern"))
+    others = won.join(compounds, "concept").select(key, "concept", T.long_pattern_of(F.col("compound")).alias("pattern"))
+    found = texts.join(winners.union(others), key).select(key, "concept", "words", "values", T.mention_positions_of(F.col("single"), F.col("pattern")).alias("places"))
+    seen = F.transform("places", lambda at: F.struct(at.alias("at"), T.mention_window(F.col("words"), at).alias("window"), dictionary.windowed(F.col("values"), at).alias("polarity")))
+    return found.select(key, "concept", F.explode(seen).alias("x")).select(key, "concept", "x.*").withColumn("kind", T.mention_class(F.col("polarity")))
+
+
 def polarity_ratio(total: Column, n: Column) -> Column:
     """Half the mean of the classified windows' polarities, within [-1, 1]; 0 without mentions."""
     return F.when(n > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total / F.greatest(n, F.lit(1)) / 2))).otherwise(0.0)
@@ -136,7 +139,7 @@ def concept_features(docs: DataFrame, vocabulary: list[tuple], compounds: dict[s
 
 
 def feature_vector(
-    docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: dict[str, float], modifiers: dict[str, list[str]], factors: dict[str, float],
+    docs: DataFrame, vocabulary: list[tuple], compounds: dict[str, list[str]], lexicon: DataFrame, modifiers: dict[str, list[str]], factors: dict[str, float],
     emotions: dict[str, dict[str, float]], valence: dict[str, int], key: str = "doc_id",
 ) -> DataFrame:
     """key, n_words and all features of a text, in one scan without a shuffle.

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
-from tracelex.operators import tables
+from tracelex.operators import dictionary, measure, tables
+from tracelex.sources import files
+
+METRICS = ["size", "active_docs", "activation", "covered", "positive_mentions", "negative_mentions", "assertions", "cells", "selected", "selected_active"]
 
-METRICS = ["size", "active_docs", "positive_mentions", "negative_mentions", "assertions", "selected"]
+#: What a concept contributes to a text's features.
+SIDES = ("positive", "negative", "net")
+
+# Window, least frequency and least valence of the seven rows of the small grid, the canonical one first.
+SMALL = [(5, 3, 1.0), (3, 3, 1.0), (7, 3, 1.0), (5, 2, 1.0), (5, 5, 1.0), (5, 3, 0.5), (5, 3, 1.5)]
 
 
 def lexicons(counts: DataFrame, valence: DataFrame, grid: DataFrame) -> DataFrame:
@@ -22,34 +31,96 @@ def lexicons(counts: DataFrame, valence: DataFrame, grid: DataFrame) -> DataFram
     return out.withColumn("status", F.when((F.col("positive") > 0) & (F.col("negative") > 0), "valid").otherwise("invalid"))
 
 
-def run_grid(variants: DataFrame, weights: dict[str, float], mentions: DataFrame, labels: DataFrame, level: float = 3.0) -> DataFrame:
-    """variants with, for each valid one: active_docs (texts with a mention that isn't neutral), positive_mentions,
-    negative_mentions, assertions (text and concept with such a mention), selected (concepts whose net mentions have an
-    F value above level over the labelled training texts). Variants with the same terms share the work; their lexicons,
-    a few hundred terms each, become expressions over one scan of the mentions.
-
-    mentions: doc_id, concept, window (words); labels: doc_id, label of the training texts."""
-    distinct = [r.terms for r in variants.where("status = 'valid'").select("terms").distinct().collect()]  # at most one for each variant
-    polarity = F.array(*[F.struct(F.lit(" ".join(t)).alias("lex"), T.window_polarity(F.col("window"), {x: weights[x] for x in t}).alias("p")) for t in sorted(distinct)])
-    if not distinct:
-        polarity = F.array().cast("array<struct<lex: string, p: double>>")
-    found = mentions.select("doc_id", "concept", F.explode(polarity).alias("x")).select("doc_id", "concept", "x.lex", T.mention_class(F.col("x.p")).alias("kind")).where("kind <> 'neutral'")
-    pos, neg = F.count_if(F.col("kind") == "positive"), F.count_if(F.col("kind") == "negative")
-    per = found.groupBy("lex", "concept", "doc_id").agg(pos.alias("pos"), neg.alias("neg"))
-    active = per.groupBy("lex").agg(F.count_distinct("doc_id").alias("active_docs"), F.sum("pos").alias("positive_mentions"), F.sum("neg").alias("negative_mentions"), F.count("*").alias("assertions"))
+def lattice(counts: DataFrame, valence: DataFrame, windows: list[int], frequencies: list[int], valences: list[float], clamp: float = 2.0) -> DataFrame:
+    """term, cell: where a term stands among the steps of the grid. A cell has the term's weight, how many of the (rising)
+    valences it reaches, and for each window how many of the frequencies. counts: window, term, freq; valence: term, valence."""
+    reached = lambda steps, x: F.size(F.filter(F.array(*[F.lit(v) for v in steps]), lambda v: x >= v))
+    freq = F.map_from_entries(F.collect_list(F.struct("window", "freq")))
+    per = counts.where(F.col("window").isin(windows)).groupBy("term").agg(freq.alias("freq")).join(valence, "term")
+    weight = F.greatest(F.lit(-clamp), F.least(F.lit(clamp), F.col("valence")))
+    of_window = F.array(*[reached(frequencies, F.coalesce(F.try_element_at("freq", F.lit(w)), F.lit(0))) for w in windows])
+    return per.select("term", F.struct(weight.alias("w"), reached(valences, F.abs("valence")).alias("v"), of_window.alias("f")).alias("cell"))
+
+
+def run_grid(variants: DataFrame, cells: DataFrame, texts: DataFrame, places: dict[str, str], labels: DataFrame, axes: tuple[list, list, list], level: float = 0.05) -> DataFrame:
+    """variants with, for each valid one: active_docs (texts with a mention that isn't neutral) and activation (their
+    share in per cent), covered (features that are somewhere not 0), positive_mentions, negative_mentions, assertions
+    (text and concept with such a mention), cells (features of texts that are not 0), selected (features with an ANOVA p
+    below level over the labelled training texts) and selected_active (texts where one of those is not 0).
+
+    One scan for all variants. A word's cell in the lattice of frequency and valence says for every variant whether it
+    counts, so each word is looked up once; a mention keeps the few cells of its window, and a variant's polarity sums
+    those that dominate its steps. What a text gives leaves the row as one small vector for each variant in which it is
+    active, and is added up by variant, label and the set of its features.
+
+    variants: all of axes (windows, frequencies, valences), 125 rows or so; texts: doc_id, words and for each concept the
+    column of its mentions' places; cells: of `lattice`; labels: doc_id, label of the training texts."""
+    windows, frequencies, valences = axes
+    table = dictionary.hash_table(cells, "term", "cell")
+    if table is None:
+        raise ValueError("a lexicon under a grid of thresholds has at most dictionary.MOST terms")
+    rows = dictionary.each_looked_up(texts, table, "words", "cells")
+    near = lambda at: F.filter(T.mention_window(F.col("cells"), at), lambda c: c.isNotNull())
+    live = {c: F.filter(F.transform(at, near), lambda m: F.size(m) > 0).alias(f"m{i}") for i, (c, at) in enumerate(places.items())}
+    names = [f"m{i}" for i in range(len(live))]
+    rows = rows.select("doc_id", *live.values()).where(" or ".join(f"size({m}) > 0" for m in names))
+    steps = F.array(*[F.struct(F.lit(f"{w}|{f}|{v}").alias("key"), F.lit(i).alias("w"), F.lit(j + 1).alias("f"), F.lit(k + 1).alias("v"))
+                      for i, w in enumerate(windows) for j, f in enumerate(frequencies) for k, v in enumerate(valences)])
+
+    def polarity(m: Column, x: Column) -> Column:
+        return F.aggregate(m, F.lit(0.0), lambda a, c: a + F.when((F.get(c["f"], x["w"]) >= x["f"]) & (c["v"] >= x["v"]), c["w"]).otherwise(0.0))
+
+    def counted(m: str, x: Column) -> Column:
+        each = F.transform(m, lambda one: polarity(one, x))
+        return F.struct(F.size(F.filter(each, lambda p: p > 0.5)).alias("p"), F.size(F.filter(each, lambda p: p < -0.5)).alias("n"))
+
+    vectors = F.transform(steps, lambda x: F.struct(x["key"].alias("key"), *[counted(m, x).alias(m) for m in names]))
+    vectors = F.filter(vectors, lambda x: reduce(lambda a, b: a | b, [(x[m]["p"] > 0) | (x[m]["n"] > 0) for m in names]))
+    each = rows.join(labels, "doc_id", "left").select("label", F.explode(vectors).alias("x"))
+    values = [v for m in names for v in (F.col(f"x.{m}.p"), F.col(f"x.{m}.n"), F.col(f"x.{m}.p") - F.col(f"x.{m}.n"))]
+    mask = reduce(lambda a, b: a + b, [F.when(v != 0, F.lit(1 << i)).otherwise(0) for i, v in enumerate(values)])
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(values)] + [F.sum(v * v).alias(f"q{i}") for i, v in enumerate(values)]
+    facts = each.groupBy(F.col("x.key").alias("key"), "label", mask.alias("mask")).agg(F.count("*").alias("n"), *sums)
+    facts = files.through_parquet(facts, files.scratch(texts.sparkSession))  # at most variants x labels x sets of features
+
+    features = [(f"{c}_{side}", 3 * i + k) for i, c in enumerate(places) for k, side in enumerate(SIDES)]
+    long = facts.where("label is not null").select("key", "label", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"s{i}").alias("s"), F.col(f"q{i}").alias("q")) for f, i in features])).alias("v")).select("key", "label", "v.*")
     classes = labels.groupBy("label").agg(F.count("*").alias("c"))
     total = classes.agg(F.sum("c").alias("n"), F.count("*").alias("k"))
-    net = F.col("pos") - F.col("neg")
-    sums = per.join(labels, "doc_id").groupBy("lex", "concept", "label").agg(F.sum(net).alias("s"), F.sum(net * net).alias("q"))
-    # Texts without such mentions have net 0: they only count in the sizes of the classes.
-    sums = sums.join(F.broadcast(classes), "label").groupBy("lex", "concept").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("b"))
-    sums = sums.join(F.broadcast(total), F.lit(True))  # three classes, one total
+    per = long.groupBy("key", "feature", "label").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    # Texts without such mentions have 0: they only count in the sizes of the classes.
+    per = per.join(F.broadcast(classes), "label").groupBy("key", "feature").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("b"))
+    per = per.join(F.broadcast(total), F.lit(True))  # three classes, one total
     between, within = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
-    f = F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k")))
-    chosen = sums.groupBy("lex").agg(F.count_if(f > level).alias("selected"))
-    out = variants.withColumn("lex", F.array_join("terms", " ")).join(active, "lex", "left").join(chosen, "lex", "left").drop("lex")
-    filled = {c: F.when(F.col("status") == "valid", F.coalesce(c, F.lit(0))) for c in METRICS[1:]}
-    return out.withColumns(filled)
+    f = F.when(F.abs(within) > 1e-12, F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k"))))
+    tested = measure.anova_p(per.select(F.concat_ws("/", "key", "feature").alias("feature"), "k", "n", f.alias("f"))).where(F.col("p") < level)
+    at = F.array(*[F.struct(F.lit(x).alias("feature"), F.lit(1 << i).alias("bit")) for x, i in features])
+    bits = per.sparkSession.range(1).select(F.explode(at).alias("x")).select("x.*")
+    chosen = tested.select(F.substring_index("feature", "/", 1).alias("key"), F.substring_index("feature", "/", -1).alias("feature")).join(F.broadcast(bits), "feature")
+    chosen = chosen.groupBy("key").agg(F.count("*").alias("selected"), F.sum("bit").alias("chosen"))
+
+    p, n = ([F.col(f"s{3 * i + k}") for i in range(len(names))] for k in (0, 1))
+    on = [(F.col("mask").bitwiseAND(0b111 << (3 * i)) != 0).cast("int") for i in range(len(names))]
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    found = facts.join(F.broadcast(chosen), "key", "left").groupBy("key").agg(
+        F.sum("n").alias("active_docs"), F.sum(add(p)).alias("positive_mentions"), F.sum(add(n)).alias("negative_mentions"), F.sum(F.col("n") * add(on)).alias("assertions"),
+        F.sum(F.col("n") * F.bit_count("mask")).alias("cells"), F.bit_count(F.bit_or("mask")).cast("long").alias("covered"), F.max(F.coalesce("selected", F.lit(0))).alias("selected"),
+        F.sum(F.when(F.col("mask").bitwiseAND(F.coalesce("chosen", F.lit(0))) != 0, F.col("n")).otherwise(0)).alias("selected_active"),
+    )
+    docs = texts.agg(F.count("*").alias("_docs"))
+    key = F.concat_ws("|", "window", "min_freq", F.col("min_valence").cast("string"))
+    out = variants.withColumn("key", key).join(found, "key", "left").drop("key").join(F.broadcast(docs), F.lit(True))
+    out = out.withColumn("activation", 100 * F.coalesce("active_docs", F.lit(0)) / F.greatest("_docs", F.lit(1))).drop("_docs")
+    return out.withColumns({c: F.when(F.col("status") == "valid", F.coalesce(c, F.lit(0))) for c in METRICS[1:]})
+
+
+def aggregate(results: DataFrame) -> DataFrame:
+    """A row for each metric: its summary over the valid variants, how many variants there are and passed, and the names of
+    those that didn't."""
+    ok = F.col("status") == "valid"
+    per = measure.numeric_summary(tables.unpivot(results.where(ok), METRICS, "variant").withColumnRenamed("feature", "metric"), "value", ["metric"])
+    passed = results.agg(F.count("*").alias("variants"), F.count_if(ok).alias("passed"), F.array_join(F.array_sort(F.collect_list(F.when(~ok, F.col("variant")))), ",").alias("invalid"))
+    return per.join(F.broadcast(passed), F.lit(True))  # one row
 
 
 def compare(results: DataFrame, canonical: str) -> DataFrame:
@@ -63,7 +134,7 @@ def compare(results: DataFrame, canonical: str) -> DataFrame:
 def collected(spark, path: str, grid: DataFrame) -> DataFrame:
     """variant, status, metrics of every variant of a grid from the stored reports; `missing` where there is none, and
     `repeated` where there are several."""
-    schema = "variant string, status string, " + ", ".join(f"{m} long" for m in METRICS)
+    schema = "variant string, status string, " + ", ".join(f"{m} {'double' if m == 'activation' else 'long'}" for m in METRICS)
     stored = spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
     per = stored.groupBy("variant").agg(F.count("*").alias("_n"), F.max("status").alias("_status"), *[F.max(m).alias(m) for m in METRICS])
     status = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "repeated").otherwise(F.col("_status"))

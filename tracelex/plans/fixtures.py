@@ -52,6 +52,23 @@ def vocabulary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(VOCABULARY, "concept string, term string, term_pos int")
 
 
+def compounds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, x) for c, xs in COMPOUNDS.items() for x in xs], "concept string, compound string")
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(LEXICON.items()), "term string, valence double")
+
+
+def benchmark_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """concept, term, term_pos: every word, word pair and word triple of the benchmark's texts, a vocabulary of some
+    thousand terms; the concept is the first letter, the place the length."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    run = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
+    grams = table(spark, sf_dir, "benchmark").select(words.alias("w")).select(F.explode(F.concat(*[run(n) for n in (1, 2, 3)])).alias("term")).distinct()
+    return grams.select(F.substring("term", 1, 1).alias("concept"), "term", F.length("term").alias("term_pos"))
+
+
 def modules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, m, c) for f, (m, c) in MODULES.items()], "feature string, module string, concept string")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
-from tracelex.operators import audit, enrich, graph, lexicon, measure, models, sensitivity, tables
+from tracelex.operators import audit, dictionary, enrich, graph, lexicon, measure, models, sensitivity, tables
 from tracelex.plans import fixtures as X
 from tracelex.sources import files
 
@@ -105,7 +105,7 @@ VOC = FREQ + ", vo AS (SELECT token, freq, row_number() OVER (ORDER BY freq DESC
 docs = lambda s, d: X.table(s, d, "documents")
 features = lambda s, d: enrich.concept_features(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.CONCEPTS)
 cells = lambda s, d: tables.unpivot(features(s, d), X.FEATURES)
-scores = lambda s, d: enrich.term_scores(docs(s, d), X.VOCABULARY, X.COMPOUNDS)
+scores = lambda s, d: dictionary.term_matches(docs(s, d), X.vocabulary(s), X.compounds(s))
 mapped = lambda s, d: tables.join_module_map(cells(s, d), X.modules(s))
 with_split = lambda s, d: mapped(s, d).withColumn("split", X.split_of(F.col("doc_id")))
 labelled = lambda s, d: cells(s, d).join(X.labels(s, d), "doc_id")
@@ -160,20 +160,10 @@ add("entry_activation", lambda s, d: rounded(
 add("scan_documents", lambda s, d: docs(s, d).select("doc_id", "lang", "source", "n_chars"), "SELECT doc_id, lang, source, n_chars FROM documents")
 
 
-
-
 add("scan_lexicon", lambda s, d: tokens(s, d).select("token").distinct().join(F.broadcast(valence(s)), F.col("token") == F.col("term")).select("term", "valence"),
     f"WITH {VAL}, {TOK} SELECT DISTINCT term, valence FROM val JOIN tok ON token = term")
 
 
-
-
-
-
-
-
-
-
 add("sink_parquet", lambda s, d: rounded(files.through_parquet(features(s, d), files.scratch(s))), f"WITH {FEAT} SELECT doc_id, n_words, " + ", ".join(f"round({f}, 6) AS {f}" for f in X.FEATURES) + " FROM feat")
 add("sink_csv_union", lambda s, d: s.read.option("header", True).schema("lang string, n long, source string").csv(files.write_csv(files.union_rows([
     docs(s, d).groupBy("lang").agg(F.count("*").alias("n")), docs(s, d).groupBy("source").agg(F.count("*").alias("n"))]), files.scratch(s))),
@@ -247,14 +237,22 @@ def vocab_terms(s, d):
 
 
 low_col = lambda: F.lower(T.clean_code_blocks(F.col("text")))
-add("match_short_term", lambda s, d: docs(s, d).select("doc_id", *[T.short_hits(low_col(), t).alias(f"n_{t}") for t in ("ai", "ing", "ble")]), f"WITH {LOW} SELECT doc_id, {', '.join(f'{_short(t)} AS n_{t}' for t in ('ai', 'ing', 'ble'))} FROM low")
-add("match_long_term", lambda s, d: docs(s, d).select("doc_id", *[T.long_hit(low_col(), t).cast("int").alias(f"n_{t}") for t in ("tion", "that", "with")]), f"WITH {LOW} SELECT doc_id, {', '.join(f'({_hit(t)})::INTEGER AS n_{t}' for t in ('tion', 'that', 'with'))} FROM low")
+# Vocabularies as tables: the terms of the benchmark's texts, words, pairs and triples.
+WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_\p{M}]+')"
+TERMS_SQL = f"""bw AS (SELECT {WORDS_SQL} AS w FROM benchmark), bt AS (SELECT DISTINCT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term FROM bw)"""
+TOKENS_SQL = r"""tk AS (SELECT doc_id, regexp_extract_all(low, '[\p{L}\p{N}_\p{M}]+|[^\p{L}\p{N}_\p{M}]') AS t FROM low),
+gm AS (SELECT doc_id, unnest(list_distinct(list_concat(t, list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2]), list_transform(range(1, len(t) - 3), lambda i: t[i] || t[i + 1] || t[i + 2] || t[i + 3] || t[i + 4])))) AS term FROM tk)"""
+matches = lambda s, d: dictionary.term_matches(docs(s, d), X.benchmark_terms(s, d))
+add("match_short_term", lambda s, d: matches(s, d).where("length(term) < 4").select("doc_id", "term", F.col("hits").cast("long").alias("hits")),
+    f"WITH {LOW}, {TERMS_SQL} SELECT doc_id, term, count(*) AS hits FROM (SELECT doc_id, unnest(sp) AS term FROM low) JOIN bt USING (term) WHERE length(term) < 4 GROUP BY ALL")
+add("match_long_term", lambda s, d: matches(s, d).where("length(term) >= 4").select("doc_id", "concept", "term", F.col("hits").cast("int").alias("hit")),
+    f"WITH {LOW}, {TERMS_SQL}, {TOKENS_SQL} SELECT doc_id, left(term, 1) AS concept, term, 1 AS hit FROM gm JOIN bt USING (term) WHERE length(term) >= 4")
 add("compound_bonus", lambda s, d: docs(s, d).select("doc_id", *[enrich.compound_bonus(low_col(), X.COMPOUNDS[c]).alias(c) for c in X.COMPOUNDS]), f"WITH {LOW} SELECT doc_id, {', '.join(f'({_bonus(c)})::DOUBLE AS {c}' for c in X.COMPOUNDS)} FROM low")
 query(f"WITH {SCORES} SELECT doc_id, concept, round(sum(score), 6) AS score FROM sc GROUP BY ALL", "concept_scores")(lambda s, d: enrich.concept_scores(scores(s, d)))
 query(f"WITH {SCORES} SELECT doc_id, concept, arg_max(term, term_pos) AS term FROM sc GROUP BY ALL", "concept_winner")(lambda s, d: enrich.concept_winner(scores(s, d)))
 query(f"WITH {SCORES} SELECT * FROM (SELECT doc_id, concept, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(concept) DESC, concept) AS rank FROM (SELECT doc_id, concept, sum(score) AS score FROM sc GROUP BY ALL)) WHERE rank <= 2", "top_concepts")(
     lambda s, d: enrich.top_concepts(enrich.concept_scores(scores(s, d)), 2))
-mention_rows = lambda s, d: enrich.mentions(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.LEXICON)
+mention_rows = lambda s, d: enrich.mentions(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.lexicon(s))
 query(f"WITH {MENTIONS} SELECT doc_id, concept, \"at\" FROM mn", "mention_positions")(lambda s, d: mention_rows(s, d).select("doc_id", "concept", "at"))
 query(f"WITH {MENTIONS} SELECT doc_id, concept, \"at\", array_to_string(words, ' ') AS words FROM mn", "mention_window")(lambda s, d: mention_rows(s, d).select("doc_id", "concept", "at", F.array_join("window", " ").alias("words")))
 query(f"WITH {MENTIONS} SELECT doc_id, concept, \"at\", round(polarity, 6) AS polarity FROM mn", "window_polarity")(lambda s, d: mention_rows(s, d).select("doc_id", "concept", "at", "polarity"))
@@ -288,7 +286,7 @@ VECTOR = MENTIONS + FEAT[len(LOW):] + ", px AS (SELECT doc_id, " + ", ".join(f"m
   ont_count_emotions / greatest(ont_count_concepts, 1.0) AS ont_emotion_concept_ratio, (ont_count_concepts + ont_count_modifiers + ont_count_emotions > 0)::INTEGER::DOUBLE AS ont_has_elements,
   0.4::DOUBLE * ont_domain_score + 0.3::DOUBLE * abs(ont_modifier_factor) + 0.3::DOUBLE * ont_emotion_weight AS ont_composite,
   CASE WHEN ont_total_positive + ont_total_negative + ont_total_neutral > 0 THEN (ont_total_positive - ont_total_negative) / (ont_total_positive + ont_total_negative + ont_total_neutral) ELSE 0.0 END AS ont_global_ratio FROM v1)"""
-vector = lambda s, d: enrich.feature_vector(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.LEXICON, X.MODIFIERS, X.FACTORS, X.EMOTIONS, X.EMOTION_VALENCE)
+vector = lambda s, d: enrich.feature_vector(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.lexicon(s), X.MODIFIERS, X.FACTORS, X.EMOTIONS, X.EMOTION_VALENCE)
 ALL_FEATURES = list(dict.fromkeys(re.findall(r" AS (ont_\w+)", VECTOR[VECTOR.index(", v0 AS") :])))
 query(f"WITH {VECTOR} SELECT doc_id, n_words, {', '.join(f'round({f}, 6) AS {f}' for f in ALL_FEATURES)} FROM v2", "feature_vector")(vector)
 DERIVED = ["ont_domain_density", "ont_modifier_density", "ont_emotion_density", "ont_emotion_x_polarity", "ont_semantic_richness", "ont_polarity_abs", "ont_emotion_valence", "ont_emotion_concept_ratio", "ont_has_elements", "ont_composite", "ont_global_ratio"]
@@ -300,9 +298,6 @@ add("lexicon_stats", lambda s, d: lexicon.lexicon_stats(tokens(s, d), lexicon.in
     f"WITH {LEXS} SELECT (SELECT count(*) FROM tok) AS tokens, (SELECT count(*) FROM fq) AS vocabulary, count(*) AS kept, count(*) FILTER (valence > 0) AS positive, count(*) FILTER (valence < 0) AS negative, CASE WHEN count(*) FILTER (valence > 0) > 0 AND count(*) FILTER (valence < 0) > 0 THEN 'valid' ELSE 'invalid' END AS status FROM lx")
 
 
-
-
-
 # Aggregations.
 query(f"WITH {CELLS} SELECT feature, count(*) FILTER (value <> 0) AS nonzero, round(100.0::DOUBLE * count(*) FILTER (value <> 0) / count(*), 6) AS percent, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS max, count(*) FILTER (value IS NULL) AS missing FROM cells GROUP BY 1", "agg_feature_coverage")(lambda s, d: measure.feature_coverage(cells(s, d)))
 _sh = lambda k: f"round(100.0::DOUBLE * count(*) FILTER (active AND split = '{k}') / count(*) FILTER (split = '{k}'), 6) AS {k}_percent"
@@ -425,10 +420,6 @@ def reconcile_chain(s, d):
         one("selected", X.selection(s), t.join(X.selection(s), "feature", "left_semi").select("feature").distinct()))
 
 
-
-
-
-
 # Evaluation.
 add("confusion_matrix", matrix, f"WITH {MATRIX} SELECT condition, seed, y_true::INTEGER AS y_true, y_pred::INTEGER AS y_pred, n FROM cm")
 query(f"WITH {CLASSES} SELECT condition, seed, label::INTEGER AS label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM pc", "metrics_per_class")(lambda s, d: per_class(s, d).drop("said", "hit"))
@@ -436,16 +427,7 @@ query(f"WITH {OVERALL} SELECT condition, seed, round(accuracy, 6) AS accuracy, r
 query(f"WITH {MATRIX}, sh AS (SELECT *, coalesce(100.0::DOUBLE * n / nullif(sum(n) OVER (PARTITION BY condition, seed, y_true), 0), 0) AS s FROM cm) SELECT y_true::INTEGER AS y_true, y_pred::INTEGER AS y_pred, round(avg(s) FILTER (condition = 'ENR') - avg(s) FILTER (condition = 'BSL'), 6) AS delta FROM sh GROUP BY 1, 2", "confusion_delta")(lambda s, d: measure.confusion_delta(matrix(s, d)))
 
 # Sensitivity.
-GRIDS = {"grid_small": ([5, 10], [3], [1.0, 2.0]), "grid_expanded": ([2, 3, 5, 7, 10], [1, 2, 3, 5, 8], [0.25, 0.5, 1.0, 1.5, 2.0])}
-for _n, (_w, _f, _v) in GRIDS.items():
-    add(_n, lambda s, d, g=(_w, _f, _v): measure.grid(s, *g).join(docs(s, d).agg(F.count("*").alias("docs")), F.lit(True)),
-        f"""SELECT "window", min_freq, min_valence, 'w' || "window" || '_f' || min_freq || '_v' || min_valence AS variant, (SELECT count(*) FROM documents) AS docs FROM (SELECT unnest({_w})::INTEGER AS "window"), (SELECT unnest({_f})::INTEGER AS min_freq), (SELECT unnest({_v})::DOUBLE AS min_valence)""")
-
-
-
-
-
-
+EXPANDED = ([2, 3, 5, 7, 10], [1, 2, 3, 5, 8], [0.25, 0.5, 1.0, 1.5, 2.0])
 
 
 # Models.
@@ -466,7 +448,7 @@ def scan_vocabulary(s, d):
     """A vocabulary file, and in how many texts each of its terms stands."""
     p = files.write_csv(X.vocabulary(s), files.scratch(s))
     terms = s.read.schema("concept string, term string, term_pos int").csv(p, header=True)
-    hits = enrich.term_scores(docs(s, d), [tuple(r) for r in terms.orderBy("term_pos").collect()], {}).where("hits > 0")
+    hits = dictionary.term_matches(docs(s, d), terms).where("hits > 0")
     return terms.join(hits.groupBy("concept", "term").agg(F.count("*").alias("texts")), ["concept", "term"], "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
 
 
@@ -661,47 +643,82 @@ query("WITH o AS (SELECT count(*) - count(doc_id) AS null_ids, count(*) - count(
         (F.count("*") - F.count_distinct("doc_id")).alias("duplicate_ids"), F.count_if(F.col("l").isNull()).alias("unlabelled"), F.floor(100 * F.count_if(F.col("doc_id") % 5 == 4) / F.count("*")).alias("test_share_percent"),
         F.count_if(F.col("text") == "").alias("empty_texts"), F.count_if(F.col("n_chars") != F.length("text")).alias("wrong_lengths")).join(X.table(s, d, "labels").agg(F.count_if(~F.col("quality").isin(0, 1)).alias("unknown_labels")), F.lit(True)), EXPECT))
 
-# Sensitivity: every variant of the expanded grid, window included.
-_w, _f, _v = GRIDS["grid_expanded"]
+# Sensitivity: every variant of a grid, window included.
+_w, _f, _v = EXPANDED
 CANONICAL = "w5_f3_v1.0"
 _m = ", ".join
 _clean = r"regexp_replace(x, '[^\p{L}\p{N}_\s]', '', 'g')"
 _weight = "CASE " + _clean + " " + " ".join(f"WHEN '{t}' THEN {max(-2.0, min(2.0, v))}::DOUBLE" for t, v in X.VALENCE.items()) + " ELSE 0 END"
-VARIANTS = MENTIONS + ", " + windowed("doc_id % 5 < 3", _w) + f""", {VAL}, {LAB}, gx AS (SELECT w, mf, mv, 'w' || w || '_f' || mf || '_v' || mv AS variant FROM (SELECT unnest({_w})::INTEGER AS w), (SELECT unnest({_f})::INTEGER AS mf), (SELECT unnest({_v})::DOUBLE AS mv)),
+_gx = lambda rows: "gx AS (SELECT *, 'w' || w || '_f' || mf || '_v' || mv AS variant FROM (" + rows + "))"
+_product = lambda w, f, v: f"SELECT * FROM (SELECT unnest({w})::INTEGER AS w), (SELECT unnest({f})::INTEGER AS mf), (SELECT unnest({v})::DOUBLE AS mv)"
+
+
+def lexicons_sql(gx: str) -> str:
+    return windowed("doc_id % 5 < 3", sorted({*_w, *(w for w, _, _ in sensitivity.SMALL)})) + f""", {VAL}, {LAB}, {gx},
 kx AS (SELECT variant, list(term ORDER BY term) AS terms, count(*) AS size, count(*) FILTER (valence > 0) AS np, count(*) FILTER (valence < 0) AS nn FROM (SELECT w, token AS term, count(*) AS freq FROM cw GROUP BY ALL) c JOIN val USING (term) JOIN gx ON gx.w = c.w AND freq >= mf AND abs(valence) >= mv GROUP BY 1),
-vx AS (SELECT gx.*, coalesce(size, 0) AS size, coalesce(np, 0) AS np, coalesce(nn, 0) AS nn, coalesce(terms, []) AS terms, CASE WHEN np > 0 AND nn > 0 THEN 'valid' ELSE 'invalid' END AS status FROM gx LEFT JOIN kx USING (variant)),
+vx AS (SELECT gx.*, coalesce(size, 0) AS size, coalesce(np, 0) AS np, coalesce(nn, 0) AS nn, coalesce(terms, []) AS terms, CASE WHEN np > 0 AND nn > 0 THEN 'valid' ELSE 'invalid' END AS status FROM gx LEFT JOIN kx USING (variant))"""
+
+
+# p: the tail of the F distribution for three labels, (1 + 2 f / d) ^ (-d / 2).
+def variants_sql(gx: str) -> str:
+    own = {"active_docs": "active_docs", "activation": "100.0::DOUBLE * coalesce(active_docs, 0) / (SELECT count(*) FROM documents)", "covered": "covered", "positive_mentions": "positive_mentions", "negative_mentions": "negative_mentions",
+           "assertions": "assertions", "cells": "cells", "selected": "selected", "selected_active": "selected_active"}
+    return MENTIONS + ", " + lexicons_sql(gx) + f""",
 lex AS (SELECT DISTINCT terms FROM vx WHERE status = 'valid'),
 lp AS (SELECT terms, doc_id, concept, list_sum(list_transform(words, lambda x: CASE WHEN list_contains(terms, {_clean}) THEN {_weight} ELSE 0 END)) AS p FROM mw, lex),
 pd AS (SELECT terms, concept, doc_id, count(*) FILTER (p > 0.5) AS a, count(*) FILTER (p < -0.5) AS b FROM lp WHERE abs(p) > 0.5 GROUP BY ALL),
 ac AS (SELECT terms, count(DISTINCT doc_id) AS active_docs, sum(a)::BIGINT AS positive_mentions, sum(b)::BIGINT AS negative_mentions, count(*) AS assertions FROM pd GROUP BY 1),
+px AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT terms, doc_id, concept || '_{n}' AS feature, {x} AS x FROM pd" for n, x in (("positive", "a"), ("negative", "b"), ("net", "a - b")))}) WHERE x <> 0),
+ax AS (SELECT terms, count(*) AS cells, count(DISTINCT feature) AS covered FROM px GROUP BY 1),
 cl AS (SELECT label, count(*) AS c FROM lab WHERE doc_id % 5 < 3 GROUP BY 1),
-sm AS (SELECT terms, concept, label, sum(a - b)::DOUBLE AS s, sum((a - b) * (a - b))::DOUBLE AS q FROM pd JOIN lab USING (doc_id) WHERE doc_id % 5 < 3 GROUP BY ALL),
-fx AS (SELECT terms, concept, sum(s) AS s, sum(q) AS q, sum(s * s / c) AS b FROM sm JOIN cl USING (label) GROUP BY ALL),
-fv AS (SELECT terms, ((b - s * s / n) / (k - 1)) / nullif((q - b) / (n - k), 0) AS f FROM fx, (SELECT sum(c) AS n, count(*) AS k FROM cl)),
-se AS (SELECT terms, count(*) FILTER (f > 3) AS selected FROM fv GROUP BY 1),
-rx AS (SELECT vx.*, CASE WHEN status = 'valid' THEN coalesce(active_docs, 0) END AS active_docs, CASE WHEN status = 'valid' THEN coalesce(positive_mentions, 0) END AS positive_mentions, CASE WHEN status = 'valid' THEN coalesce(negative_mentions, 0) END AS negative_mentions,
-  CASE WHEN status = 'valid' THEN coalesce(assertions, 0) END AS assertions, CASE WHEN status = 'valid' THEN coalesce(selected, 0) END AS selected FROM vx LEFT JOIN ac USING (terms) LEFT JOIN se USING (terms))"""
+sm AS (SELECT terms, feature, label, sum(x)::DOUBLE AS s, sum(x * x)::DOUBLE AS q FROM px JOIN lab USING (doc_id) WHERE doc_id % 5 < 3 GROUP BY ALL),
+fx AS (SELECT terms, feature, sum(s) AS s, sum(q) AS q, sum(s * s / c) AS b FROM sm JOIN cl USING (label) GROUP BY ALL),
+fv AS (SELECT terms, feature, n - k AS d, CASE WHEN abs(q - b) > 1e-12 THEN ((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)) END AS f FROM fx, (SELECT sum(c) AS n, count(*) AS k FROM cl)),
+sf AS (SELECT terms, feature FROM fv WHERE power(1 + 2 * f / d, -d / 2.0::DOUBLE) < 0.05),
+se AS (SELECT terms, count(DISTINCT feature) AS selected, count(DISTINCT doc_id) AS selected_active FROM sf JOIN px USING (terms, feature) GROUP BY 1),
+rx AS (SELECT vx.*, {_m(f"CASE WHEN status = 'valid' THEN coalesce({x}, 0) END AS {m}" for m, x in own.items())} FROM vx LEFT JOIN ac USING (terms) LEFT JOIN ax USING (terms) LEFT JOIN se USING (terms))"""
+
+
+VARIANTS = variants_sql(_gx(_product(_w, _f, _v)))
 BASE_ROW = "ba AS (SELECT " + _m(f"{m} AS b_{m}" for m in sensitivity.METRICS) + f", terms AS b_terms FROM rx WHERE variant = '{CANONICAL}')"
 JAC = "round(CASE WHEN len(list_distinct(list_concat(terms, b_terms))) = 0 THEN 1 ELSE len(list_intersect(terms, b_terms))::DOUBLE / len(list_distinct(list_concat(terms, b_terms))) END, 6)"
 expanded = lambda s: measure.grid(s, _w, _f, _v)
+_rounded = lambda m: f"round({m}, 6)" if m == "activation" else m
 
 
-def grid_results(s, d):
-    train = docs(s, d).where(X.split_of(F.col("doc_id")) == "train")
-    counts = lexicon.windows_grid(train, X.ANCHORS, X.STOPWORDS, _w).groupBy("window", F.col("token").alias("term")).agg(F.count("*").alias("freq"))
-    found = files.through_parquet(sensitivity.lexicons(counts, valence(s), expanded(s)), files.scratch(s))
-    weights = {t: max(-2.0, min(2.0, v)) for t, v in X.VALENCE.items()}
-    return sensitivity.run_grid(found, weights, mention_rows(s, d).select("doc_id", "concept", "window"), X.labels(s, d).where("doc_id % 5 < 3"))
+def small(s):
+    rows = s.createDataFrame(sensitivity.SMALL, "window int, min_freq int, min_valence double")
+    return rows.withColumn("variant", F.format_string("w%d_f%d_v%s", "window", "min_freq", F.col("min_valence").cast("string")))
 
 
-add("run_grid", lambda s, d: grid_results(s, d).select("variant", "status", *sensitivity.METRICS), f"WITH {VARIANTS} SELECT variant, status, {_m(sensitivity.METRICS)} FROM rx")
-query(f"WITH {VARIANTS}, {BASE_ROW} SELECT variant, {_m(f'{m} - b_{m} AS delta_{m}' for m in sensitivity.METRICS)}, {JAC} AS jaccard FROM rx, ba", "grid_compare")(lambda s, d: sensitivity.compare(grid_results(s, d), CANONICAL).drop("window", "min_freq", "min_valence"))
+def grid_counts(s, d, windows):
+    train = docs(s, d).where(X.split_of(F.col("doc_id")) == "train")
+    return stage(s, lexicon.windows_grid(train, X.ANCHORS, X.STOPWORDS, windows).groupBy("window", F.col("token").alias("term")).agg(F.count("*").alias("freq")))
+
+
+def grid_results(s, d, grid=None, axes=EXPANDED):
+    counts = grid_counts(s, d, axes[0])
+    found = stage(s, sensitivity.lexicons(counts, valence(s), expanded(s) if grid is None else grid))
+    rows, names = enrich.in_row(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.lexicon(s))
+    places = {c: f"at{k}" for k, c in enumerate(names)}
+    texts = rows.select("doc_id", "words", *places.values())
+    return stage(s, sensitivity.run_grid(found, sensitivity.lattice(counts, valence(s), *axes), texts, places, X.labels(s, d).where("doc_id % 5 < 3"), axes))
+
+
+GRID_COLUMNS = ["variant", "status", *sensitivity.METRICS]
+_AXES = tuple(sorted({g[i] for g in sensitivity.SMALL}) for i in range(3))
+query(f"WITH {variants_sql(_gx('SELECT * FROM (VALUES ' + _m(f'({w}, {f}, {v}::DOUBLE)' for w, f, v in sensitivity.SMALL) + ') g(w, mf, mv)'))} SELECT {_m(f'{_rounded(m)} AS {m}' for m in GRID_COLUMNS)} FROM rx", "grid_small")(
+    lambda s, d: grid_results(s, d, small(s), _AXES).select(*GRID_COLUMNS))
+query(f"WITH {lexicons_sql(_gx(_product(_w, _f, _v)))} SELECT variant, w AS \"window\", mf AS min_freq, mv AS min_valence, size, np AS positive, nn AS negative, status FROM vx", "grid_expanded")(
+    lambda s, d: sensitivity.lexicons(grid_counts(s, d, _w), valence(s), expanded(s)).drop("terms"))
+query(f"WITH {VARIANTS} SELECT {_m(f'{_rounded(m)} AS {m}' for m in GRID_COLUMNS)} FROM rx", "run_grid")(lambda s, d: grid_results(s, d).select(*GRID_COLUMNS))
+query(f"WITH {VARIANTS}, {BASE_ROW} SELECT variant, {_m(f'round({m} - b_{m}, 6) AS delta_{m}' if m == 'activation' else f'{m} - b_{m} AS delta_{m}' for m in sensitivity.METRICS)}, {JAC} AS jaccard FROM rx, ba", "grid_compare")(lambda s, d: sensitivity.compare(grid_results(s, d), CANONICAL).drop("window", "min_freq", "min_valence"))
 LONG = "lo AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}::DOUBLE AS value FROM rx WHERE status = 'valid'" for m in sensitivity.METRICS) + ")"
-query(f"WITH {VARIANTS}, {LONG} SELECT metric, min, round(q1, 6) AS q1, round(median, 6) AS median, round(mean, 6) AS mean, round(q3, 6) AS q3, max, round(std, 6) AS std FROM (SELECT metric, {NUM.format('value')} FROM lo GROUP BY 1)", "grid_aggregate")(
-    lambda s, d: measure.numeric_summary(tables.unpivot(grid_results(s, d).where("status = 'valid'"), sensitivity.METRICS, "variant").withColumnRenamed("feature", "metric"), "value", ["metric"]))
+query(f"""WITH {VARIANTS}, {LONG} SELECT metric, round(min, 6) AS min, round(q1, 6) AS q1, round(median, 6) AS median, round(mean, 6) AS mean, round(q3, 6) AS q3, round(max, 6) AS max, round(std, 6) AS std, variants, passed, invalid FROM (SELECT metric, {NUM.format('value')} FROM lo GROUP BY 1),
+  (SELECT count(*) AS variants, count(*) FILTER (status = 'valid') AS passed, coalesce(string_agg(variant, ',' ORDER BY variant) FILTER (status <> 'valid'), '') AS invalid FROM rx)""", "grid_aggregate")(lambda s, d: sensitivity.aggregate(grid_results(s, d)))
 
 
-@query(f"WITH {VARIANTS} SELECT variant, CASE WHEN w = 2 AND mf = 8 THEN 'missing' WHEN w = 3 AND mf = 8 THEN 'repeated' ELSE status END AS status, {_m(f'CASE WHEN w <> 2 OR mf <> 8 THEN {m} END AS {m}' for m in sensitivity.METRICS)} FROM rx")
+@query(f"WITH {VARIANTS} SELECT variant, CASE WHEN w = 2 AND mf = 8 THEN 'missing' WHEN w = 3 AND mf = 8 THEN 'repeated' ELSE status END AS status, {_m(f'CASE WHEN w <> 2 OR mf <> 8 THEN {_rounded(m)} END AS {m}' for m in sensitivity.METRICS)} FROM rx")
 def grid_collect(s, d):
     """A report for each variant; those of window 2 and frequency 8 are lost, those of window 3 and frequency 8 are there
     twice."""
