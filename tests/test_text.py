@@ -47,7 +47,7 @@ def test_mention_positions(spark, term):
 def test_window_polarity(spark, monkeypatch):
     """By the hash table, and by the join for lexicons beyond its size."""
     lexicon = spark.createDataFrame([("good", 1.5), ("bad", -1.0), ("bad", -2.0), (None, 9.0), ("none", None)], "term string, valence double")
-    df = spark.createDataFrame([("w1 w2 good, w4 w5 hit bad! w8 w9 w10 w11 good",), ("",), ("good",)], "text string").select(T.words(F.col("text")).alias("words"))
+    df = spark.createDataFrame([("w1 w2 good, w4 w5 hit bad! w8 w9 w10 w11 good",), ("",), ("good",)], "text string").select(F.col("text").alias("single"), T.words(F.col("text")).alias("words"))
     for most in (dictionary.MOST, 2):
         monkeypatch.setattr(dictionary, "MOST", most)
         at = F.least(F.lit(5), F.greatest(F.size("words") - 1, F.lit(0)))

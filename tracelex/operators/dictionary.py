@@ -1,10 +1,10 @@
 """Dictionaries as tables: vocabularies and lexicons of any size, in plans that don't grow with them.
 
-Terms are matched by a join on token n-grams: a text is cut into words and single other characters, and its n-grams, of the
-numbers of tokens that terms have, meet the terms by hash. Spark broadcasts the terms while they are below its threshold
-and shuffles both sides beyond. A lexicon of single words is looked up in the row: one aggregation makes it a hash table
-(an array of small maps), which a scalar subquery hands to every task, so that time doesn't grow with the entries; beyond
-MOST entries it is joined instead.
+Terms are matched by a join on token n-grams: a text is cut into words and single other characters; where a token is the
+first of some terms, the n-grams of those terms' numbers of tokens meet the terms by hash. Spark broadcasts the terms while
+they are below its threshold and shuffles both sides beyond. First tokens, and the words of a lexicon, are looked up in the
+row: one aggregation makes them a hash table (an array of small maps), which a scalar subquery hands to every task, so
+that time doesn't grow with the entries. Beyond MOST entries all n-grams go to the join, and a lexicon is joined too.
 
 Cases: null texts are empty; rows that share a key are one text; a term that repeats within a concept counts once for each
 row; empty terms never match; empty tables give empty results; columns beside the named ones are not looked at.
@@ -12,6 +12,8 @@ row; empty terms never match; empty tables give empty results; columns beside th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +31,21 @@ def tokens(lower: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(r"(?Us)\w+|."), F.lit(0))
 
 
-def grams(toks: Column, is_word: Column, lengths: Column) -> Column:
-    """All runs of tokens of the given lengths that a long term can be, joined; a run that begins or ends with a character
-    which isn't of a word matches only beside one that is, as a word boundary there demands."""
-
-    def of_length(k: Column) -> Column:
-        def gram(i: Column) -> Column:
-            last = i + k - 1
-            before = F.when(F.get(is_word, i) | F.coalesce(F.get(is_word, i - 1), F.lit(False)), "").otherwise(NO_EDGE)
-            after = F.when(F.get(is_word, last) | F.coalesce(F.get(is_word, last + 1), F.lit(False)), "").otherwise(NO_EDGE)
-            return F.concat(before, F.array_join(F.slice(toks, i + 1, k), ""), after)
+def gram(toks: Column, i: Column, k: Column) -> Column:
+    """The run of k tokens from the i-th on. One that begins or ends with a character which isn't of a word matches only
+    beside one that is, as a word boundary there demands."""
+    is_word = lambda at: F.coalesce((F.length(F.get(toks, at)) > 1) | F.regexp_like(F.get(toks, at), F.lit(r"(?U)^\w")), F.lit(False))
+    last = i + k - 1
+    before = F.when(is_word(i) | is_word(i - 1), "").otherwise(NO_EDGE)
+    after = F.when(is_word(last) | is_word(last + 1), "").otherwise(NO_EDGE)
+    return F.concat(before, F.when(k == 1, F.get(toks, i)).otherwise(F.array_join(F.slice(toks, i + 1, k), "")), after)
 
-        at = F.when(F.size(toks) >= k, F.sequence(F.lit(0), F.size(toks) - k)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(at, gram), lambda g: F.length(g) >= T.LONG_FROM)
 
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+def grams(toks: Column, lengths: Callable[[Column], Column]) -> Column:
+    """All runs of tokens that a long term can be. lengths: from a first token to the numbers of tokens of its terms."""
+    at = F.transform(toks, lambda t, i: F.transform(lengths(t), lambda k: F.struct(i.alias("i"), k.alias("k"))))
+    within = F.filter(F.flatten(at), lambda x: x["i"] + x["k"] <= F.size(toks))
+    return F.array_distinct(F.transform(within, lambda x: gram(toks, x["i"], x["k"])))
 
 
 def term_matches(docs: DataFrame, terms: DataFrame, compounds: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
@@ -56,9 +58,15 @@ def term_matches(docs: DataFrame, terms: DataFrame, compounds: DataFrame | None
     keyed = named.where(F.length("term") > 0).select(F.when(short, "s").otherwise("l").alias("kind"), F.col("term").alias("gram"), F.lit(1.0).alias("weight"), "concept", "term", "term_pos")
     low = docs.select(F.col(key), F.lower(T.clean_code_blocks(F.col("text"))).alias("low"))
     toks = low.select(key, "low", tokens(F.col("low")).alias("toks"))
-    lengths = named.where(~short).select(F.array_sort(F.collect_set(F.size(tokens(F.col("term"))))).alias("n")).scalar()
-    is_word = F.transform("toks", lambda t: F.regexp_like(t, F.lit(r"(?U)^\w")))
-    long_keys = grams(F.col("toks"), F.col("is_word"), F.coalesce("lengths", F.array().cast("array<int>")))
+    none = F.array().cast("array<int>")
+    firsts = named.where(~short).select(tokens(F.col("term")).alias("t")).select(F.get("t", F.lit(0)).alias("first"), F.size("t").alias("k"))
+    heads = hash_table(firsts.groupBy("first").agg(F.array_sort(F.collect_set("k")).alias("k")), "first", "k")
+    if heads is None:
+        toks = toks.withColumn("heads", firsts.select(F.array_sort(F.collect_set("k"))).scalar())
+        long_keys = grams(F.col("toks"), lambda t: F.coalesce("heads", none))
+    else:
+        toks = toks.withColumn("heads", heads)
+        long_keys = grams(F.col("toks"), lambda t: F.coalesce(looked_up(F.col("heads"), t), none))
     short_keys = F.filter(T.boundary_split(F.col("low")), lambda p: (F.length(p) > 0) & (F.length(p) < T.LONG_FROM))
     kinds: list[tuple[str, Column]] = [("l", long_keys), ("s", short_keys)]
     if compounds is not None:
@@ -72,7 +80,7 @@ def term_matches(docs: DataFrame, terms: DataFrame, compounds: DataFrame | None
         return F.transform(own, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram")))
 
     every = F.concat(*[of_kind(kind, own) for kind, own in kinds])
-    each = toks.withColumn("lengths", lengths).withColumn("is_word", is_word).select(key, F.explode(every).alias("g")).select(key, "g.kind", "g.gram")
+    each = toks.select(key, F.explode(every).alias("g")).select(key, "g.kind", "g.gram")
     hit = each.join(keyed, ["kind", "gram"])
     hits = F.sum(F.when(F.col("kind") != "c", F.col("weight")).otherwise(0.0)).alias("hits")
     return hit.groupBy(key, "concept", "term", "term_pos").agg(hits, F.sum("weight").alias("score"))
@@ -98,32 +106,34 @@ def looked_up(table: Column, word: Column) -> Column:
     return F.try_element_at(F.get(table, bucket(word)), word)
 
 
-def bare(word: Column) -> Column:
-    return F.regexp_replace(word, r"(?U)[^\w\s]", "")
+def bare_words(single: Column) -> Column:
+    """The words of a text whose white space is collapsed, without punctuation; what was all punctuation is empty."""
+    return F.split(F.regexp_replace(single, r"(?U)[^\w\s]", ""), " ")
 
 
-def each_looked_up(rows: DataFrame, table: Column, words: str, name: str, missing: Column | None = None) -> DataFrame:
-    """Adds an array beside the array of words: each one's value, punctuation removed. The subquery stands in a projection of
-    its own, as it may not stand in a lambda; the optimiser joins the two, so no row ever holds the table."""
+def each_looked_up(rows: DataFrame, table: Column, single: str, name: str, missing: Column | None = None) -> DataFrame:
+    """Adds an array: the value of each word of a text whose white space is collapsed, punctuation removed. The subquery
+    stands in a projection of its own, as it may not stand in a lambda; the optimiser joins the two, so that no row ever
+    holds the table."""
     held = "_table"
-    value = lambda w: looked_up(F.col(held), bare(w))
+    value = lambda w: looked_up(F.col(held), w)
     filled = value if missing is None else lambda w: F.coalesce(value(w), missing)
-    return rows.withColumn(held, table).withColumn(name, F.transform(words, filled)).drop(held)
+    return rows.withColumn(held, table).withColumn(name, F.transform(bare_words(F.col(single)), filled)).drop(held)
 
 
-def valences(rows: DataFrame, lexicon: DataFrame, words: str = "words", name: str = "values") -> DataFrame:
-    """Adds an array beside the array of words: the valence of each, punctuation removed, 0 for words without one.
-    lexicon: term, valence."""
+def valences(rows: DataFrame, lexicon: DataFrame, single: str = "single", name: str = "values") -> DataFrame:
+    """Adds an array: the valence of each word of a text whose white space is collapsed, punctuation removed, 0 for words
+    without one. lexicon: term, valence."""
     table = hash_table(lexicon, "term", "valence")
     if table is not None:
-        return each_looked_up(rows, table, words, name, F.lit(0.0))
+        return each_looked_up(rows, table, single, name, F.lit(0.0))
     # Too large for a value of the plan: a text's distinct words meet the lexicon, and come back to it as a map.
     row = "_row"
-    numbered = rows.withColumn(row, F.xxhash64(*rows.columns))
-    each = numbered.select(row, F.explode(F.array_distinct(F.transform(words, bare))).alias("term")).distinct()
+    numbered = rows.withColumn(row, F.xxhash64(single))
+    each = numbered.select(row, F.explode(F.array_distinct(bare_words(F.col(single)))).alias("term")).distinct()
     found = each.join(lexicon.groupBy("term").agg(F.max("valence").alias("valence")), "term").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("term", "valence"))).alias("_found"))
-    value = lambda w: F.coalesce(F.try_element_at(F.col("_found"), bare(w)), F.lit(0.0))
-    return numbered.join(found, row, "left").withColumn(name, F.transform(words, value)).drop(row, "_found")
+    value = lambda w: F.coalesce(F.try_element_at(F.col("_found"), w), F.lit(0.0))
+    return numbered.join(found, row, "left").withColumn(name, F.transform(bare_words(F.col(single)), value)).drop(row, "_found")
 
 
 def windowed(values: Column, at: Column, window: int = T.WINDOW) -> Column:

@@ -85,7 +85,7 @@ def mentions_by_table(docs: DataFrame, terms: DataFrame, compounds: DataFrame, l
     scores = dictionary.term_matches(docs, terms, compounds, key)
     won = concept_winner(scores, key)
     texts = docs.select(key, T.collapsed(F.lower(T.clean_code_blocks(F.col("text")))).alias("single"))
-    texts = dictionary.valences(texts.withColumn("words", F.filter(F.split("single", " "), lambda w: w != "")), lexicon)
+    texts = dictionary.valences(texts, lexicon).withColumn("words", F.filter(F.split("single", " "), lambda w: w != ""))
     winners = won.select(key, "concept", T.term_pattern_of(F.col("term")).alias("pattern"))
     others = won.join(compounds, "concept").select(key, "concept", T.long_pattern_of(F.col("compound")).alias("pattern"))
     found = texts.join(winners.union(others), key).select(key, "concept", "words", "values", T.mention_positions_of(F.col("single"), F.col("pattern")).alias("places"))

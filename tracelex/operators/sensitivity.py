@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
@@ -42,6 +45,41 @@ def lattice(counts: DataFrame, valence: DataFrame, windows: list[int], frequenci
     return per.select("term", F.struct(weight.alias("w"), reached(valences, F.abs("valence")).alias("v"), of_window.alias("f")).alias("cell"))
 
 
+def _added_up(axes: tuple[list, list, list], n_concepts: int) -> Callable:
+    """For rows of a label and, for each concept, the mentions' cells: per variant, label and set of features that are not
+    0, the number of texts and the sums and squares of each feature (positive, negative and net mentions of each concept)."""
+    steps = [(f"{w}|{f}|{v}", i, j + 1, k + 1) for i, w in enumerate(axes[0]) for j, f in enumerate(axes[1]) for k, v in enumerate(axes[2])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, parts = batch.num_rows, []
+            label = batch.column(0).fill_null(-1).to_numpy()
+            for column in batch.columns[1:]:
+                text, mentions = np.repeat(np.arange(n), column.value_lengths().to_numpy()), column.flatten()
+                cells, mention = mentions.flatten(), np.repeat(np.arange(len(mentions)), mentions.value_lengths().to_numpy())
+                weight, v = cells.field("w").to_numpy(), cells.field("v").to_numpy()
+                parts.append((text, mention, weight, v, cells.field("f").flatten().to_numpy().reshape(-1, len(axes[0]))))
+            out = []
+            for key, w, f, v in steps:
+                values = np.zeros((3 * n_concepts, n), np.int64)
+                for c, (text, mention, weight, valence, freq) in enumerate(parts):
+                    on = (freq[:, w] >= f) & (valence >= v)
+                    polarity = np.bincount(mention[on], weight[on], len(text))
+                    values[3 * c], values[3 * c + 1] = (np.bincount(text[side], minlength=n) for side in (polarity > 0.5, polarity < -0.5))
+                    values[3 * c + 2] = values[3 * c] - values[3 * c + 1]
+                mask = ((values != 0) << np.arange(3 * n_concepts)[:, None]).sum(0)
+                some = np.flatnonzero(mask)
+                group, at = np.unique(np.stack([label[some], mask[some]]), axis=1, return_inverse=True)
+                counts = [np.bincount(at, minlength=group.shape[1])] + [np.bincount(at, x[some] ** p, group.shape[1]).astype(np.int64) for p in (1, 2) for x in values]
+                out += [(key, None if a < 0 else int(a), int(b), *map(int, row)) for (a, b), row in zip(group.T, np.stack(counts, 1), strict=True)]
+            names = ["key", "label", "mask", "n", *[f"{x}{i}" for x in "sq" for i in range(3 * n_concepts)]]
+            types = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * (1 + 6 * n_concepts)]
+            columns = list(zip(*out, strict=True)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return run
+
+
 def run_grid(variants: DataFrame, cells: DataFrame, texts: DataFrame, places: dict[str, str], labels: DataFrame, axes: tuple[list, list, list], level: float = 0.05) -> DataFrame:
     """variants with, for each valid one: active_docs (texts with a mention that isn't neutral) and activation (their
     share in per cent), covered (features that are somewhere not 0), positive_mentions, negative_mentions, assertions
@@ -50,37 +88,23 @@ def run_grid(variants: DataFrame, cells: DataFrame, texts: DataFrame, places: di
 
     One scan for all variants. A word's cell in the lattice of frequency and valence says for every variant whether it
     counts, so each word is looked up once; a mention keeps the few cells of its window, and a variant's polarity sums
-    those that dominate its steps. What a text gives leaves the row as one small vector for each variant in which it is
-    active, and is added up by variant, label and the set of its features.
+    those that dominate its steps, for all mentions of a batch together. What a batch gives leaves it as sums by variant,
+    label and the set of a text's features.
 
-    variants: all of axes (windows, frequencies, valences), 125 rows or so; texts: doc_id, words and for each concept the
-    column of its mentions' places; cells: of `lattice`; labels: doc_id, label of the training texts."""
+    variants: all of axes (windows, frequencies, valences), 125 rows or so; texts: doc_id, single (white space collapsed) and
+    for each concept the column of its mentions' places; cells: of `lattice`; labels: doc_id, label of the training texts."""
     windows, frequencies, valences = axes
     table = dictionary.hash_table(cells, "term", "cell")
     if table is None:
         raise ValueError("a lexicon under a grid of thresholds has at most dictionary.MOST terms")
-    rows = dictionary.each_looked_up(texts, table, "words", "cells")
+    rows = dictionary.each_looked_up(texts, table, "single", "cells")
     near = lambda at: F.filter(T.mention_window(F.col("cells"), at), lambda c: c.isNotNull())
-    live = {c: F.filter(F.transform(at, near), lambda m: F.size(m) > 0).alias(f"m{i}") for i, (c, at) in enumerate(places.items())}
-    names = [f"m{i}" for i in range(len(live))]
-    rows = rows.select("doc_id", *live.values()).where(" or ".join(f"size({m}) > 0" for m in names))
-    steps = F.array(*[F.struct(F.lit(f"{w}|{f}|{v}").alias("key"), F.lit(i).alias("w"), F.lit(j + 1).alias("f"), F.lit(k + 1).alias("v"))
-                      for i, w in enumerate(windows) for j, f in enumerate(frequencies) for k, v in enumerate(valences)])
-
-    def polarity(m: Column, x: Column) -> Column:
-        return F.aggregate(m, F.lit(0.0), lambda a, c: a + F.when((F.get(c["f"], x["w"]) >= x["f"]) & (c["v"] >= x["v"]), c["w"]).otherwise(0.0))
-
-    def counted(m: str, x: Column) -> Column:
-        each = F.transform(m, lambda one: polarity(one, x))
-        return F.struct(F.size(F.filter(each, lambda p: p > 0.5)).alias("p"), F.size(F.filter(each, lambda p: p < -0.5)).alias("n"))
-
-    vectors = F.transform(steps, lambda x: F.struct(x["key"].alias("key"), *[counted(m, x).alias(m) for m in names]))
-    vectors = F.filter(vectors, lambda x: reduce(lambda a, b: a | b, [(x[m]["p"] > 0) | (x[m]["n"] > 0) for m in names]))
-    each = rows.join(labels, "doc_id", "left").select("label", F.explode(vectors).alias("x"))
-    values = [v for m in names for v in (F.col(f"x.{m}.p"), F.col(f"x.{m}.n"), F.col(f"x.{m}.p") - F.col(f"x.{m}.n"))]
-    mask = reduce(lambda a, b: a + b, [F.when(v != 0, F.lit(1 << i)).otherwise(0) for i, v in enumerate(values)])
-    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(values)] + [F.sum(v * v).alias(f"q{i}") for i, v in enumerate(values)]
-    facts = each.groupBy(F.col("x.key").alias("key"), "label", mask.alias("mask")).agg(F.count("*").alias("n"), *sums)
+    live = [F.filter(F.transform(at, near), lambda m: F.size(m) > 0).alias(f"m{i}") for i, at in enumerate(places.values())]
+    n_values = 3 * len(live)
+    each = rows.select("doc_id", *live).join(labels, "doc_id", "left").select("label", *[f"m{i}" for i in range(len(live))])
+    sums = ", ".join(f"{x}{i} long" for x in "sq" for i in range(n_values))
+    found = each.mapInArrow(_added_up(axes, len(live)), f"key string, label int, mask int, n long, {sums}")
+    facts = found.groupBy("key", "label", "mask").agg(F.sum("n").alias("n"), *[F.sum(f"{x}{i}").alias(f"{x}{i}") for x in "sq" for i in range(n_values)])
     facts = files.through_parquet(facts, files.scratch(texts.sparkSession))  # at most variants x labels x sets of features
 
     features = [(f"{c}_{side}", 3 * i + k) for i, c in enumerate(places) for k, side in enumerate(SIDES)]
@@ -99,8 +123,8 @@ def run_grid(variants: DataFrame, cells: DataFrame, texts: DataFrame, places: di
     chosen = tested.select(F.substring_index("feature", "/", 1).alias("key"), F.substring_index("feature", "/", -1).alias("feature")).join(F.broadcast(bits), "feature")
     chosen = chosen.groupBy("key").agg(F.count("*").alias("selected"), F.sum("bit").alias("chosen"))
 
-    p, n = ([F.col(f"s{3 * i + k}") for i in range(len(names))] for k in (0, 1))
-    on = [(F.col("mask").bitwiseAND(0b111 << (3 * i)) != 0).cast("int") for i in range(len(names))]
+    p, n = ([F.col(f"s{3 * i + k}") for i in range(len(live))] for k in (0, 1))
+    on = [(F.col("mask").bitwiseAND(0b111 << (3 * i)) != 0).cast("int") for i in range(len(live))]
     add = lambda xs: reduce(lambda a, b: a + b, xs)
     found = facts.join(F.broadcast(chosen), "key", "left").groupBy("key").agg(
         F.sum("n").alias("active_docs"), F.sum(add(p)).alias("positive_mentions"), F.sum(add(n)).alias("negative_mentions"), F.sum(F.col("n") * add(on)).alias("assertions"),

@@ -693,7 +693,7 @@ def small(s):
 
 def grid_counts(s, d, windows):
     train = docs(s, d).where(X.split_of(F.col("doc_id")) == "train")
-    return stage(s, lexicon.windows_grid(train, X.ANCHORS, X.STOPWORDS, windows).groupBy("window", F.col("token").alias("term")).agg(F.count("*").alias("freq")))
+    return stage(s, lexicon.window_counts(train, X.ANCHORS, X.STOPWORDS, windows))
 
 
 def grid_results(s, d, grid=None, axes=EXPANDED):
@@ -701,7 +701,7 @@ def grid_results(s, d, grid=None, axes=EXPANDED):
     found = stage(s, sensitivity.lexicons(counts, valence(s), expanded(s) if grid is None else grid))
     rows, names = enrich.in_row(docs(s, d), X.VOCABULARY, X.COMPOUNDS, X.lexicon(s))
     places = {c: f"at{k}" for k, c in enumerate(names)}
-    texts = rows.select("doc_id", "words", *places.values())
+    texts = rows.select("doc_id", "single", *places.values())
     return stage(s, sensitivity.run_grid(found, sensitivity.lattice(counts, valence(s), *axes), texts, places, X.labels(s, d).where("doc_id % 5 < 3"), axes))
 
 
