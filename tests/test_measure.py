@@ -108,31 +108,6 @@ def test_jaccard_of_empty_sets(spark):
     assert [r.j for r in df.select(tables.jaccard(F.col("a"), F.col("b")).alias("j")).collect()] == [1.0, 0.0, 0.5]
 
 
-def test_conformance_counts_what_is_wrong(spark):
-    """Two posts: one in order, one with two topics, a label that is a literal, and a length that is no number."""
-    b = graph.BASE
-    rows = []
-    for name, topics, label, length in (("good", ["t1"], (f"{b}Neutral", "iri"), "120"), ("odd", ["t1", "t2"], ("neutral", "literal"), "long")):
-        s = f"{b}post_{name}"
-        rows += [(s, "rdf:type", f"{b}Post", "iri", None), (s, "author", f"{b}author_x", "iri", None), (s, "length", length, "literal", "xsd:integer"), (s, "label", *label, None)]
-        rows += [(s, "topic", f"{b}topic_{t}", "iri", None) for t in topics]
-    t = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string")
-    o = graph.targets(t, f"{b}Post")
-    checks = [graph.chk_count(t, o, "author", least=1), graph.chk_count(t, o, "topic", most=1), graph.chk_node_kind(t, o, "label"), graph.chk_pattern(t, o, "length", "^[0-9]+$")]
-    found = [sorted((r.focus.rsplit("_", 1)[1], r.component) for r in c.collect()) for c in checks]
-    assert found == [[], [("odd", "maxCount")], [("odd", "nodeKind")], [("odd", "pattern")]]
-    r = graph.conformance(checks).first()
-    assert (r.conforms, r.results, r.violations, r.warnings) == (False, 3, 3, 0)
-    assert graph.conformance(checks[:1]).first().conforms
-
-
-def test_closure(spark):
-    schema = spark.createDataFrame([("a", graph.SUBCLASS, "b"), ("b", graph.SUBCLASS, "c"), ("c", graph.SUBCLASS, "d")], "s string, p string, o string")
-    assert graph.closure(schema, graph.SUBCLASS).count() == 6
-    with pytest.raises(ValueError, match="more than 4"):
-        graph.closure(schema, graph.SUBCLASS, most=4)
-
-
 def test_times_that_cannot_be_read_are_the_epoch(spark):
     said = ["2024-05-06 07:08:09", "2024-05-06T07:08:09Z", "2024-05-06T09:08:09+02:00", "2024-05-06", " 2024-05-06T07:08:09.5 ", "soon", "", None, "2024-13-40"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string")
@@ -141,16 +116,40 @@ def test_times_that_cannot_be_read_are_the_epoch(spark):
 
 
 def test_sensitivity_of_variants(spark):
-    grid = spark.createDataFrame([("all", 5, 1, 0.5), ("strong", 5, 1, 1.5), ("none", 5, 99, 0.5)], "variant string, window int, min_freq int, min_valence double")
-    counts = spark.createDataFrame([(5, "fine", 4), (5, "bad", 3), (5, "meh", 2)], "window int, term string, freq long")
-    valence = spark.createDataFrame([("fine", 2.0), ("bad", -1.6), ("meh", -0.6)], "term string, valence double")
-    found = sensitivity.lexicons(counts, valence, grid)
-    mentions = spark.createDataFrame([(1, "A", ["fine", "day"]), (1, "A", ["bad", "meh"]), (2, "A", ["meh"]), (3, "B", ["plain"])], "doc_id long, concept string, window array<string>")
-    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 2)], "doc_id long, label int")
-    got = {r.variant: r for r in sensitivity.run_grid(found, {"fine": 2.0, "bad": -1.6, "meh": -0.6}, mentions, labels).collect()}
-    assert [(got[v].status, got[v]["size"], got[v].active_docs, got[v].positive_mentions, got[v].negative_mentions, got[v].assertions) for v in ("all", "strong", "none")] == [("valid", 3, 2, 1, 2, 2), ("valid", 2, 1, 1, 1, 1), ("invalid", 0, None, None, None, None)]
-    c = {r.variant: r for r in sensitivity.compare(sensitivity.run_grid(found, {"fine": 2.0, "bad": -1.6, "meh": -0.6}, mentions, labels), "strong").collect()}
-    assert c["all"].delta_size == 1 and math.isclose(c["all"].jaccard, 2 / 3) and c["strong"].jaccard == 1.0
+    """Three steps of valence and two of frequency over five texts, against a loop over the variants."""
+    axes = ([5, 7], [1, 3], [0.5, 1.5, 9.0])
+    grid = measure.grid(spark, *axes)
+    freq = {5: {"fine": 4, "bad": 3, "meh": 2}, 7: {"fine": 6, "bad": 5, "meh": 4}}
+    valence = {"fine": 2.5, "bad": -1.6, "meh": -0.6}
+    counts = spark.createDataFrame([(w, t, n) for w, f in freq.items() for t, n in f.items()], "window int, term string, freq long")
+    values = spark.createDataFrame(list(valence.items()), "term string, valence double")
+    texts = [(1, "fine day bad, meh x", [0, 4], []), (2, "meh meh", [0], [1]), (3, "plain words", [0], [0]), (4, "bad", [], [0]), (5, "", [], [])]
+    frame = spark.createDataFrame(texts, "doc_id long, single string, a array<int>, b array<int>").repartition(2)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 1)], "doc_id long, label int")
+    found = sensitivity.lexicons(counts, values, grid)
+    results = sensitivity.run_grid(found, sensitivity.lattice(counts, values, *axes), frame, {"A": "a", "B": "b"}, labels, axes)
+    got = {(r.window, r.min_freq, r.min_valence): r for r in results.collect()}
+    assert len(got) == 12
+    for (w, f, v), r in got.items():
+        terms = {t: max(-2.0, min(2.0, x)) for t, x in valence.items() if freq[w][t] >= f and abs(x) >= v}
+        valid = any(x > 0 for x in terms.values()) and any(x < 0 for x in terms.values())
+        assert (r["size"], r.status) == (len(terms), "valid" if valid else "invalid")
+        if not valid:
+            assert r.active_docs is None and r.selected is None
+            continue
+        per = {}
+        for d, single, *places in texts:
+            for c, at in zip("AB", places, strict=True):
+                sums = [sum(terms.get(x.strip(","), 0.0) for x in single.split()[max(0, p - 5) : p + 6]) for p in at]
+                per[d, c] = (sum(x > 0.5 for x in sums), sum(x < -0.5 for x in sums))
+        active = {d for (d, _), pn in per.items() if any(pn)}
+        cells = [(c, k) for (_, c), (p, n) in per.items() for k, x in (("p", p), ("n", n), ("net", p - n)) if x]
+        assert (r.active_docs, r.positive_mentions, r.negative_mentions) == (len(active), sum(p for p, _ in per.values()), sum(n for _, n in per.values()))
+        assert (r.assertions, r.cells, r.covered) == (sum(any(x) for x in per.values()), len(cells), len(set(cells))) and math.isclose(r.activation, 20 * len(active))
+    c = {r.variant: r for r in sensitivity.compare(results, "w5_f1_v0.5").collect()}
+    assert c["w5_f3_v0.5"].delta_size == -1 and math.isclose(c["w5_f3_v0.5"].jaccard, 2 / 3) and c["w7_f1_v0.5"].jaccard == 1.0
+    total = sensitivity.aggregate(results).collect()
+    assert {(r.variants, r.passed) for r in total} == {(12, 8)} and all("w5_f1_v9.0" in r.invalid for r in total)
 
 
 def test_manifest(spark):

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelex.sources import files
-
 BASE = "http://example.org/tracelex#"
 RDF_TYPE, SUBCLASS, SUBPROPERTY, DOMAIN, RANGE = "rdf:type", "rdfs:subClassOf", "rdfs:subPropertyOf", "rdfs:domain", "rdfs:range"
 TRIPLE = ["s", "p", "o", "o_kind", "o_datatype"]
@@ -79,43 +77,101 @@ def trace_rows(features: DataFrame, names: list[str], modules: DataFrame) -> Dat
     return out.join(modules, "feature", "left").select("id", "split", "post_iri", "feature", module, "concept", "value")
 
 
-def ntriples(triples: DataFrame) -> DataFrame:
-    full = lambda c: F.when(F.col(c).startswith("http"), F.col(c)).otherwise(F.concat(F.lit(BASE), F.replace(F.col(c), F.lit(":"), F.lit("_"))))
-    text = F.concat(F.lit('"'), F.replace(F.replace(F.col("o"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return triples.select(F.concat(F.lit("<"), full("s"), F.lit("> <"), full("p"), F.lit("> "), F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), full("o"), F.lit(">"))).otherwise(text), F.lit(" .")).alias("line"))
-
-
-def closure(schema: DataFrame, predicate: str, most: int = 100_000) -> DataFrame:
-    """s, o of the transitive closure of a predicate of a schema, by doubling; each round is written to the shared folder.
-    A schema is a small table: ValueError beyond `most` pairs."""
-    scratch = lambda df: files.through_parquet(df, files.scratch(schema.sparkSession))
-    out, n = scratch(schema.where(F.col("p") == predicate).select("s", "o").distinct()), -1
-    while (m := out.count()) != n:
-        if m > most:
-            raise ValueError(f"the closure of {predicate} has more than {most} pairs")
-        n, step = m, out.select("s", F.col("o").alias("m")).join(out.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
-        out = scratch(out.union(step).distinct())
+# The vocabularies that short names stand for.
+PREFIXES = {
+    "rdf:": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
+    "rdfs:": "http://www.w3.org/2000/01/rdf-schema#",
+    "xsd:": "http://www.w3.org/2001/XMLSchema#",
+    "skos:": "http://www.w3.org/2004/02/skos/core#",
+}
+
+#: What a literal escapes, and how it is written.
+ESCAPES = [("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f"), ('"', '"')]
+
+
+def long_name(name: Column) -> Column:
+    """The IRI of a short name; a name without a prefix is one of BASE, and IRIs stay."""
+    out = F.when(name.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), name).otherwise(F.concat(F.lit(BASE), name))
+    for short, full in PREFIXES.items():
+        out = F.when(F.startswith(name, F.lit(short)), F.concat(F.lit(full), F.substr(name, F.lit(len(short) + 1)))).otherwise(out)
     return out
 
 
-def domain_range(triples: DataFrame, schema: DataFrame) -> DataFrame:
-    """Type triples that the domains and ranges of predicates imply."""
-    d = schema.where(F.col("p") == DOMAIN).select(F.col("s").alias("p"), F.col("o").alias("cls"))
-    r = schema.where(F.col("p") == RANGE).select(F.col("s").alias("p"), F.col("o").alias("cls"))
-    a = triples.join(d, "p").select("s", "cls")
-    b = triples.where("o_kind = 'iri'").join(r, "p").select(F.col("o").alias("s"), "cls")
-    return a.union(b).distinct().select("s", F.lit(RDF_TYPE).alias("p"), F.col("cls").alias("o"))
+def short_name(iri_: Column, local: bool) -> Column:
+    """The inverse; local: names of BASE lose it too, as predicates do."""
+    out = F.when(F.startswith(iri_, F.lit(BASE)), F.substr(iri_, F.lit(len(BASE) + 1))).otherwise(iri_) if local else iri_
+    for short, full in PREFIXES.items():
+        out = F.when(F.startswith(iri_, F.lit(full)), F.concat(F.lit(short), F.substr(iri_, F.lit(len(full) + 1)))).otherwise(out)
+    return out
+
+
+def escaped(text: Column) -> Column:
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for char, letter in ESCAPES:
+        out = F.replace(out, F.lit(char), F.lit(f"\\{letter}"))
+    return out
+
 
+def unescaped(text: Column) -> Column:
+    """Escapes of a literal undone. Escaped backslashes part the text first, so that what follows one is no escape."""
 
-def inherit_types(types: DataFrame, subclasses: DataFrame) -> DataFrame:
-    up = types.join(subclasses.toDF("o", "super"), "o").select("s", "p", F.col("super").alias("o"))
-    return types.select("s", "p", "o").union(up).distinct()
+    def coded(part: Column, mark: str, digits: int, charset: str) -> Column:
+        first = lambda x: F.decode(F.unhex(F.substr(x, F.lit(1), F.lit(digits))), charset)
+        return F.array_join(F.transform(F.split(part, rf"\\{mark}"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(first(x), F.substr(x, F.lit(digits + 1))))), "")
+
+    def plain(part: Column) -> Column:
+        out = coded(coded(part, "u", 4, "UTF-16BE"), "U", 8, "UTF-32")
+        for char, letter in [*ESCAPES, ("'", "'")]:
+            out = F.replace(out, F.lit(f"\\{letter}"), F.lit(char))
+        return out
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), lambda part: plain(part)), "\\")
+
+
+def ntriples(triples: DataFrame) -> DataFrame:
+    """line: each triple in N-Triples, literals escaped, with their datatype, or their language where there is a column
+    o_lang and it isn't null. Strings are written plainly."""
+    lang = F.concat(F.lit("@"), F.col("o_lang")) if "o_lang" in triples.columns else F.lit(None).cast("string")
+    kind = F.when(F.col("o_datatype") != "xsd:string", F.concat(F.lit("^^<"), long_name(F.col("o_datatype")), F.lit(">")))
+    text = F.concat(F.lit('"'), escaped(F.col("o")), F.lit('"'), F.coalesce(lang, kind, F.lit("")))
+    node = lambda c: F.when(F.startswith(c, F.lit("_:")), c).otherwise(F.concat(F.lit("<"), long_name(c), F.lit(">")))
+    obj = F.when(F.col("o_kind") == "iri", node(F.col("o"))).otherwise(text)
+    return triples.select(F.concat(node(F.col("s")), F.lit(" <"), long_name(F.col("p")), F.lit("> "), obj, F.lit(" .")).alias("line"))
+
+
+# A statement of N-Triples; subject, predicate, then an IRI or node, or a literal with datatype or language.
+STATEMENT = r'^\s*(<[^>]*>|_:\S+)\s*<([^>]*)>\s*(?:(<[^>]*>|_:[^\s"]*[^\s".])|"((?:[^"\\]|\\.)*+)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
+
+
+def parsed(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """s, p, o, o_kind, o_datatype, o_lang of the statements among the lines of a column `value`; blank lines and comments
+    are skipped. A line stands for itself, so files are split anywhere between lines. strict: any other line is an error,
+    else it is left out."""
+    part = lambda i: F.regexp_extract("value", STATEMENT, i)
+    said = lines.where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    good = F.col("value").rlike(STATEMENT)
+    if strict:
+        said = said.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no statement: "), F.col("value"))).cast("string")))
+    else:
+        said = said.where(good)
+    node = lambda x: short_name(F.when(F.startswith(x, F.lit("<")), F.regexp_replace(x, "^<|>$", "")).otherwise(x), False)
+    iri_ = part(3) != ""
+    kind = F.when(part(6) != "", "rdf:langString").when(part(5) != "", short_name(part(5), False)).otherwise("xsd:string")
+    return said.select(
+        node(part(1)).alias("s"), short_name(part(2), True).alias("p"), F.when(iri_, node(part(3))).otherwise(unescaped(part(4))).alias("o"), F.when(iri_, "iri").otherwise("literal").alias("o_kind"),
+        F.when(~iri_, kind).alias("o_datatype"), F.nullif(part(6), F.lit("")).alias("o_lang"),
+    )
 
 
 REPORT = ["focus", "path", "value", "component", "severity", "message"]
 
 
-def _report(rows: DataFrame, focus: Column, path: str, value: Column, component: str, severity: str = "Violation", message: str = "") -> DataFrame:
+def _on(path: str | list[str]) -> Column:
+    return F.col("p").isin(*([path] if isinstance(path, str) else path))
+
+
+def _report(rows: DataFrame, focus: Column, path: str | list[str], value: Column, component: str, severity: str = "Violation", message: str = "") -> DataFrame:
+    path = path if isinstance(path, str) else "|".join(path)
     return rows.select(focus.alias("focus"), F.lit(path).alias("path"), value.cast("string").alias("value"), F.lit(component).alias("component"), F.lit(severity).alias("severity"), F.lit(message or f"{component} of {path}").alias("message"))
 
 
@@ -124,14 +180,14 @@ def targets(triples: DataFrame, cls: str) -> DataFrame:
 
 
 def chk_count(triples: DataFrame, focus: DataFrame, path: str, least: int | None = None, most: int | None = None, severity: str = "Violation") -> DataFrame:
-    n = triples.where(F.col("p") == path).groupBy("s").agg(F.count("*").alias("n"))
+    n = triples.where(_on(path)).groupBy("s").agg(F.count("*").alias("n"))
     own = focus.join(n, "s", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     bad = own.where(F.col("n") < least) if least is not None else own.where(F.col("n") > most)
     return _report(bad, F.col("s"), path, F.col("n"), "minCount" if least is not None else "maxCount", severity)
 
 
 def chk_value(triples: DataFrame, focus: DataFrame, path: str, bad: Column, component: str, severity: str = "Violation") -> DataFrame:
-    own = triples.where(F.col("p") == path).join(focus, "s", "left_semi")
+    own = triples.where(_on(path)).join(focus, "s", "left_semi")
     return _report(own.where(bad), F.col("s"), path, F.col("o"), component, severity)
 
 
@@ -162,13 +218,13 @@ def chk_range(triples, focus, path, least=None, most=None, severity="Violation")
 
 
 def chk_class(triples: DataFrame, focus: DataFrame, path: str, cls: str) -> DataFrame:
-    own = triples.where(F.col("p") == path).join(focus, "s", "left_semi")
+    own = triples.where(_on(path)).join(focus, "s", "left_semi")
     bad = own.join(targets(triples, cls).select(F.col("s").alias("o")), "o", "left_anti")
     return _report(bad, F.col("s"), path, F.col("o"), "class")
 
 
 def chk_unique(triples: DataFrame, path: str) -> DataFrame:
-    own = triples.where(F.col("p") == path).select("s", "o").distinct()
+    own = triples.where(_on(path)).select("s", "o").distinct()
     twice = own.groupBy("o").agg(F.count("*").alias("n")).where("n > 1")
     return _report(own.join(twice, "o"), F.col("s"), path, F.col("o"), "unique")
 
@@ -202,9 +258,3 @@ def chk_label_argmax(triples: DataFrame) -> DataFrame:
     rows = probabilities(triples).where(pos.isNotNull() & neu.isNotNull() & neg.isNotNull())
     return _report(rows.where(F.col("label") != best), F.col("s"), "label", F.col("label"), "argmax")
 
-
-def conformance(reports: list[DataFrame]) -> DataFrame:
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
-    return out.agg((F.count("*") == 0).alias("conforms"), F.count("*").alias("results"), F.count_if(F.col("severity") == "Violation").alias("violations"), F.count_if(F.col("severity") == "Warning").alias("warnings"))

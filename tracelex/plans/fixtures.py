@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelex.operators.graph import BASE
+
 VOCABULARY = [
     ("Alpha", "ai", 0), ("Alpha", "ing", 1), ("Alpha", "tion", 2), ("Beta", "ble", 3), ("Beta", "that", 4), ("Beta", "this", 5),
     ("Gamma", "thing", 6), ("Gamma", "from", 7), ("Delta", "than", 8), ("Delta", "then", 9), ("Delta", "with", 10),
@@ -75,3 +77,73 @@ def modules(spark: SparkSession) -> DataFrame:
 
 def selection(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, i) for i, f in enumerate(SELECTED)], "feature string, ord int")
+
+
+#: What the schema of posts states; classes of places come from the tables.
+SCHEMA = [
+    ("Post", "rdfs:subClassOf", "Document"), ("Document", "rdfs:subClassOf", "Resource"), ("Author", "rdfs:subClassOf", "Agent"), ("Agent", "rdfs:subClassOf", "Resource"),
+    ("author", "rdfs:subPropertyOf", "creator"), ("creator", "rdfs:subPropertyOf", "contributor"), ("contributor", "rdfs:range", "Agent"), ("author", "rdfs:range", "Author"),
+    ("creator", "rdfs:domain", "Document"), ("topic", "rdfs:subPropertyOf", "relation"), ("topic", "rdfs:range", "Topic"), ("label", "rdfs:range", "Sentiment"),
+]
+
+
+def schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s, p, o: the statements above, and a class for each nation and region, nations below regions, regions below Place."""
+    cls = lambda x: F.when(F.col(x).rlike("^[A-Z]"), F.concat(F.lit(BASE), x)).otherwise(F.col(x)).alias(x)
+    stated = spark.createDataFrame(SCHEMA, "s string, p string, o string").select(cls("s"), "p", cls("o"))
+    place = lambda kind, x: F.concat(F.lit(f"{BASE}{kind}_"), F.col(x).cast("string"))
+    nations = table(spark, sf_dir, "nation").select(place("nation", "n_nationkey"), F.lit("rdfs:subClassOf"), place("region", "n_regionkey"))
+    regions = table(spark, sf_dir, "region").select(place("region", "r_regionkey"), F.lit("rdfs:subClassOf"), F.lit(f"{BASE}Place"))
+    return stated.union(nations).union(regions)
+
+
+def customer_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers typed by their nation."""
+    name = lambda kind, x: F.concat(F.lit(f"{BASE}{kind}_"), F.col(x).cast("string"))
+    return table(spark, sf_dir, "customer").select(
+        name("customer", "c_custkey").alias("s"), F.lit("rdf:type").alias("p"), name("nation", "c_nationkey").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype")
+    )
+
+
+def damaged_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of all documents in which every kind of check finds some that pass and some that fail."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").join(labels(spark, sf_dir), "doc_id", "left")
+    n, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    every = lambda k: n % k == 0
+    post, author, topic = (F.concat(F.lit(f"{BASE}{kind}_"), x) for kind, x in (("post", text), ("author", (n % 97).cast("string")), ("topic", F.col("source"))))
+    tenth = lambda x: (x / 10).cast("decimal(3,1)").cast("string")
+    a, b = n % 5, n % 4
+
+    def row(p, o, kind="iri", dt=None):
+        dt = dt if not isinstance(dt, str) and dt is not None else F.lit(dt).cast("string")
+        return F.struct(post.alias("s"), F.lit(p).alias("p") if isinstance(p, str) else p.alias("p"), o.alias("o"), (F.lit(kind) if isinstance(kind, str) else kind).alias("o_kind"), dt.alias("o_datatype"))
+
+    lit = "literal"
+    made = F.array(
+        row("rdf:type", F.lit(f"{BASE}Post")),
+        row("identifier", F.when(every(31), "0").when(every(23), F.concat(F.lit("ID "), text)).otherwise(text), lit, "xsd:string"),
+        row("created", F.when(~every(13), F.lit("2024-01-01T00:00:00")), lit, F.when(every(11), "xsd:date").otherwise("xsd:dateTime")),
+        row("author", author, F.when(every(29), lit).otherwise("iri"), F.when(every(29), "xsd:string")),
+        row("topic", F.when(~every(37), topic)),
+        row("language", F.col("lang"), lit, "xsd:string"), row("language", F.when(every(17), F.lit("xx")), lit, "xsd:string"),
+        row("length", F.length(F.trim("text")).cast("string"), lit, F.when(every(19), "xsd:string").otherwise("xsd:integer")),
+        row("label", F.when(every(41), f"{BASE}Mixed").when(F.col("label") == 0, f"{BASE}Negative").when(F.col("label") == 1, f"{BASE}Neutral").when(F.col("label") == 2, f"{BASE}Positive")),
+        row("probPos", F.when(every(43), F.lit("1.5")).otherwise(tenth(a)), lit, "xsd:decimal"), row("probNeu", tenth(b), lit, "xsd:decimal"),
+        row("probNeg", tenth(F.when(every(7), 11 - a - b).otherwise(10 - a - b)), lit, "xsd:decimal"),
+        row("intensity", F.when(every(2), F.when(every(6), F.lit("1.2")).otherwise("0.5")), lit, "xsd:decimal"),
+        row("term", F.when(every(3), F.lit("x")), lit, "xsd:string"),
+        row(F.when(every(2), "about").otherwise("belongs"), F.get(F.array(*[F.lit(f"{BASE}{c}") for c in CONCEPTS]), (n % 4).cast("int"))),
+    )
+    own = d.select(F.explode(made).alias("t")).select("t.*").where("o is not null")
+    types = d.select(F.explode(F.array(F.struct(author.alias("s"), F.lit(f"{BASE}Author").alias("o")), F.struct(F.when(F.length("source") % 2 == 0, topic).alias("s"), F.lit(f"{BASE}Topic").alias("o")))).alias("t")).select("t.*").where("s is not null").distinct()
+    none = F.lit(None).cast("string")
+    shared = types.select("s", F.lit("rdf:type"), "o", F.lit("iri"), none)
+    fixed = spark.createDataFrame([(f"{BASE}{s}", p, o if ":" in o else f"{BASE}{o}", kind, None) for s, p, o, kind in FIXED], own.schema)
+    return own.union(shared).union(fixed)
+
+
+#: Feelings of which one has no type, and concepts: in the scheme, in a literal, in none, and in it but no concept.
+FIXED = [
+    ("Positive", "rdf:type", "Sentiment", "iri"), ("Neutral", "rdf:type", "Sentiment", "iri"), ("Alpha", "rdf:type", "skos:Concept", "iri"), ("Beta", "rdf:type", "skos:Concept", "iri"),
+    ("Gamma", "rdf:type", "skos:Concept", "iri"), ("Alpha", "skos:inScheme", "Domain", "iri"), ("Beta", "skos:inScheme", "Domain", "literal"), ("Delta", "skos:inScheme", "Domain", "iri"),
+]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
-from tracelex.operators import audit, dictionary, enrich, graph, lexicon, measure, models, sensitivity, tables
+from tracelex.operators import audit, dictionary, enrich, graph, inference, lexicon, measure, models, sensitivity, shapes, tables
 from tracelex.plans import fixtures as X
 from tracelex.sources import files
 
@@ -171,8 +171,21 @@ add("sink_csv_union", lambda s, d: s.read.option("header", True).schema("lang st
 add("sink_report_json", lambda s, d: s.read.schema("docs long, langs long").json(files.write_report(docs(s, d).agg(F.count("*").alias("docs"), F.count_distinct("lang").alias("langs")), files.scratch(s))),
     "SELECT count(*) AS docs, count(DISTINCT lang) AS langs FROM documents")
 FULL = lambda c: f"CASE WHEN {c} LIKE 'http%' THEN {c} ELSE '{BASE}' || replace({c}, ':', '_') END"
-add("sink_ntriples", lambda s, d: s.read.text(files.write_lines(graph.ntriples(triples(s, d)), files.scratch(s))).withColumnRenamed("value", "line"),
-    f"""WITH {TRIPLES} SELECT '<' || {FULL('s')} || '> <' || {FULL('p')} || '> ' || CASE WHEN o_kind = 'iri' THEN '<' || {FULL('o')} || '>' ELSE '"' || replace(replace(o, '\\', '\\\\'), '"', '\\"') || '"' END || ' .' AS line FROM tr""".replace("'\\\\\\\\'", "'\\\\\\\\'"))
+_LONG = lambda c: "CASE " + " ".join(f"WHEN starts_with({c}, '{a}') THEN '{b}' || substr({c}, {len(a) + 1})" for a, b in graph.PREFIXES.items()) + f" WHEN regexp_matches({c}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {c} ELSE '{BASE}' || {c} END"
+_ESC = "replace(replace(replace(replace(replace(o, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), '\"', '\\\"')"
+# Beside the posts' triples, the texts themselves with their language: white space, quotes and backslashes of all kinds.
+TEXTS_G = f"tt AS (SELECT s, p, o, o_kind, o_datatype, NULL AS o_lang FROM tr UNION ALL SELECT '{BASE}post_' || doc_id, 'text', '\"' || text || '\\n' || chr(10) || chr(9) || '\\', 'literal', 'rdf:langString', lang FROM documents WHERE text IS NOT NULL)"
+
+
+def text_triples(s, d):
+    said = F.concat(F.lit('"'), "text", F.lit("\\n\n\t\\"))
+    texts = docs(s, d).where("text is not null").select(F.concat(F.lit(f"{BASE}post_"), F.col("doc_id").cast("string")), F.lit("text"), said, F.lit("literal"), F.lit("rdf:langString"), "lang")
+    return triples(s, d).withColumn("o_lang", F.lit(None).cast("string")).union(texts)
+
+
+add("sink_ntriples", lambda s, d: s.read.text(files.write_lines(graph.ntriples(text_triples(s, d)), files.scratch(s))).withColumnRenamed("value", "line"),
+    f"""WITH {TRIPLES}, {TEXTS_G} SELECT '<' || {_LONG('s')} || '> <' || {_LONG('p')} || '> ' || CASE WHEN o_kind = 'iri' THEN '<' || {_LONG('o')} || '>' ELSE '"' || {_ESC} || '"' || CASE WHEN o_lang IS NOT NULL THEN '@' || o_lang WHEN o_datatype <> 'xsd:string' THEN '^^<' || {_LONG('o_datatype')} || '>' ELSE '' END END || ' .' AS line FROM tt""")
+add("scan_ntriples", lambda s, d: files.read_ntriples(s, files.write_lines(graph.ntriples(text_triples(s, d)), files.scratch(s))), f"WITH {TRIPLES}, {TEXTS_G} SELECT * FROM tt")
 
 # Projections and filters.
 add("combine_text_space", lambda s, d: X.posts(s, d).select("id", T.combine(F.col("topic"), F.col("body")).alias("text")), f"WITH {POSTS} SELECT id, trim(coalesce(topic, '') || ' ' || coalesce(body, '')) AS text FROM posts")
@@ -359,53 +372,121 @@ add("concept_assertions", assertions, f"WITH {ASSERT} SELECT * FROM ca")
 query(f"WITH {TRACE} SELECT id, split, post_iri, feature, module, concept, round(value, 6) AS value FROM tm", "trace_map")(trace)
 add("graph_report", lambda s, d: triples(s, d).select("s", "p").union(assertions(s, d).select("s", "p")).agg(F.count("*").alias("triples"), F.count_if(F.col("p") == "about").alias("assertions"), F.count_distinct(F.when(F.col("p") == "identifier", F.col("s"))).alias("posts")),
     f"WITH {TRIPLES}, {ASSERT} SELECT (SELECT count(*) FROM tr) + (SELECT count(*) FROM ca) AS triples, (SELECT count(*) FROM ca) AS assertions, (SELECT count(DISTINCT s) FROM tr WHERE p = 'identifier') AS posts")
-SCHEMA_ROWS = [(f"{BASE}Post", graph.SUBCLASS, f"{BASE}Document"), (f"{BASE}Document", graph.SUBCLASS, f"{BASE}Resource"), (f"{BASE}Author", graph.SUBCLASS, f"{BASE}Agent"), (f"{BASE}Agent", graph.SUBCLASS, f"{BASE}Resource"),
-               ("author", graph.DOMAIN, f"{BASE}Post"), ("author", graph.RANGE, f"{BASE}Author"), ("topic", graph.RANGE, f"{BASE}Topic")]
-schema = lambda s: s.createDataFrame(SCHEMA_ROWS, "s string, p string, o string")
-SCH = "sch(s, p, o) AS (VALUES " + ", ".join(map(str, SCHEMA_ROWS)) + ")"
-CLO = SCH + ", cl AS (SELECT s, o FROM sch WHERE p = 'rdfs:subClassOf' UNION SELECT cl.s, sch.o FROM cl JOIN sch ON sch.s = cl.o AND sch.p = 'rdfs:subClassOf')"
-closed = lambda s: graph.closure(schema(s), graph.SUBCLASS)
-add("rdfs_subclass_closure", lambda s, d: graph.targets(triples(s, d), f"{BASE}Post").agg(F.count("*").alias("n")).join(closed(s), F.lit(True)).select("s", "o", "n"), f"WITH RECURSIVE {FOCUS}, {CLO} SELECT cl.s, cl.o, (SELECT count(*) FROM fo) AS n FROM cl")
-add("rdfs_domain_range", lambda s, d: graph.domain_range(triples(s, d), schema(s)), f"WITH {TRIPLES} SELECT DISTINCT s, 'rdf:type' AS p, '{BASE}Post' AS o FROM tr WHERE p = 'author' UNION SELECT o, 'rdf:type', '{BASE}Author' FROM tr WHERE p = 'author' UNION SELECT o, 'rdf:type', '{BASE}Topic' FROM tr WHERE p = 'topic'")
-add("rdfs_type_inherit", lambda s, d: graph.inherit_types(triples(s, d).where(F.col("p") == graph.RDF_TYPE), closed(s)), f"WITH RECURSIVE {TRIPLES}, {CLO} SELECT s, p, o FROM tr WHERE p = 'rdf:type' UNION SELECT tr.s, 'rdf:type', cl.o FROM tr JOIN cl ON cl.s = tr.o WHERE p = 'rdf:type'")
-query(f"WITH {TRACE}, {SEL} SELECT id, feature, sel.feature IS NOT NULL AS used FROM tm LEFT JOIN sel USING (feature)", "trace_join_used")(lambda s, d: trace(s, d).join(X.selection(s).select("feature", F.lit(True).alias("used")), "feature", "left").select("id", "feature", F.coalesce("used", F.lit(False)).alias("used")))
+_iri = lambda x: f"{BASE}{x}" if x[0].isupper() else x
+SCH = "sch(p, s, o) AS (VALUES " + ", ".join(f"('{p}', '{_iri(a)}', '{_iri(b)}')" for a, p, b in X.SCHEMA) + f""" UNION ALL SELECT 'rdfs:subClassOf', '{BASE}nation_' || n_nationkey, '{BASE}region_' || n_regionkey FROM nation
+  UNION ALL SELECT 'rdfs:subClassOf', '{BASE}region_' || r_regionkey, '{BASE}Place' FROM region)"""
+CLO = SCH + ", rule(a, b, c) AS (VALUES " + ", ".join(map(str, inference.RULES)) + "), cl AS (SELECT * FROM sch UNION SELECT c, cl.s, sch.o FROM cl JOIN rule ON a = cl.p JOIN sch ON sch.p = b AND sch.s = cl.o)"
 
-# Constraint checks.
-REP = lambda where, path, comp, value="o", sev="Violation": f"WITH {FOCUS} SELECT s AS focus, '{path}' AS path, CAST({value} AS VARCHAR) AS value, '{comp}' AS component, '{sev}' AS severity, '{comp} of {path}' AS message FROM {where}"
-own = lambda p: f"(SELECT * FROM tr WHERE p = '{p}' AND s IN (SELECT s FROM fo))"
-cnt = lambda p: f"(SELECT fo.s, count(tr.s) AS n FROM fo LEFT JOIN tr ON tr.s = fo.s AND tr.p = '{p}' GROUP BY 1)"
 
+def entailed_sql(facts: str) -> str:
+    return f"""SELECT f.s, cl.o AS p, f.o, o_kind, o_datatype FROM {facts} f JOIN cl ON cl.p = 'rdfs:subPropertyOf' AND cl.s = f.p
+UNION SELECT f.s, 'rdf:type', cl.o, 'iri', NULL FROM {facts} f JOIN cl ON cl.p = 'rdfs:domain' AND cl.s = f.p
+UNION SELECT f.o, 'rdf:type', cl.o, 'iri', NULL FROM {facts} f JOIN cl ON cl.p = 'rdfs:range' AND cl.s = f.p WHERE o_kind = 'iri'
+UNION SELECT f.s, 'rdf:type', cl.o, 'iri', NULL FROM {facts} f JOIN cl ON cl.p = 'rdfs:subClassOf' AND cl.s = f.o WHERE f.p = 'rdf:type'"""
 
-def check(name, f, sql):
-    add(name, lambda s, d: (lambda t: f(t, focus(t)))(triples(s, d)), sql)
-
-
-check("chk_min_count", lambda t, o: graph.chk_count(t, o, "label", least=1, severity="Warning"), REP(cnt("label") + " WHERE n < 1", "label", "minCount", "n", "Warning"))
-check("chk_max_count", lambda t, o: graph.chk_count(t.union(t.where("p = 'topic' and s like '%7'").withColumn("o", F.lit("x"))), o, "topic", most=1), REP("(SELECT s, 2 AS n FROM fo WHERE s LIKE '%7')", "topic", "maxCount", "n"))
-check("chk_datatype", lambda t, o: graph.chk_datatype(t, o, "created", "xsd:date"), REP(own("created"), "created", "datatype"))
-check("chk_pattern", lambda t, o: graph.chk_pattern(t, o, "identifier", "^[0-9]{1,2}$"), REP(own("identifier") + " WHERE NOT regexp_matches(o, '^[0-9]{1,2}$')", "identifier", "pattern"))
-check("chk_in", lambda t, o: graph.chk_in(t, o, "language", ["en", "es"]), REP(own("language") + " WHERE o NOT IN ('en', 'es')", "language", "in"))
-check("chk_node_kind", lambda t, o: graph.chk_node_kind(t, o, "language"), REP(own("language") + " WHERE o_kind <> 'iri'", "language", "nodeKind"))
-check("chk_class", lambda t, o: graph.chk_class(t, o, "label", f"{BASE}Sentiment"), REP(own("label"), "label", "class"))
-check("chk_range", lambda t, o: graph.chk_range(t, o, "length", 100, 10000), REP(own("length") + " WHERE TRY_CAST(o AS BIGINT) NOT BETWEEN 100 AND 10000", "length", "range"))
-PROBS = FEAT + ", " + LAB + f""", pr AS (SELECT '{BASE}post_' || doc_id AS s, ont_alpha / (ont_alpha + ont_beta + 1) AS pp, ont_beta / (ont_alpha + ont_beta + 1) AS pn, CASE WHEN doc_id % 7 = 0 THEN 0.5 ELSE 1 / (ont_alpha + ont_beta + 1) END AS pg, label FROM feat JOIN lab USING (doc_id))"""
-
-
-def probs(s, d):
-    f = features(s, d).join(X.labels(s, d), "doc_id")
-    n = F.col("ont_alpha") + F.col("ont_beta") + 1
-    rows = {"probPos": F.col("ont_alpha") / n, "probNeu": F.col("ont_beta") / n, "probNeg": F.when(F.col("doc_id") % 7 == 0, 0.5).otherwise(1 / n)}
-    lits = [F.struct(F.lit(k).alias("p"), v.cast("string").alias("o")) for k, v in rows.items()] + [F.struct(F.lit("label").alias("p"), graph.label_iri(F.col("label")).alias("o"))]
-    return f.select(graph.iri("post", F.col("doc_id").cast("string")).alias("s"), F.explode(F.array(*lits)).alias("x")).select("s", "x.p", "x.o")
 
+CUSTOMERS = f"cu AS (SELECT '{BASE}customer_' || c_custkey AS s, 'rdf:type' AS p, '{BASE}nation_' || c_nationkey AS o, 'iri' AS o_kind, NULL AS o_datatype FROM customer), fa AS (SELECT * FROM tr UNION ALL SELECT * FROM cu)"
+facts = lambda s, d: triples(s, d).union(X.customer_triples(s, d))
+add("rdfs_subclass_closure", lambda s, d: inference.closed(X.schema(s, d)), f"WITH RECURSIVE {CLO} SELECT p, s, o FROM cl")
+add("rdfs_domain_range", lambda s, d: inference.inferred(facts(s, d), X.schema(s, d).where(F.col("p") != graph.SUBCLASS), False).where(F.col("p") == graph.RDF_TYPE).select("s", "p", "o").distinct(),
+    f"WITH RECURSIVE {TRIPLES}, {CUSTOMERS}, {CLO}, e AS ({entailed_sql('fa')}) SELECT DISTINCT s, p, o FROM e WHERE p = 'rdf:type'".replace("SELECT * FROM sch UNION", "SELECT * FROM sch WHERE p <> 'rdfs:subClassOf' UNION").replace("sch.p = b AND", "sch.p = b AND sch.p <> 'rdfs:subClassOf' AND"))
+add("rdfs_type_inherit", lambda s, d: inference.inferred(facts(s, d), X.schema(s, d)), f"WITH RECURSIVE {TRIPLES}, {CUSTOMERS}, {CLO} SELECT * FROM fa UNION {entailed_sql('fa')}")
+query(f"WITH {TRACE}, {SEL} SELECT id, feature, sel.feature IS NOT NULL AS used FROM tm LEFT JOIN sel USING (feature)", "trace_join_used")(lambda s, d: trace(s, d).join(X.selection(s).select("feature", F.lit(True).alias("used")), "feature", "left").select("id", "feature", F.coalesce("used", F.lit(False)).alias("used")))
 
-add("chk_prob_sum", lambda s, d: graph.chk_prob_sum(probs(s, d)).select("focus", "component"), f"WITH {PROBS} SELECT s AS focus, 'probSum' AS component FROM pr WHERE abs(pp + pn + pg - 1) > 0.02")
-add("chk_label_argmax", lambda s, d: graph.chk_label_argmax(probs(s, d)).select("focus", "value"), f"WITH {PROBS} SELECT s AS focus, '{BASE}' || ['Negative', 'Neutral', 'Positive'][label + 1] AS value FROM pr WHERE label <> CASE WHEN pp >= pn AND pp >= pg THEN 2 WHEN pn >= pg THEN 1 ELSE 0 END")
-check("chk_implies", lambda t, o: graph.chk_implies(t, "identifier", "label"), REP("(SELECT s, NULL AS o FROM fo WHERE s NOT IN (SELECT s FROM tr WHERE p = 'label'))", "label", "implies"))
-add("chk_concept_scheme", lambda s, d: graph.chk_scheme(assertions(s, d), ["about"], s.createDataFrame([(f"{BASE}{c}",) for c in X.CONCEPTS[:3]], "o string")), f"WITH {ASSERT} SELECT s AS focus, 'about' AS path, o AS value, 'scheme' AS component, 'Violation' AS severity, 'scheme of about' AS message FROM ca WHERE o = '{BASE}Delta'")
-check("chk_concept_has_scheme", lambda t, o: graph.chk_count(t, o, "topic", least=1).unionByName(graph.chk_node_kind(t, o, "created")), REP(own("created"), "created", "nodeKind"))
-add("conformance_report", lambda s, d: (lambda t: graph.conformance([graph.chk_count(t, focus(t), "label", least=1, severity="Warning"), graph.chk_in(t, focus(t), "language", ["en", "es"])]))(stage(s, triples(s, d))),
-    f"WITH {FOCUS}, a AS (SELECT count(*) AS w FROM {cnt('label')} WHERE n < 1), b AS (SELECT count(*) AS v FROM {own('language')} WHERE o NOT IN ('en', 'es')) SELECT w + v = 0 AS conforms, w + v AS results, v AS violations, w AS warnings FROM a, b")
+# Constraint checks, on a graph in which each finds some that pass and some that fail.
+_lab = f"CASE WHEN doc_id % 41 = 0 THEN '{BASE}Mixed' WHEN label = 0 THEN '{BASE}Negative' WHEN label = 1 THEN '{BASE}Neutral' WHEN label = 2 THEN '{BASE}Positive' END"
+_every = lambda k, yes, no="NULL": f"CASE WHEN doc_id % {k} = 0 THEN {yes} ELSE {no} END"
+_tenth = lambda x: f"CAST(({x}) / 10.0 AS DECIMAL(3, 1))::VARCHAR"
+DAMAGED = LAB + ", dd AS (SELECT d.*, lab.label FROM documents d LEFT JOIN lab USING (doc_id)), dg AS (SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{BASE}post_' || doc_id AS s, {p} AS p, {o} AS o, {kind} AS o_kind, {dt} AS o_datatype FROM dd" for p, o, kind, dt in [
+        ("'rdf:type'", f"'{BASE}Post'", "'iri'", "NULL"), ("'identifier'", _every(31, "'0'", _every(23, "'ID ' || doc_id", "doc_id::VARCHAR")), "'literal'", "'xsd:string'"),
+        ("'created'", _every(13, "NULL", "'2024-01-01T00:00:00'"), "'literal'", _every(11, "'xsd:date'", "'xsd:dateTime'")), ("'author'", f"'{BASE}author_' || (doc_id % 97)", _every(29, "'literal'", "'iri'"), _every(29, "'xsd:string'")),
+        ("'topic'", _every(37, "NULL", f"'{BASE}topic_' || source"), "'iri'", "NULL"), ("'language'", "lang", "'literal'", "'xsd:string'"), ("'language'", _every(17, "'xx'"), "'literal'", "'xsd:string'"),
+        ("'length'", "length(trim(text))::VARCHAR", "'literal'", _every(19, "'xsd:string'", "'xsd:integer'")), ("'label'", _lab, "'iri'", "NULL"),
+        ("'probPos'", _every(43, "'1.5'", _tenth("doc_id % 5")), "'literal'", "'xsd:decimal'"), ("'probNeu'", _tenth("doc_id % 4"), "'literal'", "'xsd:decimal'"),
+        ("'probNeg'", _tenth("10 - doc_id % 5 - doc_id % 4 + (doc_id % 7 = 0)::INTEGER"), "'literal'", "'xsd:decimal'"), ("'intensity'", _every(2, _every(6, "'1.2'", "'0.5'")), "'literal'", "'xsd:decimal'"),
+        ("'term'", _every(3, "'x'"), "'literal'", "'xsd:string'"), (_every(2, "'about'", "'belongs'"), f"'{BASE}' || {X.CONCEPTS}[doc_id % 4 + 1]", "'iri'", "NULL"),
+    ]) + f""" UNION ALL SELECT DISTINCT '{BASE}author_' || (doc_id % 97), 'rdf:type', '{BASE}Author', 'iri', NULL FROM dd UNION ALL SELECT DISTINCT '{BASE}topic_' || source, 'rdf:type', '{BASE}Topic', 'iri', NULL FROM dd WHERE length(source) % 2 = 0
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"('{BASE}{a}', '{p}', '{o if ':' in o else BASE + o}', '{k}', NULL)" for a, p, o, k in X.FIXED)}) v) WHERE o IS NOT NULL)"""
+damaged_graph = lambda s, d: stage(s, X.damaged_triples(s, d))
+SHAPES = shapes.standard()
+
+
+def results_sql(g: str, shape: shapes.Shape, component: str) -> str:
+    """Focus and value of each result of a check, over the triples of a table."""
+    focus_, path = f"(SELECT DISTINCT s FROM {g} WHERE p = 'rdf:type' AND o = '{shape.target}')", "(" + ", ".join(f"'{p}'" for p in shape.path) + ")"
+    mine = f"(SELECT * FROM {g} WHERE p IN {path} AND s IN {focus_})"
+    count = f"(SELECT f.s, count(t.s) AS n FROM {focus_} f LEFT JOIN {g} t ON t.s = f.s AND t.p IN {path} GROUP BY 1)"
+    typed = lambda cls: f"SELECT s FROM {g} WHERE p = 'rdf:type' AND o = '{cls}'"
+    values = lambda where: f"SELECT s, o FROM {mine} m WHERE {where}"
+    if component == "minCount":
+        return f"SELECT s, n::VARCHAR AS o FROM {count} WHERE n < {shape.least}"
+    if component == "maxCount":
+        return f"SELECT s, n::VARCHAR AS o FROM {count} WHERE n > {shape.most}"
+    if component == "datatype":
+        return values(f"coalesce(o_datatype, '') <> '{shape.datatype}'")
+    if component == "pattern":
+        return values(f"NOT regexp_matches(o, '{shape.pattern}')")
+    if component == "in":
+        return values("o NOT IN (" + ", ".join(f"'{x}'" for x in shape.one_of) + ")")
+    if component == "nodeKind":
+        return values("o_kind <> 'iri'")
+    if component == "range":
+        low, high = ("-1e30" if shape.low is None else shape.low), ("1e30" if shape.high is None else shape.high)
+        return values(f"TRY_CAST(o AS DOUBLE) IS NULL OR TRY_CAST(o AS DOUBLE) < {low} OR TRY_CAST(o AS DOUBLE) > {high}")
+    if component == "class":
+        return values(f"o_kind <> 'iri' OR o NOT IN ({typed(shape.cls)})")
+    if component == "scheme":
+        return values(f"o_kind <> 'iri' OR o NOT IN ({typed('skos:Concept')}) OR o NOT IN (SELECT s FROM {g} WHERE p = 'skos:inScheme' AND o = '{shape.scheme}')")
+    if component == "unique":
+        return f"SELECT DISTINCT s, o FROM {mine} WHERE o IN (SELECT o FROM {g} WHERE p IN {path} GROUP BY o HAVING count(DISTINCT s) > 1)"
+    if component == "implies":
+        return f"SELECT DISTINCT s, NULL AS o FROM {mine} WHERE s NOT IN (SELECT s FROM {g} WHERE p = '{shape.implies}')"
+    probs = f"(SELECT s, max(o::DECIMAL(18, 6)) FILTER (p = 'probPos') AS pp, max(o::DECIMAL(18, 6)) FILTER (p = 'probNeu') AS pn, max(o::DECIMAL(18, 6)) FILTER (p = 'probNeg') AS pg, max(l) AS l FROM (SELECT s, p, CASE WHEN p LIKE 'prob%' THEN o END AS o, CASE WHEN p = 'label' THEN o END AS l FROM {g}) WHERE s IN {focus_} GROUP BY 1)"
+    if component == "probSum":
+        return f"SELECT s, NULL AS o FROM {probs} WHERE abs(pp + pn + pg - 1) > 0.02"
+    return f"SELECT s, l AS o FROM {probs} WHERE pp IS NOT NULL AND pn IS NOT NULL AND pg IS NOT NULL AND l <> CASE WHEN pp >= pn AND pp >= pg THEN '{BASE}Positive' WHEN pn >= pp AND pn >= pg THEN '{BASE}Neutral' ELSE '{BASE}Negative' END"
+
+
+def found_sql(component: str, path: str) -> str:
+    """All results of one check of the standard shapes on the damaged graph."""
+    shape = next(x for x in SHAPES if component in x.components and "|".join(x.path) == path)
+    return f"WITH {DAMAGED} SELECT s AS focus, '{path}' AS path, o AS value, '{component}' AS component, '{shape.severity}' AS severity, '{component} of {path}' AS message FROM ({results_sql('dg', shape, component)})"
+
+
+def check(name, component, path, f, cls=f"{BASE}Post"):
+    add(name, lambda s, d: (lambda t: f(t, graph.targets(t, cls)))(damaged_graph(s, d)), found_sql(component, path))
+
+
+check("chk_min_count", "minCount", "topic", lambda t, o: graph.chk_count(t, o, "topic", least=1))
+check("chk_max_count", "maxCount", "language", lambda t, o: graph.chk_count(t, o, "language", most=1))
+check("chk_datatype", "datatype", "created", lambda t, o: graph.chk_datatype(t, o, "created", "xsd:dateTime"))
+check("chk_pattern", "pattern", "identifier", lambda t, o: graph.chk_pattern(t, o, "identifier", "^[0-9a-z]+$"))
+check("chk_in", "in", "language", lambda t, o: graph.chk_in(t, o, "language", ["es", "en"]))
+check("chk_node_kind", "nodeKind", "author", lambda t, o: graph.chk_node_kind(t, o, "author"))
+check("chk_class", "class", "label", lambda t, o: graph.chk_class(t, o, "label", f"{BASE}Sentiment"))
+check("chk_range", "range", "length", lambda t, o: graph.chk_range(t, o, "length", 40, severity="Warning"))
+add("chk_prob_sum", lambda s, d: graph.chk_prob_sum(damaged_graph(s, d)).select("focus", "component"), f"SELECT focus, component FROM ({found_sql('probSum', 'probPos|probNeu|probNeg')})")
+add("chk_label_argmax", lambda s, d: graph.chk_label_argmax(damaged_graph(s, d)).select("focus", "value"), f"SELECT focus, value FROM ({found_sql('argmax', 'probPos|probNeu|probNeg')})")
+add("chk_implies", lambda s, d: graph.chk_implies(damaged_graph(s, d), "term", "label").select("focus", "component"), f"SELECT focus, component FROM ({found_sql('implies', 'term')})")
+IN_DOMAIN = lambda t: graph.targets(t, "skos:Concept").join(t.where(f"p = 'skos:inScheme' and o = '{BASE}Domain'").select("s"), "s", "left_semi").select(F.col("s").alias("o"))
+add("chk_concept_scheme", lambda s, d: (lambda t: graph.chk_scheme(t, ["about", "belongs"], IN_DOMAIN(t)))(damaged_graph(s, d)), found_sql("scheme", "about|belongs"))
+_concept = next(x for x in SHAPES if x.target == "skos:Concept")
+add("chk_concept_has_scheme", lambda s, d: (lambda t, o: graph.chk_count(t, o, "skos:inScheme", least=1).union(graph.chk_node_kind(t, o, "skos:inScheme")))(*(lambda t: (t, graph.targets(t, "skos:Concept")))(damaged_graph(s, d))),
+    f"WITH {DAMAGED} " + " UNION ALL ".join(f"SELECT s AS focus, 'skos:inScheme' AS path, o AS value, '{c}' AS component, 'Violation' AS severity, '{c} of skos:inScheme' AS message FROM ({results_sql('dg', _concept, c)})" for c in _concept.components))
+
+
+def conformance_report(s, d):
+    """Every check on the graph of posts and on the damaged one, without and with inference."""
+    sch, out = X.schema(s, d), []
+    for name, t in (("posts", stage(s, triples(s, d))), ("damaged", damaged_graph(s, d))):
+        out += [shapes.report(t, SHAPES, sch if on else None).withColumns({"graph": F.lit(name), "inference": F.lit(on)}) for on in (False, True)]
+    return reduce(DataFrame.union, out)
+
+
+add("conformance_report", conformance_report, f"WITH RECURSIVE {TRIPLES}, {DAMAGED.replace(LAB + ', ', '')}, {CLO}, tx AS (SELECT * FROM tr UNION {entailed_sql('tr')}), dx AS (SELECT * FROM dg UNION {entailed_sql('dg')}) " + " UNION ALL ".join(
+    f"SELECT '{name}' AS graph, {on} AS inference, '{x.target}' AS target, '{'|'.join(x.path)}' AS path, '{c}' AS component, '{x.severity}' AS severity, (SELECT count(*) FROM ({results_sql(g, x, c)})) AS results"
+    for name, on, g in (("posts", "false", "tr"), ("posts", "true", "tx"), ("damaged", "false", "dg"), ("damaged", "true", "dx")) for x in SHAPES for c in x.components))
 
 # Audits.
 query(f"WITH {FEAT}, {POS} SELECT split, pos, {', '.join(f'round({f}, 6) AS {f}' for f in X.SELECTED)} FROM feat JOIN pos USING (doc_id)", "input_matrix")(lambda s, d: features(s, d).join(positions(s, d), "doc_id").select("split", "pos", *X.SELECTED))

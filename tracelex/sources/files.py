@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelex.operators import graph
+
 PREDICTION = "id string, split string, y_true int, y_pred int, model string, condition string, seed int"
 
 
@@ -83,3 +85,8 @@ def write_lines(df: DataFrame, path: str) -> str:
 def through_parquet(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """The statements of all N-Triples files below path, with their datatypes and languages."""
+    return graph.parsed(spark.read.option("recursiveFileLookup", True).text(path), strict)
