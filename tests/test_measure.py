@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelex.operators import audit, graph, measure, sensitivity, tables
+from tracelex.operators import audit, fingerprint, measure, sensitivity, tables
 from tracelex.sources import files
 
 
@@ -48,12 +48,12 @@ def test_sequence_hash_is_the_blocks_hash(spark, block):
     ids = [f"id{i}" for i in range(20)]
     rows = spark.createDataFrame([("s", x, i) for i, x in enumerate(ids)], "split string, id string, pos int").repartition(3)
     assert audit.sequence_sha256(rows, "split", "id", block=block).first().sha256 == sha([sha(ids[a : a + block]) for a in range(0, 20, block)])
-    assert audit.plain_sha256(rows, "split", "id").first().sha256 == sha(ids)
+    assert fingerprint.plain_sequences(rows, "split", "id").first().sha256 == sha(ids)
 
 
 def test_a_matrix_with_a_gap_has_no_shape(spark):
     rows = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 1.0), ("b", 2, 2.0), ("c", 0, 1.0), ("c", 0, 1.0)], "split string, pos int, x double")
-    got = {r.split: (r.n_rows, r.shape_ok) for r in audit.matrix_fingerprint(rows, ["x"], "split").collect()}
+    got = {r.split: (r.n_rows, r.shape_ok) for r in fingerprint.matrix_fingerprint(rows, ["x"], "split").collect()}
     assert got == {"a": (2, True), "b": (2, False), "c": (2, False)}
 
 

@@ -28,24 +28,6 @@ def sequence_sha256(rows: DataFrame, by: str, value: str, pos: str = "pos", bloc
     return blocks.groupBy(by).agg(F.sha2(joined("_block", "_sha"), 256).alias("sha256"))
 
 
-def plain_sha256(rows: DataFrame, by: str, value: str, pos: str = "pos") -> DataFrame:
-    """by, sha256 of the values joined by newlines in order of pos: for short sequences (feature orders, a few thousand
-    ids), which are one row each."""
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, value))), lambda x: x[value]), "\n")
-    return rows.groupBy(by).agg(F.sha2(ordered, 256).alias("sha256"))
-
-
-def matrix_fingerprint(features: DataFrame, names: list[str], by: str, pos: str = "pos") -> DataFrame:
-    """by, n_rows, shape_ok, sha256. The hash is that of a header (names and rows) and of the sequence of the rows'
-    hashes, each over the row's canonical text; the shape is right if positions run from 0 without gaps."""
-    row = F.sha2(F.concat_ws("|", *[F.format_number(F.col(n).cast("double"), 6) for n in names]), 256)
-    rows = features.select(by, pos, row.alias("_row"))
-    shape = rows.groupBy(by).agg(F.count("*").alias("n_rows"), ((F.min(pos) == 0) & (F.max(pos) == F.count("*") - 1) & (F.count_distinct(pos) == F.count("*"))).alias("shape_ok"))
-    out = sequence_sha256(rows, by, "_row", pos).join(shape, by)
-    header = F.concat(F.lit(",".join(names) + "|"), F.col("n_rows").cast("string"), F.lit("\n"))
-    return out.select(by, "n_rows", "shape_ok", F.sha2(F.concat(header, "sha256"), 256).alias("sha256"))
-
-
 def model_inputs(selected: DataFrame, coverage: DataFrame, trace: DataFrame, scope: DataFrame) -> DataFrame:
     """For each selected feature: exists (in coverage: feature, nonzero), nonzero, traced (rows of the trace), complete (all
     non-zero cells are traced), in_train (its values in scope, the splits it was selected on: feature, split, are of the

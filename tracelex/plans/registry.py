@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
-from tracelex.operators import audit, dictionary, enrich, graph, inference, lexicon, measure, models, sensitivity, shapes, tables
+from tracelex.operators import audit, dictionary, enrich, fingerprint, graph, inference, lexicon, measure, models, sensitivity, shapes, tables
 from tracelex.plans import fixtures as X
 from tracelex.sources import files
 
@@ -567,16 +567,64 @@ SPLIT_SHA = "sequence of the ids, in blocks of 100000 positions"
 TREE = lambda rows, by, v, block=100000: f"(SELECT {by}, sha256(string_agg(sha, chr(10) ORDER BY b)) AS sha256 FROM (SELECT {by}, pos // {block} AS b, sha256(string_agg({v}, chr(10) ORDER BY pos)) AS sha FROM {rows} GROUP BY ALL) GROUP BY {by})"
 query(f"WITH {POS} SELECT split, sha256 FROM {TREE('pos', 'split', 'id')}", "sequence_sha256")(lambda s, d: audit.sequence_sha256(positions(s, d), "split", "id"))
 query(f"WITH {POS} SELECT split, sha256 FROM {TREE('pos', 'split', 'id', 100)}", "sequence_sha256_blocks")(lambda s, d: audit.sequence_sha256(positions(s, d), "split", "id", block=100))
-FPRINT = FEAT + ", " + POS + """, fr AS (SELECT split, pos, sha256(format('{:,.6f}', ont_alpha) || '|' || format('{:,.6f}', ont_beta)) AS row FROM feat JOIN pos USING (doc_id)), """
-FPRINT += "fp AS (SELECT split, n_rows, shape_ok, sha256('ont_alpha,ont_beta|' || n_rows || chr(10) || sha256) AS sha256 FROM " + TREE("fr", "split", "row") + " JOIN (SELECT split, count(*) AS n_rows, min(pos) = 0 AND max(pos) = count(*) - 1 AND count(DISTINCT pos) = count(*) AS shape_ok FROM fr GROUP BY 1) USING (split))"
-prints = lambda s, d: audit.matrix_fingerprint(features(s, d).join(positions(s, d).select("doc_id", "split", "pos"), "doc_id"), ["ont_alpha", "ont_beta"], "split")
-query(f"WITH {FPRINT} SELECT split, n_rows, shape_ok, sha256 FROM fp", "matrix_fingerprint")(prints)
+query(r"""SELECT doc_id, len(w)::BIGINT AS n, sha256(array_to_string(w, chr(10))) AS sha256 FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0""", "sequence_sha256_plain")(
+    lambda s, d: fingerprint.plain_sequences(tokens(s, d), "doc_id", "token"))
 
+# Matrices with nulls, hashed as little-endian doubles: SQL works their bits out from exponent and fraction.
+MATRIX_BLOCK = 100
+_NULL = f"{fingerprint.NULL_BITS['<f8']}::HUGEINT"
+_abs_e = "floor(log2(abs(x)))"
+_e = f"({_abs_e} - CASE WHEN pow(2.0::DOUBLE, {_abs_e}) > abs(x) THEN 1 WHEN pow(2.0::DOUBLE, {_abs_e} + 1) <= abs(x) THEN -1 ELSE 0 END)"
+_bits = f"CASE WHEN x IS NULL THEN {_NULL} WHEN x = 0 THEN 0::HUGEINT ELSE (CASE WHEN x < 0 THEN 9223372036854775808::HUGEINT ELSE 0 END) + ({_e} + 1023)::HUGEINT * 4503599627370496 + ((abs(x) / pow(2.0::DOUBLE, {_e}) - 1) * 4503599627370496)::HUGEINT END"
+_le = " || ".join(f"h[{i}:{i + 1}]" for i in range(15, 0, -2))
 
-def metric_docs(s, d):
+
+def leaves_sql(name: str, cells: str) -> str:
+    """CTEs name_h, name: the leaves of the matrix in cells (split, pos, k, x)."""
+    return f"""{name}_h AS (SELECT split, pos, pos // {MATRIX_BLOCK} AS block, k, {_le} AS le FROM (SELECT split, pos, k, format('{{:016x}}', ({_bits})::UBIGINT) AS h FROM {cells})),
+{name}_b AS (SELECT split, block, count(DISTINCT pos) AS n_rows, min(pos) AS first, max(pos) AS last, string_agg(le, '' ORDER BY pos, k) AS body FROM {name}_h GROUP BY ALL),
+{name} AS (SELECT split, block, n_rows, first, last, sha256(('{{"block":' || block || ',"dtype":"<f8","shape":[' || n_rows || ',{len(X.FEATURES)}]}}' || chr(10))::BLOB || unhex(body)) AS sha256 FROM {name}_b)"""
+
+
+def root_sql(name: str) -> str:
+    up = f"(SELECT split, block AS nd, sha256 FROM {name})"
+    for _ in range(fingerprint.LEVELS):
+        up = f"(SELECT split, nd // {fingerprint.FAN} AS nd, sha256(string_agg(sha256, chr(10) ORDER BY nd)) AS sha256 FROM {up} GROUP BY ALL)"
+    head = f"""'{{"block":{MATRIX_BLOCK},"columns":[{",".join(f'"{f}"' for f in X.FEATURES)}],"dtype":"<f8","rows":' || n_rows || '}}' || chr(10)"""
+    return f"""SELECT split, n_rows, shape_ok, sha256({head} || top) AS sha256 FROM (SELECT split, string_agg(sha256, chr(10) ORDER BY nd) AS top FROM {up} GROUP BY 1)
+  JOIN (SELECT split, sum(n_rows)::BIGINT AS n_rows, min(first) = 0 AND max(last) = sum(n_rows) - 1 AS shape_ok FROM {name} GROUP BY 1) USING (split)"""
+
+
+_missing = lambda f: f"CASE WHEN doc_id % 11 = {X.FEATURES.index(f)} THEN NULL ELSE {f}::DOUBLE END"
+CELLS_FP = FEAT + ", " + POS + ", mc AS (" + " UNION ALL ".join(f"SELECT split, pos, {k} AS k, {_missing(f)} AS x FROM feat JOIN pos USING (doc_id)" for k, f in enumerate(X.FEATURES)) + ")"
+# The other matrix: one cell moved by a few bits, two neighbours' places changed, one null where there was a zero.
+OTHER_FP = ", oc AS (SELECT split, pos, k, CASE WHEN split = 'train' AND pos = 150 AND k = 5 THEN coalesce(x, 0) + 0.0000003::DOUBLE WHEN split = 'val' AND pos = 20 AND k < 2 THEN y WHEN split = 'test' AND pos = 3 AND k = 4 THEN NULL ELSE x END AS x FROM (SELECT *, max(x) OVER (PARTITION BY split, pos, k // 2) + CASE WHEN k % 2 = 0 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS y FROM mc))"
+
+
+def fp_matrix(s, d):
+    f = features(s, d).select("doc_id", *[F.when(F.col("doc_id") % 11 != i, F.col(n)).alias(n) for i, n in enumerate(X.FEATURES)])
+    return f.join(positions(s, d).select("doc_id", "split", "pos"), "doc_id")
+
+
+def fp_other(s, d):
+    m, (a, b, *_) = stage(s, fp_matrix(s, d)), X.FEATURES
+    at = lambda part, pos: (F.col("split") == part) & (F.col("pos") == pos)
+    last, fifth, most = X.FEATURES[5], X.FEATURES[4], F.greatest(a, b)
+    return m.withColumns({last: F.when(at("train", 150), F.coalesce(last, F.lit(0.0)) + 0.0000003).otherwise(F.col(last)), a: F.when(at("val", 20), most + 0.5).otherwise(F.col(a)),
+                          b: F.when(at("val", 20), most + 0.25).otherwise(F.col(b)), fifth: F.when(~at("test", 3), F.col(fifth))})
+
+
+fp_leaves = lambda m: fingerprint.leaves(m, X.FEATURES, "split", block=MATRIX_BLOCK)
+prints = lambda s, d: fingerprint.matrix_fingerprint(fp_matrix(s, d), X.FEATURES, "split", block=MATRIX_BLOCK)
+query(f"WITH {CELLS_FP}, {leaves_sql('lv', 'mc')} {root_sql('lv')}", "matrix_fingerprint")(prints)
+add("matrix_differences", lambda s, d: fingerprint.differing(fp_leaves(fp_matrix(s, d)), fp_leaves(fp_other(s, d)), "split"),
+    f"WITH {CELLS_FP}{OTHER_FP}, {leaves_sql('lv', 'mc')}, {leaves_sql('lo', 'oc')} SELECT split, block, coalesce(lv.n_rows, 0) AS n_rows, coalesce(lo.n_rows, 0) AS other_rows FROM lv FULL JOIN lo USING (split, block) WHERE lv.sha256 IS DISTINCT FROM lo.sha256")
+
+
+def metric_docs(s, d, runs=None):
     """A metric document for each damaged run, written and read. The one of (BSL, 123) has another dataset's hash, the one
-    of (ENR, 42) its features in another order."""
-    m = measure.confusion_matrix(damaged(s, d), KEYS)
+    of (ENR, 42) its features in another order, that of (ENR, 2024) one row too many in its support."""
+    m = measure.confusion_matrix(damaged(s, d) if runs is None else runs, KEYS)
     c = measure.metrics_per_class(m, KEYS)
     grid = m.groupBy(*KEYS, "y_true").agg(F.array_sort(F.collect_list(F.struct("y_pred", "n"))).alias("r")).select(*KEYS, "y_true", F.transform("r", lambda x: x.n).alias("r"))
     grid = grid.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("y_true", "r"))), lambda x: x.r).alias("confusion_matrix"))
@@ -587,6 +635,7 @@ def metric_docs(s, d):
     other, turned = (F.col("condition") == "BSL") & (F.col("seed") == 123), (F.col("condition") == "ENR") & (F.col("seed") == 42)
     rows = rows.withColumn("provenance", F.create_map(F.lit("dataset_sha256"), F.when(other, F.lit("0" * 64)).otherwise(F.col("sha")), F.lit("split"), F.lit("test"))).drop("sha")
     names = [F.lit(f) for f in X.SELECTED]
+    rows = rows.withColumn("support", F.when((F.col("condition") == "ENR") & (F.col("seed") == 2024), F.transform("support", lambda x, i: x + F.when(i == 1, 1).otherwise(0))).otherwise(F.col("support")))
     rows = rows.withColumn("feature_order", F.when(turned, F.array(*names[::-1])).otherwise(F.array(*names))).withColumn("model", F.lit("rule"))
     p = files.scratch(s)
     rows.withColumn("run", F.concat_ws("_", "model", *KEYS)).write.partitionBy("run").json(p)
@@ -596,20 +645,32 @@ def metric_docs(s, d):
 DCLASS = DPRED + """, g2 AS (SELECT a AS y_true, b AS y_pred FROM range(3) x(a), range(3) y(b)), dm AS (SELECT r.condition, r.seed, g2.y_true, g2.y_pred, count(p.id) AS n FROM (SELECT DISTINCT condition, seed FROM dp) r CROSS JOIN g2
   LEFT JOIN dp p ON p.condition = r.condition AND p.seed = r.seed AND p.y_true = g2.y_true AND p.y_pred = g2.y_pred GROUP BY ALL),
 dc AS (SELECT condition, seed, l AS label, coalesce(sum(n) FILTER (y_true = l AND y_pred = l), 0) AS hit, coalesce(sum(n) FILTER (y_true = l), 0) AS support, coalesce(sum(n) FILTER (y_pred = l), 0) AS said FROM dm, range(3) x(l) GROUP BY ALL)"""
-query(f"WITH {DCLASS}, rc AS (SELECT *, CASE WHEN support = 0 THEN 0 ELSE hit::DOUBLE / support END AS recall FROM dc) SELECT dm.condition, dm.seed, y_true::INTEGER AS y_true, y_pred::INTEGER AS y_pred, n::BIGINT AS n, support::BIGINT AS support, round(recall, 6) AS recall, 'rule_' || dm.condition || '_' || dm.seed AS run FROM dm JOIN rc ON rc.condition = dm.condition AND rc.seed = dm.seed AND rc.label = y_true", "scan_metric_docs")(
+query(f"WITH {DCLASS}, rc AS (SELECT *, CASE WHEN support = 0 THEN 0 ELSE hit::DOUBLE / support END AS recall FROM dc) SELECT dm.condition, dm.seed, y_true::INTEGER AS y_true, y_pred::INTEGER AS y_pred, n::BIGINT AS n, (support + CASE WHEN rc.condition = 'ENR' AND rc.seed = 2024 AND rc.label = 1 THEN 1 ELSE 0 END)::BIGINT AS support, round(recall, 6) AS recall, 'rule_' || dm.condition || '_' || dm.seed AS run FROM dm JOIN rc ON rc.condition = dm.condition AND rc.seed = dm.seed AND rc.label = y_true", "scan_metric_docs")(
     lambda s, d: metric_docs(s, d).select(*KEYS, "support", "report", F.regexp_extract("path", "run=([^/]+)", 1).alias("run"), F.posexplode("confusion_matrix").alias("y_true", "r")).select(*KEYS, "support", "report", "run", "y_true", F.posexplode("r").alias("y_pred", "n")).select(
         *KEYS, "y_true", "y_pred", "n", F.get("support", F.col("y_true")).alias("support"), F.try_element_at("report", F.col("y_true").cast("string"))["recall"].alias("recall"), "run"))
 # The order of a run's rows in its file: by id, as the test list has them.
-in_file = lambda s, d: damaged(s, d).withColumn("pos", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.regexp_replace("id", "x", "").cast("long"), "id")) - 1)
+def in_file(s, runs):
+    """Places are sums over ranges of (run, id), less those before the run: no task holds a run."""
+    number = F.regexp_replace("id", "x", "").cast("long")
+    rows = tables.placed(runs.withColumn("n", number), [*KEYS, "n", "id"], name="pos")
+    first = rows.groupBy(*KEYS).agg(F.min("pos").alias("first"))  # one row a run
+    return rows.join(F.broadcast(first), KEYS).withColumn("pos", F.col("pos") - F.col("first")).drop("n", "first")
+
+
 labelled_positions = lambda s, d: tables.split_positions(X.posts(s, d).join(X.labels(s, d).select("doc_id"), "doc_id", "left_semi"))
 LINKED = DPRED + """, ip AS (SELECT *, row_number() OVER (PARTITION BY condition, seed ORDER BY replace(id, 'x', '')::BIGINT, id) - 1 AS pos FROM dp),
 tl AS (SELECT CAST(doc_id AS VARCHAR) AS id, row_number() OVER (ORDER BY doc_id) - 1 AS want FROM lab WHERE doc_id % 5 = 4),
 lr AS (SELECT condition, seed, count(*) AS rows, count(*) FILTER (want IS NOT DISTINCT FROM pos) AS hit, (SELECT count(*) FROM tl) AS total FROM ip LEFT JOIN tl USING (id) GROUP BY ALL)"""
-query(f"WITH {LINKED} SELECT condition, seed, rows, NOT (condition = 'BSL' AND seed = 123) AS dataset_match, NOT (condition = 'ENR' AND seed = 42) AS features_match, rows = total AND hit = total AS order_match, true AS support_match FROM lr", "link_runs")(
-    lambda s, d: audit.link_runs(metric_docs(s, d), in_file(s, d), labelled_positions(s, d), prints(s, d), X.SELECTED))
+# What the documents say, and what it should be: the matrix' fingerprint, the selected features, the counts of the rows.
+LINKS = LINKED + DCLASS[len(DPRED):] + ", " + CELLS_FP[len(FEAT) + 2 :] + f""", {leaves_sql('lv', 'mc')}, fp AS ({root_sql('lv')}),
+said AS (SELECT condition, seed, CASE WHEN condition = 'BSL' AND seed = 123 THEN repeat('0', 64) ELSE fp.sha256 END AS sha, CASE WHEN condition = 'ENR' AND seed = 42 THEN {X.SELECTED[::-1]} ELSE {X.SELECTED} END AS features,
+  list((support + CASE WHEN condition = 'ENR' AND seed = 2024 AND label = 1 THEN 1 ELSE 0 END)::BIGINT ORDER BY label) AS support FROM dc, fp WHERE fp.split = 'test' GROUP BY ALL),
+true_s AS (SELECT condition, seed, [count(*) FILTER (y_true = 0), count(*) FILTER (y_true = 1), count(*) FILTER (y_true = 2)] AS support FROM dp GROUP BY ALL)"""
+query(f"WITH {LINKS} SELECT condition, seed, rows, sha = (SELECT sha256 FROM fp WHERE split = 'test') AS dataset_match, features = {X.SELECTED} AS features_match, rows = total AND hit = total AS order_match, said.support = true_s.support AS support_match FROM lr JOIN said USING (condition, seed) JOIN true_s USING (condition, seed)", "link_runs")(
+    lambda s, d: (lambda p: audit.link_runs(metric_docs(s, d, p), in_file(s, p), labelled_positions(s, d), prints(s, d), X.SELECTED))(stage(s, damaged(s, d))))
 query(f"WITH {LINKED} SELECT condition, seed, pos, ip.id, tl.id AS expected, ip.id IS NOT DISTINCT FROM tl.id AS same FROM ip LEFT JOIN tl ON tl.want = ip.pos", "join_run_predictions")(
     lambda s, d: (lambda p: p.join(labelled_positions(s, d).where("split = 'test'").select(F.col("id").alias("expected"), "pos"), "pos", "left").select(*KEYS, "pos", "id", "expected", F.col("id").eqNullSafe(F.col("expected")).alias("same")))(
-        in_file(s, d).join(metric_docs(s, d).select(*KEYS), KEYS, "left_semi")))
+        (lambda p: in_file(s, p).join(metric_docs(s, d, p).select(*KEYS), KEYS, "left_semi"))(stage(s, damaged(s, d)))))
 
 
 @query(f"WITH {TRACE}, t1 AS (SELECT id, feature, value FROM tm UNION ALL SELECT id, feature, value FROM tm WHERE feature = 'ont_count' AND id::BIGINT % 50 = 0), t2 AS (SELECT *, row_number() OVER (ORDER BY id, feature NULLS FIRST) + 1 AS row, count(*) OVER (PARTITION BY id, feature) AS same FROM t1) SELECT id, feature, round(value, 6) AS value, row, same FROM t2")
