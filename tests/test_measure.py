@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelex.operators import audit, fingerprint, measure, sensitivity, tables
+from tracelex.operators import audit, fingerprint, graph, measure, sensitivity, tables
 from tracelex.sources import files
 
 

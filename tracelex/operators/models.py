@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-from pyspark.ml import Pipeline
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelex.operators import linear, terms
 from tracelex.sources import files
 
 
@@ -21,30 +22,18 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return n.join(F.broadcast(total), F.lit(True)).select(label, (F.col("n") / (F.col("k") * F.col("c"))).alias("weight"))
 
 
-def tfidf(train: DataFrame, size: int = 5000, text: str = "text"):
-    """A fitted function DataFrame -> DataFrame with column tfidf: word 1- and 2-grams, the most frequent `size` of the
-    training texts, idf ln((1 + n) / (1 + df)) + 1, unit length."""
-    tokens = RegexTokenizer(inputCol=text, outputCol="one", pattern=r"(?U)\b\w\w+\b", gaps=False)
-    pairs = NGram(n=2, inputCol="one", outputCol="two")
-    both = SQLTransformer(statement="SELECT *, concat(one, two) AS grams FROM __THIS__")
-    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=size)
-    model = Pipeline(stages=[tokens, pairs, both, counts]).fit(train)
-    vocabulary = model.stages[-1].vocabulary
-    known = train.sparkSession.createDataFrame([(g,) for g in vocabulary] or [("",)], "g string")
-    seen = model.transform(train).select(F.explode(F.array_distinct("grams")).alias("g")).join(F.broadcast(known), "g")
-    df = {r.g: r.d for r in seen.groupBy("g").agg(F.count("*").alias("d")).collect()}  # at most `size` rows
-    n = train.count()
-    idf = Vectors.dense([math.log((1 + n) / (1 + df.get(g, 0))) + 1 for g in vocabulary])
-    scale, unit = ElementwiseProduct(scalingVec=idf, inputCol="tf", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="tfidf")
-
-    def apply(df: DataFrame) -> DataFrame:
-        return unit.transform(scale.transform(model.transform(df))).drop("one", "two", "grams", "tf", "weighted")
-
-    return apply
+def tfidf(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
+    """docs with a vector column tfidf over the terms of `terms.vocabulary`: tf times idf, of unit length."""
+    listed = vocabulary.orderBy("place").collect()  # `size` rows
+    counts = CountVectorizerModel.from_vocabulary([r.g for r in listed] or [" "], inputCol="_grams", outputCol="_tf")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in listed] or [0.0]), inputCol="_tf", outputCol="_weighted")
+    unit = Normalizer(inputCol="_weighted", outputCol="tfidf")
+    return unit.transform(scale.transform(counts.transform(docs.withColumn("_grams", terms.grams(F.col(text)))))).drop("_grams", "_tf", "_weighted")
 
 
 def stack_semantic(df: DataFrame, names: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=["tfidf", *names], outputCol="features", handleInvalid="keep").transform(df)
+    """Adds features: tfidf and the named columns, nulls as 0."""
+    return VectorAssembler(inputCols=["tfidf", *names], outputCol="features", handleInvalid="keep").transform(df.fillna(0.0, names) if names else df)
 
 
 #: Sizes of the models: iterations, trees or rounds, and depth.
@@ -73,29 +62,42 @@ def ablation_grid(
     rows: DataFrame, conditions: dict[str, list[str]], kinds: tuple[str, ...] = ("lr", "rf", "gbt"), seeds: tuple[int, ...] = (42, 123, 2024), size: int = 5000,
     sizes: dict[str, tuple[int, int | None]] | None = None,
 ) -> DataFrame:
-    """Predictions on the test rows for every model, seed and condition; the text features are fitted and written once.
-    sizes: (iterations or trees, depth) by kind, where not those of SIZES."""
-    train = rows.where("split = 'train'")
-    text = tfidf(train, size)(rows.join(F.broadcast(class_weights(train)), "label"))  # one row for each label
-    text = files.through_parquet(text, files.scratch(rows.sparkSession))
-    weights = text.where("split = 'train'").agg(F.sum("weight")).first()[0] or 1.0
-    out = None
-    for condition, names in conditions.items():
-        stacked = stack_semantic(text, names)
-        for kind in kinds:
-            rounds, depth = (sizes or {}).get(kind, SIZES[kind])
-            for seed in seeds:
-                model = classifier(kind, seed, rounds, depth, weights).fit(stacked.where("split = 'train'"))
-                p = predict_table(model, stacked.where("split = 'test'"), kind, condition, seed)
-                out = p if out is None else out.unionByName(p)
-    return out
-
-
-def term_table(rows: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """g, tf, df, idf: word 1- and 2-grams with their counts, numbers of texts, and ln((1 + n) / (1 + df)) + 1."""
-    own = rows.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0).alias("one"))
-    pairs = F.zip_with("one", F.slice("one", 2, F.greatest(F.size("one") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    own = own.select(key, F.explode(F.concat("one", F.filter(pairs, lambda x: x.isNotNull()))).alias("g"))
-    counts = own.groupBy(key, "g").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
-    n = rows.agg(F.count("*").alias("n"))  # one row
-    return counts.join(F.broadcast(n), F.lit(True)).select("g", "tf", "df", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    """Predictions on the test rows for every model, seed and condition; the vocabulary is fitted and the rows are written
+    once. lr trains all conditions together (`linear`) on standardised columns; trees take raw ones, one fit after the
+    other. sizes: (iterations or trees, depth) by kind, where not those of SIZES."""
+    spark, train = rows.sparkSession, rows.where("split = 'train'")
+    vocabulary = terms.vocabulary(train, size, key="id")
+    weighted = rows.join(F.broadcast(class_weights(train)), "label")  # one row for each label
+    names = sorted({n for own in conditions.values() for n in own})
+    out = []
+    if "lr" in kinds:
+        out.append(joint_lr(weighted, vocabulary, conditions, names, seeds, (sizes or {}).get("lr", SIZES["lr"])[0]))
+    if others := [k for k in kinds if k != "lr"]:
+        text = files.through_parquet(tfidf(weighted, vocabulary), files.scratch(spark))
+        for condition, own in conditions.items():
+            stacked = stack_semantic(text, own)
+            for kind in others:
+                rounds, depth = (sizes or {}).get(kind, SIZES[kind])
+                for seed in seeds:
+                    model = classifier(kind, seed, rounds, depth).fit(stacked.where("split = 'train'"))
+                    out.append(predict_table(model, stacked.where("split = 'test'"), kind, condition, seed))
+    return reduce(DataFrame.unionByName, out)
+
+
+def joint_lr(rows: DataFrame, vocabulary: DataFrame, conditions: dict[str, list[str]], names: list[str], seeds: tuple[int, ...], most: int) -> DataFrame:
+    """Prediction rows of logistic regressions of all conditions, trained together. rows: id, split, label, weight, text
+    and the semantic columns."""
+    spark, train = rows.sparkSession, rows.where("split = 'train'")
+    fit = train.agg(*[f(F.coalesce(F.col(n).cast("double"), F.lit(0.0))).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("m", F.avg), ("d", F.stddev_pop))]).first()  # two numbers a column
+    scaled = [(F.coalesce(F.col(n).cast("double"), F.lit(0.0)) - F.lit(fit[f"m{i}"] or 0.0)) / F.lit(fit[f"d{i}"] or 1.0) for i, n in enumerate(names)]
+    labels = sorted(r.label for r in train.select("label").where("label is not null").distinct().collect())  # one row a class
+    y = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")) - 1
+    placed = terms.places(rows, vocabulary).select("id", "split", "label", "weight", "places", F.array(*scaled).cast("array<double>").alias("semantic"), y.alias("y"))
+    placed = files.through_parquet(placed.repartition(spark.sparkContext.defaultParallelism), files.scratch(spark))
+    idf = np.array([r.idf for r in vocabulary.orderBy("place").collect()])  # `size` numbers
+    masks = np.array([[float(n in own) for n in names] for own in conditions.values()]).reshape(len(conditions), len(names))
+    w = linear.fit(placed.where("split = 'train' and label is not null"), idf, masks, len(labels), most)
+    test = placed.where("split = 'test'").withColumn("y_true", F.col("label").cast("int"))
+    found = linear.predict(test, w, idf, list(conditions), ["id", "split", "y_true"])
+    found = found.withColumn("y_pred", F.get(F.array(*[F.lit(v) for v in labels]), F.col("y_pred")).cast("int"))
+    return found.select("id", "split", "y_true", "y_pred", F.lit("lr").alias("model"), "condition", F.explode(F.array(*[F.lit(x) for x in seeds])).alias("seed"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelex.functions import text as T
-from tracelex.operators import audit, dictionary, enrich, fingerprint, graph, inference, lexicon, measure, models, sensitivity, shapes, tables
+from tracelex.operators import audit, dictionary, enrich, fingerprint, graph, inference, lexicon, measure, models, sensitivity, shapes, tables, terms
 from tracelex.plans import fixtures as X
 from tracelex.sources import files
 
@@ -873,8 +873,8 @@ def grid_collect(s, d):
 query(f"WITH {VARIANTS}, {BASE_ROW}, jx AS (SELECT w, mf, {JAC} AS j FROM rx, ba) SELECT w AS \"window\", {_m(f'round(quantile_cont(j, 0.5) FILTER (mf = {k}), 6) AS "{k}"' for k in _f)} FROM jx GROUP BY 1", "pivot_median_jaccard")(
     lambda s, d: sensitivity.compare(grid_results(s, d), CANONICAL).groupBy("window").pivot("min_freq", _f).agg(F.percentile("jaccard", F.lit(0.5))))  # 125 rows
 
-# Models. Registered below their stated sizes (models.SIZES), which take hours on a laptop: rounds and trees are parameters.
-FEWER = {"lr": (100, None), "rf": (60, 12), "gbt": (5, 4)}
+# Models. lr has its stated size; trees are registered below theirs (models.SIZES), which take hours on a laptop.
+FEWER = {"lr": (1000, None), "rf": (60, 12), "gbt": (5, 4)}
 
 
 def conditions():
@@ -885,35 +885,33 @@ def conditions():
 
 
 def fitted(kind):
-    return lambda s, d: models.ablation_grid(model_rows(s, d), {"selected": X.SELECTED}, (kind,), (42,), size=1000, sizes=FEWER)
+    return lambda s, d: models.ablation_grid(model_rows(s, d), {"selected": X.SELECTED}, (kind,), (42,), size=1000 if kind != "lr" else 5000, sizes=FEWER)
 
 
-TERMS = r"""tt AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS t FROM documents WHERE doc_id % 5 < 3),
-gr AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS g FROM tt), gc AS (SELECT g, count(*) AS tf, count(DISTINCT doc_id) AS df FROM gr GROUP BY 1)"""
-query(f"WITH {TERMS} SELECT g, tf, df, round(ln((1 + (SELECT count(*) FROM tt)) / (1 + df)::DOUBLE) + 1, 6) AS idf FROM gc WHERE df >= 20", "tfidf_terms")(lambda s, d: models.term_table(docs(s, d).where("doc_id % 5 < 3")).where("df >= 20"))
+N_TERMS = 5000
+TERMS = r"""tt AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_\p{M}]{2,}') AS t FROM documents), tg AS (SELECT doc_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS gs FROM tt),
+gr AS (SELECT doc_id, unnest(gs) AS g FROM tg WHERE doc_id % 5 < 3), gc AS (SELECT g, count(*) AS tf, count(DISTINCT doc_id) AS df FROM gr GROUP BY 1),
+vo AS (SELECT *, ln((1 + (SELECT count(*) FROM tg WHERE doc_id % 5 < 3)) / (1 + df)::DOUBLE) + 1 AS idf, (row_number() OVER (ORDER BY tf DESC, g) - 1)::INTEGER AS place FROM gc ORDER BY tf DESC, g LIMIT """ + f"{N_TERMS})"
+train_texts = lambda s, d: docs(s, d).where("doc_id % 5 < 3")
+query(f"WITH {TERMS} SELECT g, tf, df, round(idf, 6) AS idf, place FROM vo", "tfidf_terms")(lambda s, d: terms.vocabulary(train_texts(s, d), N_TERMS))
+query(f"""WITH {TERMS}, ow AS (SELECT doc_id, g, place, count(*) * any_value(idf) AS w FROM (SELECT doc_id, unnest(gs) AS g FROM tg) JOIN vo USING (g) GROUP BY ALL)
+SELECT doc_id, place, g, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM ow""", "tfidf")(lambda s, d: terms.weights(docs(s, d), terms.vocabulary(train_texts(s, d), N_TERMS)))
 
 
-@query()
-def tfidf(s, d):
-    rows = model_rows(s, d)
-    out = models.tfidf(rows.where("split = 'train'"))(rows)
-    from pyspark.ml.functions import vector_to_array
-
-    a = vector_to_array("tfidf")
-    return out.select("id", F.size(F.filter(a, lambda x: x > 0)).alias("n"), F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, x: t + x * x)).alias("norm"))
-
-
-@query()
+@query(f"WITH {FEAT}, {LAB}, {TERMS.replace(str(N_TERMS), '200').replace('FROM documents)', 'FROM documents JOIN lab USING (doc_id))')}, ow AS (SELECT doc_id, g, count(*) * any_value(idf) AS w FROM (SELECT doc_id, unnest(gs) AS g FROM tg) JOIN vo USING (g) GROUP BY ALL), "
+       f"nw AS (SELECT doc_id, sqrt(sum(w * w)) AS norm, count(*) AS n FROM ow GROUP BY 1) SELECT doc_id::VARCHAR AS id, coalesce(n, 0)::INTEGER AS n_terms, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm, {', '.join(f'round({f}, 6) AS {f}' for f in X.SELECTED)} FROM feat JOIN lab USING (doc_id) LEFT JOIN nw USING (doc_id)")
 def stack_semantic(s, d):
     from pyspark.ml.functions import vector_to_array
 
     rows = model_rows(s, d)
-    a = vector_to_array("features")
-    out = models.stack_semantic(models.tfidf(rows.where("split = 'train'"), 200)(rows), X.SELECTED)
-    return out.select("id", *[F.get(a, F.size(a) - len(X.SELECTED) + i).alias(f) for i, f in enumerate(X.SELECTED)])
+    vocabulary = terms.vocabulary(rows.where("split = 'train'"), 200)
+    own = models.stack_semantic(models.tfidf(rows, vocabulary), X.SELECTED).withColumn("a", vector_to_array("features"))
+    text = F.slice("a", 1, F.size("a") - len(X.SELECTED))
+    out = own.select("id", F.size(F.filter(text, lambda x: x > 0)).alias("n_terms"), F.sqrt(F.aggregate(text, F.lit(0.0), lambda t, x: t + x * x)).alias("norm"), *[F.get("a", F.size("a") - len(X.SELECTED) + i).alias(f) for i, f in enumerate(X.SELECTED)])
+    return out
 
 
 for _k in ("lr", "rf", "gbt"):
     query(None, f"fit_{_k}")(lambda s, d, k=_k: (lambda p: measure.metrics_overall(measure.metrics_per_class(measure.confusion_matrix(p, ["model", *KEYS]), ["model", *KEYS]), ["model", *KEYS]))(fitted(k)(s, d)))
 query(None, "predict_table")(fitted("lr"))
-query(None, "ablation_grid")(lambda s, d: models.ablation_grid(model_rows(s, d), conditions(), ("lr",), (42,), size=500, sizes={"lr": (20, None)}))
+query(None, "ablation_grid")(lambda s, d: models.ablation_grid(model_rows(s, d), conditions(), ("lr",)))
