@@ -79,7 +79,8 @@ def test_missing_authors_and_texts_stay(spark):
     assert got == {"1": "author_0002", "2": "author_0003", "3": "author_0001"}
     docs = spark.createDataFrame([(1, "u v u"), (2, ""), (3, None)], "doc_id long, text string")
     tokens = spark.createDataFrame([(1, "u", 0), (1, "v", 1), (1, "u", 2)], "doc_id long, token string, pos int")
-    ids = {r.doc_id: r.ids for r in tables.encode_tokens(tokens, tables.build_vocab(tokens), 4, docs).collect()}
+    words = docs.select("doc_id", F.split("text", " ").alias("words")).withColumn("words", F.array_remove("words", ""))
+    ids = {r.doc_id: r.ids for r in tables.encode_tokens(words, tables.build_vocab(tokens), 4).collect()}
     assert ids == {1: [2, 1, 2, 0], 2: [0] * 4, 3: [0] * 4}
 
 

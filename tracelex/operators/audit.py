@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,14 +85,50 @@ def expectations(observed: DataFrame, expected: dict[str, int]) -> DataFrame:
     return out.withColumn("message", F.when(F.col("passed"), F.concat("check", F.lit(": as expected"))).otherwise(wrong))
 
 
+#: Bytes of a file that a task holds at once.
+CHUNK = 8 << 20
+
+
+def opened(path: str):
+    """A stream of a file on any file system that its path names."""
+    from pyarrow import fs
+
+    if re.match(r"file:|/", path):
+        return fs.LocalFileSystem().open_input_stream(re.sub(r"^file:/*", "/", path), buffer_size=0)
+    system, own = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(own)
+
+
+def file_digests(listed: DataFrame, kind: str = "sha256") -> DataFrame:
+    """path, bytes and the hash of each file (listed: path): read in ranges of CHUNK bytes that stream through the hash, so
+    that a file of any size needs no more memory than that. A hash is sequential, so a file is one task's work; files are
+    spread over tasks by their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = [], []
+            for path in batch.column("path").to_pylist():
+                digest, size = hashlib.new(kind), 0
+                with opened(path) as stream:
+                    while part := stream.read(CHUNK):
+                        digest.update(part)
+                        size += len(part)
+                sizes.append(size)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), pa.array(out, pa.string())], ["path", "bytes", kind])
+
+    return listed.select("path").repartition("path").mapInArrow(run, f"path string, bytes long, {kind} string")
+
+
 def scan_files(spark: SparkSession, folder: str, suffix: str = "", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """path (below the folder), name, bytes, sha256 of the files below a folder whose path no pattern of exclude finds."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder)
+    """path (below the folder), name, bytes, sha256 of the files below a folder whose path no pattern of exclude finds,
+    empty ones included. The driver holds the list of names, as it does for any read; files are read by tasks alone."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(folder).inputFiles()
+    listed = spark.createDataFrame([(unquote(p),) for p in found], "path string")
     own = F.substring_index("path", folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
-    out = files.select(own.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     for pattern in exclude:
-        out = out.where(~F.col("path").rlike(pattern))
-    return out
+        listed = listed.where(~own.rlike(pattern))
+    return file_digests(listed).select(own.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
 
 
 def manifest_verify(declared: DataFrame, actual: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelex.operators import dictionary
 from tracelex.sources import files
 
 #: Ids on one line of a split file.
@@ -135,13 +136,37 @@ def build_vocab(tokens: DataFrame, least: int = 2, cap: int | None = None) -> Da
     return out.where(F.col("index") < cap + 2) if cap else out
 
 
-def encode_tokens(tokens: DataFrame, vocab: DataFrame, length: int, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, ids: token ids in order, 1 for unknown ones, cut and padded with 0 to a length; one row for each row of keys,
-    also for texts without tokens."""
-    kept = tokens.where(F.col("pos") < length).join(vocab.select("token", "index"), "token", "left")
-    ids = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("index", F.lit(1)).alias("i")))), lambda x: x.i.cast("int")).alias("ids"))
-    ids = keys.select(key).join(ids, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return ids.select(key, F.concat("ids", F.array_repeat(F.lit(0), F.lit(length) - F.size("ids"))).alias("ids"))
+#: Ids of the commonest tokens, which are looked up in the row.
+HEAD = 1 << 16
+
+
+def encode_tokens(docs: DataFrame, vocab: DataFrame, length: int, words: str = "words", key: str = "doc_id", head: int = HEAD) -> DataFrame:
+    """key, ids: the ids of a text's words in order, 1 for unknown ones, cut and padded with 0 to a length; one row for each
+    row of docs, also for texts without words. vocab: token, index (from 2, the commonest first).
+
+    The commonest `head` tokens are a hash table that every task looks words up in. Only words that aren't there leave
+    their row: with their places they meet the rest of the vocabulary in a shuffled join, and go back to their row. Texts
+    and vocabulary are written once on the way. Null words are unknown; rows with a repeated or null key stay apart."""
+    spark = docs.sparkSession
+    kept = lambda df: files.through_parquet(df, files.scratch(spark))
+    vocab = kept(vocab.select("token", F.col("index").cast("int").alias("index")))
+    table, held = dictionary.hash_table(vocab.where(F.col("index") < head + 2), "token", "index"), "_table"
+    if table is None:
+        raise ValueError(f"head is at most {dictionary.MOST}")
+    cut = docs.select(key, F.slice(F.coalesce(words, F.array().cast("array<string>")), 1, length).alias("_words")).withColumn(held, table)
+    found = cut.withColumn("_ids", F.transform("_words", lambda w: dictionary.looked_up(F.col(held), w))).drop(held)
+    rare = F.filter(F.transform("_words", lambda w, i: F.when(F.get(F.col("_ids"), i).isNull(), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())
+    rows = kept(found.select(F.monotonically_increasing_id().alias("_row"), key, "_ids", rare.alias("_rare")))
+    tail = vocab.where(F.col("index") >= head + 2)
+    pad = lambda ids: F.concat(ids, F.array_repeat(F.lit(0), F.lit(length) - F.size(ids))).alias("ids")
+    known = F.transform("_ids", lambda i: F.coalesce(i, F.lit(1)))
+    if tail.isEmpty():
+        return rows.select(key, pad(known))
+    some = rows.where("size(_rare) > 0")
+    met = some.select("_row", F.explode("_rare").alias("x")).select("_row", F.col("x.i").alias("i"), F.col("x.w").alias("token")).join(tail, "token")
+    back = met.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("i", "index"))).alias("_back"))  # of one text's places
+    own = F.transform("_ids", lambda i, at: F.coalesce(i, F.try_element_at(F.col("_back"), at), F.lit(1)))
+    return rows.where("size(_rare) = 0").select(key, pad(known)).union(some.join(back, "_row", "left").select(key, pad(own)))
 
 
 def pivot_complete(rows: DataFrame, index: str, column: str, values: list, value: str) -> DataFrame:

@@ -748,7 +748,8 @@ query(f"WITH {windowed('doc_id % 5 < 3 OR doc_id % 50 = 3', [5])} SELECT 'val' A
 def encode_tokens(s, d):
     sizes = docs(s, d).select(F.lit(1).alias("all"), T.word_count(F.lower(F.coalesce("text", F.lit("")))).alias("n"))
     length = max(1, int(measure.quantiles(sizes, ["all"], "n", {"q": 0.95}).first().q))
-    out = tables.encode_tokens(tokens(s, d), tables.build_vocab(tokens(s, d)), length, docs(s, d))
+    words = docs(s, d).select("doc_id", T.words(F.lower("text")).alias("words"))
+    out = tables.encode_tokens(words, tables.build_vocab(tokens(s, d)), length)
     return out.select("doc_id", F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids"), F.lit(length).alias("length"))
 
 
