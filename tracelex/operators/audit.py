@@ -150,3 +150,45 @@ def reconcile_predictions(predictions: DataFrame, split: DataFrame, labels: Data
     )
     total = want.join(labels, "id").agg(F.count("*").alias("total"))
     return out.join(F.broadcast(total), F.lit(True)).withColumn("missing", F.col("total") - F.col("inside")).drop("inside", "total")
+
+
+def reconcile_chain(posts: DataFrame, trace: DataFrame, cells: DataFrame, selected: DataFrame, conformance: DataFrame, predictions: DataFrame, test: DataFrame) -> DataFrame:
+    """relation, expected, verified, exceptions, status of the five links of the chain: posts to addresses, selected
+    activations to the rows that trace them, input cells to traced values, the graph to its constraints, test posts to
+    the predictions of every run.
+
+    posts: id, iri; trace: id, post_iri, feature, module, value; cells: id, feature, value; selected: feature; conformance:
+    one row of `shapes.summary`; predictions: condition, seed, id, split, y_true; test: id, label. Every link is an
+    aggregate of one row; status is passed if nothing is excepted and all that is expected was found."""
+    mine = lambda df: df.join(F.broadcast(selected.select("feature")), "feature", "left_semi")
+    seen = trace.groupBy("id").agg(F.max("post_iri").alias("_iri"))
+    link = lambda df, name, *numbers: df.agg(*[n.cast("long").alias(c) for n, c in zip(numbers, ("expected", "verified", "exceptions"), strict=True)]).select(F.lit(name).alias("relation"), "*")
+    out = [link(posts.join(seen, "id", "left"), "posts", F.count("*"), F.count("_iri"), F.count_if(~F.col("_iri").eqNullSafe(F.col("iri"))))]
+
+    active = mine(trace).where("value <> 0")
+    wanted = mine(cells).where("value <> 0").agg(F.count("*").alias("_n"))
+    lacks = sum((F.col(c).isNull().cast("int") for c in ("id", "module", "post_iri")), F.lit(0))
+    found = active.agg(F.count("*").alias("_found"), F.coalesce(F.sum(lacks), F.lit(0)).alias("_x"))
+    out.append(link(wanted.join(found, F.lit(True)), "activations", F.max("_n"), F.max("_found"), F.max("_x")))
+
+    keys = mine(trace).groupBy("id", "feature").agg(F.count("*").alias("_rows"), F.max("value").alias("_v"))
+    both = mine(cells).join(keys, ["id", "feature"], "full_outer")
+    own = F.col("value").isNotNull()
+    ok = own & F.when(F.col("value") != 0, F.coalesce(F.abs(F.col("value") - F.col("_v")) <= 1e-12, F.lit(False))).otherwise(F.col("_v").isNull())
+    out.append(link(both, "cells", F.count("value"), F.count_if(ok), F.count_if(own & ~ok) + F.count_if(F.col("_rows") > 1)))
+
+    out.append(link(conformance, "constraints", F.count("*"), F.count_if("conforms"), F.sum((~F.col("conforms")).cast("int")) + F.sum("results")))
+
+    marked = predictions.join(test.select("id", "label", F.lit(1).alias("_in")), "id", "left")
+    runs = marked.groupBy("condition", "seed").agg(
+        F.count("*").alias("_rows"), (F.count("*") - F.count_distinct("id") + F.count_if(F.col("split") != "test") + F.count_distinct(F.when(F.col("_in").isNull(), F.col("id"))) + F.count_if(~F.col("label").eqNullSafe(F.col("y_true")))).alias("_x"),
+        F.count_distinct(F.when(F.col("_in") == 1, F.col("id"))).alias("_hit"),
+    )
+    total = test.agg(F.count("*").alias("_n"))
+    out.append(link(runs.join(F.broadcast(total), F.lit(True)), "predictions", F.count("*") * F.max("_n"), F.sum("_rows"), F.sum(F.col("_x") + F.col("_n") - F.col("_hit"))))
+
+    every = out[0]
+    for one in out[1:]:
+        every = every.union(one)
+    every = every.select("relation", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("expected", "verified", "exceptions")])
+    return every.withColumn("status", F.when((F.col("exceptions") == 0) & (F.col("expected") == F.col("verified")), "passed").otherwise("attention required"))

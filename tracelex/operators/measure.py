@@ -30,11 +30,14 @@ def feature_coverage(rows: DataFrame) -> DataFrame:
     return out.join(quantiles(rows, ["feature"], "value", {"median": 0.5}), "feature", "left")
 
 
-def module_coverage(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """rows: key, module, split, value. Posts with any activation of a module, and their share in each split."""
+def module_coverage(rows: DataFrame, selected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows: key, feature, module, split, value; selected: feature. Per module: its features, how many of them are selected,
+    posts with any activation, and their share in each split."""
+    known = rows.select("module", "feature").distinct().join(F.broadcast(selected.select("feature", F.lit(1).alias("_s"))), "feature", "left")  # a row for each feature
+    known = known.groupBy("module").agg(F.count("*").alias("features"), F.count("_s").alias("selected"))
     per = rows.groupBy(key, "module", "split").agg((F.sum(F.abs("value")) > 0).alias("active"))
     share = lambda s: (100 * F.count_if(F.col("active") & (F.col("split") == s)) / F.count_if(F.col("split") == s)).alias(f"{s}_percent")
-    return per.groupBy("module").agg(F.count_if("active").alias("active"), (100 * F.count_if("active") / F.count("*")).alias("percent"), share("train"), share("val"), share("test"))
+    return per.groupBy("module").agg(F.count_if("active").alias("active"), (100 * F.count_if("active") / F.count("*")).alias("percent"), share("train"), share("val"), share("test")).join(known, "module")
 
 
 def label_entropy(rows: DataFrame, by: str) -> DataFrame:
