@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelex.operators import linear, terms
+from tracelex.operators import boosting, linear, terms
 from tracelex.sources import files
 
 
@@ -41,16 +41,13 @@ SIZES = {"lr": (1000, None), "rf": (300, 20), "gbt": (300, 6)}
 
 
 def classifier(kind: str, seed: int = 42, rounds: int | None = None, depth: int | None = None, weights: float = 1000.0):
-    """lr: multinomial, penalty C = 1, which is 1 / (sum of the training weights) here. rf: at least two rows in a leaf.
-    gbt: rate 0.1, 0.8 of rows and columns, one against the rest (Spark ML's booster has two classes)."""
+    """Spark ML's: lr, multinomial, penalty C = 1, which is 1 / (sum of the training weights) here; rf, at least two rows in
+    a leaf. The grid trains lr and gbt itself (`linear`, `boosting`)."""
     rounds, depth = rounds or SIZES[kind][0], depth or SIZES[kind][1]
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if kind == "lr":
         return LogisticRegression(maxIter=rounds, regParam=1 / weights, standardization=False, family="multinomial", **common)
-    if kind == "rf":
-        return RandomForestClassifier(numTrees=rounds, maxDepth=depth, minInstancesPerNode=2, seed=seed, **common)
-    base = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
-    return OneVsRest(classifier=base, featuresCol="features", labelCol="label", weightCol="weight")
+    return RandomForestClassifier(numTrees=rounds, maxDepth=depth, minInstancesPerNode=2, seed=seed, **common)
 
 
 def predict_table(model, rows: DataFrame, kind: str, condition: str, seed: int) -> DataFrame:
@@ -64,40 +61,79 @@ def ablation_grid(
 ) -> DataFrame:
     """Predictions on the test rows for every model, seed and condition; the vocabulary is fitted and the rows are written
     once. lr trains all conditions together (`linear`) on standardised columns; trees take raw ones, one fit after the
-    other. sizes: (iterations or trees, depth) by kind, where not those of SIZES."""
+    other, gbt over rows that are binned once. sizes: (iterations or trees, depth) by kind, where not those of SIZES."""
     spark, train = rows.sparkSession, rows.where("split = 'train'")
     vocabulary = terms.vocabulary(train, size, key="id")
     weighted = rows.join(F.broadcast(class_weights(train)), "label")  # one row for each label
     names = sorted({n for own in conditions.values() for n in own})
     out = []
+    size_of = SIZES | (sizes or {})
     if "lr" in kinds:
-        out.append(joint_lr(weighted, vocabulary, conditions, names, seeds, (sizes or {}).get("lr", SIZES["lr"])[0]))
-    if others := [k for k in kinds if k != "lr"]:
+        out.append(joint_lr(weighted, vocabulary, conditions, names, seeds, size_of["lr"][0]))
+    if "gbt" in kinds:
+        out.append(boosted(weighted, vocabulary, conditions, names, seeds, *size_of["gbt"]))
+    if others := [k for k in kinds if k not in ("lr", "gbt")]:
         text = files.through_parquet(tfidf(weighted, vocabulary), files.scratch(spark))
         for condition, own in conditions.items():
             stacked = stack_semantic(text, own)
             for kind in others:
-                rounds, depth = (sizes or {}).get(kind, SIZES[kind])
+                rounds, depth = size_of[kind]
                 for seed in seeds:
                     model = classifier(kind, seed, rounds, depth).fit(stacked.where("split = 'train'"))
                     out.append(predict_table(model, stacked.where("split = 'test'"), kind, condition, seed))
     return reduce(DataFrame.unionByName, out)
 
 
-def joint_lr(rows: DataFrame, vocabulary: DataFrame, conditions: dict[str, list[str]], names: list[str], seeds: tuple[int, ...], most: int) -> DataFrame:
-    """Prediction rows of logistic regressions of all conditions, trained together. rows: id, split, label, weight, text
-    and the semantic columns."""
+def shared_rows(rows: DataFrame, vocabulary: DataFrame, names: list[str], scaled: bool) -> tuple[DataFrame, np.ndarray, list[int]]:
+    """Rows that all fits of a kind share, written once in a part for each core: id, split, label, weight, places, semantic
+    (standardised over the training rows, or as they are), y (the label's number, null without one); the terms' idf; the
+    labels."""
     spark, train = rows.sparkSession, rows.where("split = 'train'")
-    fit = train.agg(*[f(F.coalesce(F.col(n).cast("double"), F.lit(0.0))).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("m", F.avg), ("d", F.stddev_pop))]).first()  # two numbers a column
-    scaled = [(F.coalesce(F.col(n).cast("double"), F.lit(0.0)) - F.lit(fit[f"m{i}"] or 0.0)) / F.lit(fit[f"d{i}"] or 1.0) for i, n in enumerate(names)]
+    raw = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]
+    if scaled and names:
+        fit = train.agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(raw) for k, f in (("m", F.avg), ("d", F.stddev_pop))]).first()  # two numbers a column
+        raw = [(x - F.lit(fit[f"m{i}"] or 0.0)) / F.lit(fit[f"d{i}"] or 1.0) for i, x in enumerate(raw)]
     labels = sorted(r.label for r in train.select("label").where("label is not null").distinct().collect())  # one row a class
     y = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")) - 1
-    placed = terms.places(rows, vocabulary).select("id", "split", "label", "weight", "places", F.array(*scaled).cast("array<double>").alias("semantic"), y.alias("y"))
+    placed = terms.places(rows, vocabulary).select("id", "split", "label", "weight", "places", F.array(*raw).cast("array<double>").alias("semantic"), y.alias("y"))
     placed = files.through_parquet(placed.repartition(spark.sparkContext.defaultParallelism), files.scratch(spark))
-    idf = np.array([r.idf for r in vocabulary.orderBy("place").collect()])  # `size` numbers
+    return placed, np.array([r.idf for r in vocabulary.orderBy("place").collect()]), labels  # `size` numbers
+
+
+def named(found: DataFrame, labels: list[int], kind: str) -> DataFrame:
+    """Prediction rows: classes back to labels."""
+    y = F.get(F.array(*[F.lit(v) for v in labels]), F.col("y_pred")).cast("int")
+    return found.select("id", "split", "y_true", y.alias("y_pred"), F.lit(kind).alias("model"), "condition", "seed")
+
+
+def joint_lr(rows: DataFrame, vocabulary: DataFrame, conditions: dict[str, list[str]], names: list[str], seeds: tuple[int, ...], most: int) -> DataFrame:
+    """Prediction rows of logistic regressions of all conditions, trained together. rows: id, split, label, weight, text
+    and the semantic columns."""
+    placed, idf, labels = shared_rows(rows, vocabulary, names, True)
     masks = np.array([[float(n in own) for n in names] for own in conditions.values()]).reshape(len(conditions), len(names))
     w = linear.fit(placed.where("split = 'train' and label is not null"), idf, masks, len(labels), most)
     test = placed.where("split = 'test'").withColumn("y_true", F.col("label").cast("int"))
     found = linear.predict(test, w, idf, list(conditions), ["id", "split", "y_true"])
-    found = found.withColumn("y_pred", F.get(F.array(*[F.lit(v) for v in labels]), F.col("y_pred")).cast("int"))
-    return found.select("id", "split", "y_true", "y_pred", F.lit("lr").alias("model"), "condition", F.explode(F.array(*[F.lit(x) for x in seeds])).alias("seed"))
+    return named(found.withColumn("seed", F.explode(F.array(*[F.lit(x) for x in seeds]))), labels, "lr")
+
+
+def boosted(rows: DataFrame, vocabulary: DataFrame, conditions: dict[str, list[str]], names: list[str], seeds: tuple[int, ...], rounds: int, depth: int, rate: float = 0.1) -> DataFrame:
+    """Prediction rows of boosted trees for every condition and seed, over rows that are binned once; a condition's bytes
+    are those of the terms and of its columns."""
+    placed, idf, labels = shared_rows(rows, vocabulary, names, False)
+    train = placed.where("split = 'train' and label is not null")
+    text = terms.weights(rows.where("split = 'train'"), vocabulary, key="id").select(F.col("place").alias("column"), F.col("weight").alias("value"))
+    own = train.select(F.posexplode("semantic").alias("at", "value")).where("value <> 0").select((F.col("at") + len(idf)).alias("column"), "value")
+    keep = ["id", "split", "y", "weight", "label"]
+    edges = boosting.bin_edges(text.union(own), len(idf) + len(names))
+    every = files.through_parquet(boosting.byte_rows(placed, idf, edges, keep), files.scratch(rows.sparkSession))
+    out = []
+    for condition, used in conditions.items():
+        bytes_ = [F.substring("bins", 1, len(idf)), *[F.substring("bins", len(idf) + 1 + names.index(n), 1) for n in used]]
+        cut = every.withColumn("bins", F.concat(*bytes_))
+        test = cut.where("split = 'test'").withColumn("y_true", F.col("label").cast("int"))
+        for seed in seeds:
+            trees = boosting.fit(cut.where("split = 'train' and label is not null"), len(idf) + len(used), len(labels), rounds, depth, rate, seed=seed)
+            found = boosting.predict(test, trees, rate, ["id", "split", "y_true"])
+            out.append(named(found.withColumns({"condition": F.lit(condition), "seed": F.lit(seed)}), labels, "gbt"))
+    return reduce(DataFrame.unionByName, out)

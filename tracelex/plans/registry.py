@@ -938,7 +938,7 @@ query(f"WITH {VARIANTS}, {BASE_ROW}, jx AS (SELECT w, mf, {JAC} AS j FROM rx, ba
     lambda s, d: sensitivity.compare(grid_results(s, d), CANONICAL).groupBy("window").pivot("min_freq", _f).agg(F.percentile("jaccard", F.lit(0.5))))  # 125 rows
 
 # Models. lr has its stated size; trees are registered below theirs (models.SIZES), which take hours on a laptop.
-FEWER = {"lr": (1000, None), "rf": (60, 12), "gbt": (5, 4)}
+FEWER = {"lr": (1000, None), "rf": (60, 12), "gbt": (20, 6)}
 
 
 def fitted(kind):
