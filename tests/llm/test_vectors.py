@@ -55,7 +55,7 @@ def test_topk_is_brute_force(spark, k):
 
 def test_topk_of_many_blocks_and_lanes(spark, monkeypatch):
     monkeypatch.setattr(topk, "PACK_ROWS", 16)
-    monkeypatch.setattr(topk, "BLOCK_BYTES", 2 << 18)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1 << 11)
     rows = [(i * 2, v) for i, v in some_rows(900, 20, 9) if i is not None]
     df = vectors(spark, rows, 5)
     assert sorted(map(tuple, topk.search(df, df.where("vec_id % 50 = 0")).collect()), key=str) == best(rows, 5)

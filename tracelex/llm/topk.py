@@ -182,17 +182,17 @@ def streamed(k: int):
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k best of `vectors` for every row of `queries` by inner product of floor(scale * x): query_id, rank, vec_id,
-    score. Two counts run while this is built; they only set the number of blocks and lanes."""
+    score. Two counts run while this is built, of rows and of the longest query; they only set the number of blocks and lanes."""
     spark = vectors.sparkSession
-    n_vectors, n_queries, cores = vectors.count(), queries.count(), spark.sparkContext.defaultParallelism
+    n_vectors, cores = vectors.count(), spark.sparkContext.defaultParallelism
+    n_queries, longest = queries.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(0))).first()
 
     def made(df: DataFrame, rows: int) -> DataFrame:
         made = df.where(usable(F.col(vector))).select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("id"), floored(F.col(vector), scale).alias("x"))
         return packed(made.coalesce(max(1, -(-rows // PACK_ROWS))))
 
     few, many = made(queries.where(F.col(id).isNotNull()), n_queries), made(vectors, n_vectors)
-    # The widest vector that a block must hold isn't known before the scan; a packed row is at most PACK_BYTES and one vector.
-    blocks = max(1, -(-n_queries // (PACK_ROWS * (BLOCK_BYTES // PACK_BYTES // 2))))
+    blocks = max(1, -(-n_queries * max(longest, 1) * 8 // BLOCK_BYTES))
     lanes = max(1, min(-(-4 * cores // blocks), -(-n_vectors // PACK_ROWS)))
     few = few.select(F.lit(0).alias("kind"), F.pmod(F.xxhash64("x", "row"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "size", "row", "id", "x")
     many = many.select(F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("x", "row"), F.lit(lanes)).cast("int").alias("lane"), "size", "row", "id", "x")
