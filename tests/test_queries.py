@@ -11,7 +11,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tabl
 SOME = [
     "entry_activation", "feature_vector", "derived_features", "top_concepts", "mention_positions", "concept_polarity", "concept_windows", "agg_feature_coverage", "agg_numeric_summary", "trace_map", "triples_from_posts",
     "conformance_report", "metrics_overall", "sequence_sha256_blocks", "matrix_fingerprint", "build_vocab", "encode_tokens", "project_release", "anova_f", "run_grid", "grid_collect", "link_runs", "reconcile_predictions",
-    "audit_traceability", "audit_model_inputs", "scan_split", "scan_trace", "scan_metric_docs", "manifest_verify", "tfidf_terms",
+    "audit_traceability", "audit_model_inputs", "scan_split", "scan_trace", "scan_metric_docs", "manifest_verify", "tfidf_terms", "match_short_term", "match_long_term", "grid_small", "grid_aggregate", "scan_ntriples",
+    "rdfs_type_inherit", "chk_class", "chk_node_kind", "chk_datatype", "matrix_differences", "reconcile_chain", "agg_ablation_summary", "rank_modules", "pivot_delta", "agg_module_coverage", "agg_label_distribution", "tfidf", "file_hashes",
 ]
 
 
