@@ -2,7 +2,7 @@
 
 All of them share the TF-IDF columns and differ in a mask over the semantic ones. Every step of all their searches is one
 pass over the rows: a task turns a block of rows into a dense matrix, multiplies it with the weights of all models at
-once, and gives back one sum of losses and gradients. The searches (L-BFGS, each with its own memory and step) run on the
+once, and gives back one sum of losses and gradients (beyond MANY tasks these are added in groups first). The searches (L-BFGS, each with its own memory and step) run on the
 driver over these sums, whose size is that of the weights alone. A model whose gradient is small takes no further part.
 
 The loss is that of a penalty C = 1: the weighted log losses plus half the squares of the weights, intercepts left out.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a dense block, remembered steps of a search, the size of a gradient's entries, for each unit of weight, at which
-#: it ends, and the tasks from which on their sums are added in two steps.
+#: it ends, and the tasks from which on their sums are added in groups before they reach the driver.
 ROWS, MEMORY, TOLERANCE, MANY = 256, 10, 1e-4, 64
 
 
@@ -63,17 +63,18 @@ def gradients(w: np.ndarray, idf: np.ndarray) -> Callable:
                 total[:, :-1] += (x.T @ p.transpose(1, 0, 2).reshape(len(x), m * k)).reshape(-1, m, k).transpose(1, 0, 2)
                 total[:, -1] += p.sum(1)
         flat = np.concatenate([loss[:, None], total.reshape(len(w), -1)], axis=1)
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int32()), pa.array([part] * len(w), pa.int32()), pa.array(flat.tolist(), pa.list_(pa.float64()))], ["model", "part", "v"])
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "v": pa.array([flat.tobytes()], pa.binary())})
 
     return run
 
 
-def _summed(rows):
-    import pandas as pd
+def _summed(table: pa.Table) -> pa.Table:
+    return pa.table({"part": pa.array([min(table.column("part").to_pylist())], pa.int32()), "v": pa.array([_sum(table.to_pylist()).tobytes()], pa.binary())})
 
-    v = np.sum(np.stack(rows.sort_values("part")["v"].tolist()), axis=0)
-    return pd.DataFrame({"model": [rows["model"].iat[0]], "part": [int(rows["part"].min())], "v": [v]})
+
+def _sum(parts: list) -> np.ndarray:
+    """Sums in the order of the tasks, so that they don't depend on which one ends first."""
+    return np.sum([np.frombuffer(r["v"]) for r in sorted(parts, key=lambda r: r["part"])], axis=0)
 
 
 class Searcher:
@@ -127,15 +128,14 @@ def fit(train: DataFrame, idf: np.ndarray, masks: np.ndarray, classes: int, most
     small, many = TOLERANCE * total, train.sparkSession.sparkContext.defaultParallelism > MANY
     while active := [i for i, s in enumerate(searchers) if not s.done]:
         w = np.stack([searchers[i].trial for i in active]).reshape(len(active), *shape[1:]) * on[active]
-        parts = rows.mapInArrow(gradients(w, idf), "model int, part int, v array<double>")
+        parts = rows.mapInArrow(gradients(w, idf), "part int, v binary")
         if many:
-            parts = parts.groupBy("model", F.pmod("part", F.lit(MANY))).applyInPandas(lambda rows: _summed(rows), "model int, part int, v array<double>")
-        for r in parts.groupBy("model").applyInPandas(_summed, "model int, part int, v array<double>").collect():  # the size of the weights
-            own, v = w[r.model], np.array(r.v)
+            parts = parts.groupBy(F.pmod("part", F.lit(MANY))).applyInArrow(_summed, "part int, v binary")
+        for i, own, v in zip(active, w, _sum(parts.collect()).reshape(len(active), -1), strict=True):  # MANY times the weights at most
             penalty = own.copy()
             penalty[-1] = 0
-            g = (v[1:].reshape(shape[1:]) + penalty) * on[active[r.model]]
-            searchers[active[r.model]].told(v[0] + 0.5 * float((penalty**2).sum()), g.ravel(), most, small)
+            g = (v[1:].reshape(shape[1:]) + penalty) * on[i]
+            searchers[i].told(v[0] + 0.5 * float((penalty**2).sum()), g.ravel(), most, small)
     return np.stack([s.x for s in searchers]).reshape(shape) * on
 
 
