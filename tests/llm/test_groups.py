@@ -334,3 +334,14 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, f"{tmp_path}/odd")
         assert [c for c in docs.columns] == [f.split()[0] for f in schema.split(", ")]
+
+
+def test_runs_of_flags_in_blocks():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 8, 9, 64, 100):
+        for share in (0.0, 0.3, 0.9, 1.0):
+            flags = rng.random(n) < share
+            edges = np.diff(np.concatenate([[0], flags.astype(int), [0]]))
+            want = list(zip(np.flatnonzero(edges == 1).tolist(), (np.flatnonzero(edges == -1) - 1).tolist(), strict=True))
+            got = [(a, b) for first, last in suffixes.runs(flags, 8) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            assert got == want

@@ -293,6 +293,19 @@ def test_redaction(make, odd, empty):
 
 
 # Operator 3.
+def test_toxicity_sample_is_bounded_in_rows_and_words(spark):
+    """Ids that thousands of rows share, and a text of most words: neither exceeds the stated bounds."""
+    rows = [(0, f"some words {i % 7}", "en") for i in range(20_000)] + [(i, "more words of text", "en") for i in range(2, 60)]
+    rows += [(100, "word " * 5_000, "en"), (None, "text", None), (7, None, None), (8, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 101)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, per_class=10, words=10_000)
+    assert got.groupby("toxic").size().max() <= 10 and set(got["toxic"]) == {0, 1} and 100 not in set(got["doc_id"])
+    wide = toxicity.sample(docs, labels, per_class=30_000, words=3_000)
+    assert wide.groupby("toxic")["ids"].agg(lambda s: sum(map(len, s))).max() <= 3_000
+    assert toxicity.sample(docs, labels, per_class=10, words=10_000).equals(got)
+
+
 def test_toxicity_learns_held_out_rows(spark):
     rng = random.Random(3)
     words, bad = [f"w{i}" for i in range(200)], ["vile", "rotten", "nasty"]

@@ -185,7 +185,8 @@ def sets_of(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """needed (row, doc_id, th, and other columns) with the set of each row. Documents are found by id and the hash of
     their text, so that rows that share an id, or have none, don't meet each other."""
     near = staged(needed.withColumnsRenamed({"doc_id": "id", "th": "at"}))
-    known = F.broadcast(near) if near.count() * 16 * len(near.columns) <= BROADCAST_BYTES else near
+    width = sum(16 + 256 * (c == "counts") for c in near.columns)
+    known = F.broadcast(near) if near.count() * width <= BROADCAST_BYTES else near
     own = docs.select("doc_id", "text", text_hash().alias("th"))
     texts = own.join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("at")))
     others = [c for c in near.columns if c not in ("id", "at", "row")]

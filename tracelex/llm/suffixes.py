@@ -186,8 +186,9 @@ def cut_strings(batches):
 def sort_shard(batches):
     """mapInArrow function over the pieces of a shard in (id, th, start) order: spans that repeat an earlier place."""
     import tempfile
+    from array import array
 
-    ids, ths, starts, lengths, last = [], [], [], [], None
+    ids, ths, starts, lengths, last = array("q"), array("q"), array("q"), array("q"), None
     with tempfile.TemporaryFile() as f:
         for batch in batches:
             for own, th, start, piece in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "start", "bytes")), strict=True):
@@ -199,19 +200,32 @@ def sort_shard(batches):
             return
         f.flush()
         flags = repeated(np.memmap(f, np.uint8, "r"), K, SHARD_MEMORY)
-    ths, starts, lengths = (np.array(x, np.int64) for x in (ths, starts, lengths))
+    ids, ths, starts, lengths = (np.frombuffer(x, np.int64) for x in (ids, ths, starts, lengths))
     begin = np.cumsum(lengths + 1) - lengths - 1
-    at = np.flatnonzero(flags)
-    if not len(at):
-        return
-    new = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
-    first, last = at[new], at[np.append(new[1:], len(at)) - 1]
-    piece = np.searchsorted(begin, first, "right") - 1
-    offset = starts[piece] - begin[piece]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([ids[p] for p in piece.tolist()], pa.int64()), pa.array(ths[piece]), pa.array(first + offset), pa.array(last + offset + K)],
-        names=["id", "th", "start", "end"],
-    )
+    for first, last in runs(flags):
+        piece = np.searchsorted(begin, first, "right") - 1
+        offset = starts[piece] - begin[piece]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[piece]), pa.array(ths[piece]), pa.array(first + offset), pa.array(last + offset + K)],
+            names=["id", "th", "start", "end"],
+        )
+
+
+def runs(flags: np.ndarray, block: int = 1 << 20):
+    """First and last places of the runs of set flags, in batches: those that end within each block of flags."""
+    open_ = -1
+    for at in range(0, len(flags) + 1, block):
+        # The place before the block, the block, and, at the end, one place that ends an open run.
+        own = np.asarray(flags[at : at + block], bool)
+        if len(own) < block:
+            own = np.append(own, False)
+        change = np.flatnonzero(np.diff(own, prepend=open_ >= 0)) + at
+        if open_ >= 0:
+            change = np.append(open_, change)
+        first, last = change[0::2], change[1::2] - 1
+        open_ = int(first[-1]) if len(first) > len(last) else -1
+        if len(last):
+            yield first[: len(last)].astype(np.int64), last.astype(np.int64)
 
 
 def spans(docs: DataFrame) -> DataFrame:
