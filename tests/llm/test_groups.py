@@ -345,3 +345,15 @@ def test_runs_of_flags_in_blocks():
             want = list(zip(np.flatnonzero(edges == 1).tolist(), (np.flatnonzero(edges == -1) - 1).tolist(), strict=True))
             got = [(a, b) for first, last in suffixes.runs(flags, 8) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
             assert got == want
+
+
+def test_suffixes_of_rows_without_ids(spark):
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    shared = word(180)
+    texts = [(None, word(60) + shared + word(90)), (None, word(150) + shared[:150]), (4, word(30) + shared[20:] + word(300)), (5, word(400))]
+    rows = suffixes.removed(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    gone = {(r.doc_id, r.n_bytes): r.n_removed for r in rows}
+    # The ids that are null come first; of those two, the order is that of their texts' hashes.
+    assert len(rows) == 4 and gone[4, len(texts[2][1])] == 160 and gone[5, 400] == 0
+    assert sum(n for (i, _), n in gone.items() if i is None) == 150

@@ -188,25 +188,26 @@ def sort_shard(batches):
     import tempfile
     from array import array
 
-    ids, ths, starts, lengths, last = array("q"), array("q"), array("q"), array("q"), None
+    ids, named, ths, starts, lengths, last = array("q"), bytearray(), array("q"), array("q"), array("q"), None
     with tempfile.TemporaryFile() as f:
         for batch in batches:
             for own, th, start, piece in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "start", "bytes")), strict=True):
                 if (own, th, start) != last:  # else it is of a repeated row
                     f.write(piece + bytes([SEPARATOR]))
-                    ids.append(own), ths.append(th), starts.append(start), lengths.append(len(piece))
+                    ids.append(0 if own is None else own), named.append(own is not None), ths.append(th), starts.append(start), lengths.append(len(piece))
                 last = own, th, start
         if not ids:
             return
         f.flush()
         flags = repeated(np.memmap(f, np.uint8, "r"), K, SHARD_MEMORY)
     ids, ths, starts, lengths = (np.frombuffer(x, np.int64) for x in (ids, ths, starts, lengths))
+    nameless = np.frombuffer(named, np.uint8) == 0
     begin = np.cumsum(lengths + 1) - lengths - 1
     for first, last in runs(flags):
         piece = np.searchsorted(begin, first, "right") - 1
         offset = starts[piece] - begin[piece]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[piece]), pa.array(ths[piece]), pa.array(first + offset), pa.array(last + offset + K)],
+            [pa.array(ids[piece], mask=nameless[piece]), pa.array(ths[piece]), pa.array(first + offset), pa.array(last + offset + K)],
             names=["id", "th", "start", "end"],
         )
 
