@@ -30,7 +30,7 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelex.llm.common import small_batches, unused
@@ -82,8 +82,10 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY, identifiers: int = IDENT
     text, joined_names = F.coalesce("text", F.lit("")), F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))
     found = docs.select(text.alias("text")).select(F.explode(F.concat(joined_names, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("name"))
     counted = found.groupBy("name").count().withColumn("single", F.length("name").between(4, 15) & F.col("name").rlike("^[A-Za-z][a-z]+$"))
-    best = [counted.where(F.col("single") == s).orderBy(F.desc("count"), "name").limit(n) for s, n in ((True, words), (False, identifiers))]
-    rows = best[0].union(best[1]).orderBy("single", F.desc("count"), "name").collect()  # at most words + identifiers
+    # One scan for both kinds; each part of the counts keeps its own first ones before they are ranked.
+    place = F.row_number().over(Window.partitionBy("single").orderBy(F.desc("count"), "name"))
+    ranked = counted.withColumn("place", place).where(F.col("place") <= max(words, identifiers))
+    rows = ranked.where(F.col("place") <= F.when(F.col("single"), words).otherwise(identifiers)).orderBy("single", "place").collect()  # at most words + identifiers
     kept = [b"\n".join([r["name"].lower().encode() if s else r["name"].encode() for r in rows if r["single"] == s])[: size // 4] for s in (True, False)]
     names = b"\n".join(kept)
     source = [inspect.getsource(importlib.import_module(m)) for m in MODULES.split()]
