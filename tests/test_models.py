@@ -166,3 +166,27 @@ def test_places_need_a_bounded_vocabulary(spark, rows, monkeypatch):
     monkeypatch.setattr(dictionary, "MOST", 3)
     with pytest.raises(ValueError, match="MOST"):
         terms.places(rows, terms.vocabulary(rows, 10, key="id"))
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_packed_blocks_give_the_gradients_of_dense_rows(monkeypatch, few):
+    """A block holds the entries that aren't 0 alone, in fewer bytes than the dense rows; both ways of a step agree."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    idf, w = rng.uniform(1, 2, 500), rng.normal(size=(3, 503, 3))
+    lists = [rng.integers(0, 500, rng.integers(0, 20)).tolist() for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"places": pa.array(lists, pa.list_(pa.int32())), "semantic": pa.array(rng.normal(size=(600, 2)).tolist()), "y": pa.array(rng.integers(0, 3, 600), pa.int32()), "weight": pa.array(rng.uniform(0.5, 2, 600))})
+    blocks = list(linear.packed(idf)(iter([batch])))
+    assert sum(b.nbytes for b in blocks) < linear.dense(batch, idf).nbytes / 10
+    monkeypatch.setattr(linear, "FEW", few)
+    monkeypatch.setattr(linear.TaskContext, "get", staticmethod(lambda: type("Context", (), {"partitionId": staticmethod(lambda: 0)})))
+    got = np.frombuffer(next(linear.gradients(w, idf)(iter(blocks))).column("v")[0].as_py()).reshape(3, -1)
+    x, y, weight = linear.dense(batch, idf), batch.column("y").to_numpy(), batch.column("weight").to_numpy()
+    for m in range(3):
+        p = np.exp(x @ w[m, :-1] + w[m, -1])
+        p /= p.sum(1, keepdims=True)
+        assert math.isclose(got[m, 0], -(weight * np.log(p[np.arange(600), y])).sum())
+        p[np.arange(600), y] -= 1
+        p *= weight[:, None]
+        assert np.allclose(got[m, 1:].reshape(503, 3), np.vstack([x.T @ p, p.sum(0)]))
