@@ -81,3 +81,11 @@ def test_plain_hashes_of_small_ones(spark):
     t = pa.table({"a": [0.1, 0.2], "b": [1.0, 2.0]})
     want = hashlib.sha256(b'{"dtype":"<f8","shape":[2,2]}\n' + np.array([[0.1, 1.0], [0.2, 2.0]], "<f8").tobytes()).hexdigest()
     assert P.matrix_sha256(t, ["a", "b"]) == want
+
+
+def test_sequences_in_rows_are_the_plain_ones_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["é"])], "k int, w array<string>")
+    got = P.row_sequences(rows, "k", "w")
+    want = P.plain_sequences(rows.select("k", F.posexplode("w").alias("pos", "v")), "k", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 2
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
