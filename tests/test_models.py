@@ -190,3 +190,14 @@ def test_packed_blocks_give_the_gradients_of_dense_rows(monkeypatch, few):
         p[np.arange(600), y] -= 1
         p *= weight[:, None]
         assert np.allclose(got[m, 1:].reshape(503, 3), np.vstack([x.T @ p, p.sum(0)]))
+
+
+def test_weights_are_shuffled_without_their_words(spark, rows):
+    """Words and idf are joined behind the shuffles; rows that share a key are one text."""
+    vocabulary = terms.vocabulary(rows.where("split = 'train'"), 30, key="id")
+    twice = rows.where("id < '3'").union(rows.where("id < '3'").withColumn("text", F.lit("alpha beta alpha good")))
+    found = terms.weights(twice, vocabulary, key="id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(id#\d+, place#\d+, \d+\)", plan) and not re.search(r"hashpartitioning\(id#\d+, place#\d+, g#", plan)
+    norms = found.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n"), F.count_distinct("place").alias("d"), F.count("*").alias("c")).collect()
+    assert len(norms) == twice.select("id").distinct().count() and all(math.isclose(r.n, 1) and r.d == r.c for r in norms)
