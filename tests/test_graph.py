@@ -146,3 +146,12 @@ def test_ntriples_of_others(spark):
     assert got == {("http://a/s", "café 🙂 \\u0041", "literal", "rdf:langString", "fr"), ("_:x", "_:y", "iri", None, None), ("http://a/s", "1", "literal", "xsd:integer", None)}
     with pytest.raises(Exception, match="no statement"):
         graph.parsed(df).collect()
+
+
+def test_local_names_are_cleaned_once(spark, capsys):
+    """A character of any width becomes one underscore; nulls and empty values are missing; the pattern runs once a row."""
+    values = [None, "", "a b", "é\U0001f600-_\\", " ", "plain"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "n int, v string").select("n", graph.sanitize_iri(F.col("v")).alias("s"))
+    assert [r.s for r in df.orderBy("n").collect()] == ["missing", "missing", "a_b", "__-_\\", "_", "plain"]
+    df.explain(True)
+    assert capsys.readouterr().out.split("== Physical Plan ==")[1].count("regexp_replace") == 1
