@@ -110,3 +110,18 @@ def test_mentions_by_table_are_those_by_columns(spark):
     two = enrich.mentions_by_table(docs, terms, more, lexicon)
     rows = lambda df: sorted(map(str, df.select("doc_id", "concept", "at", "window", "polarity", "kind").collect()))
     assert rows(one) == rows(two) and len(rows(one)) > 20
+
+
+def test_windows_are_looked_up_near_mentions_only(spark, monkeypatch):
+    """The same mentions with a lexicon that is looked up in the windows and with one that is joined; no column holds the
+    values of all words. Marks, white space and code don't move a place."""
+    texts = [None, "", " ", "good thing, not\u0001 thing-bad", "\u0001 a  b\t`thing`\nthing on", "x" * 9 + " bad thing " * 3, "thing", "no such word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    lexicon = spark.createDataFrame([("good", 1.5), ("bad", -2.0), ("thingbad", 0.25)], "term string, valence double")
+    found = lambda: sorted(map(tuple, enrich.mentions(docs, [("A", "thing", 0), ("A", "no", 1), ("B", "bad", 2)], {"A": ["thing on"]}, lexicon).collect()))
+    rows, _ = enrich.in_row(docs, [("A", "thing", 0)], {}, lexicon)
+    assert "values" not in rows.columns
+    assert [r.n for r in rows.orderBy("doc_id").select(T.spaced_count(F.col("spaced")).alias("n")).collect()] == [len((t or "").replace("`thing`", " ").split()) for t in texts]
+    near = found()
+    monkeypatch.setattr(dictionary, "MOST", 0)
+    assert near and near == found()
