@@ -7,10 +7,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelex.functions import text as T
 from tracelex.operators import dictionary, measure, tables
 from tracelex.sources import files
 
@@ -87,7 +86,7 @@ def run_grid(variants: DataFrame, cells: DataFrame, texts: DataFrame, places: di
     below level over the labelled training texts) and selected_active (texts where one of those is not 0).
 
     One scan for all variants. A word's cell in the lattice of frequency and valence says for every variant whether it
-    counts, so each word is looked up once; a mention keeps the few cells of its window, and a variant's polarity sums
+    counts, so a word near a mention is looked up once; a mention keeps the few cells of its window, and a variant's polarity sums
     those that dominate its steps, for all mentions of a batch together. What a batch gives leaves it as sums by variant,
     label and the set of a text's features.
 
@@ -97,9 +96,13 @@ def run_grid(variants: DataFrame, cells: DataFrame, texts: DataFrame, places: di
     table = dictionary.hash_table(cells, "term", "cell")
     if table is None:
         raise ValueError("a lexicon under a grid of thresholds has at most dictionary.MOST terms")
-    rows = dictionary.each_looked_up(texts, table, "single", "cells")
-    near = lambda at: F.filter(T.mention_window(F.col("cells"), at), lambda c: c.isNotNull())
-    live = [F.filter(F.transform(at, near), lambda m: F.size(m) > 0).alias(f"m{i}") for i, at in enumerate(places.values())]
+    rows = dictionary.windows_looked_up(texts.withColumn("words", F.split("single", " ")), table, list(places.values()), "seen")
+
+    def of(i: int) -> Column:
+        near = F.transform(F.filter("seen", lambda x: x["k"] == i), lambda x: F.filter(x["values"], lambda c: c.isNotNull()))
+        return F.filter(near, lambda m: F.size(m) > 0)
+
+    live = [of(i).alias(f"m{i}") for i in range(len(places))]
     n_values = 3 * len(live)
     each = rows.select("doc_id", *live).join(labels, "doc_id", "left").select("label", *[f"m{i}" for i in range(len(live))])
     sums = ", ".join(f"{x}{i} long" for x in "sq" for i in range(n_values))
