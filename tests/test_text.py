@@ -125,3 +125,21 @@ def test_windows_are_looked_up_near_mentions_only(spark, monkeypatch):
     near = found()
     monkeypatch.setattr(dictionary, "MOST", 0)
     assert near and near == found()
+
+
+def test_matches_by_text_and_of_short_terms(spark, monkeypatch, capsys):
+    """The same rows; parts grow with the texts, one shuffle serves all sums by text; short terms need no tokens."""
+    docs = spark.createDataFrame([(i % 40, t) for i, t in enumerate((HITS + MISSES) * 4)], "doc_id int, text string")
+    terms = spark.createDataFrame([("A", "ai", 0), ("B", "ai", 1), ("A", "kitchens", 2), ("B", "post-ai", 3)], "concept string, term string, term_pos int")
+    compounds = spark.createDataFrame([("A", "rain")], "concept string, compound string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = dictionary.term_matches(docs, terms, compounds)
+    monkeypatch.setattr(dictionary, "TEXTS", 5)
+    dealt = dictionary.term_matches(docs, terms, compounds, by_text=True)
+    assert rows(dealt) == rows(plain) and dealt.rdd.getNumPartitions() == -(-docs.count() // 5)
+    enrich.concept_scores(dealt).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning(doc_id") == 1
+    short = dictionary.term_matches(docs, terms, short_only=True)
+    assert rows(short) == rows(dictionary.term_matches(docs, terms).where("length(term) < 4"))
+    short.explain()
+    assert "regexp_extract_all" not in capsys.readouterr().out
