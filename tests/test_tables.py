@@ -42,3 +42,17 @@ def test_files_beyond_what_a_row_can_hold(spark, tmp_path):
     got = {r.path: (r.name, r.bytes, r.sha256) for r in audit.scan_files(spark, str(folder), ".bin", exclude=("skip",)).collect()}
     sha = lambda x: hashlib.sha256(x).hexdigest()
     assert got == {"big.bin": ("big.bin", big, digest.hexdigest()), "empty.bin": ("empty.bin", 0, sha(b"")), "sub dir/a b%+é.bin": ("a b%+é.bin", 100, sha(b"x" * 100))}
+
+
+def test_cell_traces_read_texts_once(spark, capsys):
+    """The features are stored by one scan, which the cells and their trace both read."""
+    import os
+
+    from tracelex.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables aren't here")
+    for name in ("cell_trace", "join_cell_trace", "agg_trace_counts"):
+        QUERIES[name](spark, sf).explain()
+        assert "documents.parquet" not in capsys.readouterr().out
