@@ -114,3 +114,22 @@ def test_one_class_and_no_rows(spark):
     assert [r.y_pred for r in B.predict(df, B.fit(df, 1, 1, 2, 2), 0.1, ["y"]).collect()] == [0, 0, 0]
     with pytest.raises(ValueError, match="no rows"):
         B.fit(df.limit(0), 1, 3)
+
+
+def test_only_entries_are_gone_through(spark):
+    """Sums over the bins that aren't 0 and what is left are those over all; edges are values that rows have, to the bit."""
+    rng = np.random.default_rng(6)
+    bins = np.where(rng.random((50, 30)) < 0.1, rng.integers(1, B.BINS + 1, (50, 30)), 0).astype(np.uint8)
+    used, use = np.array([1, 4, 7, 29]), rng.random(50) < 0.7
+    column = np.full(30, -1)
+    column[used] = np.arange(4) * (B.BINS + 1)
+    row, cell = B.entries(bins, column, use)
+    want = [(i, j * (B.BINS + 1) + bins[i, c]) for i in range(50) if use[i] for j, c in enumerate(used) if bins[i, c]]
+    assert list(zip(row, cell)) == want and 0 < len(want) < 50
+    rows = spark.createDataFrame([([i % 7, (i * 5) % 11, (i * i) % 13], [float(i % 3)]) for i in range(60)], "places array<int>, semantic array<double>").coalesce(1)
+    idf = np.linspace(1.0, 2.0, 13)
+    edges = B.bin_edges(B.filled(rows, idf), 14)
+    import pyarrow as pa
+
+    x = B.linear.dense(pa.RecordBatch.from_pylist(rows.toPandas().to_dict("records"), pa.schema([("places", pa.list_(pa.int32())), ("semantic", pa.list_(pa.float64()))])), idf)
+    assert all(set(e) <= set(x[:, c]) for c, e in enumerate(edges)) and [len(e) > 0 for e in edges] == (x != 0).any(0).tolist()
