@@ -347,6 +347,38 @@ def test_runs_of_flags_in_blocks():
             assert got == want
 
 
+def test_few_bytes_make_few_shards():
+    """A shard's 256 queues cost the same whatever it holds: 36 MB on 6 cores are 9 shards, not 144; much data has WAVES a core."""
+    assert suffixes.shard_count(36 << 20, 6) == 9 and suffixes.shard_count(0, 6) == 6
+    assert suffixes.shard_count(100 << 30, 6) == 6 * suffixes.WAVES
+
+
+def test_a_small_shard_needs_no_scratch_file(monkeypatch):
+    rng, stores = random.Random(13), []
+    real = induced.Store.__init__
+    monkeypatch.setattr(induced.Store, "__init__", lambda self, memory: (real(self, memory), stores.append(self))[0])
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    raw = b"\xff".join(" ".join(rng.choices(words, k=25)).encode() for _ in range(2000)) + b"\xff"
+    induced.repeated(np.frombuffer(raw, np.uint8), suffixes.K, suffixes.SHARD_MEMORY * len(raw) // suffixes.SHARD_BYTES)
+    assert stores[0].file is None
+
+
+def test_members_of_positions(monkeypatch):
+    monkeypatch.setattr(induced, "BLOCK", 1 << 7)
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 128, 129, 1000):
+        own = np.flatnonzero(rng.random(n) < 0.3)
+        members, every = induced.Members(own, n, induced.Store(1 << 20), np.int32), np.arange(n)
+        assert (members.has(every) == np.isin(every, own)).all() and (members.number(every) == np.searchsorted(own, every)).all()
+
+
+@pytest.mark.parametrize("top", [1, 1000, 1 << 40, 1 << 62])
+def test_order_is_stable_for_keys_of_any_size(top):
+    key = np.random.default_rng(4).integers(0, top, 3000)
+    key[1000:2000] = key[:1000]
+    assert (induced._argsort(key) == np.argsort(key, kind="stable")).all() and len(induced._argsort(key[:0])) == 0
+
+
 def test_suffixes_of_rows_without_ids(spark):
     rng = random.Random(23)
     word = lambda n: "".join(rng.choices("abcdefghij ", k=n))

@@ -108,21 +108,21 @@ class Queue:
             self.blocks = []
 
 
-def _range_min(table: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def _range_min(table: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Least value in [low, high] of the array under a sparse table."""
-    level = np.frexp(high - low + 1)[1] - 1
-    out = np.empty(len(low), np.uint8)
-    for k in np.unique(level):
-        own = level == k
-        out[own] = np.minimum(table[k][low[own]], table[k][high[own] - (1 << int(k)) + 1])
-    return out
-
-
-def _table(values: np.ndarray) -> list[np.ndarray]:
-    out, step = [values], 1
-    while 2 * step <= len(values):
-        out.append(np.minimum(out[-1][:-step], out[-1][step:]))
-        step *= 2
+    level = np.frexp(high - low + 1)[1].astype(np.int64) - 1
+    row, flat = level * table.shape[1], table.reshape(-1)
+    return np.minimum(flat[row + low], flat[row + high - (np.int64(1) << level) + 1])
+
+
+def _table(values: np.ndarray) -> np.ndarray:
+    """Row k: the least of 2**k values from each place that has so many."""
+    n = len(values)
+    out = np.empty((n.bit_length(), n), np.uint8)
+    out[0] = values
+    for k in range(1, len(out)):
+        size, step = n - (1 << k) + 1, 1 << (k - 1)
+        np.minimum(out[k - 1, :size], out[k - 1, step : step + size], out=out[k, :size])
     return out
 
 
@@ -140,7 +140,7 @@ class Induction:
         """Induce what stands before each tuple of a block in scan order. least: for each queue, the least common
         prefix since it last got a tuple."""
         pos, tail, left = block["pos"], block["tail"], block["left"]
-        target = (tail >> np.uint64(56)).astype(np.int16)
+        target = (tail >> np.uint64(56)).astype(np.uint8)
         ok = (pos > 0) & ((target > byte) if up else (target < byte))
         if same:
             ok |= (pos > 0) & (target == byte)
@@ -227,7 +227,7 @@ def _types(text: np.ndarray, store: Store, kind) -> np.ndarray:
         part = text[low : min(n, high + 1)].astype(np.int16)
         d = np.diff(part) if high < n else np.append(np.diff(part), -1)
         change = np.flatnonzero(d)
-        nxt = np.searchsorted(change, np.arange(len(d)))
+        nxt = np.cumsum(d != 0) - (d != 0)
         small = np.where(nxt < len(change), d[change[np.minimum(nxt, len(change) - 1)]] > 0 if len(change) else False, smaller_next)
         first_small = bool(small[0])
         prev = text[low - 1 : high - 1] if low else np.concatenate([text[:1], text[: high - 1]])
@@ -255,18 +255,32 @@ def _common(words: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, k: int) ->
     while len(live):
         x, y = a[live] + out[live], b[live] + out[live]
         diff = words[np.minimum(x, n)] ^ words[np.minimum(y, n)]
-        low = diff & (~diff + np.uint64(1))
-        bits = np.where(diff == 0, 64, np.frexp(low.astype(np.float64))[1] - 1)
+        bits = np.bitwise_count((diff & (~diff + np.uint64(1))) - np.uint64(1)).astype(np.int64)  # zeros below the lowest set bit
         out[live] = np.minimum(np.minimum(out[live] + bits // 8, k), n - np.maximum(a[live], b[live]))
         live = live[(diff == 0) & (out[live] < np.minimum(k, n - np.maximum(a[live], b[live])))]
     return out
 
 
+def _argsort(key: np.ndarray) -> np.ndarray:
+    """Stable order of integers: where key and place fit into 63 bits, as a plain sort of the two in one number."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    low, bits = int(key.min()), (len(key) - 1).bit_length()
+    if (int(key.max()) - low).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    both = key.astype(np.int64) - low
+    both <<= bits
+    both |= np.arange(len(key))
+    both.sort()
+    both &= (1 << bits) - 1
+    return both
+
+
 def order_by(key: np.ndarray, store: Store, limit: int | None = None) -> np.ndarray:
     """Stable order of non-negative keys; beyond `limit`, by dealing them to ranges that are sorted one at a time."""
     limit = limit or 16 * BLOCK
     if len(key) <= limit:
-        return np.argsort(key, kind="stable")
+        return _argsort(key)
     sample = np.sort(key[np.random.default_rng(0).integers(0, len(key), 1 << 16)])
     cuts = np.unique(sample[:: max(1, len(sample) * limit // (4 * len(key)))])
     parts: list[list] = [[] for _ in range(len(cuts) + 1)]
@@ -279,7 +293,7 @@ def order_by(key: np.ndarray, store: Store, limit: int | None = None) -> np.ndar
         own = np.concatenate([store.get(h) for h in held]) if held else np.zeros(0, np.int64)
         for h in held:
             store.drop(h)
-        out[done : done + len(own)] = own[np.argsort(key[own], kind="stable")]
+        out[done : done + len(own)] = own[_argsort(key[own])]
         done += len(own)
     return out
 
@@ -288,6 +302,31 @@ def _blocks(n: int):
     return ((at, min(n, at + BLOCK)) for at in range(0, n, BLOCK))
 
 
+class Members:
+    """Which of n positions belong to an ascending array, and how many of it are smaller: a bit for each position, and a
+    count for every 64."""
+
+    def __init__(self, array: np.ndarray, n: int, store: Store, kind):
+        self.bits, self.below = store.array(n // 64 + 1, np.uint64), store.array(n // 64 + 1, kind)
+        step, at = 64 * max(1, BLOCK // 64), 0
+        for low in range(0, n, step):
+            end = int(np.searchsorted(array, low + step))
+            own = np.zeros(step, np.uint8)
+            own[np.asarray(array[at:end]) - low] = 1
+            words = np.packbits(own, bitorder="little").view("<u8")[: len(self.bits) - low // 64]
+            count = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+            self.bits[low // 64 : low // 64 + len(words)] = words
+            self.below[low // 64 : low // 64 + len(words)] = at + np.append(0, count[:-1])
+            at = end
+
+    def has(self, pos: np.ndarray) -> np.ndarray:
+        return (self.bits[pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def number(self, pos: np.ndarray) -> np.ndarray:
+        less = (np.uint64(1) << (pos & 63).astype(np.uint64)) - np.uint64(1)
+        return self.below[pos >> 6].astype(np.int64) + np.bitwise_count(self.bits[pos >> 6] & less)
+
+
 class Shard:
     """The bytes of one shard, its local minima, and their order."""
 
@@ -313,7 +352,7 @@ class Shard:
             byte = self.text[own]
             order = np.argsort(byte, kind="stable")
             cut = np.searchsorted(byte[order], np.arange(257))
-            for c in np.unique(byte).tolist():
+            for c in np.flatnonzero(np.diff(cut)).tolist():
                 some = order[cut[c] : cut[c + 1]]
                 if not by[c].n:
                     run = self.text[own[some[0]] : own[some[0]] + self.k]
@@ -324,20 +363,18 @@ class Shard:
     def names(self) -> np.ndarray:
         """For each minimum a number that orders the strings between minima; equal strings have equal numbers."""
         n, minima, store = self.n, self.minima, self.store
-        mark, parts, count = store.array(n, np.uint8), [], 0
-        for a, b in _blocks(len(minima)):
-            mark[minima[a:b]] = 1
+        members, parts, count = Members(minima, n, store, self.work.kind), [], 0
 
         def pick(c: int, small: Queue, _: Queue) -> None:
             for block in small.read():
-                parts.append(store.put(block["pos"][mark[block["pos"]] == 1]))
+                parts.append(store.put(block["pos"][members.has(block["pos"])]))
 
         self.work.smaller(*self.work.larger(*self.seeds(minima, False)), pick)
         by = _gathered(parts[::-1], len(minima), store, self.work.kind, backwards=True)
         name, last = store.array(len(minima), np.int64), None
         for a, b in _blocks(len(by)):
             own = by[max(a - 1, 0) : b].astype(np.int64)
-            number = np.searchsorted(minima, own)
+            number = members.number(own)
             behind = np.where(number + 1 < len(minima), minima[np.minimum(number + 1, len(minima) - 1)], n)
             cap = behind - own + 1
             same = _common(self.words, n, own[:-1], own[1:], max(self.k, int(cap.max())))
@@ -404,7 +441,8 @@ def repeated(pieces: np.ndarray, k: int, memory: int = 256 << 20) -> np.ndarray:
                 new = block["lcp"] < k
                 if new[0]:
                     close()
-                starts = np.unique(np.append(0, np.flatnonzero(new)))
+                starts = np.flatnonzero(new)
+                starts = starts if new[0] else np.append(0, starts)
                 least = np.minimum.reduceat(pos, starts)
                 flags[pos] = True
                 if not new[0] and state["size"]:

@@ -10,7 +10,7 @@ A byte goes if a K-byte string that covers it also starts earlier (smaller doc_i
 3. Of rows with equal anchor and context, all but the first repeat an earlier text: all their strings go. The digest is
    BLAKE2b of the bytes (64 bits), beside the anchor's own 64 bits and the number of starts.
 4. Anchors with several contexts may still share strings. Their first contexts' bytes are dealt by anchor into WAVES
-   shards for each core of the cluster; each shard is suffix-sorted by external induced sorting (see induced.py), which
+   shards for each core of the cluster (fewer, if those would be of less than SHARD_BYTES); each shard is suffix-sorted by external induced sorting (see induced.py), which
    may be far larger than memory, and strings that start at a smaller place of the shard go.
 5. An anchor with more than HOT contexts isn't left to one shard: its K-byte strings, one row each, are compared by
    their 128-bit BLAKE2b digests in a plain aggregation and join.
@@ -38,11 +38,13 @@ from tracelex.llm.common import small_batches, staged
 from tracelex.llm.induced import SEPARATOR, repeated
 
 K, GRAM = 100, 32
-CHUNK = 1 << 20
+#: Bytes that are hashed at a time: arrays of eight times as many stay in a core's cache.
+CHUNK = 1 << 18
 BITS = 1 << 25
 #: Shards for each core, so that a part of the candidates' bytes is on scratch disks at a time; bytes of a shard's queues
-#: in memory; contexts of an anchor that may go to one shard.
-WAVES, SHARD_MEMORY, HOT = 24, 4 << 20, 4096
+#: in memory; contexts of an anchor that may go to one shard. Shards of fewer than SHARD_BYTES bytes are joined, since each
+#: has 256 queues to pass, whatever it holds; the queues of a shard of that size stay in memory.
+WAVES, SHARD_MEMORY, HOT, SHARD_BYTES = 24, 96 << 20, 4096, 4 << 20
 
 _TABLE = np.random.default_rng(10).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +64,7 @@ def anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
             h = h[:-width] * power + h[width:]
             power, width = power * power, width * 2
         gram = mix(h)
-        # The hash's upper bits and the place in the lower 20: the least is the leftmost of the least.
+        # The hash's upper bits and the place in the lower ones: the least is the leftmost of the least.
         least = (gram & ~np.uint64(CHUNK - 1)) | np.arange(len(gram), dtype=np.uint64)
         span, width = K - GRAM + 1, 1
         while width * 2 <= span:
@@ -229,6 +231,11 @@ def runs(flags: np.ndarray, block: int = 1 << 20):
             yield first[: len(last)].astype(np.int64), last.astype(np.int64)
 
 
+def shard_count(size: int, cores: int) -> int:
+    """Shards for so many bytes: WAVES for each core, but none of fewer than SHARD_BYTES, unless cores would be idle."""
+    return min(WAVES * cores, max(cores, -(-size // SHARD_BYTES)))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """id, th, start, end: byte spans that repeat an earlier text; they may overlap. docs: id, th, text."""
     spark = docs.sparkSession
@@ -249,12 +256,13 @@ def spans(docs: DataFrame) -> DataFrame:
     several = firsts.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT).alias("hot"))
     wanted = firsts.join(several, "anchor").select(F.col("place.id").alias("wid"), F.col("place.th").alias("wth"), F.struct("anchor", F.col("place.start").alias("start"), F.col("k").alias("n"), "hot").alias("w"))
     wanted = staged(wanted.groupBy("wid", "wth").agg(F.collect_list("w").alias("wanted")))
-    hot = wanted.agg(F.max(F.exists("wanted", lambda w: w.hot))).first()[0]
+    cold = F.aggregate("wanted", F.lit(0).cast("long"), lambda total, w: total + F.when(w.hot, 0).otherwise(w.n + K))
+    hot, size = wanted.agg(F.max(F.exists("wanted", lambda w: w.hot)), F.sum(cold)).first()
     texts = long.select("id", "th", packed(F.col("text")).alias("z"))
     texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["wid"]) & (texts["th"] == wanted["wth"])).select("id", "th", "z", "wanted")
     texts = staged(texts) if hot else texts
     pieces = texts.mapInArrow(cut_pieces, PIECE)
-    shards = WAVES * spark.sparkContext.defaultParallelism
+    shards = shard_count(size or 0, spark.sparkContext.defaultParallelism)
     found = pieces.repartition(shards, "anchor").sortWithinPartitions("id", "th", "start").mapInArrow(sort_shard, "id long, th long, start long, end long")
     if hot:
         strings = staged(texts.where(F.exists("wanted", lambda w: w.hot)).mapInArrow(cut_strings, STRING))
