@@ -73,6 +73,19 @@ def test_parts_do_not_change_the_ids(monkeypatch):
     assert pieces.Encoder(PATH, 0.2).encode(text, "k") == whole
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_units_in_steps_of_any_size(monkeypatch, dropout):
+    """Ids don't depend on how many units are worked on at a time, and are those of the agenda, unit by unit."""
+    own, rng = pieces.Encoder(PATH, dropout), random.Random(5)
+    units = [" " + "".join(rng.choices("aeinrst\u4e00é\U0001f600", k=rng.randint(0, 47))) for _ in range(300)]
+    keys = np.array([rng.getrandbits(64) for _ in units], np.uint64)
+    want = [own.vocabulary.segment(u, int(k), own.cut) for u, k in zip(units, keys, strict=True)]
+    for step in (1, 7, 8192):
+        monkeypatch.setattr(pieces, "STEP", step)
+        flat, start, count = own._follow(units, np.arange(len(units)), keys)
+        assert [tuple(flat[a : a + n].tolist()) for a, n in zip(start.tolist(), count.tolist(), strict=True)] == want
+
+
 def test_pieces_of_odd_rows(spark, odd, empty):
     rows = pieces.tokenized(odd).withColumn("back", pieces.decode(F.col("ids"))).collect()
     texts = [r.text for r in odd.collect()]

@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from collections import defaultdict
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -32,6 +33,8 @@ MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
 #: Characters that are worked on at a time.
 PART = 1_000_000
+#: Units that are worked on in step at a time: few enough that their arrays stay in a core's cache.
+STEP = 8192
 INF = np.int32(2**31 - 1)
 
 MASK = (1 << 64) - 1
@@ -190,45 +193,50 @@ class Encoder:
         width = np.arange(length)
         sym = np.full((len(units), length), -1, np.int32)
         sym[width < n[:, None]] = self.pairs.symbol[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
-        pos = np.tile(width.astype(np.uint64), (len(units), 1))
+        # A symbol stands at the place of its first character; its neighbours' places are linked, -1 at either end.
+        after, before = np.tile((width + 1).astype(np.int8), (len(units), 1)), np.tile((width - 1).astype(np.int8), (len(units), 1))
+        after[np.arange(len(units)), n - 1] = -1
         rank, made = np.full((len(units), length), INF, np.int32), np.zeros((len(units), length), np.int32)
         r, c = np.nonzero(width[None, 1:] < n[:, None])
         rank[r, c], made[r, c] = self.pairs.find(sym[r, c], sym[r, c + 1])
-        done, row, size = sym.copy(), np.arange(len(units)), n.copy()
+        done, row = sym.copy(), np.arange(len(units))
         drawn, terms, at_round = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
         while len(row):
             j = rank.argmin(axis=1)
             live = rank[np.arange(len(row)), j] < INF
             if live.sum() < 0.8 * len(row):
-                done[row[~live]], size[row[~live]] = sym[~live], n[~live]
-                row, sym, pos, rank, made, n, skips, j = (x[live] for x in (row, sym, pos, rank, made, n, skips, j))
+                done[row[~live]] = sym[~live]
+                row, sym, after, before, rank, made, skips, j = (x[live] for x in (row, sym, after, before, rank, made, skips, j))
                 if not len(row):
                     break
                 live = np.ones(len(row), bool)
+            symbols, behind, ahead, ranks, pieces = (x.reshape(-1) for x in (sym, after, before, rank, made))  # views
             m = np.flatnonzero(live)
             at = j[m]
+            start = m * length
+            cell = start + at
             if self.cut:
                 with np.errstate(over="ignore"):
-                    terms.append(pos[m, at] * np.uint64(_A) + made[m, at].astype(np.uint64) * np.uint64(_B))
+                    terms.append(at.astype(np.uint64) * np.uint64(_A) + pieces[cell].astype(np.uint64) * np.uint64(_B))
                 drawn.append(row[m])
                 if at_round < self.ROUNDS:
                     skip = (skips[m] >> np.uint64(at_round)) & np.uint64(1) > 0
-                    rank[m[skip], at[skip]] = INF
-                    m, at = m[~skip], at[~skip]
+                    ranks[cell[skip]] = INF
+                    at, start, cell = at[~skip], start[~skip], cell[~skip]
             at_round += 1
-            sym[m, at] = made[m, at]
-            after = np.minimum(width + (width > at[:, None]), length - 1)
-            sym[m], pos[m] = np.take_along_axis(sym[m], after, 1), np.take_along_axis(pos[m], after, 1)
-            after = np.minimum(width + (width >= at[:, None]), length - 1)
-            rank[m], made[m] = np.take_along_axis(rank[m], after, 1), np.take_along_axis(made[m], after, 1)
-            n[m] -= 1
-            rank[m, n[m] - 1] = INF
-            for k, ok in ((at - 1, at > 0), (at, at + 1 < n[m])):
-                x, y = m[ok], k[ok]
-                rank[x, y], made[x, y] = self.pairs.find(sym[x, y], sym[x, y + 1])
-        done[row], size[row] = sym, n
+            gone = start + behind[cell]
+            symbols[cell], symbols[gone] = pieces[cell], -1
+            ranks[cell], ranks[gone] = INF, INF
+            behind[cell] = behind[gone]
+            right, left = behind[cell] >= 0, ahead[cell] >= 0
+            x, y = (start + ahead[cell])[left], (start + behind[cell])[right]
+            ahead[y] = at[right]
+            first, second = np.append(x, cell[right]), np.append(cell[left], y)
+            ranks[first], pieces[first] = self.pairs.find(symbols[first], symbols[second])
+        done[row] = sym
         drawn = np.concatenate(drawn)
-        return done[width < size[:, None]], size, np.concatenate(terms)[np.argsort(drawn, kind="stable")], np.bincount(drawn, minlength=len(units))
+        kept = done >= 0
+        return done[kept], kept.sum(axis=1), np.concatenate(terms)[np.argsort(drawn, kind="stable")], np.bincount(drawn, minlength=len(units))
 
     def _ways(self, units: list[str], skips: np.ndarray) -> tuple[np.ndarray, ...]:
         """ids of all ways in one array, where each way's begin, and how many; the same of the terms of their draws."""
@@ -236,8 +244,8 @@ class Encoder:
         flat, start, count, held = [np.zeros(0, np.int32)], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
         terms, first, draws, told = [np.zeros(0, np.uint64)], np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
         for low, high in ((0, 2), (2, 6), (6, 9), (9, 14), (14, 24), (24, 48)):
-            own = np.flatnonzero((n > low) & (n <= high))
-            if len(own):
+            every = np.flatnonzero((n > low) & (n <= high))
+            for own in np.split(every, range(STEP, len(every), STEP)) if len(every) else ():
                 ids, size, term, rounds = self._in_step([units[i] for i in own], skips[own], high)
                 start[own], count[own] = held + np.cumsum(size) - size, size
                 first[own], draws[own] = told + np.cumsum(rounds) - rounds, rounds
@@ -263,7 +271,7 @@ class Encoder:
         how many."""
         start, count = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
         flat, held, alone = [np.zeros(0, np.int32)], 0, [np.zeros(0, np.int64)]
-        long = np.fromiter((len(x) > 48 for x in names), bool, len(names))[which]
+        long = (np.fromiter(map(len, names), np.int64, len(names)) > 48)[which]
         alone.append(np.flatnonzero(long))
         left = np.flatnonzero(~long)
         unit, way = np.unique(which[left], return_inverse=True)
@@ -306,21 +314,20 @@ class Encoder:
     def encode_all(self, texts: list[str | None], text_keys: list[str]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in texts]
         some: list[tuple[int, np.ndarray]] = []
-        number: dict[str, int] = {}
-        indexes: list[list[int]] = []
+        number, indexes = numbers(), []
 
         def flush() -> None:
             nonlocal some, number, indexes
             if some:
                 lengths = np.array([len(v) for _, v in some])
-                which = np.fromiter((i for x in indexes for i in x), np.int64, int(lengths.sum()))
+                which = np.concatenate(indexes)
                 flat, start, size = self._follow(list(number), which, np.concatenate([v for _, v in some]))
                 ends = np.cumsum(size)
                 ids = flat[np.repeat(start - (ends - size), size) + np.arange(int(size.sum()))]
                 cuts = ends[np.cumsum(lengths) - 1]
                 for (i, _), piece in zip(some, np.split(ids, cuts[:-1]), strict=True):
                     out[i].append(piece)
-            some, number, indexes = [], {}, []
+            some, number, indexes = [], numbers(), []
 
         held = 0
         for i, (text, text_key) in enumerate(zip(texts, text_keys, strict=True)):
@@ -332,7 +339,7 @@ class Encoder:
                     h = (h ^ (h >> np.uint64(30))) * np.uint64(_B)
                     h = (h ^ (h >> np.uint64(27))) * np.uint64(_C)
                 some.append((i, h ^ (h >> np.uint64(31))))
-                indexes.append([number.setdefault(u, len(number)) for u in units])
+                indexes.append(np.fromiter(map(number.__getitem__, units), np.int64, len(units)))
                 place, held = place + len(units), held + len(part)
                 if held > PART:
                     flush()
@@ -344,6 +351,13 @@ class Encoder:
         return self.encode_all([text], [text_key])[0].tolist()
 
 
+def numbers() -> defaultdict:
+    """A dictionary that gives each new key the next number."""
+    out = defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
 def parts_of(text: str):
     """text in parts of about PART characters, cut where a run of spaces begins."""
     at = 0
