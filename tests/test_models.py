@@ -201,3 +201,16 @@ def test_weights_are_shuffled_without_their_words(spark, rows):
     assert re.search(r"hashpartitioning\(id#\d+, place#\d+, \d+\)", plan) and not re.search(r"hashpartitioning\(id#\d+, place#\d+, g#", plan)
     norms = found.groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n"), F.count_distinct("place").alias("d"), F.count("*").alias("c")).collect()
     assert len(norms) == twice.select("id").distinct().count() and all(math.isclose(r.n, 1) and r.d == r.c for r in norms)
+
+
+def test_words_of_a_vocabulary_are_cut_once(spark, rows):
+    """Its scans read stored words, and give each text's words and pairs as `grams` does."""
+    plans, kept = [], terms.files.through_parquet
+    terms.files.through_parquet = lambda df, path: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df, path))[1]
+    try:
+        terms.vocabulary(rows.where("split = 'train'"), 20, key="id")
+    finally:
+        terms.files.through_parquet = kept
+    assert sum("regexp_extract_all" in p for p in plans) == 1 and len(plans) > 2
+    got = Counter((r.id, r.g) for r in terms.each_gram(rows.select("id", terms.words(F.col("text")).alias("_words")), "id").collect())
+    assert got == Counter((r[0], g) for r in corpus() for g in plain_grams(r[1]))
