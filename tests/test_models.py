@@ -100,6 +100,32 @@ def test_joint_regressions_are_single_ones(spark, rows, monkeypatch):
         assert np.abs((mine[-1] - mine[-1].mean()) - (np.array(one.interceptVector) - np.mean(one.interceptVector))).max() < 1e-4
 
 
+@pytest.mark.parametrize("curved,many", [(5000, 64), (6, 1)])
+def test_searches_begin_with_the_curvature(spark, rows, monkeypatch, curved, many):
+    """Few steps (37 without), to the same weights, also where only some terms' products are added up, in groups."""
+    weighted, vocabulary = joint(rows, CONDITIONS)
+    train = weighted.where("split = 'train' and label is not null")
+    raw = [F.coalesce(n, F.lit(0.0)) for n in ("f1", "f2")]
+    placed = terms.places(train, vocabulary).select("places", F.array(*raw).alias("semantic"), F.col("label").alias("y"), "weight")
+    idf, masks = np.array([r.idf for r in vocabulary.orderBy("place").collect()]), np.array([[0, 0], [1, 1], [0, 1]], float)
+    seen, gradients = [], linear.gradients
+    monkeypatch.setattr(linear, "gradients", lambda w, idf: (seen.append(len(w)), gradients(w, idf))[1])
+    monkeypatch.setattr(linear, "STRIPE", 4)
+    monkeypatch.setattr(linear, "MANY", many)
+    monkeypatch.setattr(linear, "CURVED", curved)
+    w = linear.fit(placed, idf, masks, 3)
+    assert len(seen) < 16
+    # At the optimum of a strictly convex loss the gradient is 0: that of the weights found is as small as asked for.
+    packed = [b for b in linear.packed(idf)(iter(placed.toArrow().to_batches()))]
+    monkeypatch.setattr(linear.TaskContext, "get", staticmethod(lambda: type("Context", (), {"partitionId": staticmethod(lambda: 0)})))
+    v = np.frombuffer(next(gradients(w, idf)(iter(packed))).column("v")[0].as_py()).reshape(3, -1)[:, 1:].reshape(w.shape)
+    penalty = w.copy()
+    penalty[:, -1] = 0
+    on = np.concatenate([np.ones((3, len(idf))), masks, np.ones((3, 1))], axis=1)[:, :, None]
+    total = placed.agg(F.sum("weight")).first()[0]
+    assert np.abs((v + penalty) * on).max() < linear.TOLERANCE * total * 1.01
+
+
 def test_sums_in_groups_are_the_sums(spark, rows, monkeypatch):
     weighted, vocabulary = joint(rows, CONDITIONS)
     train = weighted.where("split = 'train' and label is not null")
