@@ -73,6 +73,16 @@ def test_weights_places_and_vectors_agree(spark, rows):
         assert np.allclose(vectors[i].toArray()[sorted(raw)], [raw[p] / norm for p in sorted(raw)]) and len(stacked[i]) == 31
 
 
+def test_places_of_a_batch():
+    """Looked up at once: pairs don't reach across rows, words stand before pairs, a null row and an empty one have none."""
+    import pyarrow as pa
+
+    listed = ["beta", "alpha beta", "alpha", "beta beta", "été gamma"]
+    cut = pa.array([["gamma"], ["alpha", "beta", "beta", "alpha"], None, [], ["beta", "x1", "été"], ["gamma", "été", "gamma"]], pa.list_(pa.string()))
+    assert terms.found(listed)(cut.slice(1)).to_pylist() == [[2, 0, 0, 2, 1, 3], [], [], [0], [4]]
+    assert terms.found([])(cut).to_pylist() == [[]] * 6 and terms.found(listed)(cut.slice(0, 0)).to_pylist() == []
+
+
 def joint(rows, conditions, most=1000):
     train = rows.where("split = 'train'")
     weighted = rows.join(F.broadcast(models.class_weights(train)), "label", "left")
