@@ -93,6 +93,26 @@ def test_trees_are_the_loops(spark, monkeypatch, stored, block):
     assert said == [int(np.argmax(s)) for s in score] and sum(a == r[1] for a, r in zip(said, rows, strict=True)) > 90
 
 
+@pytest.mark.parametrize("sparse,direct,pack", [(0, 0, 8), (10**9, 0, 8), (10**9, 1 << 30, 10**6)])
+def test_sums_of_packed_blocks(spark, monkeypatch, sparse, direct, pack):
+    """The same trees whether cells are held densely or by number, added where they meet or by the driver, in blocks of few
+    rows or in one; columns and rows without an entry take up nothing."""
+    for name, value in (("SPARSE", sparse), ("DIRECT", direct), ("PACK", pack), ("ROWS", 8), ("STORED", 1), ("COLUMNS", 2)):
+        monkeypatch.setattr(B, name, value)
+    rows = table(60, 4)
+    df = spark.createDataFrame([(b + bytes(3), y, w) for b, y, w in rows], "bins binary, y int, weight double").coalesce(1)
+    ids = [r.i for r in df.select(F.monotonically_increasing_id().alias("i")).collect()]
+    want, _ = plain([(b + bytes(3), y, w) for b, y, w in rows], ids, 7, 3, 2, 3, 0.3, 5)
+    for step, got in enumerate(zip(*B.fit(df, 7, 3, rounds=2, depth=3, rate=0.3, seed=5), strict=True)):
+        for k, tree in enumerate(got):
+            assert all((tree.column[n], tree.cut[n] if c >= 0 else 0) == (c, b) and abs(tree.value[n] - v) < 1e-9 for n, (c, b, v) in want[step][k].items())
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"row": [0, 1], "bins": [bytes(5000), b"\x00\x07" + bytes(4998)], "y": pa.array([0, 1], pa.int32()), "weight": [1.0, 1.0]})
+    block = next(B.packed(5000, 3)(iter([batch])))
+    assert block.nbytes < 500 and np.frombuffer(block.column("cell")[0].as_py(), np.int32).tolist() == [B.BINS + 1 + 7]
+
+
 def test_bins_of_values(spark):
     values = [(0, float(x)) for x in range(1, 101)] + [(1, 5.0)] * 20 + [(3, -1.0), (3, 2.0)]
     edges = B.bin_edges(spark.createDataFrame(values, "column int, value double"), 4)

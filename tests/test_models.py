@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracelex.operators import dictionary, linear, measure, models, terms
 
 WORDS = ["alpha", "beta", "gamma", "delta", "epsilon", "x", "été", "naïve", "end"]
+made, fit = models.classifier, models.boosting.fit
 CONDITIONS = {"BSL": [], "full": ["f1", "f2"], "drop_one": ["f2"], "module_only_one": ["f1"]}
 
 
@@ -186,6 +187,19 @@ def test_ablation_grid_of_all_kinds(spark, rows):
     assert len(metrics) == 12 and all(math.isclose(m.accuracy, next(r.right for r in got if (r.model, r.condition, r.seed) == (m.model, m.condition, m.seed))) for m in metrics)
 
 
+@pytest.mark.parametrize("kind,size", [("gbt", (300, 6)), ("rf", (300, 20))])
+def test_registered_trees_have_their_stated_size(spark, rows, monkeypatch, kind, size):
+    """All rounds or trees, the whole depth, and every term that such a model sees."""
+    from tracelex.plans import registry
+
+    seen, vocabulary = [], terms.vocabulary
+    monkeypatch.setattr(registry, "model_rows", lambda s, d: rows.where("label is not null").withColumns({f: F.col("f1") for f in registry.X.SELECTED}))
+    monkeypatch.setattr(models.terms, "vocabulary", lambda train, n, **more: (seen.append(n), vocabulary(train, n, **more))[1])
+    monkeypatch.setattr(models, "classifier", lambda kind, seed, rounds, depth: (seen.append((rounds, depth)), made(kind, seed, 2, 2))[1])
+    monkeypatch.setattr(models.boosting, "fit", lambda train, columns, classes, rounds, depth, rate, seed: (seen.append((rounds, depth)), fit(train, columns, classes, 1, 1))[1])
+    assert registry.fitted(kind)(spark, None).count() == 30 and seen == [10000, size]
+
+
 def test_class_weights_are_balanced(spark, rows):
     got = {r.label: r.weight for r in models.class_weights(rows.where("label is not null")).collect()}
     n = Counter(r[3] for r in corpus() if r[3] is not None)
